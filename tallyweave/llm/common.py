@@ -55,9 +55,11 @@ def add_columns(
     fields: list[T.StructField],
     inputs: list[str],
     function: Callable[[Iterator[list[pa.Array]]], Iterator[list[pa.Array]]],
+    slice_bytes: int = 4_000_000,
 ) -> DataFrame:
     """df with further columns that `function` works out, one list of arrays for
-    each list of input arrays. Existing columns of the new names are replaced."""
+    each list of input arrays. Existing columns of the new names are replaced.
+    The rows come in slices of about `slice_bytes` of input, whole rows each."""
     kept = [c for c in df.columns if c.lower() not in {f.name.lower() for f in fields}]
     work = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)])
     schema = T.StructType([*(df.schema[c] for c in kept), *fields])
@@ -67,8 +69,11 @@ def add_columns(
 
         def feed() -> Iterator[list[pa.Array]]:
             for batch in batches:
-                held.append(batch)
-                yield batch.columns[len(kept) :]
+                size = sum(c.nbytes for c in batch.columns[len(kept) :])
+                step = max(1, -(-batch.num_rows * slice_bytes // max(size, slice_bytes)))
+                for at in range(0, batch.num_rows, step):
+                    held.append(batch.slice(at, step))
+                    yield held[-1].columns[len(kept) :]
 
         for made in function(feed()):
             batch = held.pop(0)
@@ -77,6 +82,19 @@ def add_columns(
     return work.mapInArrow(run, schema)
 
 
+class Shared:
+    """A broadcast object of one of this package's classes. Its fields are plain
+    data, so executors need not import the class to read them."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.kind, self.fields = type(value), spark.sparkContext.broadcast(vars(value))
+
+    def get(self) -> object:
+        made = object.__new__(self.kind)
+        made.__dict__.update(self.fields.value)
+        return made
+
+
 def as_bytes(array: pa.Array) -> list[bytes]:
     """UTF-8 of each text; nulls are empty."""
     return [x or b"" for x in array.cast(pa.binary()).to_pylist()]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import simhash
+from tallyweave.llm import decontaminate, pieces, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,60 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_components(docs).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash}
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding gives the text back."""
+    model = pieces.Model.read(pieces.MODEL_PATH)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = pieces.decode(pieces.encode(docs, model), model)
+    return back.select(
+        "doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"), "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
+    )
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark"))
+    hits = decontaminate.n_hit()
+    named = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", hits.alias("n_hit"), "n_items", named, (hits > 0).alias("contaminated"))
+
+
+OP8_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[p:p + size - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS p
+        FROM item WHERE len(w) > 0)),
+place AS (
+  SELECT k, p, size, array_to_string(w[p:p + size - 1], ' ') AS win
+  FROM (SELECT k, w, size, unnest(generate_series(1, len(w) - size + 1)) AS p
+        FROM doc, (SELECT DISTINCT size FROM win) WHERE len(w) >= size)),
+hit AS (SELECT k, p, win.size, item_id FROM place JOIN win ON place.size = win.size AND place.win = win.win),
+word AS (SELECT k, count(DISTINCT q) AS n_hit
+         FROM (SELECT k, unnest(generate_series(p, p + size - 1)) AS q FROM hit) GROUP BY k),
+named AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT k, item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word USING (k) LEFT JOIN named USING (k)
+"""
+
+QUERIES: dict[str, Query] = {
+    "op1_simhash": op1_simhash,
+    "op4_pieces": op4_pieces,
+    "op8_decontaminate": op8_decontaminate,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontaminate": OP8_SQL,
+}
