@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import decontaminate, pieces, simhash
+from tallyweave.llm import decontaminate, language, pieces, simhash, toxicity
+from tallyweave.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_components(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 5, 0)
+    found = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~out))
+    return found.select("doc_id", out.alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"), "toxic_spans")
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether decoding gives the text back."""
     model = pieces.Model.read(pieces.MODEL_PATH)
@@ -42,6 +51,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hits.alias("n_hit"), "n_items", named, (hits > 0).alias("contaminated"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"), 5, 0)
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs, ~out))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 OP8_SQL = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS k, doc_id,
@@ -73,8 +90,10 @@ FROM doc LEFT JOIN word USING (k) LEFT JOIN named USING (k)
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
     "op4_pieces": op4_pieces,
     "op8_decontaminate": op8_decontaminate,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
