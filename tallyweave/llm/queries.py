@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import decontaminate, language, pieces, simhash, toxicity
+from tallyweave.llm import decontaminate, language, licenses, pieces, simhash, toxicity, warc
 from tallyweave.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,13 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = [F.array_join(c, ",").alias(name) for c, name in (("base_labels", "base_labels"), ("license_labels", "labels"))]
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *listed, F.col("license_score").alias("score"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,6 +58,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hits.alias("n_hit"), "n_items", named, (hits > 0).alias("contaminated"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, written to archives and read back."""
+    path = warc.archive_path(spark)
+    warc.write(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.pages_of(warc.read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -92,10 +106,23 @@ QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op4_pieces": op4_pieces,
+    "op7_licenses": op7_licenses,
     "op8_decontaminate": op8_decontaminate,
+    "op9_warc": op9_warc,
     "op10_language": op10_language,
 }
 
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+q AS (SELECT page_id, payload, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+             CASE WHEN strlen(payload) >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS target FROM p)
+SELECT page_id, payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN target IS NOT NULL AND (page_id IS NULL OR page_id < target) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS NULL OR page_id < target THEN target END AS refers_to
+FROM q
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_warc": OP9_SQL,
     "op8_decontaminate": OP8_SQL,
 }
