@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import decontaminate, language, licenses, pieces, simhash, toxicity, warc
+from tallyweave.llm import decontaminate, language, licenses, pieces, quality, simhash, toxicity, warc
 from tallyweave.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"), "toxic_spans")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality.judge(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether decoding gives the text back."""
     model = pieces.Model.read(pieces.MODEL_PATH)
@@ -105,6 +111,7 @@ FROM doc LEFT JOIN word USING (k) LEFT JOIN named USING (k)
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
     "op4_pieces": op4_pieces,
     "op7_licenses": op7_licenses,
     "op8_decontaminate": op8_decontaminate,
