@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import decontaminate, language, licenses, pieces, quality, simhash, toxicity, warc
+from tallyweave.llm import decontaminate, language, licenses, pieces, pii, quality, simhash, toxicity, warc
 from tallyweave.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,14 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_spans(docs, pii.fit(pii.count_features(docs)))
+    counts = [F.size(F.filter("base_spans", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base_spans"), 256).alias("base_sha256"), pii.listed("pii_spans").alias("spans"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every document."""
     found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -113,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_pieces": op4_pieces,
+    "op6_pii": op6_pii,
     "op7_licenses": op7_licenses,
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
