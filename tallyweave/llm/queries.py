@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import decontaminate, language, licenses, pieces, pii, quality, simhash, toxicity, warc
+from tallyweave.llm import decontaminate, language, licenses, maxent, pieces, pii, quality, simhash, toxicity, warc
 from tallyweave.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,16 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 7, 2)
+    counts, lexicon, model = maxent.fit(docs, ~out)
+    scored = maxent.score(docs, counts, lexicon, model)
+    total = F.lit(lexicon.total).cast("bigint").alias("train_tokens")
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", total, "base_score", F.col("lm_score").alias("score"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -121,6 +131,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_pieces": op4_pieces,
+    "op5_maxent": op5_maxent,
     "op6_pii": op6_pii,
     "op7_licenses": op7_licenses,
     "op8_decontaminate": op8_decontaminate,
