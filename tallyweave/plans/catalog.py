@@ -1,6 +1,8 @@
-"""All queries over the reference tables, by name, with their DuckDB SQL."""
+"""All queries over the reference's operators, by name, with their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tallyweave.plans import reconcile  # noqa: F401
+from tallyweave.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
