@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyweave.plans import reconcile, statement  # noqa: F401
+from tallyweave.plans import lines, reconcile, statement  # noqa: F401
 from tallyweave.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

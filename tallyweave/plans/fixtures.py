@@ -42,6 +42,10 @@ SQL: dict[str, str | tuple[str, str]] = {
         """SELECT doc_id, lang, source, cast(generate_subscripts(s, 1) - 1 AS bigint) AS line_no, unnest(s) AS text FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS s FROM documents)""",
     ),
     "lines": _LINES,
+    # Document lines in which headings, contents, a glossary, blanks and tables stand by rule.
+    "doc_lines": """SELECT doc_id, line_no, line_no % 40 = 0 AS page_break, line_no % 17 = 9 AS is_table,
+        CASE WHEN line_no = 1 THEN '目 录' WHEN line_no % 40 = 30 THEN '附 录' WHEN line_no % 12 = 0 THEN '第' || substr('一二三四五六七八九', cast(((line_no - line_no % 12) / 12) % 9 + 1 AS int), 1) || '节 Part' WHEN line_no % 12 = 3 THEN substr('一二三四五', cast((line_no * 7) % 5 + 1 AS int), 1) || '、Topic'
+        WHEN line_no % 12 = 5 THEN '1.' || cast(line_no % 7 AS string) || ' Point' WHEN line_no % 12 = 7 THEN cast(line_no % 5 AS string) || '. Item' WHEN line_no % 12 = 8 THEN '2. Pay 100元' WHEN line_no % 19 = 4 THEN ' ' WHEN line_no % 24 = 13 THEN '第二节 Part' ELSE text END AS text FROM {raw_lines}""",
     # A second version of each document: some lines left out, changed, or twice.
     "versions_b": """SELECT doc_id, line_no * 2 AS line_no, CASE WHEN line_no % 29 = 3 THEN text || ' changed' ELSE text END AS text FROM {raw_lines} WHERE line_no % 23 <> 5
         UNION ALL SELECT doc_id, line_no * 2 + 1, text FROM {raw_lines} WHERE line_no % 31 = 7""",
@@ -75,7 +79,7 @@ def _one(name: str, duck: bool) -> str:
 def expand(sql: str, duck: bool = True) -> str:
     """The SQL with each {name} of a derived table replaced by that table's own SQL."""
     while True:
-        new = re.sub(r"\{(\w+)\}", lambda m: f"({_one(m[1], duck)})", sql)
+        new = re.sub(r"\{([a-z_]+)\}", lambda m: f"({_one(m[1], duck)})", sql)
         if new == sql:
             return sql
         sql = new
