@@ -5,50 +5,103 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyweave.functions.money import scope_conflict
+
+# The words and forms of narrative sentences.
+PERIOD = "本期"
+UNIT = "(亿美元|万美元|美元|亿元|亿|万元|万|元)"
+NUMBER = r"([0-9][0-9,]*(?:\.[0-9]+)?)"
+MOVE = "(增加|减少)"
+MODIFIER = "(?:约|共|合计|累计|达|为|至|计)"
+PLAIN = rf"{PERIOD}\s*{MOVE}\s*{NUMBER}\s*{UNIT}"
+SUFFIXED = rf"{PERIOD}\s*{MOVE}了\s*{NUMBER}\s*{UNIT}"
+MODIFIED = rf"{PERIOD}\s*{MOVE}\s*{MODIFIER}\s*{NUMBER}\s*{UNIT}"
+VALUE = rf"{PERIOD}\s*(?:为|：|:|=)?\s*([-+－−—–]?[0-9][0-9,]*(?:\.[0-9]+)?)\s*{UNIT}"
+AMOUNT = rf"(?s)^(.*?){NUMBER}\s*{UNIT}"
+COMPANY = rf"([^,，。、；]+?)\s*(增加|减少|增|减)(?:了|\s*{MODIFIER})?\s*{NUMBER}\s*{UNIT}"
+DETAIL_START = "^[（(\\s]*(?:主要是|主要为|主要由|主要原因是)[：:、，,.。；;\\s]*"
+DETAILS = "(主要是|主要为|主要由|主要原因是).*$"
+TAG_SUFFIX, TAG_MODIFIER, TAG_VALUE, TAG_OTHER, TAG_MISSING = "增加/减少后含后缀", "增加/减少后含修饰词", "本期为", "非标准主句", "缺少增加/减少"
+
 
 def _none(text: Column) -> Column:
     return F.when(text != "", text)
 
 
+def _number(text: Column) -> Column:
+    return F.regexp_replace(F.translate(text, "－−—–", "----"), ",", "").try_cast("double")
+
+
 def quoted(text: Column) -> Column:
     """The first quoted text."""
-    return _none(F.trim(F.regexp_extract(text, "[“\"]([^”\"]*)[”\"]", 1)))
+    return _none(F.trim(F.regexp_extract(text, "[“\"]([^”\"]+)[”\"]", 1)))
 
 
 def code_and_name(text: Column) -> Column:
-    """Struct of the indicator's code and name, split at the code's end."""
-    pattern = r"^\s*([A-Za-z0-9._-]+)\s*(.*)$"
-    name = F.regexp_replace(F.regexp_extract(text, pattern, 2), "^[：:、，,.。 ]+", "")
-    return F.struct(_none(F.regexp_extract(text, pattern, 1)).alias("code"), _none(F.trim(name)).alias("name"))
+    """Struct of the indicator's code and name, split where the code ends."""
+    pattern = r"^([A-Za-z0-9]+)[\s\-_:：、，,.]*(.*)$"
+    t = F.trim(text)
+    name = F.regexp_replace(F.trim(F.regexp_extract(t, pattern, 2)), "^[：:、，,.。 ]+", "")
+    return F.struct(_none(F.regexp_extract(t, pattern, 1)).alias("code"), _none(name).alias("name"))
 
 
 def sheet(text: Column) -> Column:
-    """A sheet's code: one capital letter and four digits before 表单."""
-    return _none(F.regexp_extract(text, r"([A-Z]\d{4})\s*表单", 1))
+    """A sheet's code before 表单."""
+    return _none(F.regexp_extract(text, r"([A-Z]\d{4})\s*表单[:：]?", 1))
 
 
 def paragraph(text: Column) -> Column:
-    """The index that a paragraph begins with."""
-    return F.regexp_extract(F.trim(text), r"^(\d+)\s*[.、．]", 1).try_cast("int")
+    """The bracketed index that a paragraph begins with."""
+    return F.regexp_extract(F.trim(text), r"^[（(]\s*(\d+)\s*[）)]", 1).try_cast("int")
+
+
+def _change(direction: Column, amount: Column, unit: Column) -> Column:
+    return F.struct(direction.cast("int").alias("direction"), amount.alias("amount"), unit.alias("unit"))
 
 
 def main_change(text: Column) -> Column:
-    """Struct of direction, amount and unit. 增加 or 减少 with an amount comes
-    first, then the sign of a plain value."""
-    unit = "(亿美元|万美元|亿元|万元|美元|亿|万|元)"
-    moved = rf"(增加|减少)[^0-9-]{{0,6}}([0-9][0-9,]*(?:\.[0-9]+)?)\s*{unit}"
-    plain = rf"为\s*([-－−]?[0-9][0-9,]*(?:\.[0-9]+)?)\s*{unit}"
-    number = lambda p, g: F.regexp_replace(F.translate(F.regexp_extract(text, p, g), "－−", "--"), ",", "").try_cast("double")
-    value = number(plain, 1)
-    return F.when(
-        text.rlike(moved),
-        F.struct(F.when(F.regexp_extract(text, moved, 1) == "增加", 1).otherwise(-1).alias("direction"), number(moved, 2).alias("amount"), F.regexp_extract(text, moved, 3).alias("unit")),
-    ).when(text.rlike(plain), F.struct(F.when(value < 0, -1).otherwise(1).alias("direction"), F.abs(value).alias("amount"), F.regexp_extract(text, plain, 2).alias("unit")))
+    """Struct of direction, amount and unit: a stated increase or decrease in
+    one of three forms, then weak words between the period and the amount (both
+    kinds: no direction), then a signed value."""
+    out = F.lit(None)
+    value = _number(F.regexp_extract(text, VALUE, 1))
+    out = F.when(text.rlike(VALUE) & value.isNotNull(), _change(F.when(value < 0, -1).otherwise(1), F.abs(value), F.regexp_extract(text, VALUE, 2)))
+    before = F.regexp_extract(text, AMOUNT, 1)
+    between = F.substring_index(before, PERIOD, -1)
+    less, more = between.rlike("[减少小]"), between.rlike("[增加多]")
+    weak = text.rlike(AMOUNT) & F.contains(before, F.lit(PERIOD)) & (less | more)
+    direction = F.when(less & ~more, -1).when(more & ~less, 1)
+    out = F.when(weak, _change(direction, _number(F.regexp_extract(text, AMOUNT, 2)), F.regexp_extract(text, AMOUNT, 3))).otherwise(out)
+    for form in (MODIFIED, SUFFIXED, PLAIN):
+        moved = F.when(F.regexp_extract(text, form, 1) == "增加", 1).otherwise(-1)
+        out = F.when(text.rlike(form), _change(moved, _number(F.regexp_extract(text, form, 2)), F.regexp_extract(text, form, 3))).otherwise(out)
+    return out
 
 
 def places(text: Column) -> Column:
-    """Digits after the point of the main amount."""
-    return F.length(F.regexp_extract(text, r"(?:增加|减少|为)[^0-9-]{0,6}[-－−]?[0-9][0-9,]*\.([0-9]+)", 1))
+    """Digits after the point of the first form's amount that fits."""
+    amount = F.coalesce(*[_none(F.regexp_extract(text, p, g)) for p, g in ((PLAIN, 2), (SUFFIXED, 2), (MODIFIED, 2), (VALUE, 1), (AMOUNT, 2))], F.lit(""))
+    return F.length(F.regexp_extract(amount, r"\.([0-9]+)$", 1))
+
+
+def details(text: Column) -> Column:
+    """Companies of the part after 主要是, each with direction, amount
+    and unit, equal ones once. The part is cut at marks that are not inside numbers."""
+    part = F.regexp_replace(F.regexp_extract(text, DETAILS, 0), "(?<=[0-9]),(?=[0-9])", "")
+    segments = F.split(part, "(?<=[，。；;\"“”,])|(?<=[.])(?![0-9])|(?<=[^0-9][.])")
+    bare = F.transform(segments, lambda s: F.regexp_replace(F.trim(s), DETAIL_START, ""))
+    item = lambda s: F.struct(
+        F.trim(F.regexp_extract(s, COMPANY, 1)).alias("company"),
+        F.when(F.regexp_extract(s, COMPANY, 2).startswith("增"), 1).otherwise(-1).alias("direction"),
+        _number(F.regexp_extract(s, COMPANY, 3)).alias("amount"),
+        F.regexp_extract(s, COMPANY, 4).alias("unit"),
+    )
+    return F.array_distinct(F.transform(F.filter(bare, lambda s: s.rlike(COMPANY)), item))
+
+
+def main_class(text: Column) -> Column:
+    """C28: "" for the canonical form, else the tag of what is off about it."""
+    return F.when(text.rlike(PLAIN), "").when(text.rlike(SUFFIXED), TAG_SUFFIX).when(text.rlike(MODIFIED), TAG_MODIFIER).when(text.rlike(VALUE), TAG_VALUE).when(text.rlike(AMOUNT), TAG_OTHER).otherwise(TAG_MISSING)
 
 
 def scope_hint(text: Column) -> Column:
@@ -58,6 +111,22 @@ def scope_hint(text: Column) -> Column:
 
 
 def stray_marks(text: Column) -> Column:
-    """Punctuation outside the usual set, but for separators within numbers."""
+    """Punctuation outside the allowed set, but for separators within numbers."""
     bare = F.regexp_replace(text, r"(?<=\d)[.,:/-](?=\d)", "")
-    return F.regexp_extract_all(bare, F.lit(r"[\p{P}&&[^，。；：、（）“”《》％%()\-.,]]"), 0)
+    return F.regexp_extract_all(bare, F.lit(r"[\p{P}&&[^“”（），。：、()%-]]"), 0)
+
+
+def format_exceptions(text: Column) -> Column:
+    """Array of (type_id, value) of a sentence: main form (12), stray marks (16),
+    scope against unit (12), and a detail part without any readable company (14)."""
+    make = lambda when, kind, value: F.when(when, F.struct(F.lit(kind).alias("type_id"), value.alias("value")))
+    unit = F.coalesce(main_change(text)["unit"], F.lit(""))
+    marks = stray_marks(text)
+    return F.array_compact(
+        F.array(
+            make(main_class(text) != "", 12, main_class(text)),
+            make(F.size(marks) > 0, 16, F.array_join(marks, "")),
+            make((unit != "") & scope_conflict(scope_hint(text), unit), 12, unit),
+            make(text.rlike("主要是|主要为|主要由|主要原因是") & (F.size(details(text)) == 0), 14, F.lit("主要是")),
+        )
+    )

@@ -18,49 +18,66 @@ def _o(spark, d):
     return table(spark, d, "orders")
 
 
-_SENT = """CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) || '. “A' || CAST(o_orderkey AS VARCHAR) || ' 贷款”较上期 增加 1,2' || CAST(o_orderkey % 10 AS VARCHAR) || '.5' || CAST(o_orderkey % 10 AS VARCHAR) || '亿元'
-    WHEN 1 THEN '“B' || CAST(o_orderkey AS VARCHAR) || '、 存款”减少' || CAST(o_orderkey % 100 AS VARCHAR) || '万元，本外币' WHEN 2 THEN '“C1”为 -3.' || CAST(o_orderkey % 1000 AS VARCHAR) || '亿美元; 外币 合计' ELSE '无' || o_orderstatus || '人民 币' END"""
-_S = f"(SELECT o_orderkey, {_SENT} AS s FROM orders)"
+# Sentences by the key's remainder by 6: the three stated forms, a signed value, weak words, none.
+_K6 = "o_orderkey % 6"
 
 
 def _sentences(spark, d):
-    k = _k().cast("string")
+    k, n = _k().cast("string"), _k() % 6
     s = (
-        F.when(_k() % 4 == 0, F.concat(k, F.lit(". “A"), k, F.lit(" 贷款”较上期 增加 1,2"), (_k() % 10).cast("string"), F.lit(".5"), (_k() % 10).cast("string"), F.lit("亿元")))
-        .when(_k() % 4 == 1, F.concat(F.lit("“B"), k, F.lit("、 存款”减少"), (_k() % 100).cast("string"), F.lit("万元，本外币")))
-        .when(_k() % 4 == 2, F.concat(F.lit("“C1”为 -3."), (_k() % 1000).cast("string"), F.lit("亿美元; 外币 合计")))
-        .otherwise(F.concat(F.lit("无"), "o_orderstatus", F.lit("人民 币")))
+        F.when(n == 0, F.concat(F.lit("（"), k, F.lit("）“A"), k, F.lit(" 贷款”本期增加1,2"), (_k() % 10).cast("string"), F.lit(".5"), (_k() % 10).cast("string"), F.lit("亿元。主要是甲公司增加1,000.5万元，乙 减了2亿元，甲公司增加1000.5万元")))
+        .when(n == 1, F.concat(F.lit("“B"), k, F.lit("、存款”本期减少了"), (_k() % 100).cast("string"), F.lit("万元，本外币")))
+        .when(n == 2, F.concat(F.lit("“C1”本期为-3."), (_k() % 1000).cast("string"), F.lit("亿美元; 外币 合计")))
+        .when(n == 3, F.lit("本期增加约7元，人民 币，主要由各项"))
+        .when(n == 4, F.lit("本期有所减到9.25万"))
+        .otherwise(F.concat(F.lit("无"), "o_orderstatus"))
     )
     return _o(spark, d).select("o_orderkey", s.alias("s"))
 
 
-@query("c24_fields", f"""SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey END AS INTEGER) AS para, CASE o_orderkey % 4 WHEN 0 THEN 'A' || CAST(o_orderkey AS VARCHAR) WHEN 1 THEN 'B' || CAST(o_orderkey AS VARCHAR) WHEN 2 THEN 'C1' END AS code, CASE o_orderkey % 4 WHEN 0 THEN '贷款' WHEN 1 THEN '存款' END AS name FROM {_S}""")
+@query("c24_fields", f"SELECT o_orderkey, CAST(CASE WHEN {_K6} = 0 THEN o_orderkey END AS INTEGER) AS para, CASE {_K6} WHEN 0 THEN 'A' || CAST(o_orderkey AS VARCHAR) WHEN 1 THEN 'B' || CAST(o_orderkey AS VARCHAR) WHEN 2 THEN 'C1' END AS code, CASE {_K6} WHEN 0 THEN '贷款' WHEN 1 THEN '存款' END AS name FROM orders")
 def c24(spark, d):
     s = _sentences(spark, d).withColumn("p", N.code_and_name(N.quoted(F.col("s"))))
     return s.select("o_orderkey", N.paragraph(F.col("s")).alias("para"), "p.code", "p.name")
 
 
-@query("c25_main_change", f"""SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN -1 END AS INTEGER) AS direction, CASE o_orderkey % 4 WHEN 0 THEN CAST('12' || CAST(o_orderkey % 10 AS VARCHAR) || '.5' || CAST(o_orderkey % 10 AS VARCHAR) AS DOUBLE) WHEN 1 THEN CAST(o_orderkey % 100 AS DOUBLE) WHEN 2 THEN CAST('3.' || CAST(o_orderkey % 1000 AS VARCHAR) AS DOUBLE) END AS amount,
-    CASE o_orderkey % 4 WHEN 0 THEN '亿元' WHEN 1 THEN '万元' WHEN 2 THEN '亿美元' END AS unit FROM {_S}""")
+@query("c25_main_change", f"""SELECT o_orderkey, CAST(CASE {_K6} WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN -1 WHEN 3 THEN 1 WHEN 4 THEN -1 END AS INTEGER) AS direction, CASE {_K6} WHEN 0 THEN CAST('12' || CAST(o_orderkey % 10 AS VARCHAR) || '.5' || CAST(o_orderkey % 10 AS VARCHAR) AS DOUBLE) WHEN 1 THEN CAST(o_orderkey % 100 AS DOUBLE)
+    WHEN 2 THEN CAST('3.' || CAST(o_orderkey % 1000 AS VARCHAR) AS DOUBLE) WHEN 3 THEN 7 WHEN 4 THEN 9.25 END AS amount, CASE {_K6} WHEN 0 THEN '亿元' WHEN 1 THEN '万元' WHEN 2 THEN '亿美元' WHEN 3 THEN '元' WHEN 4 THEN '万' END AS unit FROM orders""")
 def c25(spark, d):
     return _sentences(spark, d).select("o_orderkey", N.main_change(F.col("s")).alias("m")).select("o_orderkey", "m.direction", "m.amount", "m.unit")
 
 
-@query("c26_places", f"SELECT o_orderkey, CAST(length(regexp_extract(s, '(增加|减少|为)[^0-9-]{{0,6}}[-－−]?[0-9][0-9,]*\\.([0-9]+)', 2)) AS INTEGER) AS places FROM {_S}")
+@query("c26_places", f"SELECT o_orderkey, CAST(CASE {_K6} WHEN 0 THEN 2 WHEN 2 THEN length(CAST(o_orderkey % 1000 AS VARCHAR)) WHEN 4 THEN 2 ELSE 0 END AS INTEGER) AS places FROM orders")
 def c26(spark, d):
     return _sentences(spark, d).select("o_orderkey", N.places(F.col("s")).alias("places"))
 
 
-@query("c29_scope_hint", f"SELECT o_orderkey, CASE WHEN contains(t, '本外币') THEN 'foreign' WHEN contains(t, '美元合计') OR contains(t, '外币') THEN 'usd_total' WHEN contains(t, '人民币') THEN 'rmb' ELSE '' END AS scope FROM (SELECT o_orderkey, regexp_replace(s, '\\s+', '', 'g') AS t FROM {_S})")
+@query("c27_details", f"SELECT o_orderkey, c AS company, CAST(CASE c WHEN '乙' THEN -1 ELSE 1 END AS INTEGER) AS direction, CAST(CASE c WHEN '乙' THEN 2 ELSE 1000.5 END AS DOUBLE) AS amount, CASE c WHEN '乙' THEN '亿元' ELSE '万元' END AS unit FROM (SELECT o_orderkey, unnest(['甲公司', '乙']) AS c FROM orders WHERE {_K6} = 0)")
+def c27(spark, d):
+    return _sentences(spark, d).select("o_orderkey", F.explode(N.details(F.col("s"))).alias("i")).select("o_orderkey", "i.*")
+
+
+@query("c28_main_class", f"SELECT o_orderkey, CASE {_K6} WHEN 0 THEN '' WHEN 1 THEN '增加/减少后含后缀' WHEN 2 THEN '本期为' WHEN 3 THEN '增加/减少后含修饰词' WHEN 4 THEN '非标准主句' ELSE '缺少增加/减少' END AS tag FROM orders")
+def c28(spark, d):
+    return _sentences(spark, d).select("o_orderkey", N.main_class(F.col("s")).alias("tag"))
+
+
+@query("c29_scope_hint", f"SELECT o_orderkey, CASE {_K6} WHEN 1 THEN 'foreign' WHEN 2 THEN 'usd_total' WHEN 3 THEN 'rmb' ELSE '' END AS scope FROM orders")
 def c29(spark, d):
     return _sentences(spark, d).select("o_orderkey", N.scope_hint(F.col("s")).alias("scope"))
 
 
-@query("c30_stray_marks", f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 2 THEN ';' ELSE '' END AS marks FROM {_S}")
+@query("c30_stray_marks", f"SELECT o_orderkey, CASE WHEN {_K6} = 2 THEN ';' ELSE '' END AS marks FROM orders")
 def c30(spark, d):
     return _sentences(spark, d).select("o_orderkey", F.array_join(N.stray_marks(F.col("s")), "").alias("marks"))
 
 
+@query("c31_format_exceptions", f"""SELECT o_orderkey, CAST(12 AS INTEGER) AS type_id, CASE {_K6} WHEN 1 THEN '增加/减少后含后缀' WHEN 2 THEN '本期为' WHEN 3 THEN '增加/减少后含修饰词' WHEN 4 THEN '非标准主句' ELSE '缺少增加/减少' END AS value FROM orders WHERE {_K6} <> 0
+    UNION ALL SELECT o_orderkey, 16, ';' FROM orders WHERE {_K6} = 2 UNION ALL SELECT o_orderkey, 14, '主要是' FROM orders WHERE {_K6} = 3""")
+def c31(spark, d):
+    return _sentences(spark, d).select("o_orderkey", F.explode(N.format_exceptions(F.col("s"))).alias("e")).select("o_orderkey", "e.*")
+
+
 @query("w2_index_lines", """SELECT doc_id, line_no, CASE WHEN line_no % 6 = 1 AND nxt IS NOT NULL THEN CAST(line_no AS VARCHAR) || '. ' || nxt ELSE text END AS text FROM (SELECT doc_id, line_no, CASE WHEN line_no % 6 = 1 THEN CAST(line_no AS VARCHAR) || '.' ELSE 'x ' || text END AS text, lead('x ' || text) OVER (PARTITION BY doc_id ORDER BY line_no) AS nxt FROM {raw_lines}) WHERE line_no % 6 <> 2""")
 def w2(spark, d):
     lines = table(spark, d, "raw_lines").select("doc_id", "line_no", F.when(F.col("line_no") % 6 == 1, F.concat(F.col("line_no").cast("string"), F.lit("."))).otherwise(F.concat(F.lit("x "), "text")).alias("text"))
@@ -184,3 +201,24 @@ def c47(spark, d):
 def c43(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.lit("2024 年3月4日").alias("date"), F.lit("邮编 200030 上海").alias("postal"), F.concat(F.lit("账号 "), F.col("c_custkey").cast("string")).alias("account"), F.concat("c_name", F.lit("(note)")).alias("seal"))
     return c.select("c_custkey", L.clean_date(F.col("date")).alias("day"), L.postal_code(F.col("postal")).alias("postal"), L.account(F.col("account")).alias("account"), L.seal_name(F.col("seal")).alias("seal"))
+
+
+@query("w4_wrapped_rows", "SELECT o_orderkey, o_orderstatus || 'x' AS a, o_orderpriority || 'y' AS b, 'c' AS c FROM orders")
+def w4(spark, d):
+    from tallyweave.operators import versions as V
+
+    row = lambda *cells: F.array(*[F.lit(c) if isinstance(c, str) else c for c in cells])
+    rows = F.array(row(F.col("o_orderstatus"), F.col("o_orderpriority"), "c"), row("x", "", ""), row("", "y", ""))
+    out = V.merge_wrapped(_o(spark, d).select("o_orderkey", rows.alias("rows")))
+    return out.select("o_orderkey", F.explode("rows").alias("r")).select("o_orderkey", F.get("r", F.lit(0)).alias("a"), F.get("r", F.lit(1)).alias("b"), F.get("r", F.lit(2)).alias("c"))
+
+
+@query("s6_file_check", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'extension' WHEN page_id % 5 = 0 THEN 'header' ELSE '' END AS reason FROM pages")
+def s6(spark, d):
+    from tallyweave.sources.files import check_pdf
+
+    k = F.col("page_id")
+    named = F.concat(k.cast("string"), F.when(k % 3 == 0, ".doc").otherwise(".PDF"))
+    body = F.concat(F.when(k % 5 == 0, "").otherwise("%PDF-"), "html").cast("binary")
+    checked = check_pdf(table(spark, d, "pages").select(named.alias("path"), body.alias("content"), "page_id"))
+    return checked.select(F.substring_index("path", ".", 1).cast("bigint").alias("page_id"), "reason")
