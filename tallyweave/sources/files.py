@@ -111,14 +111,14 @@ def parallel_arrays(df: DataFrame, keys: list[str], arrays: list[str]) -> DataFr
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header, UTF-8 without a byte order mark."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header, blanks kept, UTF-8 without a byte order mark."""
+    df.write.mode("overwrite").options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def export(summary: DataFrame, detail: DataFrame, path: str, order: list[str]) -> None:
     """The header block and the details in the template's column order."""
-    summary.write.mode("overwrite").option("header", True).csv(f"{path}/summary")
-    detail.select(*order).write.mode("overwrite").option("header", True).csv(f"{path}/detail")
+    write_csv(summary, f"{path}/summary")
+    write_csv(detail.select(*order), f"{path}/detail")
 
 
 def split_by_summary(summaries: DataFrame, detail: DataFrame, path: str, key: str = "summary_id") -> None:
