@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -78,6 +80,19 @@ class Model:
             raise ValueError("a model has either all byte pieces or none")
         self.byte_ids = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == BYTE}
         self.unknown = kinds.index(UNKNOWN) if UNKNOWN in kinds else 0
+        self.made_of: dict[int, tuple[int, int]] | None = None
+
+    def halves(self) -> dict[int, tuple[int, int]]:
+        """For each piece of a BPE model that merging makes from its characters, the
+        two pieces of the last merge."""
+        if self.made_of is None:
+            self.made_of = {}
+            ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (NORMAL, USER_DEFINED)} if self.bpe else {}
+            for piece, i in ids.items():
+                parts, halves = merge(piece, ids, self.scores)
+                if len(parts) == 1 and halves:
+                    self.made_of[i] = (ids.get(halves[0], self.unknown), ids.get(halves[1], self.unknown))
+        return self.made_of
 
     @classmethod
     def read(cls, path: str) -> Model:
@@ -103,82 +118,129 @@ class Model:
         return cls(pieces, scores, kinds, kind == BPE, prefix)
 
 
+def merge(text: str, ids: dict[str, int], scores: list[float]) -> tuple[list[str], tuple[str, str] | None]:
+    """The text's characters after all merges, best score first and then leftmost,
+    and the two parts of the last merge."""
+    parts, halves = list(text), None
+    while len(parts) > 1:
+        best, at = None, -1
+        for k in range(len(parts) - 1):
+            i = ids.get(parts[k] + parts[k + 1])
+            if i is not None and (best is None or scores[i] > best):
+                best, at = scores[i], k
+        if at < 0:
+            break
+        halves = (parts[at], parts[at + 1])
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts, halves
+
+
 class Encoder:
     """Encodes texts; made once in each task."""
 
     def __init__(self, model: Model) -> None:
-        self.model = model
+        self.model, self.scores, self.halves = model, model.scores, model.halves()
         self.ids = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k in (NORMAL, USER_DEFINED)}
-        self.scores = model.scores
+        self.chars = {p for p in self.ids if len(p) == 1}
         self.low = min(model.scores, default=0.0) - 10.0  # of a character that no piece covers
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            self.automaton.add_word(piece, (i, len(piece)))
+            if not model.bpe or len(piece) == 1 or i in self.halves:  # a piece that merging never makes has no place
+                self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         lines = r"\n" if not any("\n" in p for p in self.ids) else ""
         self.cut = re.compile(rf" *[^ {lines}]+| +" + ("|\\n" if lines else ""))
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """The text's characters after all merges, best score first, then leftmost."""
-        parts, ids, scores = list(text), self.ids, self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or scores[i] > best):
-                    best, at = scores[i], k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        self.pairs: dict[int, bool] = {}
 
     def neighbours(self, a: int, b: int) -> bool:
-        """Whether merging the two pieces' characters gives these two pieces."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) > REMEMBERED:
-                self.pairs.clear()
-            x, y = self.model.pieces[a], self.model.pieces[b]
-            found = self.pairs[a, b] = self.merged(x + y) == [x, y]
-        return found
+        """Whether merging leaves the two pieces as they are, side by side. The
+        merges that made them are undone from the last one backwards; at each step
+        a merge across the border must not have come before the one undone. Equal
+        ranks go from left to right, so across the border comes before the right
+        piece's merge and after the left one's."""
+        ids, scores, pieces, halves = self.ids, self.scores, self.model.pieces, self.halves
+        limit, even = None, True
+        while True:
+            over = ids.get(pieces[a] + pieces[b])
+            if over is not None and (limit is None or scores[over] > limit or even and scores[over] == limit):
+                return False
+            left, right = halves.get(a), halves.get(b)
+            if left is None and right is None:
+                return True
+            if right is None or left is not None and scores[a] < scores[b]:
+                limit, even, a = scores[a], False, left[1]
+            else:
+                limit, even, b = scores[b], True, right[0]
+
+    def _by_neighbours(self, text: str) -> list[int] | None:
+        """The path of a BPE model through known characters. A position has one
+        valid last piece at most, so the first one found is the best."""
+        last, size = [-1] * (len(text) + 1), [0] * (len(text) + 1)
+        pairs, count = self.pairs, len(self.scores)
+        for at, (i, length) in self.automaton.iter(text):
+            end = at + 1
+            if last[end] >= 0:
+                continue
+            if end > length:
+                before = last[end - length]
+                if before < 0:
+                    continue
+                good = pairs.get(before * count + i)
+                if good is None:
+                    if len(pairs) > REMEMBERED:
+                        pairs.clear()
+                    good = pairs[before * count + i] = self.neighbours(before, i)
+                if not good:
+                    continue
+            last[end], size[end] = i, length
+        back, end = [], len(text)
+        while end:
+            if last[end] < 0:
+                return None
+            back.append(last[end])
+            end -= size[end]
+        return back[::-1]
 
-    def best(self, text: str) -> list[int]:
-        """Ids of the best path through a stretch in which ' ' stands as BLANK."""
-        n, bpe, scores = len(text), self.model.bpe, self.scores
+    def _by_scores(self, text: str) -> list[int]:
+        """The path of a unigram model with the largest sum of scores."""
+        n = len(text)
         total: list[float | None] = [0.0] + [None] * n
-        last = [-1] * (n + 1)
-        size = [0] * (n + 1)
-        ending: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(text):
-            ending[end].append(piece)
-        low = self.low
-        for end in range(1, n + 1):
-            for i, length in ending[end - 1]:
-                before = total[end - length]
-                if before is None:
-                    continue
-                if bpe:
-                    if end > length and last[end - length] >= 0 and not self.neighbours(last[end - length], i):
-                        continue
-                    if length == 1 and total[end] is not None:
-                        continue
-                if total[end] is None or before + scores[i] > total[end]:
-                    total[end], last[end], size[end] = before + scores[i], i, length
-            if total[end] is None and total[end - 1] is not None and text[end - 1] not in self.ids:
-                total[end], size[end] = total[end - 1] + low, 1
-        if total[n] is None:  # an irregular vocabulary, in which a path by neighbours ends early
-            out = []
-            for part in self.merged(text):
-                out += [self.ids[part]] if part in self.ids else self.as_bytes(part)
-            return out
+        last, size, done = [-1] * (n + 1), [0] * (n + 1), 0
+
+        def fill(upto: int) -> None:  # characters that no piece ends with
+            for end in range(done + 1, upto + 1):
+                if total[end] is None:
+                    total[end], size[end] = total[end - 1] + self.low, 1
+
+        for at, (i, length) in self.automaton.iter(text):
+            if at > done:
+                fill(at)
+                done = at
+            score = total[at + 1 - length] + self.scores[i]
+            if total[at + 1] is None or score > total[at + 1]:
+                total[at + 1], last[at + 1], size[at + 1] = score, i, length
+        fill(n)
         back, end = [], n
         while end:
             back.append([last[end]] if last[end] >= 0 else self.as_bytes(text[end - 1]))
             end -= size[end]
         return [i for part in reversed(back) for i in part]
 
+    def best(self, text: str) -> list[int]:
+        """Ids of the best path through a stretch in which ' ' stands as BLANK."""
+        if not self.model.bpe:
+            return self._by_scores(text)
+        out: list[int] = []
+        for known, part in groupby(text, self.chars.__contains__):
+            part = "".join(part)
+            if known:
+                path = self._by_neighbours(part)
+                out += [self.ids[p] for p in merge(part, self.ids, self.scores)[0]] if path is None else path
+            else:
+                out += [i for char in part for i in self.as_bytes(char)]
+        return out
+
     def as_bytes(self, char: str) -> list[int]:
         """Byte pieces of a character that no piece covers."""
         return [self.model.byte_ids.get(b, self.model.unknown) for b in char.encode()] if self.model.byte_ids else [self.model.unknown]
@@ -186,7 +248,7 @@ class Encoder:
     def stretch(self, text: str) -> bytes:
         found = self.known.get(text)
         if found is None:
-            found = np.array(self.best(text.replace(" ", BLANK)), np.int32).tobytes()
+            found = array("i", self.best(text.replace(" ", BLANK))).tobytes()
             if len(text) <= LONGEST:
                 if len(self.known) > REMEMBERED:
                     self.known.clear()
@@ -223,6 +285,7 @@ class Decoder:
 def encode(docs: DataFrame, model: Model, text: str = "text", name: str = "piece_ids") -> DataFrame:
     """docs with an array of piece ids. A null text gives null, an empty one no ids;
     repeated texts give equal ids."""
+    model.halves()
     shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[list[pa.Array]]) -> Iterator[list[pa.Array]]:
