@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweave.operators import conform as C, ordered, reconcile as R
+from tallyweave.operators import conform as C, ordered
 from tallyweave.plans.fixtures import table
 from tallyweave.plans.reconcile import _LINKS, _three
 from tallyweave.plans.lines import _SECTIONS

@@ -10,7 +10,6 @@ from tallyweave.plans.fixtures import table
 from tallyweave.plans.registry import query
 
 _T = "trim(text)"
-_FOLD = "text"
 
 
 def _gate(prefix: str, most: int) -> str:

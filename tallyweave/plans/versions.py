@@ -17,10 +17,6 @@ def _occ(t: str, key: str) -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY line_no) AS nth FROM (SELECT *, {key} AS key FROM {t}))"
 
 
-def _nvl(x: str) -> str:
-    return x
-
-
 _DIFF = f"""(SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.line_no IS NULL THEN 1 WHEN b.line_no IS NULL THEN -1 ELSE 0 END AS op, a.line_no AS a_line, b.line_no AS b_line, coalesce(a.text, b.text) AS text
     FROM {_occ('{raw_lines}', _STRIP.replace('{x}', 'text'))} a FULL JOIN {_occ('{versions_b}', _STRIP.replace('{x}', 'text'))} b ON a.doc_id = b.doc_id AND a.key = b.key AND a.nth = b.nth)"""
 
