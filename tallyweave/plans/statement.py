@@ -177,3 +177,30 @@ def c4(spark, d):
 def c6(spark, d):
     new = table(spark, d, "customer_new").select("c_custkey", F.upper("c_name").alias("new"))
     return table(spark, d, "customer").join(new, "c_custkey", "left").select("c_custkey", money.field_status(F.col("c_name"), F.col("new")).alias("status"))
+
+
+_BANKS = "['shandong_local','everbright','cmb','jining','cgb','psbc','icbc','ccb','abc','boc','bocom','unknown']"
+
+
+@query("p1_all_templates", f"""SELECT row_id, template, CASE WHEN template IN ('shandong_local', 'everbright', 'jining', 'boc', 'bocom') THEN sequence END AS sequence, CASE WHEN template <> 'icbc' THEN amount END AS balance, CASE WHEN template <> 'boc' THEN memo END AS description FROM
+    (SELECT row_id, CASE WHEN row_id % 12 = 11 THEN 'shandong_local' ELSE {_BANKS}[row_id % 12 + 1] END AS template, CASE WHEN trim(seq) <> '' THEN seq END AS sequence, CASE WHEN trim(money) <> '' THEN {_AMOUNT} END AS amount, memo FROM {{statement}})""")
+def p1_all(spark, d):
+    from tallyweave.plans import templates
+
+    s = table(spark, d, "statement")
+    pairs = {"序号": "seq", "账户余额": "money", "余额": "money", "摘要": "memo", "摘要备注": "memo"}
+    values = F.create_map(*[c for label, name in pairs.items() for c in (F.lit(label), F.col(name))])
+    names = F.array(*[F.lit(n) for n in [*templates.TRANSACTIONS, "unknown"]])
+    rows = s.select("row_id", F.get(names, (F.col("row_id") % 12).cast("int")).alias("bank"), values.alias("values"))
+    return templates.registry(templates.TRANSACTIONS).project(rows, "bank").select("row_id", "template", "sequence", "balance", "description")
+
+
+@query("p1_all_summaries", f"SELECT row_id, template, CASE WHEN template = 'bocom' THEN memo END AS bank_branch, CASE WHEN template NOT IN ('shandong_local', 'ccb') THEN seq END AS account_number FROM (SELECT row_id, CASE WHEN row_id % 12 = 11 THEN 'shandong_local' ELSE {_BANKS}[row_id % 12 + 1] END AS template, memo, CASE WHEN trim(seq) <> '' THEN seq END AS seq FROM {{statement}})")
+def p1_sums(spark, d):
+    from tallyweave.plans import templates
+
+    s = table(spark, d, "statement")
+    values = F.create_map(F.lit("账号"), F.col("seq"), F.lit("开户机构"), F.col("memo"))
+    names = F.array(*[F.lit(n) for n in [*templates.SUMMARIES, "unknown"]])
+    rows = s.select("row_id", F.get(names, (F.col("row_id") % 12).cast("int")).alias("bank"), values.alias("values"))
+    return templates.registry(templates.SUMMARIES).project(rows, "bank").select("row_id", "template", "bank_branch", "account_number")

@@ -99,3 +99,14 @@ def test_streams(spark, tmp_path):
     query = intake.sync_intake(spark, str(tmp_path / "src"), source.schema, "k", ["name"], lambda: target, lambda df: kept.append(df.collect()), str(tmp_path / "cp2"))
     query.awaitTermination()
     assert sorted((r.k, r.name, r.active) for r in kept[0]) == [(1, "z", True), (2, "y", False)]
+
+
+def test_configured_template(spark):
+    from tallyweave.plans import templates
+
+    made = statement.Registry("x")
+    made.add("x", templates.from_config({"fields": {"金额": {"field": "amount", "type": "amount"}, "日期": {"field": "day", "type": "datetime"}}}))
+    rows = spark.createDataFrame([(1, "x", {"金额": "1,2.5", "日期": " "})], "row_id int, bank string, values map<string,string>")
+    out = made.project(rows, "bank").first()
+    assert (out.template, out.amount, out.day) == ("x", "12.50", None)
+    assert set(templates.TRANSACTIONS) == set(templates.SUMMARIES) and len(templates.TRANSACTIONS) == 11
