@@ -259,7 +259,8 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIU
     linked = labels.join(points, "point")
     least = linked.groupBy("label").agg(F.min("first").alias("least"))
     joined = labels.join(least, "label").select("point", "least")
-    named = points.join(joined, "point", "left").select("point", F.coalesce("least", "first").alias("least"))
+    # Cut here, so that the last join has both its shuffles to itself and can split a hot point.
+    named = materialize(points.join(joined, "point", "left").select("point", F.coalesce("least", "first").alias("least")))
     return prints.join(named, "point").select(
         id_col, "text_hash", F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint"), F.col("least.id").alias("component_id"), F.col("least.hash").alias("keeper_hash")
     )
