@@ -26,7 +26,7 @@ from tallyweave.llm.common import Shared, add_columns, as_bytes, hash_fraction,
 from tallyweave.llm.simhash import fingerprint
 
 #: Labelled documents of each label that the field is fitted on, at most about.
-SAMPLE = 1500
+SAMPLE = 1000
 #: Toxic documents that a toxic word needs, as a share of the toxic sample and at
 #: least; and the share of its documents that are toxic. Fingerprints with so many
 #: bits different at most are copies.
@@ -62,7 +62,7 @@ class Chain:
         n = len(words) + 1  # the last is for all other words
         self.word, self.before, self.after = np.zeros(n), np.zeros(n), np.zeros(n)
         self.stem = np.zeros(STEMS)
-        self.bias = np.zeros(1)
+        self.bias = np.full(1, -5.0)  # an untrained field finds nothing
         self.move = np.zeros((2, 2))
         self.calibration = np.array([-3.0, 6.0])
 
@@ -141,7 +141,8 @@ def lexicon(docs: list[list[bytes]], toxic: list[int]) -> set[bytes]:
 def train(texts: list[bytes], toxic: list[int], weight: list[float]) -> Chain:
     """The field and the calibration from a sample; weight undoes the sampling of
     each label."""
-    docs = [[bare(w) for w in spaced_words(t)] for t in texts]
+    pool: dict[bytes, bytes] = {}  # one object for each word
+    docs = [[pool.setdefault(w, w) for w in map(bare, spaced_words(t))] for t in texts]
     marks = lexicon(docs, toxic)
     count: dict[bytes, int] = defaultdict(int)
     for words in docs:
@@ -153,6 +154,7 @@ def train(texts: list[bytes], toxic: list[int], weight: list[float]) -> Chain:
     ids = [chain.ids(words, known, table) for words in docs]
     target = [np.fromiter((bool(y) and w in marks for w in words), bool, len(words)) for words, y in zip(docs, toxic)]
     whole = np.array([len(x) for x in ids], np.int64)
+    del docs, count, pool
     flat, y = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, bool), *target])
     if not len(flat):
         return chain
