@@ -14,6 +14,7 @@ tasks keep the ids of cut stretches that come again.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from array import array
@@ -33,7 +34,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Stretches and neighbours that a task remembers before it starts afresh, and the
 #: longest stretch it remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 LONGEST = 48
 
 # Fixed values of the model file format.
@@ -282,22 +283,36 @@ class Decoder:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, model: Model, text: str = "text", name: str = "piece_ids") -> DataFrame:
+def _id_lists(made: list[np.ndarray | None]) -> pa.ListArray:
+    sizes = np.array([0, *(0 if m is None else len(m) for m in made)], np.int64)
+    flat = np.concatenate([np.zeros(0, np.int32), *(m for m in made if m is not None)])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat, pa.int32()), mask=pa.array([m is None for m in made], pa.bool_()))
+
+
+def encode(docs: DataFrame, model: Model, text: str = "text", name: str = "piece_ids", check: bool = False) -> DataFrame:
     """docs with an array of piece ids. A null text gives null, an empty one no ids;
-    repeated texts give equal ids."""
+    repeated texts give equal ids. With `check` the ids are decoded again where they
+    were made: decoded_sha256 is the decoded text's hash and round_trip tells whether
+    it is the text; both are null for a null text."""
     model.halves()
     shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[list[pa.Array]]) -> Iterator[list[pa.Array]]:
-        encoder = Encoder(shared.get())
+        encoder, decoder = Encoder(shared.get()), Decoder(shared.get())
         for (texts,) in batches:
-            made = [None if t is None else encoder.encode(t) for t in texts.to_pylist()]
-            sizes = np.array([0, *(0 if m is None else len(m) for m in made)], np.int64)
-            flat = np.concatenate([np.zeros(0, np.int32), *(m for m in made if m is not None)])
-            none = pa.array([m is None for m in made], pa.bool_())
-            yield [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat, pa.int32()), mask=none)]
-
-    return add_columns(docs, [T.StructField(name, T.ArrayType(T.IntegerType()))], [text], run, 2_000_000)
+            given = texts.to_pylist()
+            made = [None if t is None else encoder.encode(t) for t in given]
+            out = [_id_lists(made)]
+            if check:
+                back = [None if m is None else decoder.decode(m) for m in made]
+                out.append(pa.array([None if t is None else hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()))
+                out.append(pa.array([None if t is None else t == b for t, b in zip(given, back)], pa.bool_()))
+            yield out
+
+    fields = [T.StructField(name, T.ArrayType(T.IntegerType()))]
+    if check:
+        fields += [T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
+    return add_columns(docs, fields, [text], run, 2_000_000)
 
 
 def decode(docs: DataFrame, model: Model, ids: str = "piece_ids", name: str = "decoded") -> DataFrame:

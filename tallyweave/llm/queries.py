@@ -43,10 +43,8 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether decoding gives the text back."""
     model = pieces.Model.read(pieces.MODEL_PATH)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = pieces.decode(pieces.encode(docs, model), model)
-    return back.select(
-        "doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"), "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
-    )
+    coded = pieces.encode(docs, model, check=True)
+    return coded.select("doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"), "piece_ids", "decoded_sha256", "round_trip")
 
 
 def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
