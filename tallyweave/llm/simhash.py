@@ -40,19 +40,25 @@ PAIRS_HELD = 500_000
 CELLS = 2_000_000
 
 
-def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
-    """Unsigned SimHash of a text's word shingles, repeats included."""
+def shingles(text: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hashes of a text's word shingles in their order, repeats included; a text of
+    fewer words is one shingle, an empty one none."""
     words = spaced_words(text)
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, mix = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return mix(joined, SEED)
+        return np.array([mix(joined, SEED)], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: len(words) - width + 1].tolist()
-    view, total, ends = memoryview(joined), np.zeros(64, np.int64), ends[width - 1 :].tolist()
-    hashes = np.array([mix(view[a:b], SEED) for a, b in zip(starts, ends)], np.uint64)
+    view, ends = memoryview(joined), ends[width - 1 :].tolist()
+    return np.array([mix(view[a:b], SEED) for a, b in zip(starts, ends)], np.uint64)
+
+
+def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
+    """Unsigned SimHash of a text's word shingles, repeats included."""
+    hashes, total = shingles(text, width), np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -270,8 +276,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> D
     """docs with one row of each near-duplicate component, that of the smallest id.
     Of rows repeated with the same id and text one stays; a component whose ids are
     all null keeps one row as well."""
-    found = with_components(docs, id_col, radius)
-    keepers = found.select(F.col("component_id").alias("__id"), F.col("keeper_hash").alias("__hash")).distinct()
+    return keepers(docs, with_components(docs, id_col, radius), id_col)
+
+
+def keepers(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs that component_id and keeper_hash of `found` name, one for each pair."""
+    named = found.select(F.col("component_id").alias("__id"), F.col("keeper_hash").alias("__hash")).distinct()
     keyed = docs.withColumn("__hash", F.xxhash64("text"))
-    joined = keyed.join(keepers, keyed[id_col].eqNullSafe(keepers["__id"]) & (keyed["__hash"] == keepers["__hash"]))
-    return joined.select(*docs.columns, keepers["__id"].alias("__key"), keepers["__hash"].alias("__text")).dropDuplicates(["__key", "__text"]).select(*docs.columns)
+    joined = keyed.join(named, keyed[id_col].eqNullSafe(named["__id"]) & (keyed["__hash"] == named["__hash"]))
+    return joined.select(*docs.columns, named["__id"].alias("__key"), named["__hash"].alias("__text")).dropDuplicates(["__key", "__text"]).select(*docs.columns)
