@@ -21,12 +21,10 @@ from pyspark.sql import types as T
 from tallyweave.llm.common import add_columns, hash_fraction
 
 #: Bytes of each dictionary; training documents of a language that it is cut from, at
-#: most about; and characters that each of them gives at most.
+#: most about; pieces that each of them gives, and characters of a piece at most.
 DICTIONARY_BYTES = 110_000
 DOCUMENTS = 240
-PART = 1000
-#: Languages with the most training documents that get a dictionary.
-LANGUAGES = 200
+PIECES, PIECE = 4, 250
 #: Bytes that are compressed at once: small enough that the dictionary counts throughout.
 BLOCK = 4096
 LEVEL = 6
@@ -45,23 +43,51 @@ def letters(text: str) -> bytes:
     return _REST.sub(" ", text.lower()).encode()
 
 
+def pieces(text: Column) -> Column:
+    """One piece of each quarter of a text, from a place that the text's hash draws."""
+    quarter = F.greatest(F.ceil(F.length(text) / PIECES), F.lit(1)).cast("int")
+    size = F.least(quarter, F.lit(PIECE))
+    start = lambda k: F.lit(k) * quarter + F.pmod(F.xxhash64(text, F.lit(k)), quarter - size + 1).cast("int") + 1
+    return F.array(*[F.substring(text, start(k), size) for k in range(PIECES)])
+
+
+def level(sizes: list[int], most: int) -> int:
+    """The largest share up to which each may be taken so that all stay within most."""
+    left = most
+    for k, size in enumerate(ordered := sorted(sizes)):
+        if size * (len(ordered) - k) > left:
+            return left // (len(ordered) - k)
+        left -= size
+    return max(sizes, default=0)
+
+
+def fill(documents: list[tuple[str, ...]]) -> bytes:
+    """A dictionary's content: equal shares of bytes of all documents and of all
+    pieces of each; what short ones leave goes to the others."""
+    parts = [[letters(p) for p in d] for d in documents]
+    share = level([sum(map(len, d)) + len(d) for d in parts], DICTIONARY_BYTES)
+    most = [level(list(map(len, d)), max(0, share - len(d))) for d in parts]
+    return b" ".join(p[:m] for d, m in zip(parts, most) for p in d)[-DICTIONARY_BYTES:]
+
+
 def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """A dictionary's content for each language of the training rows, rows with a
     null text or language left out. A hash of the id draws a bounded number of
-    documents of each language; equal parts count once. Languages come in the
-    order of their training rows, most first."""
+    documents of each language, which stand in the order of their pieces' hashes;
+    equal ones count once. Languages come in the order of their training rows,
+    most first."""
     rows = docs.where(training & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
+    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).collect()
     made: dict[str, bytes] = {}
     if not counts:
         return made
     share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, DOCUMENTS / r[1]))])
     drawn = rows.where(hash_fraction(F.col(id_col)) < F.element_at(share, F.col(lang)))
-    parts: dict[str, set[str]] = {}
-    for name, part in drawn.select(F.col(lang), F.substring(text, 1, PART)).collect():
-        parts.setdefault(name, set()).add(part)
+    parts: dict[str, set[tuple]] = {}
+    for name, found, drawn_at in drawn.select(F.col(lang), pieces(F.col(text)).alias("p")).select(lang, "p", F.xxhash64("p")).collect():
+        parts.setdefault(name, set()).add((drawn_at, *found))
     for name, *_ in counts:
-        made[name] = letters(" ".join(sorted(parts.get(name, ()))))[-DICTIONARY_BYTES:]
+        made[name] = fill([d[1:] for d in sorted(parts.get(name, ()))])
     return {k: v for k, v in made.items() if len(v) >= 8}
 
 
