@@ -31,11 +31,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df less the columns of these names in any case: an operator's own columns
     replace columns of the same name that the input happened to have."""
     gone = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+    return df.select(*[column(c) for c in df.columns if c.lower() not in gone])
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -61,7 +66,7 @@ def add_columns(
     each list of input arrays. Existing columns of the new names are replaced.
     The rows come in slices of about `slice_bytes` of input, whole rows each."""
     kept = [c for c in df.columns if c.lower() not in {f.name.lower() for f in fields}]
-    work = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)])
+    work = df.select(*[column(c) for c in kept], *[column(c).alias(f"__in{i}") for i, c in enumerate(inputs)])
     schema = T.StructType([*(df.schema[c] for c in kept), *fields])
 
     def run(batches: Batches) -> Batches:

@@ -51,8 +51,7 @@ def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model score of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = held_out(F.col("doc_id"), 7, 2)
-    counts, lexicon, model = maxent.fit(docs, ~out)
-    scored = maxent.score(docs, counts, lexicon, model)
+    scored, lexicon = maxent.fit_and_score(docs, ~out)
     total = F.lit(lexicon.total).cast("bigint").alias("train_tokens")
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", total, "base_score", F.col("lm_score").alias("score"))
 

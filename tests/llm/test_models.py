@@ -111,14 +111,63 @@ def test_language_model(spark, rows, monkeypatch):
     assert maxent.score(docs.limit(3), *empty).count() == 3
 
 
+def small_model():
+    lexicon = maxent.Lexicon([b"a", b"bb", b"ccc"], np.array([9, 5, 4]), 4, 18, 3)
+    rng = np.random.default_rng(0)
+    leaf = maxent.leaves(rng.integers(0, 9, (len(lexicon), maxent.NEAR_WORDS)), rng.integers(1, 99, len(lexicon)))
+    model = maxent.Model(lexicon, leaf, np.ones(len(lexicon)), np.zeros(maxent.ENDINGS), np.zeros(maxent.ENDINGS))
+    model.weights[:] = rng.normal(size=model.weights.shape)
+    return lexicon, model
+
+
 def test_language_model_is_a_distribution():
-    hashes = np.array([1, 2, 3], np.uint64)
-    lexicon = maxent.Lexicon(hashes, np.array([9, 5, 4]), 4, 18, 3)
-    label = np.zeros(len(lexicon), np.int64)
-    label[::2] = 1
-    model = maxent.Model(lexicon, label, np.ones(len(lexicon)), np.zeros(maxent.ENDINGS), np.zeros(maxent.ENDINGS))
-    model.weights[:] = np.random.default_rng(0).normal(size=model.weights.shape)
-    item = np.arange(len(lexicon))
-    assert np.exp(model.log_item)[label == 0].sum() == pytest.approx(1) and np.exp(model.log_item)[label == 1].sum() == pytest.approx(1)
-    rows = np.repeat(model.features(item[:1], np.array([0])), maxent.CLASSES, axis=1)
-    assert np.exp(model.log_class(rows, np.arange(maxent.CLASSES))).sum() == pytest.approx(1, rel=1e-5)
+    lexicon, model = small_model()
+    assert len(set((maxent.BRANCH ** np.arange(maxent.LEVELS) @ model.digit).tolist())) == len(lexicon)
+    keys = model.keys(np.array([7, 8, 9], np.uint32), np.array([3]))
+    for token in range(3):
+        every = np.repeat(keys[:, token : token + 1], len(lexicon), axis=1)
+        assert np.exp(model.log_item(every, np.arange(len(lexicon)))).sum() == pytest.approx(1, rel=1e-4)
+
+
+def test_gradient_is_the_slope_of_the_likelihood():
+    lexicon, model = small_model()
+    rng = np.random.default_rng(1)
+    item = rng.integers(0, len(lexicon), 40)
+    keys = model.keys((item << 20).astype(np.uint32), np.array([25, 15]))
+    at, g = model.gradient(keys, item)
+    for row, child in ((0, 0), (len(at) // 2, 5), (len(at) - 1, maxent.BRANCH - 1)):
+        before = model.weights[at[row], child]
+        ends = []
+        for step in (-0.01, 0.01):
+            model.weights[at[row], child] = before + step
+            ends.append(model.log_item(keys, item).sum())
+        model.weights[at[row], child] = before
+        assert g[row, child] == pytest.approx((ends[1] - ends[0]) / 0.02, abs=2e-2)
+
+
+def test_score_is_the_sum_over_tokens(spark):
+    """The whole text's score from one token at a time, words beyond the head included."""
+    texts = ["a bb ccc", "a rare bb rare", "", None, "a"]
+    lexicon, model = small_model()
+    counts = spark.createDataFrame([(bytearray(b"a"), 9), (bytearray(b"bb"), 5), (bytearray(b"ccc"), 4), (bytearray(b"rare"), 2)], "word binary, n bigint")
+    docs = spark.createDataFrame(list(enumerate(texts)), "`doc``id` bigint, text string").withColumn("N_Tokens", F.lit("x"))
+    got = {r[0]: r.lm_score for r in maxent.score(docs, counts, lexicon, model).collect()}
+    reader, count = maxent.Reader(lexicon), {b"a": 9, b"bb": 5, b"ccc": 4, b"rare": 2}
+    for k, t in enumerate(texts):
+        words = maxent.tokens((t or "").encode())
+        ids, _ = reader.read([(t or "").encode()])
+        numbers, total = reader.number[ids], 0.0
+        for at, w in enumerate(words):
+            keys = model.keys(numbers[: at + 1], np.array([at + 1]))[:, -1:]
+            item = maxent.item_of(numbers[at : at + 1])
+            total += (model.log_item(keys, item)[0] + model.log_below[item[0]]) / math.log(10)
+            total += math.log10(count.get(w, 0) + 1) if item[0] >= lexicon.n_own else 0
+        assert got[k] == pytest.approx(total, abs=1e-4)
+
+
+def test_equal_hashes_are_told_apart_by_the_word(monkeypatch):
+    monkeypatch.setattr(maxent.xxhash, "xxh64_intdigest", lambda w, seed: 7)
+    lexicon = maxent.Lexicon([b"x", b"y"], np.array([3, 2]), 2, 5, 2)
+    reader = maxent.Reader(lexicon)
+    ids, _ = reader.read([b"y z x"])
+    assert reader.count[ids].tolist() == [2, -1, 3, -1]
