@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,9 +17,12 @@ Batches = Iterator[pa.RecordBatch]
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir. A local
-    folder is set only where the session names none, as in tests."""
+    folder is set only where the session names none and runs in one process, as in
+    tests; on a cluster no folder of the driver's own would do."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -31,6 +36,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def rewritten(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet into a new folder that all executors share, and reread."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def column(name: str) -> Column:
     """The column of exactly this name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")

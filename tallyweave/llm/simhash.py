@@ -7,12 +7,14 @@ the triangle bound lets a neighbour lie beyond the radius, to the other shard as
 visitor. Each shard grows its own vantage-point tree and compares what is left of
 the candidates exactly. A shard emits a spanning forest of the links it found, so a
 dense group costs one row a point and not one a pair, and components of different
-shards are joined by label propagation with pointer jumping.
+shards are joined by label propagation with pointer jumping. A shard that has too many
+points of its own is dealt out again by a tree of its own, fitted where the shard is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.llm.common import add_columns, as_bytes, hash_fraction, materialize, spaced_words
+from tallyweave.llm.common import add_columns, as_bytes, column, hash_fraction, materialize, spaced_words
 
 SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 2
-#: Fingerprints that the top tree is fitted on, at most about.
-SAMPLE = 32_768
-#: Points of its own that a shard should have.
-SHARD_POINTS = 4096
+#: Fingerprints that the top tree is fitted on: about LEAF_SAMPLE for each shard, these
+#: at least and at most.
+LEAF_SAMPLE, SAMPLE, LARGEST_SAMPLE = 32, 32_768, 1 << 20
+#: Points of its own that a shard should have; with more than so many times that, it is
+#: split again, by a tree fitted on about SPLIT_SAMPLE of them. Rows routed at once then.
+SHARD_POINTS, OVERSIZED, SPLIT_SAMPLE, ROUTED = 4096, 8, 4096, 200_000
 #: Points that a shard's tree compares without a further split.
 LEAF_POINTS = 64
 #: A split must save at least a tenth of the comparisons, or the node stays a leaf.
@@ -122,9 +126,9 @@ def _divide(home: np.ndarray, visit: np.ndarray, vantage: int, inner: int, radiu
     return (home[inside], np.concatenate([visit[far <= inner + radius], crossing])), (home[~inside], visit[far > inner - radius])
 
 
-def route(nodes: list[tuple], points: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def route(nodes: list[tuple], points: np.ndarray, radius: int = RADIUS, visitors: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(shard, home points, visitors) for every shard that these points reach."""
-    todo = [(0, points, points[:0])]
+    todo = [(0, points, points[:0] if visitors is None else visitors)]
     while todo:
         at, home, visit = todo.pop()
         if not len(home) and not len(visit):
@@ -175,22 +179,76 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[own], names[label[own]]
 
 
+def _dealt(nodes: list[tuple], home: np.ndarray, visit: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, points, whether at home) of every shard that these points reach."""
+    for shard, own, guests in route(nodes, home, radius, visit):
+        both = np.concatenate([own, guests]).view(np.int64)
+        yield shard, both, np.arange(len(both)) < len(own)
+
+
 def _to_shards(points: DataFrame, nodes: list[tuple], radius: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, home, visit in route(nodes, batch.column(0).to_numpy().view(np.uint64), radius):
-                both = np.concatenate([home, visit]).view(np.int64)
-                at_home = np.arange(len(both)) < len(home)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), shard, np.int32)), pa.array(both), pa.array(at_home)], names=["shard", "point", "home"])
+            at = batch.column(0).to_numpy().view(np.uint64)
+            for shard, both, at_home in _dealt(nodes, at, at[:0], radius):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), shard, np.int64)), pa.array(both), pa.array(at_home)], names=["shard", "point", "home"])
 
-    return points.mapInArrow(run, "shard int, point bigint, home boolean")
+    return points.mapInArrow(run, "shard bigint, point bigint, home boolean")
 
 
 def _tree_of(points: DataFrame, n: int, radius: int) -> list[tuple]:
-    """The top tree; n is the number of points. The sample's size does not depend on n."""
-    drawn = points.where(hash_fraction(F.col("point")) < min(1.0, SAMPLE / max(n, 1))).toArrow()
+    """The top tree; n is the number of points."""
+    wanted = min(LARGEST_SAMPLE, max(SAMPLE, LEAF_SAMPLE * n // SHARD_POINTS))
+    drawn = points.where(hash_fraction(F.col("point")) < min(1.0, wanted / max(n, 1))).toArrow()
     sample = np.sort(drawn.column("point").to_numpy().view(np.uint64))
-    return fit_tree(sample, max(32, SHARD_POINTS * len(sample) // max(n, 1)), radius)
+    return fit_tree(sample, max(LEAF_SAMPLE, SHARD_POINTS * len(sample) // max(n, 1)), radius)
+
+
+def _split_again(dealt: DataFrame, large: DataFrame, radius: int) -> DataFrame:
+    """The rows of oversized shards, dealt out by a tree of each shard's own; `large`
+    has their numbers of points and rows. `whole` marks shards that their tree does
+    not part."""
+
+    def fit(key: tuple, table: pa.Table) -> pa.Table:
+        points, own = np.sort(table.column("point").to_numpy().view(np.uint64)), table.column("own")[0].as_py()
+        nodes = fit_tree(points, max(LEAF_SAMPLE, SHARD_POINTS * len(points) // own), radius)
+        tree = [[int(np.uint64(x[0]).view(np.int64)), *x[1:]] if x else [] for x in nodes]
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "tree": pa.array([tree], pa.list_(pa.list_(pa.int64())))})
+
+    def deal(points: pa.Table, trees: pa.Table) -> pa.Table:
+        if not points.num_rows:
+            return pa.schema([("shard", pa.int64()), ("point", pa.int64()), ("home", pa.bool_()), ("whole", pa.bool_())]).empty_table()
+        shard, tree = points.column("shard")[0].as_py(), trees.column("tree")[0].as_py() if trees.num_rows else [[]]
+        nodes = [(x[0] % (1 << 64), *x[1:]) if x else () for x in tree]
+        at, home = points.column("point").to_numpy().view(np.uint64), points.column("home").to_numpy()
+        out = []
+        for leaf, both, at_home in _dealt(nodes, at[home], at[~home], radius):
+            name = np.full(len(both), xxhash.xxh64_intdigest(f"{shard} {leaf}".encode(), SEED) >> 1, np.int64)
+            out.append(pa.table({"shard": name, "point": both, "home": at_home, "whole": np.full(len(both), len(nodes) == 1)}))
+        return pa.concat_tables(out)
+
+    rows = dealt.join(large, "shard")
+    sample = rows.where(F.col("home") & (hash_fraction(F.col("point"), F.col("shard")) < SPLIT_SAMPLE / F.col("own")))
+    trees = sample.groupBy("shard").applyInArrow(fit, "shard bigint, tree array<array<bigint>>")
+    parts = F.ceil(F.col("rows") / ROUTED).cast("int")
+    left = rows.select("shard", F.pmod(F.xxhash64("point"), parts).cast("int").alias("part"), "point", "home")
+    right = trees.join(large, "shard").select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "tree")
+    return left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(deal, "shard bigint, point bigint, home boolean, whole boolean")
+
+
+def shards(points: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """(shard, point, home): all n points dealt out, each at home in one shard and a
+    visitor in those whose points it may be close to. A shard has OVERSIZED *
+    SHARD_POINTS points of its own at most, unless no tree can part them."""
+    dealt = materialize(_to_shards(points, _tree_of(points, n, radius), radius).withColumn("whole", F.lit(False)))
+    done: list[DataFrame] = []
+    while True:
+        sizes = dealt.where("not whole").groupBy("shard").agg(F.count_if("home").alias("own"), F.count("*").alias("rows"))
+        large = materialize(sizes.where(F.col("own") > OVERSIZED * SHARD_POINTS))
+        if large.isEmpty():
+            return reduce(DataFrame.union, [*done, dealt]).select("shard", "point", "home")
+        done.append(dealt.join(large, "shard", "left_anti").select("shard", "point", "home", "whole"))
+        dealt = materialize(_split_again(dealt.drop("whole"), large, radius))
 
 
 def near_pairs(points: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -205,8 +263,7 @@ def near_pairs(points: DataFrame, radius: int = RADIUS) -> DataFrame:
         low, high = np.minimum(a, b), np.maximum(a, b)
         return pa.table({"a": low.view(np.int64), "b": high.view(np.int64), "distance": np.bitwise_count(low ^ high).astype(np.int32)})
 
-    dealt = _to_shards(points, _tree_of(points, points.count(), radius), radius)
-    return dealt.groupBy("shard").applyInArrow(run, "a bigint, b bigint, distance int")
+    return shards(points, points.count(), radius).groupBy("shard").applyInArrow(run, "a bigint, b bigint, distance int")
 
 
 def _forest_links(points: DataFrame, n: int, radius: int) -> DataFrame:
@@ -225,8 +282,7 @@ def _forest_links(points: DataFrame, n: int, radius: int) -> DataFrame:
             a, b = forest(*(np.concatenate([y, *(x[k] for x in held)]) for k, y in enumerate((a, b))))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = _to_shards(points, _tree_of(points, n, radius), radius)
-    return dealt.groupBy("shard").applyInArrow(run, "a bigint, b bigint")
+    return shards(points, n, radius).groupBy("shard").applyInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -280,8 +336,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> D
 
 
 def keepers(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that component_id and keeper_hash of `found` name, one for each pair."""
-    named = found.select(F.col("component_id").alias("__id"), F.col("keeper_hash").alias("__hash")).distinct()
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
-    joined = keyed.join(named, keyed[id_col].eqNullSafe(named["__id"]) & (keyed["__hash"] == named["__hash"]))
-    return joined.select(*docs.columns, named["__id"].alias("__key"), named["__hash"].alias("__text")).dropDuplicates(["__key", "__text"]).select(*docs.columns)
+    """The rows of docs that component_id and keeper_hash of `found` name, one for each
+    pair. Texts are shuffled once, but where rows repeat both id and text."""
+    same = column(id_col).eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("keeper_hash"))
+    named = materialize(found.where(same).groupBy("component_id", "keeper_hash").agg(F.count("*").alias("rows")))
+    names = [f"__c{k}" for k in range(len(docs.columns))]
+    renamed = docs.toDF(*names)
+    own, text = (names[[c.lower() for c in docs.columns].index(c.lower())] for c in (id_col, "text"))
+    joined = renamed.join(named, F.col(own).eqNullSafe(F.col("component_id")) & (F.xxhash64(text) == F.col("keeper_hash")))
+    if not named.where("rows > 1").isEmpty():
+        joined = joined.dropDuplicates(["component_id", "keeper_hash"])
+    return joined.select(*names).toDF(*docs.columns)

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyweave.llm import simhash
 
@@ -76,6 +77,29 @@ def test_close_points_through_many_shards(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_oversized_shards_are_split_again(spark, monkeypatch):
+    for name, value in {"SHARD_POINTS": 40, "SAMPLE": 32, "LARGEST_SAMPLE": 64, "LEAF_SAMPLE": 16, "OVERSIZED": 2, "SPLIT_SAMPLE": 200, "ROUTED": 300}.items():
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 1200, dtype=np.uint64)
+    near = base[rng.integers(0, 1200, 600)] ^ (np.uint64(1) << rng.integers(0, 64, 600, dtype=np.uint64))
+    points = np.unique(np.concatenate([base, near]))
+    frame = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "point bigint")
+    sizes = simhash.shards(frame, len(points)).groupBy("shard").agg(F.count_if("home").alias("own")).collect()
+    assert sum(r.own for r in sizes) == len(points) and max(r.own for r in sizes) <= 80
+    want = {(int(a), int(b)) for k, a in enumerate(points) for b in points[k + 1 :][np.bitwise_count(points[k + 1 :] ^ a) <= 2]}
+    got = [(r.a % 2**64, r.b % 2**64) for r in simhash.near_pairs(frame).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_million_random_points_stay_in_small_shards(spark):
+    points = spark.range(1 << 20).select(F.xxhash64("id").alias("point"))
+    sizes = simhash.shards(points, 1 << 20).groupBy("shard").agg(F.count_if("home").alias("own"), F.count("*").alias("rows"))
+    r = sizes.agg(F.sum("own"), F.max("own"), F.max("rows"), F.sum("rows")).first()
+    assert r[0] == 1 << 20 and r[1] <= simhash.OVERSIZED * simhash.SHARD_POINTS and r[2] <= 100_000
+    print("rows a point", r[3] / r[0], "largest", r[1], r[2])
+
+
 def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 501)], "a bigint, b bigint")
     got = {r.node: r.label for r in simhash.components(links).collect()}
@@ -88,5 +112,7 @@ def test_keep_one_of_each_group_and_empty_table(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 8]
+    clashing = docs.withColumns({"__id": F.lit(1), "__hash": F.lit("x"), "component_id": F.lit(2), "Rows": F.lit(3), "a`b": F.lit(4)})
+    assert sorted(r.doc_id for r in simhash.keep_one(clashing).collect()) == [1, 2, 8] and simhash.keep_one(clashing).columns == clashing.columns
     assert simhash.with_components(docs.limit(0)).collect() == []
     assert simhash.keep_one(docs.limit(0)).collect() == []
