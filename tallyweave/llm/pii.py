@@ -2,13 +2,15 @@
 
 Four base patterns with their checks give spans that always stay. Wider generators
 propose further, overlapping candidates: numbers in national formats, spelled-out
-addresses and the like. Every candidate has a few features of its format and of the
-text around it. Counts of all feature combinations, over all documents, are enough
-to fit gradient-boosted trees: candidates that a base pattern confirms are the
-positive ones, those that fail a check the negative ones, and marks that only base
-patterns have are no features. Thresholds are calibrated on the half of the documents
-that the trees have not seen. Patterns, features, trees and redaction are built-in
-expressions; only the table of counts, of bounded size, comes to the driver.
+addresses and the like; matches of a base pattern that fail its check are candidates
+as well. Every candidate has features of its format and of the text around it, and
+evidence that is no feature: whether its digits or letters can be right (check sums,
+ranges, numbering plans). Trees learn from all documents how often the evidence holds
+for which format and context; counts of all feature combinations are enough for that.
+Thresholds are calibrated, a kind each, on the half of the documents that the trees
+have not seen, and alone choose among the candidates. Patterns, features, trees and
+redaction are built-in expressions; only the table of counts, of bounded size, comes
+to the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import without
+from tallyweave.llm.common import column, without
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -39,18 +41,29 @@ WIDE = {
     "phone": r"(?<![0-9A-Za-z+.])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9A-Za-z.-])",
 }
 
+#: What a text holds wherever a pattern matches, so that most texts need no search.
+_DIGIT = r"[0-9]"
+HINTS = {
+    True: {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike(_DIGIT), "phone": lambda t: t.contains("+")},
+    False: {"email": lambda t: t.contains("@") | t.contains("[") | t.contains("("), "ip": lambda t: t.contains(":") & t.rlike(_DIGIT + "|:[0-9A-Fa-f]+:"), "card": lambda t: t.rlike(r"[0-9]{4}[.\x20-][0-9]{4}"), "phone": lambda t: t.rlike(r"[0-9]{3}[.\x20-][0-9]{4}")},
+}
+
 #: Words before a candidate that speak for its kind, and words that speak against any.
 NEAR = {"email": r"(?i)mail|contact|write", "ip": r"(?i)\bip\b|address|host|server", "card": r"(?i)card|visa|credit|pay", "phone": r"(?i)phone|tel|call|mobile|fax"}
 AGAINST = r"(?i)version|token|isbn|serial|order|invoice|\bid\b|=\s*\W?$"
 #: Characters before a candidate that count as its neighbourhood.
 AROUND = 24
+#: Digits of a candidate, at least and at most, by kind.
+DIGITS = {"card": (14, 19), "phone": (10, 15)}
 
 #: Bins of each feature; their product bounds the table of counts.
-FEATURES = {"kind": 4, "digits": 8, "checked": 2, "marks": 4, "before": 4, "after": 4, "near": 2, "against": 2}
+FEATURES = {"kind": 4, "wide": 2, "digits": 8, "marks": 4, "before": 4, "after": 4, "near": 2, "against": 2}
 #: Trees, learning rate, and the precision that a threshold must reach.
-TREES, RATE, PRECISE = 24, 0.5, 0.97
+TREES, RATE, PRECISE = 32, 0.5, 0.9
+#: A threshold that no candidate reaches.
+NEVER = 2.0
 
-CANDIDATE = "array<struct<start:bigint,end:bigint,base:boolean,kind:int,digits:int,checked:int,marks:int,before:int,after:int,near:int,against:int>>"
+CANDIDATE = "array<struct<start:bigint,end:bigint,base:boolean,right:boolean,kind:int,wide:int,digits:int,marks:int,before:int,after:int,near:int,against:int>>"
 _PLACED = "array<struct<start:bigint,end:bigint,found:string>>"
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -101,13 +114,18 @@ def _passes(kind: str, found: Column) -> Column:
     return digits.between(10, 15) if kind == "phone" else F.lit(True)
 
 
-def _looks_right(kind: str, found: Column) -> Column:
-    """The check as a feature: for wide candidates it asks the same of their digits."""
+def _evidence(kind: str, found: Column) -> Column:
+    """Whether a candidate's digits or letters can be right: parts of an address in
+    their range, a card's check sum, a number that a numbering plan allows, a domain
+    that ends in letters. Null where nothing tells."""
     if kind == "ip":
-        return F.when(found.contains(":"), F.lit(True)).otherwise(_passes("ip", found))
+        return F.when(~found.contains(":"), _passes("ip", found))
+    if kind == "card":
+        return luhn(_only_digits(found))
     if kind == "email":
-        return found.rlike(r"(?i)\.|dot")
-    return _passes(kind, found)
+        return F.regexp_replace(found, r"(?i)\x20?[\[(]dot[\])]\x20?", ".").rlike(r"\.[A-Za-z]{2,}$")
+    number = F.regexp_replace(_only_digits(found), "^1(?=[0-9]{10}$)", "")
+    return F.when(F.length(number) == 10, number.rlike("^[2-9][0-9]{2}[2-9]")).otherwise(number.rlike("^[2-9]"))
 
 
 def _class_of(char: Column) -> Column:
@@ -119,6 +137,8 @@ def candidates(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
 
     def described(kind: str, base: bool):
+        least, most = DIGITS.get(kind, (0, 1 << 30))
+
         def describe(x: Column) -> Column:
             n = F.length(_only_digits(x["found"]))
             bins = F.when(n == 0, 0).when(n < 6, 1).when(n < 10, 2).when(n < 12, 3).when(n < 14, 4).when(n < 17, 5).when(n < 20, 6).otherwise(7)
@@ -129,9 +149,10 @@ def candidates(text: Column) -> Column:
                 x["start"].alias("start"),
                 x["end"].alias("end"),
                 (_passes(kind, x["found"]) if base else F.lit(False)).alias("base"),
+                F.when(n.between(least, most), _evidence(kind, x["found"])).alias("right"),
                 F.lit(KINDS.index(kind)).alias("kind"),
+                F.lit(int(not base)).alias("wide"),
                 bins.alias("digits"),
-                _looks_right(kind, x["found"]).cast("int").alias("checked"),
                 marks.alias("marks"),
                 _class_of(F.substring(prior, -1, 1)).alias("before"),
                 _class_of(later).alias("after"),
@@ -139,9 +160,13 @@ def candidates(text: Column) -> Column:
                 prior.rlike(AGAINST).cast("int").alias("against"),
             )
 
-        return describe
+        def likely(x: Column) -> Column:
+            return F.length(_only_digits(x["found"])).between(least, most)
 
-    made = [F.transform(placed(text, pattern), described(k, base)).cast(CANDIDATE) for base, of in ((True, BASE), (False, WIDE)) for k, pattern in of.items()]
+        return lambda places: F.transform(F.filter(places, likely) if kind in DIGITS else places, describe).cast(CANDIDATE)
+
+    none = F.array().cast(CANDIDATE)
+    made = [F.when(HINTS[base][k](text), described(k, base)(placed(text, pattern))).otherwise(none) for base, of in ((True, BASE), (False, WIDE)) for k, pattern in of.items()]
     return F.concat(*made)
 
 
@@ -149,14 +174,18 @@ def _overlap(x: Column, y: Column) -> Column:
     return (x["start"] < y["end"]) & (y["start"] < x["end"])
 
 
-def count_features(docs: DataFrame, text: str = "text") -> list[tuple]:
+def with_candidates(docs: DataFrame, text: str = "text", name: str = "__cand") -> DataFrame:
+    """docs with a column of all candidates, and __fold, which a hash of the text draws."""
+    return docs.withColumns({name: candidates(column(text)), "__fold": F.pmod(F.xxhash64(column(text)), F.lit(2)).cast("int")})
+
+
+def count_features(found: DataFrame, name: str = "__cand") -> list[tuple]:
     """(fold, features, rows, positive) for every combination of features among the
-    labelled candidates of all documents. A base pattern's candidate is positive if
-    it passes and negative if not; a wide one that overlaps a base span, or that no
-    check speaks against, has no label. The fold comes from the text's hash."""
-    found = docs.select(F.pmod(F.xxhash64(text), F.lit(2)).alias("fold"), candidates(F.col(text)).alias("c")).where(F.size("c") > 0)
-    one = found.select("fold", F.explode("c").alias("x")).where("x.base or x.checked = 0")
-    rows = one.groupBy("fold", *[F.col(f"x.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.count_if("x.base").alias("positive"))
+    candidates of with_candidates() that evidence tells of, those left out that
+    overlap a base span of another candidate."""
+    alone = lambda c: F.filter(c, lambda x: x["right"].isNotNull() & (x["base"] | ~F.exists(c, lambda y: y["base"] & _overlap(x, y))))
+    one = found.where(F.size(name) > 0).select("__fold", F.explode(_let(F.col(name), alone)).alias("x"))
+    rows = one.groupBy("__fold", *[F.col(f"x.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.count_if("x.right").alias("positive"))
     return [tuple(r) for r in rows.collect()]
 
 
@@ -167,7 +196,7 @@ class Trees:
     def __init__(self) -> None:
         self.start = -2.0
         self.trees: list[tuple] = []
-        self.least = {k: 0.5 for k in KINDS}
+        self.least = {k: NEVER for k in KINDS}
 
 
 def _leaf(g: np.ndarray, h: np.ndarray) -> float:
@@ -195,8 +224,9 @@ def _predict(node, x: np.ndarray) -> np.ndarray:
 
 
 def fit(counts: list[tuple]) -> Trees:
-    """Trees from the counts of fold 0, thresholds from those of fold 1: for each
-    kind the lowest score from which on PRECISE of the rows are positive."""
+    """Trees from the counts of fold 0, thresholds from those of fold 1: for each kind
+    the lowest score from which on PRECISE of the rows are right, and NEVER where no
+    score reaches that. Rows of equal score go together."""
     made = Trees()
     table = np.array(counts, np.float64).reshape(-1, len(FEATURES) + 3)
     fold, x, n, y = table[:, 0], table[:, 1:-2], table[:, -2], table[:, -1]
@@ -226,11 +256,11 @@ def fit(counts: list[tuple]) -> Trees:
     total = made.start + sum((_predict(t, x[other]) for t in made.trees), np.zeros(other.sum()))
     for k, kind in enumerate(KINDS):
         of = x[other][:, 0] == k
-        order = np.argsort(-total[of])
-        right = np.cumsum(y[other][of][order]) / np.maximum(1, np.cumsum(n[other][of][order]))
-        good = np.flatnonzero(right >= PRECISE)
-        level = total[of][order][good[-1]] if len(good) else 0.0
-        made.least[kind] = float(max(0.5, 1 / (1 + np.exp(-level))))
+        levels, of_level = np.unique(-total[of].round(9), return_inverse=True)
+        many, good = np.bincount(of_level, n[other][of]), np.bincount(of_level, y[other][of])
+        enough = np.flatnonzero(np.cumsum(good) >= PRECISE * np.cumsum(many))
+        if len(enough):
+            made.least[kind] = float(1 / (1 + np.exp(levels[enough[-1]]))) - 1e-9
     return made
 
 
@@ -253,8 +283,8 @@ def score(x: Column, model: Trees) -> Column:
 def select(found: Column, model: Trees) -> Column:
     """Chosen spans (start, kind, end) of an array of candidates, in order: all base
     spans, and of the others those whose score reaches its kind's threshold, that
-    overlap no base span and no better one (ties: the earlier)."""
-    least = F.element_at(F.array(*[F.lit(model.least[k]) for k in KINDS]), F.lit(1))
+    overlap no base span and no better one (ties: the earlier, then the kind)."""
+    least = F.lit(model.least[KINDS[0]])
 
     def threshold(x: Column) -> Column:
         out = least
@@ -264,7 +294,7 @@ def select(found: Column, model: Trees) -> Column:
 
     def chosen(c: Column) -> Column:
         base = F.filter(c, lambda x: x["base"])
-        rest = F.filter(c, lambda x: ~x["base"] & (x["checked"] == 1) & ~F.exists(base, lambda y: _overlap(x, y)))
+        rest = F.filter(c, lambda x: ~x["base"] & ~F.exists(base, lambda y: _overlap(x, y)))
         scored = F.transform(rest, lambda x: F.struct((-score(x, model)).alias("s"), x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), threshold(x).alias("least")))
         ranked = F.array_sort(F.filter(scored, lambda x: -x["s"] >= x["least"]))
         plain = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))).cast(_SPAN)
@@ -276,14 +306,15 @@ def select(found: Column, model: Trees) -> Column:
     return F.when(F.size(found) == 0, F.array().cast(_SPAN)).otherwise(_let(found, chosen))
 
 
-def with_spans(docs: DataFrame, model: Trees, text: str = "text", prefix: str = "") -> DataFrame:
-    """docs with base_spans and pii_spans: (start, kind, end) in code points, end
-    exclusive, by start and then kind, kinds numbered as in KINDS. A null or empty
-    text has none. Spans of different base patterns may overlap; equal rows give
-    equal spans."""
-    out = without(docs, [prefix + "base_spans", prefix + "pii_spans", "__cand"]).withColumn("__cand", candidates(F.col(text)))
-    base = F.array_sort(F.transform(F.filter("__cand", lambda x: x["base"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    return out.withColumns({prefix + "base_spans": base.cast(_SPAN), prefix + "pii_spans": select(F.col("__cand"), model)}).drop("__cand")
+def with_spans(found: DataFrame, model: Trees, prefix: str = "", name: str = "__cand") -> DataFrame:
+    """What with_candidates() gave, with base_spans and pii_spans in the place of its
+    columns: (start, kind, end) in code points, end exclusive, by start and then kind,
+    kinds numbered as in KINDS. A null or empty text has none. Spans of different base
+    patterns may overlap; equal rows give equal spans; an empty table gives no rows,
+    and fit() without candidates gives trees that add nothing."""
+    out = without(found, [prefix + "base_spans", prefix + "pii_spans"])
+    base = F.array_sort(F.transform(F.filter(name, lambda x: x["base"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+    return out.withColumns({prefix + "base_spans": base.cast(_SPAN), prefix + "pii_spans": select(F.col(name), model)}).drop(name, "__fold")
 
 
 def listed(spans: str) -> Column:
@@ -295,18 +326,20 @@ def listed(spans: str) -> Column:
 def redact(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     """docs whose text has [EMAIL], [IP], [CARD] or [PHONE] in the place of each
     span; of overlapping spans the first names the whole stretch. A null text stays
-    null; other columns stay as they were."""
+    null; other columns stay as they were, repeated rows as well."""
+    names = [f"__c{k}" for k in range(len(docs.columns))]
+    own = names[[c.lower() for c in docs.columns].index(text.lower())]
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        between = F.substring(F.col(text), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
+        between = F.substring(F.col(own), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
         name = F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), x["kind"] + 1)
         more = F.when(x["start"] >= acc["at"], F.array(between, name)).otherwise(F.array().cast("array<string>"))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], more).cast("array<string>").alias("out"))
 
     def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text)))
+        return F.concat(F.array_join(acc["out"], ""), F.substring(F.col(own), (acc["at"] + 1).cast("int"), F.length(own)))
 
-    found = with_spans(docs, model, text, "__")
-    cleaned = F.when(F.size("__pii_spans") == 0, F.col(text)).otherwise(F.aggregate("__pii_spans", start, step, finish))
-    return found.withColumn(text, cleaned).select(*docs.columns)
+    found = with_spans(with_candidates(docs.toDF(*names), own), model)
+    cleaned = F.when(F.size("pii_spans") == 0, F.col(own)).otherwise(F.aggregate("pii_spans", start, step, finish))
+    return found.withColumn(own, cleaned).select(*names).toDF(*docs.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import decontaminate, language, licenses, maxent, pieces, pii, quality, simhash, toxicity, warc
-from tallyweave.llm.common import held_out
+from tallyweave.llm.common import held_out, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,7 +59,8 @@ def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.with_spans(docs, pii.fit(pii.count_features(docs)))
+    made = materialize(pii.with_candidates(docs).drop("text"))
+    found = pii.with_spans(made, pii.fit(pii.count_features(made)))
     counts = [F.size(F.filter("base_spans", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.listed("base_spans"), 256).alias("base_sha256"), pii.listed("pii_spans").alias("spans"))
 
