@@ -2,11 +2,13 @@
 
 Counts of each text are built-in column expressions. The thresholds are not fixed:
 for each language and source a quantile sketch of every measure is kept, and a
-document fails where a measure lies beyond the fence that its group's quantiles
-give. A sketch is a table of counts in logarithmic buckets (as in DDSketch): each
-quantile is right within RELATIVE, and sketches merge by adding counts, so a small
-group borrows the sketch of its language, and that of all documents, from the same
-counts. The main path has DataFrame functions only.
+document fails where a measure lies beyond a fence that its group's quantiles give.
+A sketch is a table of counts in logarithmic buckets (as in DDSketch): each quantile
+is right within RELATIVE, and sketches merge by adding counts, so those of a language
+and of all documents come from the same counts. A group's quantiles are drawn towards
+its language's, and those towards all documents', as if PRIOR documents of the larger
+group stood in the smaller one: this counts for much in a small group and for little
+in a large one. The main path has DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -19,11 +21,9 @@ from pyspark.sql import functions as F
 from tallyweave.llm.common import materialize, without
 
 #: Relative error of a quantile.
-RELATIVE = 0.02
-#: Documents that a sketch needs to stand alone.
-LEAST_DOCUMENTS = 100
-#: A fence lies so many times the distance of the quartiles beyond the third one.
-FENCE = 6.0
+RELATIVE = 0.005
+#: Documents of the larger group that each smaller one borrows.
+PRIOR = 50
 #: Groups whose thresholds are broadcast at most.
 BROADCAST_ROWS = 50_000
 
@@ -31,9 +31,16 @@ BROADCAST_ROWS = 50_000
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 
 #: Measures per thousand words (duplicate lines per ten thousand; word length in
-#: thousandths of a character), and the smallest distance from quartile to fence: below
-#: it a difference says nothing about quality.
-MEASURES = {"symbol_rate": 700, "repeat_rate": 200, "dup_line_rate": 300, "word_length": 3000}
+#: thousandths of a character). A fence lies `times` the distance of the low and the
+#: high quantile beyond the high one, and for two-sided measures as far below the low
+#: one. `least` is the distance where both quantiles are equal or nearly so. Rates that
+#: are zero for most documents are fenced from their upper quantiles.
+MEASURES = {
+    "symbol_rate": {"low": 0.5, "high": 0.75, "times": 6, "least": 20, "both": False},
+    "repeat_rate": {"low": 0.9, "high": 0.99, "times": 3, "least": 50, "both": False},
+    "dup_line_rate": {"low": 0.9, "high": 0.99, "times": 3, "least": 50, "both": False},
+    "word_length": {"low": 0.25, "high": 0.75, "times": 4, "least": 200, "both": True},
+}
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -128,38 +135,48 @@ def quantiles(sketched: DataFrame, groups: list[str], shares: dict[str, float])
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """(lang, source, fences): the largest value that each measure may have in each
-    group. A group with few documents takes the quantiles of its language, and
-    these, if few as well, those of all documents."""
-    shares = {"q1": 0.25, "q3": 0.75}
+    """(lang, source, least_m and most_m for each measure m): the range that each
+    measure may take in each group; least_m is null for one-sided measures."""
+    shares = {f"q{round(100 * v)}": v for v in sorted({m[k] for m in MEASURES.values() for k in ("low", "high")})}
     own = materialize(sketch(measured, ["lang", "source"]))
     by_lang = own.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
     of_all = by_lang.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
-    a = quantiles(own, ["lang", "source"], shares)
-    b = quantiles(by_lang, ["lang"], shares).select(F.col("lang").alias("b_lang"), F.col("measure").alias("b_measure"), F.col("documents").alias("b_documents"), F.col("q1").alias("b_q1"), F.col("q3").alias("b_q3"))
-    c = quantiles(of_all, [], shares).select(F.col("measure").alias("c_measure"), F.col("q1").alias("c_q1"), F.col("q3").alias("c_q3"))
-    joined = a.join(b, a["lang"].eqNullSafe(b["b_lang"]) & (a["measure"] == b["b_measure"])).join(F.broadcast(c), F.col("measure") == F.col("c_measure"))
-    pick = lambda q: F.when(F.col("documents") >= LEAST_DOCUMENTS, F.col(q)).when(F.col("b_documents") >= LEAST_DOCUMENTS, F.col(f"b_{q}")).otherwise(F.col(f"c_{q}"))
-    least = F.element_at(F.create_map(*[F.lit(x) for m, v in MEASURES.items() for x in (m, float(v))]), F.col("measure"))
-    fence = F.round(pick("q3") + F.greatest(FENCE * (pick("q3") - pick("q1")), least), 3)
-    fenced = joined.select("lang", "source", "measure", fence.alias("fence"))
-    return fenced.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"most_{m}") for m in MEASURES])
+
+    def of(sketched: DataFrame, groups: list[str], mark: str) -> DataFrame:
+        found = quantiles(sketched, groups, shares)
+        value = lambda side: F.coalesce(*[F.when(F.col("measure") == m, F.col(f"q{round(100 * v[side])}")) for m, v in MEASURES.items()])
+        return found.select(*[F.col(c).alias(mark + c) for c in (*groups, "measure", "documents")], value("low").alias(f"{mark}low"), value("high").alias(f"{mark}high"))
+
+    a, b, c = of(own, ["lang", "source"], "a_"), of(by_lang, ["lang"], "b_"), of(of_all, [], "c_")
+    joined = a.join(b, F.col("a_lang").eqNullSafe(F.col("b_lang")) & (F.col("a_measure") == F.col("b_measure"))).join(F.broadcast(c), F.col("a_measure") == F.col("c_measure"))
+    borrow = lambda n, mine, others: (F.col(n) * F.col(mine) + F.lit(PRIOR) * others) / (F.col(n) + F.lit(PRIOR))
+    drawn = {side: borrow("a_documents", f"a_{side}", borrow("b_documents", f"b_{side}", F.col(f"c_{side}"))) for side in ("low", "high")}
+    fenced = joined.select("a_lang", "a_source", "a_measure", *[v.alias(k) for k, v in drawn.items()])
+    named = lambda key: F.coalesce(*[F.when(F.col("a_measure") == m, F.lit(float(v[key]))) for m, v in MEASURES.items()])
+    far = F.greatest(named("times") * (F.col("high") - F.col("low")), named("least"))
+    fences = fenced.withColumns({"most": F.round(F.col("high") + far, 3), "fewest": F.round(F.col("low") - far, 3)})
+    pick = lambda col, m: F.max(F.when(F.col("a_measure") == m, F.col(col)))
+    sides = [pick("most", m).alias(f"most_{m}") for m in MEASURES] + [pick("fewest", m).alias(f"least_{m}") for m, v in MEASURES.items() if v["both"]]
+    return fences.groupBy(F.col("a_lang").alias("lang"), F.col("a_source").alias("source")).agg(*sides)
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs, less the text, with the counts, the measures in thousandths, base_failed
-    and kept: false where a base rule fails or a measure exceeds its group's fence.
+    and kept: false where a base rule fails or a measure lies beyond its group's fences.
 
-    A null language or source is a group like any other. Rows with fewer than
-    LEAST_WORDS words take no part in the sketches. Ties lie within the fence;
-    repeated rows count each time; an empty table gives no rows."""
-    named = without(docs, ["base_failed", "kept", *MEASURES, *(f"most_{m}" for m in MEASURES)])
+    A null language or source is a group like any other. Rows that fail a base rule
+    take no part in the sketches. Ties lie within the fence; repeated rows count each
+    time; an empty table gives no rows."""
+    sides = [f"{side}_{m}" for m in MEASURES for side in ("most", "least")]
+    named = without(docs, ["base_failed", "kept", "__lang", "__source", *MEASURES, *sides])
     measured = materialize(counts(named, text).drop(text).withColumns(_measures()))
-    fences = materialize(thresholds(measured.where(F.col("n_words") >= LEAST_WORDS)))
+    fences = materialize(thresholds(measured.where(~base_failed())))
     few = fences.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     f = fences.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     joined = measured.join(F.broadcast(f) if few else f, measured["lang"].eqNullSafe(f["__lang"]) & measured["source"].eqNullSafe(f["__source"]), "left")
     inside = F.lit(True)
-    for m in MEASURES:
+    for m, v in MEASURES.items():
         inside = inside & F.coalesce(F.col(m) <= F.col(f"most_{m}"), F.lit(True))
+        if v["both"]:
+            inside = inside & F.coalesce(F.col(m) >= F.col(f"least_{m}"), F.lit(True))
     return joined.drop("__lang", "__source").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside)

@@ -145,10 +145,21 @@ _GAMMA, _GROWTH = math.log((1 + quality.RELATIVE) / (1 - quality.RELATIVE)), (1
 def _quantiles(name: str, groups: str, source: str) -> str:
     by = f"PARTITION BY {groups}measure"
     value = f"CASE WHEN bucket <= 0 THEN 0.0::DOUBLE ELSE pow({_GROWTH!r}::DOUBLE, bucket) * {1 - quality.RELATIVE!r}::DOUBLE - 1 END"
-    return f"""{name} AS (SELECT {groups}measure, max(documents) AS documents, min(CASE WHEN upto >= 0.25 * documents THEN {value} END) AS q1, min(CASE WHEN upto >= 0.75 * documents THEN {value} END) AS q3
+    at = {side: " ".join(f"WHEN '{m}' THEN {v[side]}::DOUBLE" for m, v in quality.MEASURES.items()) for side in ("low", "high")}
+    first = ", ".join(f"min(CASE WHEN upto >= (CASE measure {cases} END) * documents THEN {value} END) AS {side}" for side, cases in at.items())
+    return f"""{name} AS (SELECT {groups}measure, max(documents) AS documents, {first}
     FROM (SELECT *, sum(n) OVER ({by} ORDER BY bucket) AS upto, sum(n) OVER ({by}) AS documents FROM {source}) GROUP BY ALL)"""
 
 
+def _drawn(side: str) -> str:
+    larger = f"(b.documents * b.{side} + {quality.PRIOR} * c.{side}) / (b.documents + {quality.PRIOR})"
+    return f"(a.documents * a.{side} + {quality.PRIOR} * ({larger})) / (a.documents + {quality.PRIOR}) AS {side}"
+
+
+def _of_measure(key: str) -> str:
+    return "CASE measure " + " ".join(f"WHEN '{m}' THEN {float(v[key])}::DOUBLE" for m, v in quality.MEASURES.items()) + " END"
+
+
 OP3_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT k, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') AS w FROM d),
@@ -157,17 +168,18 @@ rep AS (SELECT k, count(DISTINCT q) AS r FROM (SELECT k, unnest(generate_series(
 ln AS (SELECT k, count(*) - count(DISTINCT l) AS dup FROM (SELECT k, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{_OTHER}') GROUP BY k),
 m AS (SELECT k, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{_SPACE}+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
     coalesce(dup, 0) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words FROM d JOIN w USING (k) LEFT JOIN rep USING (k) LEFT JOIN ln USING (k)),
-x AS (SELECT k, lang, source, n_words, unnest([{{'m': 'symbol_rate', 'v': n_symbols * 1000 // greatest(n_words, 1)}}, {{'m': 'repeat_rate', 'v': n_repeat_words * 1000 // greatest(n_words, 1)}},
-    {{'m': 'dup_line_rate', 'v': n_dup_lines * 10000 // greatest(n_words, 1)}}, {{'m': 'word_length', 'v': word_chars * 1000 // greatest(n_words, 1)}}]) AS u FROM m),
-s AS (SELECT lang, source, u.m AS measure, CAST(ceil(ln(u.v + 1.0::DOUBLE) / {_GAMMA!r}::DOUBLE) AS BIGINT) AS bucket, count(*) AS n FROM x WHERE n_words >= 20 GROUP BY ALL),
+j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+x AS (SELECT k, lang, source, base_failed, unnest([{{'m': 'symbol_rate', 'v': n_symbols * 1000 // greatest(n_words, 1)}}, {{'m': 'repeat_rate', 'v': n_repeat_words * 1000 // greatest(n_words, 1)}},
+    {{'m': 'dup_line_rate', 'v': n_dup_lines * 10000 // greatest(n_words, 1)}}, {{'m': 'word_length', 'v': word_chars * 1000 // greatest(n_words, 1)}}]) AS u FROM j),
+s AS (SELECT lang, source, u.m AS measure, CAST(ceil(ln(u.v + 1.0::DOUBLE) / {_GAMMA!r}::DOUBLE) AS BIGINT) AS bucket, count(*) AS n FROM x WHERE NOT base_failed GROUP BY ALL),
 sl AS (SELECT lang, measure, bucket, sum(n) AS n FROM s GROUP BY ALL), sa AS (SELECT measure, bucket, sum(n) AS n FROM s GROUP BY ALL),
 {_quantiles("a", "lang, source, ", "s")}, {_quantiles("b", "lang, ", "sl")}, {_quantiles("c", "", "sa")},
-q AS (SELECT a.lang, a.source, a.measure, CASE WHEN a.documents >= 100 THEN a.q1 WHEN b.documents >= 100 THEN b.q1 ELSE c.q1 END AS q1, CASE WHEN a.documents >= 100 THEN a.q3 WHEN b.documents >= 100 THEN b.q3 ELSE c.q3 END AS q3
+q AS (SELECT a.lang, a.source, a.measure, {_drawn("low")}, {_drawn("high")}
     FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN c ON c.measure = a.measure),
-f AS (SELECT lang, source, measure, round(q3 + greatest({quality.FENCE} * (q3 - q1), CASE measure {" ".join(f"WHEN '{m}' THEN {v}" for m, v in quality.MEASURES.items())} END), 3) AS fence FROM q),
-bad AS (SELECT DISTINCT k FROM x JOIN f ON f.lang IS NOT DISTINCT FROM x.lang AND f.source IS NOT DISTINCT FROM x.source AND f.measure = x.u.m WHERE x.u.v > f.fence)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND k NOT IN (SELECT k FROM bad) AS kept FROM m
+f AS (SELECT lang, source, measure, round(high + far, 3) AS most, CASE WHEN measure IN ({", ".join(f"'{m}'" for m, v in quality.MEASURES.items() if v["both"])}) THEN round(low - far, 3) END AS fewest
+    FROM (SELECT *, greatest({_of_measure("times")} * (high - low), {_of_measure("least")}) AS far FROM q)),
+bad AS (SELECT DISTINCT k FROM x JOIN f ON f.lang IS NOT DISTINCT FROM x.lang AND f.source IS NOT DISTINCT FROM x.source AND f.measure = x.u.m WHERE x.u.v > f.most OR x.u.v < f.fewest)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND k NOT IN (SELECT k FROM bad) AS kept FROM j
 """
 
 OP9_SQL = """

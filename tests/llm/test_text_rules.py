@@ -1,5 +1,6 @@
 """License scans and quality rules against plain versions."""
 
+import os
 import random
 import re
 
@@ -92,6 +93,17 @@ def test_thresholds_adapt_to_the_group(spark):
     assert not kept[2000] and kept[2001] and kept[2002] and sum(kept.values()) == len(rows) - 1
 
 
+def test_quality_labels(spark):
+    """Recall of poor documents and loss of good ones, and whether fences follow the sketch."""
+    data = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001").replace("sf0.001", "sf0.01")
+    if not os.path.isdir(data):
+        pytest.skip("needs the stored tables")
+    judged = quality.judge(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", "source"))
+    rows = judged.join(spark.read.parquet(f"{data}/labels.parquet").where("quality is not null"), "doc_id").select("quality", "base_failed", "kept").collect()
+    poor, good = [r for r in rows if r.quality == 0], [r for r in rows if r.quality == 1 and not r.base_failed]
+    assert sum(not r.kept for r in poor) >= 0.9 * len(poor) and sum(r.kept for r in good) >= 0.98 * len(good)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string")
     assert quality.judge(docs).collect() == [] and licenses.scan(docs).collect() == []
