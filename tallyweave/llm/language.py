@@ -28,6 +28,8 @@ PIECES, PIECE = 4, 250
 #: Bytes that are compressed at once: small enough that the dictionary counts throughout.
 BLOCK = 4096
 LEVEL = 6
+#: Dictionaries that a task holds ready at a time.
+READY = 32
 #: A margin under this share of the runner-up's bytes is narrow.
 NARROW = 0.005
 #: A margin of this share gives a score of about two thirds.
@@ -88,7 +90,17 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text: str = "
         parts.setdefault(name, set()).add((drawn_at, *found))
     for name, *_ in counts:
         made[name] = fill([d[1:] for d in sorted(parts.get(name, ()))])
-    return {k: v for k, v in made.items() if len(v) >= 8}
+    return {k: v.ljust(8) for k, v in made.items()}  # zstandard takes no shorter one
+
+
+def compressors(group: list[bytes]) -> list[zstandard.ZstdCompressor]:
+    """One for each raw-content dictionary."""
+    made = []
+    for raw in group:
+        words = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words.precompute_compress(level=LEVEL)
+        made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_checksum=False, write_content_size=False))
+    return made
 
 
 def sizes(text: str, coders: list[zstandard.ZstdCompressor]) -> np.ndarray:
@@ -102,27 +114,31 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     """docs with lang_pred, lang_score (0 to 1, from the margin over the runner-up)
     and lang_rejected (narrow margin). A null text, a text without a letter, and
     any text when nothing was learned give 'und', score 0, rejected. Of languages
-    with equal sizes the first in the dictionaries' order wins, rejected."""
+    with equal sizes the first in the dictionaries' order wins, rejected. Repeated
+    rows give repeated results; an empty table gives no rows. With more than READY
+    languages a task builds the dictionaries anew for each slice of texts, so that its
+    memory does not grow with their number."""
     names = list(dictionaries)
-    content = [dictionaries[n] for n in names]
+    groups = [[dictionaries[n] for n in names[at : at + READY]] for at in range(0, len(names), READY)]
 
     def run(batches: Iterator[list[pa.Array]]) -> Iterator[list[pa.Array]]:
-        coders = []
-        for raw in content:
-            words = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            words.precompute_compress(level=LEVEL)
-            coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_checksum=False, write_content_size=False))
+        ready = compressors(groups[0]) if len(groups) == 1 else None
         for (texts,) in batches:
-            made = []
-            for t in texts.to_pylist():
-                if t is None or not names or not _LETTER.search(t):
-                    made.append((UNDETERMINED, 0.0, True))
-                    continue
-                size = sizes(t, coders)
+            given = texts.to_pylist()
+            able = [k for k, t in enumerate(given) if t is not None and names and _LETTER.search(t)]
+            found = np.zeros((len(able), len(names)), np.int64)
+            at = 0
+            for group in groups:
+                coders = ready or compressors(group)
+                for row, k in enumerate(able):
+                    found[row, at : at + len(group)] = sizes(given[k], coders)
+                at += len(group)
+            made = [(UNDETERMINED, 0.0, True)] * len(given)
+            for size, k in zip(found, able):
                 best = int(size.argmin())
                 rest = np.delete(size, best)
                 margin = float((rest.min() - size[best]) / max(1, rest.min())) if len(rest) else 1.0
-                made.append((names[best], 1.0 - float(np.exp(-margin / USUAL)), margin < NARROW))
+                made[k] = (names[best], 1.0 - float(np.exp(-margin / USUAL)), margin < NARROW)
             yield [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()), pa.array([m[2] for m in made], pa.bool_())]
 
     fields = [T.StructField(prefix + "lang_pred", T.StringType()), T.StructField(prefix + "lang_score", T.DoubleType()), T.StructField(prefix + "lang_rejected", T.BooleanType())]
