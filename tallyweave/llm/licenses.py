@@ -31,25 +31,58 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Wording of public licenses' notices and grants, with mark-up, by label.
+# Wording of public licenses, their notices and grants, with mark-up, by label.
+_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY <<var;most=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+    TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+    <<var;most=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT
+    NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+    CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+    ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_CLAUSES = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: <<var;most=1>> Redistributions of source code must retain the above copyright notice, this list
+    of conditions and the following disclaimer. <<var;most=1>> Redistributions in binary form must reproduce the above copyright
+    notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+    distribution."""
+_BY = "<<beginOptional>>Licensed under<<endOptional>> <<beginOptional>>a<<endOptional>> <<beginOptional>>Creative Commons<<endOptional>> CC BY"
+_VERSION = "<<beginOptional>>4.0<<endOptional>> <<beginOptional>>3.0<<endOptional>> <<beginOptional>>International<<endOptional>> <<beginOptional>>License<<endOptional>>"
 TEMPLATES = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 <<beginOptional>>(the \"License\")<<endOptional>>",
     "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
         compliance with the License. You may obtain a copy of the License at <<var;most=12>> Unless required by applicable law or
         agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
-        CONDITIONS OF ANY KIND, either express or implied.""",
+        CONDITIONS OF ANY KIND, either express or implied. <<beginOptional>>See the License for the specific language governing
+        permissions and limitations under the License.<<endOptional>>""",
+    "bsd-2-clause": f"{_CLAUSES} {_DISCLAIMER}",
+    "bsd-3-clause": f"""{_CLAUSES} <<var;most=1>> Neither the name of <<var;most=12>> nor the names of its contributors may be used to
+        endorse or promote products derived from this software without specific prior written permission. {_DISCLAIMER}""",
     "bsd-redistribution": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
         that the following conditions are met <<beginOptional>>1<<endOptional>> Redistributions of source code must retain the above
         copyright notice, this list of conditions and the following disclaimer.""",
-    "cc-by-notice": """Licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>Creative Commons<<endOptional>> CC BY
-        <<beginOptional>>NC<<endOptional>> <<beginOptional>>SA<<endOptional>> <<beginOptional>>ND<<endOptional>>
-        <<beginOptional>>4.0<<endOptional>> <<beginOptional>>3.0<<endOptional>>""",
-    "cc-by-nc": "CC BY NC <<beginOptional>>SA<<endOptional>> <<beginOptional>>ND<<endOptional>>",
+    "cc-by-notice": f"{_BY} {_VERSION}",
+    "cc-by-sa-notice": f"{_BY} SA {_VERSION}",
+    "cc-by-nd-notice": f"{_BY} ND {_VERSION}",
+    "cc-by-nc-notice": f"{_BY} NC {_VERSION}",
+    "cc-by-nc-sa-notice": f"{_BY} NC SA {_VERSION}",
+    "cc-by-nc-nd-notice": f"{_BY} NC ND {_VERSION}",
     "gpl-notice": """<<beginOptional>>This work is<<endOptional>> licensed under <<beginOptional>>the terms of<<endOptional>> the GNU
         General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>>
         <<beginOptional>>either<<endOptional>> version <<var;most=1>>""",
-    "isc-grant": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-        granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies.
+        <<beginOptional>>THE SOFTWARE IS PROVIDED "AS IS" AND <<var;most=4>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;most=4>> BE LIABLE FOR ANY SPECIAL,
+        DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN
+        AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+        THIS SOFTWARE.<<endOptional>>""",
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+        to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+        whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+        notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+        WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+        PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;most=12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+        LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR
+        THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "mit-grant": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
         documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
         to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software
@@ -110,16 +143,32 @@ class Automaton:
         self.anchor = b" " + b" ".join(max(runs, key=len)) + b" "
 
     def match(self, words: list[bytes], at: int) -> int | None:
-        """The end of the shortest accepted stretch that begins at this word."""
-        states, last = self.after[0], len(self.words)
-        while True:
+        """The end of the longest accepted stretch that begins at this word."""
+        states, last, found = self.after[0], len(self.words), None
+        while states:
             if last in states:
-                return at
-            if at >= len(words) or not states:
-                return None
+                found = at
+            if at >= len(words):
+                break
             word = words[at]
-            states = frozenset().union(*(self.after[s + 1] for s in states if self.words[s] is None or self.words[s] == word))
+            states = frozenset().union(*(self.after[s + 1] for s in states if s < last and (self.words[s] is None or self.words[s] == word)))
             at += 1
+        return found
+
+
+def outermost(spans: list[dict]) -> list[dict]:
+    """Spans, by start and then label, less those that lie within a longer one: its
+    template says more of the same words."""
+    order = sorted(spans, key=lambda s: (s["start"], -s["end"], s["label"]))
+    kept: list[dict] = []
+    widest: dict | None = None
+    for s in order:
+        inside = widest is not None and s["end"] <= widest["end"] and s["end"] - s["start"] < widest["end"] - widest["start"]
+        if not inside:
+            kept.append(s)
+        if widest is None or s["end"] > widest["end"]:
+            widest = s
+    return kept
 
 
 class Scanner:
@@ -152,6 +201,7 @@ class Scanner:
                         if stop is not None:
                             spans.append({"label": label, "start": k, "end": stop})
                             end = stop
+        spans = outermost(spans)
         labels = sorted(base | {s["label"] for s in spans})
         covered = len({k for s in spans for k in range(s["start"], s["end"])})
         score = 0.0 if not labels else 0.5 + 0.5 * min(1.0, covered / max(1, len(words))) if spans else 0.25
@@ -176,9 +226,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     (the smallest and largest of those places, words counted from 0, null without
     one), base_labels, license_labels (with the templates'), license_score (0 with
     no label, 0.25 with phrases only, from 0.5 by the share of words that templates
-    cover) and license_spans (word ranges of template matches, end exclusive; of one
-    template they do not overlap). A null text counts as empty; repeated rows give
-    repeated results. At a place where two phrases begin the longer one counts."""
+    cover) and license_spans (word ranges of template matches, end exclusive, as long
+    as the template allows; of one template they do not overlap, and none lies within
+    a longer one of another). A null text counts as empty; repeated rows give repeated
+    results; an empty table gives no rows. At a place where two phrases begin the
+    longer one counts; templates that match the same words both give their labels."""
     given = (PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates)
     Scanner(*given)  # faulty templates are told here and not in a task
 

@@ -54,6 +54,33 @@ def test_template_regions(text, accepted):
     assert (found[5] == ["t"]) is accepted
 
 
+def labels_and_spans(text, templates=None):
+    found = licenses.Scanner(licenses.PHRASES, templates or licenses.TEMPLATES).scan(text.encode())
+    return [(s["label"], s["start"], s["end"]) for s in found[7]]
+
+
+def test_longest_stretch_and_the_more_specific_template():
+    assert labels_and_spans("x Licensed under CC BY-NC-SA 4.0 License y") == [("cc-by-nc-sa-notice", 1, 10)]
+    assert labels_and_spans("CC BY 4.0") == [("cc-by-notice", 0, 4)] and labels_and_spans("cc by nc") == [("cc-by-nc-notice", 0, 3)]
+    assert labels_and_spans('Licensed under the Apache License, Version 2.0 (the "License") x') == [("apache-2.0-notice", 0, 10)]
+    trailing = {"t": "stop <<beginOptional>>here <<var;most=2>> now<<endOptional>>"}
+    assert labels_and_spans("stop here a b now", trailing) == [("t", 0, 5)] and labels_and_spans("stop here a b c now", trailing) == [("t", 0, 1)]
+    assert labels_and_spans("stop stop here now stop", trailing) == [("t", 0, 1), ("t", 1, 4), ("t", 4, 5)]
+    assert labels_and_spans("a b c", {"u": "a b", "v": "a b", "w": "b c"}) == [("u", 0, 2), ("v", 0, 2), ("w", 1, 3)]
+
+
+@pytest.mark.parametrize("label", ["mit", "bsd-2-clause", "bsd-3-clause", "isc", "apache-2.0-header"])
+def test_whole_license_texts(label):
+    """A whole text, with names in its replaceable regions, once more with one mandatory word changed."""
+    plain = re.sub(r"<<(?:begin|end)Optional>>", "", licenses.TEMPLATES[label])
+    text = re.sub(r"<<var;most=1>>", "2.", plain)
+    text = re.sub(r"<<var;most=\d+>>", "Ann Lee AND CO", text)
+    words = len(WORD.findall(lower(text)))
+    assert labels_and_spans(f"Copyright 2001\n{text}\nint main;") == [(label, 2, words + 2)]
+    changed = re.sub("(?i)(warranties|conditions|permission)", "promises", text, count=1)
+    assert label not in [x for x, *_ in labels_and_spans(changed)]
+
+
 def test_faulty_templates():
     for template in ("<<beginOptional>>a", "a<<endOptional>>", "<<beginOptional>>a<<endOptional>>"):
         with pytest.raises(ValueError):
