@@ -3,7 +3,8 @@
 Each task turns the words of its documents into shards. A shard's suffix array
 sorts the suffixes of all training stretches that could hold a benchmark window:
 maximal runs whose neighbouring words stand side by side in some benchmark item.
-Any other word cannot belong to a match, so nothing is lost. Every benchmark suffix
+Any other word cannot belong to a match, so nothing is lost; training text that shares
+no two neighbouring words with the benchmark enters no array. Every benchmark suffix
 is binary-searched in every shard by its first words; the range it gets names all
 places where the window stands, and consecutive windows on one diagonal give the
 longest verbatim match of an item in a document. Hits are settled inside the task
@@ -30,6 +31,8 @@ WINDOW = 10
 BLOCK_BYTES = 32_000_000
 #: Bytes of training text in a suffix-array shard, about.
 SHARD_BYTES = 6_000_000
+#: Benchmark suffixes that are searched for at a time.
+SEARCHED = 200_000
 
 MATCH = T.StructType(
     [T.StructField("item_id", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("doc_word", T.LongType()), T.StructField("item_word", T.LongType())]
@@ -51,58 +54,68 @@ _ARROW = [
 
 
 class Block:
-    """The windows of some benchmark items, ready to be searched for."""
+    """Some benchmark items as word numbers, ready to be searched for; a dict of words
+    and plain arrays. A window is named by the place of its first word."""
 
-    def __init__(self, rows: list[tuple[str | None, str | None]], window: int = WINDOW) -> None:
+    def __init__(self, rows: Iterator[tuple[str | None, str | None]], window: int = WINDOW) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        number: dict[tuple[int, ...], int] = {}
-        places: list[list[tuple[int, int]]] = []
         self.items: list[str | None] = []
-        pairs: set[tuple[int, int]] = set()
+        parts, sizes = [], []
+        number = self.vocabulary.setdefault
         for item_id, text in rows:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in plain_words((text or "").encode())]
-            if not words:
-                continue
-            pairs.update(zip(words, words[1:]))
-            size = min(window, len(words))
-            for at in range(len(words) - size + 1):
-                k = number.setdefault(tuple(words[at : at + size]), len(places))
-                if k == len(places):
-                    places.append([])
-                places[k].append((len(self.items), at))
-            self.items.append(item_id)
-        self.windows = list(number)
-        self.sizes = np.array([len(w) for w in self.windows], np.int64)
-        self.least = int(self.sizes.min()) if len(self.sizes) else 0
-        self.v = max(1, len(self.vocabulary))
-        self.links = np.array(sorted(a * self.v + b for a, b in pairs), np.int64)
+            words = plain_words((text or "").encode())
+            if words:
+                parts.append(np.array([*(number(w, len(self.vocabulary)) for w in words), -1], np.int32))
+                sizes.append(len(words))
+                self.items.append(item_id)
+        self.words = np.concatenate([np.zeros(0, np.int32), *parts])  # -1 after each item
+        del parts
+        sizes = np.array(sizes, np.int64)
+        self.starts = np.cumsum(sizes + 1) - (sizes + 1)
+        self.window, self.v = window, max(1, len(self.vocabulary))
+        self.least = int(min(window, sizes.min(initial=window)))
+        pairs = self.pair(self.words[:-1], self.words[1:])
+        self.links = np.unique(pairs[pairs >= 0])
         self.table = None
         if self.v * self.v <= 1 << 26:
             self.table = np.zeros(self.v * self.v, bool)
             self.table[self.links] = True
-        # The places of window k are those from first[k] to first[k + 1].
-        self.first = np.cumsum([0, *map(len, places)])
-        self.place = np.array([p for x in places for p in x], np.int64).reshape(-1, 2)
-        self.by_size = {int(s): np.flatnonzero(self.sizes == s) for s in np.unique(self.sizes)}
-        self.words_by_size = {s: np.array([self.windows[k] for k in of], np.int64).reshape(len(of), s) for s, of in self.by_size.items()}
+        # First words of all windows, by size and then by their first two words.
+        room = np.repeat(sizes, sizes + 1) - (np.arange(len(self.words)) - np.repeat(self.starts, sizes + 1))
+        whole, short = room >= window, np.zeros(len(self.words), bool)
+        short[self.starts[sizes < window]] = True
+        self.by_size = {}
+        for size in np.unique(np.append(sizes[sizes < window], [window] if whole.any() else [])).astype(int).tolist():
+            at = np.flatnonzero(whole if size == window else short & (room == size))
+            key = pairs[at] if size > 1 else self.words[at].astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            self.by_size[size] = (key[order], at[order].astype(np.int32))
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A number for two words side by side, -1 if one is none of the items'."""
+        return np.where((a >= 0) & (b >= 0), a.astype(np.int64) * self.v + b, -1)
+
+    def place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The item of each window, and the window's first word in it."""
+        item = np.searchsorted(self.starts, at, "right") - 1
+        return item, at - self.starts[item]
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
     def linked(self, ids: np.ndarray) -> np.ndarray:
         """Whether each word and its successor stand side by side in an item."""
-        a, b = ids[:-1], ids[1:]
-        known = (a >= 0) & (b >= 0)
-        key = np.where(known, a * self.v + b, 0)
+        key = self.pair(ids[:-1], ids[1:])
+        known = key >= 0
         if self.table is not None:
-            return known & self.table[key]
+            return known & self.table[np.where(known, key, 0)]
         at = np.minimum(np.searchsorted(self.links, key), max(0, len(self.links) - 1))
         return known & (self.links[at] == key if len(self.links) else False)
 
     def stretches(self, ids: np.ndarray) -> np.ndarray:
         """Positions of the runs of linked words that are as long as the shortest
         window, each run followed by -1. A document ends with a word of -1."""
-        if not self.least or not len(ids):
+        if not len(self.items) or not len(ids):
             return np.zeros(0, np.int64)
         joined = self.linked(ids)
         starts = np.flatnonzero(np.concatenate([[True], ~joined]))
@@ -149,27 +162,33 @@ def search(ids: np.ndarray, order: np.ndarray, wanted: np.ndarray) -> tuple[np.n
     return bounds[0], bounds[1]
 
 
-def occurrences(block: Block, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, position) of all places where a window stands in these words."""
+def occurrences(block: Block, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, size, position) of all places where a window stands in these words."""
     at = block.stretches(ids)
     none = np.zeros(0, np.int64)
     if not len(at):
-        return none, none
+        return none, none, none
     words = np.where(at >= 0, ids[at], -1)
-    order = suffix_array(words, int(block.sizes.max()))
-    pairs = np.unique(words[:-1] * block.v + words[1:])
-    found = []
-    for size, of in block.by_size.items():
-        wanted = block.words_by_size[size]
-        if size > 1:  # a suffix whose first two words never meet here has an empty range
-            there = np.isin(wanted[:, 0] * block.v + wanted[:, 1], pairs)
-            of, wanted = of[there], wanted[there]
-        if len(of):
-            low, high = search(words, order, wanted)
-            many = high - low
-            where = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-            found.append((np.repeat(of, many), at[order[where]]))
-    return tuple(np.concatenate([x[k] for x in found]) if found else none for k in (0, 1))
+    order = suffix_array(words, max(block.by_size))
+    pairs = np.unique(block.pair(words[:-1], words[1:]))
+    found = [(none, none, none)]
+    for size, (keys, windows) in block.by_size.items():
+        # A suffix whose first two words never meet here has an empty range.
+        here = pairs if size > 1 else np.unique(words)
+        low, high = np.searchsorted(keys, here, "left"), np.searchsorted(keys, here, "right")
+        some = windows[_ranges(low, high)[0]].astype(np.int64)
+        for a in range(0, len(some), SEARCHED):
+            wanted = some[a : a + SEARCHED]
+            low, high = search(words, order, block.words[wanted[:, None] + np.arange(size)])
+            where, row = _ranges(low, high)
+            found.append((wanted[row], np.full(len(row), size), at[order[where]]))
+    return tuple(np.concatenate([x[k] for x in found]) for k in range(3))
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and the range of each."""
+    many = high - low
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many), np.repeat(np.arange(len(low)), many)
 
 
 def _spans(covered: np.ndarray) -> list[list[int]]:
@@ -186,17 +205,14 @@ def settle(block: Block, texts: list[bytes]) -> list[tuple]:
     for at, w in zip(starts.tolist(), words):
         ids[at : at + len(w)] = block.ids(w)
     out: list[tuple] = [(int(n), [], [], 0, []) for n in sizes]
-    window, position = occurrences(block, ids)
+    window, size, position = occurrences(block, ids)
     if not len(window):
         return out
     change = np.zeros(len(ids) + 1, np.int64)
     np.add.at(change, position, 1)
-    np.add.at(change, position + block.sizes[window], -1)
+    np.add.at(change, position + size, -1)
     covered = np.cumsum(change) > 0
-    many = block.first[window + 1] - block.first[window]
-    where = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(block.first[window], many)
-    item, start = block.place[where].T
-    position, size = np.repeat(position, many), np.repeat(block.sizes[window], many)
+    item, start = block.place(window)
     doc = np.searchsorted(starts, position, "right") - 1
     order = np.lexsort((position, position - start, item, doc))
     doc, item, start, position, size = (x[order] for x in (doc, item, start, position, size))
@@ -228,13 +244,14 @@ def _merge(a: tuple, b: tuple) -> tuple:
     return a[0], spans, named, len(named), [*a[4], *b[4]]
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[Iterator[tuple[str | None, str | None]]]:
     """The items, about BLOCK_BYTES of text at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, math.ceil(size / BLOCK_BYTES))
     for k in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+        table = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow()
+        yield ((i, t) for batch in table.to_batches(1000) for i, t in zip(*(c.to_pylist() for c in batch.columns)))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, prefix: str = "") -> DataFrame:
@@ -245,8 +262,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     A null text has no words and no hits. An item without words has no window; an
     item whose id is null can hit but is not named. Repeated documents give
-    repeated results; equal items of different ids are all named. The new columns'
-    names begin with `prefix` and replace columns of the same names."""
+    repeated results; equal items of different ids are all named. An empty benchmark
+    hits nothing, an empty table gives no rows. The new columns' names begin with
+    `prefix` and replace columns of the same names."""
     fields = [T.StructField(prefix + f.name, f.dataType) for f in FIELDS]
     names = [f.name for f in fields]
     out = without(docs, names)
