@@ -138,6 +138,34 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).when(F.contains(a, b) | F.contains(b, a), 0.85 + 0.15 * short / long).otherwise(jaccard)
 
 
+def margin_key(text: Column) -> Column:
+    """A margin line without bars, digits and blanks."""
+    return stripped(F.regexp_replace(F.coalesce(text, F.lit("")), "[|｜0-9]", ""))
+
+
+def margin_template(text: Column) -> Column:
+    """A margin line with # for each number, half-width, without blanks."""
+    return stripped(fold_width(F.regexp_replace(F.coalesce(text, F.lit("")), "[0-9]+", "#")))
+
+
+def _common(a: Column, b: Column) -> Column:
+    x, y = (F.array_distinct(F.split(c, "")) for c in (a, b))
+    return F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
+
+
+def margin_similarity(a: Column, b: Column) -> Column:
+    """C50, of margins: 1 for equal keys, .92 where one contains the other, else the
+    share of common characters."""
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.92).otherwise(_common(a, b))
+
+
+def contents_similarity(a: Column, b: Column) -> Column:
+    """C50, of contents entries: 1 for equal titles; .85 and more where one contains the
+    other; else three quarters of the share of common characters."""
+    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).when(F.contains(a, b) | F.contains(b, a), 0.85 + 0.15 * short / long).otherwise(0.75 * _common(a, b))
+
+
 def chinese_gate(text: Column) -> Column:
     """Whether a document reads as Chinese: few letters pass, and so does one
     whose Latin letters do not outweigh its Chinese characters. The first 8000

@@ -19,26 +19,45 @@ def _expected_of(expected: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(expected, "source")
 
 
-def compare_sections(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """I-th expected against i-th found section: missing is high, extra
-    and another name are medium."""
-    e = _expected_of(expected, found).select("doc_id", "pos", F.col("name").alias("want"))
-    f = found.select("doc_id", "pos", F.col("name").alias("got"))
-    j = e.join(f, ["doc_id", "pos"], "full")
-    kind = F.when(F.col("got").isNull(), "missing").when(F.col("want").isNull(), "extra").when(X.folded(F.col("want")) != X.folded(F.col("got")), "name")
-    level = F.when(kind == "missing", "high").otherwise("medium")
-    return j.withColumn("kind", kind).where("kind is not null").select("doc_id", "kind", level.alias("severity"), F.col("pos").cast("string").alias("item"))
+def _by_place(e: DataFrame, f: DataFrame, place: list[str], mark: str) -> DataFrame:
+    """What stands at each place of (doc_id, place..., name): missing is high, extra and
+    another name are medium."""
+    j = e.select("doc_id", *place, F.col("name").alias("want")).join(f.select("doc_id", *place, F.col("name").alias("got")), ["doc_id", *place], "full")
+    kind = F.when(F.col("got").isNull(), f"{mark}missing").when(F.col("want").isNull(), f"{mark}extra").when(X.folded(F.col("want")) != X.folded(F.col("got")), f"{mark}name")
+    level = F.when(kind == f"{mark}missing", "high").otherwise("medium")
+    return j.withColumn("kind", kind).where("kind is not null").select("doc_id", "kind", level.alias("severity"), F.concat_ws(".", *place).alias("item"))
 
 
-def compare_headers(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """Headers of a section that are expected and not found (high), or found and
-    not expected (low), on folded text."""
-    split = lambda df: df.select("doc_id", "pos", F.explode(F.array_distinct(F.transform(F.split("headers", ","), X.folded))).alias("header")).where("header <> ''")
-    e, f = split(_expected_of(expected, found)), split(found)
-    there = found.select("doc_id", "pos").distinct()
-    item = F.concat_ws(":", "pos", "header")
-    lost = mismatch(e.join(there, ["doc_id", "pos"], "left_semi").join(f, ["doc_id", "pos", "header"], "left_anti"), "header_missing", "high", item)
-    return lost.unionByName(mismatch(f.join(e, ["doc_id", "pos", "header"], "left_anti"), "header_extra", "low", item))
+def compare_sections(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """I-th expected against i-th found section."""
+    return _by_place(_expected_of(expected, found), found, ["pos"], "")
+
+
+def compare_subsections(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """I-th expected against i-th found subsection (pos, sub) of the sections that
+    both have; sub is null for a section itself."""
+    e = _expected_of(expected, found)
+    both = e.where("sub is null").select("doc_id", "pos").join(found.where("sub is null").select("doc_id", "pos"), ["doc_id", "pos"], "left_semi")
+    part = lambda df: df.where("sub is not null").join(both, ["doc_id", "pos"], "left_semi")
+    return _by_place(part(e), part(found), ["pos", "sub"], "sub_")
+
+
+def compare_headers(expected: DataFrame, found: DataFrame, place: list[str] | None = None) -> DataFrame:
+    """Headers of a section, or of a subsection (place pos and sub), that are
+    expected and not found (high), or found and not expected (low), on folded text.
+    Extra headers count where something was expected at that place, or for sections."""
+    place = place or ["pos"]
+    split = lambda df: df.select("doc_id", *place, F.explode(F.array_distinct(F.transform(F.split("headers", ","), X.folded))).alias("header")).where("header <> ''")
+    whole = _expected_of(expected, found)
+    if len(place) > 1:
+        whole, found = whole.where("sub is not null"), found.where("sub is not null")
+        found = found.join(whole.select("doc_id", *place), ["doc_id", *place], "left_semi")
+    e, f = split(whole), split(found)
+    there = found.select("doc_id", *place).distinct()
+    item = F.concat(F.concat_ws(".", *place), F.lit(":"), F.col("header"))
+    mark = "sub_" if len(place) > 1 else ""
+    lost = mismatch(e.join(there, ["doc_id", *place], "left_semi").join(f, ["doc_id", *place, "header"], "left_anti"), f"{mark}header_missing", "high", item)
+    return lost.unionByName(mismatch(f.join(e, ["doc_id", *place, "header"], "left_anti"), f"{mark}header_extra", "low", item))
 
 
 def compare_descriptions(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -59,6 +78,13 @@ def repair_headers(expected: DataFrame, found: DataFrame) -> DataFrame:
     return j.withColumn("headers", F.when(F.size("got") == F.size("want"), F.array_join(fixed, ",")).otherwise(F.col("headers"))).drop("got", "want")
 
 
+def clear_other(found: DataFrame) -> DataFrame:
+    """F8: a section named by a number and "其他" has one input field only: no headers
+    and no description."""
+    other = F.trim("name").rlike(r"[0-9]+\.?\s*其他$")
+    return found.withColumns({c: F.when(other, "").otherwise(F.col(c)) for c in ("headers", "description")})
+
+
 def drop_copied(found: DataFrame, appendix: int) -> DataFrame:
     """F8: a section whose headers equal the appendix's has none."""
     a = found.where(F.col("pos") == appendix).select("doc_id", F.col("headers").alias("__a"))
@@ -125,6 +151,14 @@ def grouped(exceptions: DataFrame, types: DataFrame) -> DataFrame:
     return types.join(items, "type_id", "left").select("type_id", "batch_id", F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
 
 
+def grouped_rows(exceptions: DataFrame, types: DataFrame) -> DataFrame:
+    """A13 and O5 as rows, for groups of any size: every type, and the place of each of
+    its records by sheet, code and record; a type without any has one row of nulls."""
+    over = Window.partitionBy("type_id", "batch_id").orderBy("sheet", "code", "rec_id")
+    items = exceptions.select("type_id", "batch_id", "sheet", "code", "rec_id").distinct().withColumn("place", F.row_number().over(over))
+    return types.select("type_id").distinct().join(items, "type_id", "left")
+
+
 def company_report(exceptions: DataFrame) -> DataFrame:
     """One entry of each (type, record, sheet, company), listed by batch
     and company."""

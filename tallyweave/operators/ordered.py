@@ -154,17 +154,27 @@ def slice_between(lines: DataFrame, start: Column, end: Column) -> DataFrame:
 
 
 def repeated_margins(paged: DataFrame, pages_seen: int = 5) -> DataFrame:
-    """Header candidates of each document: the first line of its first pages,
-    kept where at least 60 % of these pages, two at least, have the same key."""
-    edge = paged.where(F.col("page") <= pages_seen).groupBy("doc_id", "page").agg(F.min_by("text", "line_no").alias("first"))
-    keyed = edge.withColumn("key", X.title_key(F.col("first"))).where("key <> ''")
+    """Header and footer of each document, from the first and last lines of its
+    first pages (the rule itself looks at no more). The header is the key whose line is
+    like the first lines of at least 60 % of these pages, two at least (similarity .90
+    or more); the footer is the most frequent template (digits become #) of short last
+    lines with a digit, on at least half of the pages. Of equal ones the first page's."""
+    edge = paged.where(F.col("page") <= pages_seen).groupBy("doc_id", "page").agg(F.min_by("text", "line_no").alias("first"), F.max_by("text", "line_no").alias("last"))
     total = edge.groupBy("doc_id").agg(F.count("*").alias("pages"))
-    counted = keyed.groupBy("doc_id", "key").agg(F.count("*").alias("n")).join(total, "doc_id")
-    return counted.where(F.col("n") >= F.greatest(F.lit(2.0), 0.6 * F.col("pages"))).select("doc_id", "key", "n")
+    share = lambda part: F.greatest(F.lit(2), F.floor(part * F.col("pages")))
+    best = F.max_by(F.struct("key", "n"), F.struct("n", -F.col("page")))
+    keyed = edge.select("doc_id", "page", X.margin_key(F.col("first")).alias("key"))
+    other = keyed.select("doc_id", F.col("key").alias("other"))
+    like = keyed.where("key <> ''").join(other, "doc_id").groupBy("doc_id", "page", "key").agg(F.count_if(X.margin_similarity(F.col("key"), F.col("other")) >= 0.9).alias("n"))
+    header = like.join(total, "doc_id").where(F.col("n") >= share(0.6)).groupBy("doc_id").agg(best.alias("b")).select("doc_id", F.lit("header").alias("kind"), "b.key", "b.n")
+    short = edge.where((F.length(F.trim("last")) <= 40) & F.col("last").rlike("[0-9]")).select("doc_id", "page", X.margin_template(F.col("last")).alias("key"))
+    often = short.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.min("page").alias("page")).groupBy("doc_id").agg(best.alias("b"))
+    footer = often.join(total, "doc_id").where(F.col("b.n") >= share(0.5)).select("doc_id", F.lit("footer").alias("kind"), "b.key", "b.n")
+    return header.unionByName(footer)
 
 
 def drop_margins(paged: DataFrame, margins: DataFrame) -> DataFrame:
     """Lines that are no margin of their document and no bare page number."""
-    keyed = paged.withColumn("__key", X.title_key(F.col("text")))
-    m = margins.select("doc_id", F.col("key").alias("__key"))
-    return keyed.join(m, ["doc_id", "__key"], "left_anti").where(~F.trim("text").rlike(r"^[-—\s]*[0-9]+[-—\s]*$")).select(*paged.columns)
+    keyed = paged.withColumns({"__header": X.margin_key(F.col("text")), "__footer": X.margin_template(F.col("text"))})
+    of = lambda kind: margins.where(F.col("kind") == kind).select("doc_id", F.col("key").alias(f"__{kind}"))
+    return keyed.join(of("header"), ["doc_id", "__header"], "left_anti").join(of("footer"), ["doc_id", "__footer"], "left_anti").where(~F.trim("text").rlike(r"^[-—\s]*[0-9]+[-—\s]*$")).select(*paged.columns)

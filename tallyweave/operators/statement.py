@@ -179,11 +179,19 @@ def merge_partials(rows: DataFrame, key: str, seq: str, first: list[str], any_of
 
 
 def keep_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """The first row of each key. A null key is a key of its own."""
+    """The first row of each key. A null key is a key of its own."""
     named = rows.withColumn("__key", F.coalesce(key.cast("string"), F.lit("None")))
     return named.groupBy("__key").agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
 
 
+def distinct_seals(rows: DataFrame, code: str, colour: str, fields: list[str], order: str) -> DataFrame:
+    """The first seal of each code and colour; a seal without a code is distinct by
+    all its fields."""
+    has = F.coalesce(F.col(code), F.lit("")) != ""
+    key = F.when(has, F.to_json(F.struct(code, colour))).otherwise(F.concat(F.lit("all:"), F.to_json(F.struct(*fields))))
+    return rows.groupBy(key.alias("__key")).agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
+
 def longest_of_pass(first: DataFrame, second: DataFrame, key: str, code: str) -> DataFrame:
     """The second pass's longest code replaces the first's if at least as long."""
     best = second.where(F.col(code).isNotNull()).groupBy(key).agg(F.max(F.struct(F.length(code).alias("l"), F.col(code).alias("c"))).alias("b"))

@@ -38,7 +38,7 @@ def offsets(ops: DataFrame) -> DataFrame:
 
 
 def page_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pages of equal number: equal, modified, added or deleted. Pages
+    """Pages of equal number: equal, modified, added or deleted. Pages
     whose characters agree in any order are equal."""
     left = a.select("doc_id", "page", F.col("text").alias("a"))
     right = b.select("doc_id", "page", F.col("text").alias("b"))
@@ -47,6 +47,25 @@ def page_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, ["doc_id", "page"], "full").select("doc_id", "page", kind.alias("diff_type"))
 
 
+def page_verdicts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """What page_diff() says, and for modified pages a closer look at their blocks
+    (doc_id, page, line_no, is_table, text). With equally many blocks of the same kinds
+    the i-th is compared with the i-th, tables cell by cell; else lines are compared in
+    any order. A page in which no op is a change is equal."""
+    packed = lambda df, s: df.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "is_table", "text"))).alias(s))
+    text = lambda s: F.array_join(F.col(f"{s}.text"), "\n").alias("text")
+    x, y = packed(a, "x"), packed(b, "y")
+    base = page_diff(x.select("doc_id", "page", text("x")), y.select("doc_id", "page", text("y")))
+    cells = lambda l, r: (F.size(F.split(l, r"\|")) == F.size(F.split(r, r"\|"))) & F.forall(F.arrays_zip(F.split(l, r"\|").alias("l"), F.split(r, r"\|").alias("r")), lambda c: cell_equal(c["l"], c["r"]))
+    block = lambda z: F.when(z["x"]["is_table"], cells(z["x"]["text"], z["y"]["text"])).otherwise(X.stripped(z["x"]["text"]) == X.stripped(z["y"]["text"]))
+    bare = lambda s: F.array_sort(F.transform(F.col(f"{s}.text"), X.stripped))
+    structured = F.forall(F.arrays_zip("x", "y"), block)
+    unchanged = F.when(F.col("x.is_table") == F.col("y.is_table"), structured).otherwise(bare("x") == bare("y"))
+    joined = base.join(x, ["doc_id", "page"], "left").join(y, ["doc_id", "page"], "left")
+    verdict = F.when((F.col("diff_type") == "modified") & unchanged, "equal").otherwise(F.col("diff_type"))
+    return joined.select("doc_id", "page", verdict.alias("diff_type"))
+
+
 def page_text(lines: DataFrame, size: int) -> DataFrame:
     """Pages of `size` lines each, as one text."""
     page = F.expr(f"line_no div {size}").alias("page")
@@ -70,23 +89,67 @@ def match_pages(a: DataFrame, b: DataFrame, band: int, least: float = 0.3) -> Da
     return ranked.where("x = 1 and y = 1").select("doc_id", "a_page", "b_page", "score")
 
 
+#: Levels that a section's ancestors can have.
+ANCESTORS = 3
+
+
+def with_paths(sections: DataFrame, own: Column) -> DataFrame:
+    """Sections with self (their own name), up (their ancestors' names) and path (both),
+    names joined by '/'. A parent that is not there ends the path."""
+    work = sections.withColumn("self", own)
+    out, above = work, "parent"
+    for k in range(1, ANCESTORS + 1):
+        names = work.select("doc_id", F.col("line_no").alias(above), F.col("self").alias(f"__s{k}"), F.col("parent").alias(f"__p{k}"))
+        out, above = out.join(names, ["doc_id", above], "left"), f"__p{k}"
+    ancestors = [F.col(f"__s{k}") for k in range(ANCESTORS, 0, -1)]
+    return out.withColumns({"up": F.concat_ws("/", *ancestors), "path": F.concat_ws("/", *ancestors, "self")})
+
+
 def align_sections(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Sections of equal level, title and beginning, by occurrence; matched ones
-    are equal or modified by their text, others deleted or added."""
+    """Sections of equal level, title and beginning meet under parents that meet,
+    by occurrence; they are equal or modified by their text. What is left under such a
+    pair meets by position (modified) or is deleted or added, its subtree included:
+    sections below it have no row of their own."""
     sign = F.concat_ws("|", "level", X.stripped(F.col("title")), F.substring(X.stripped(F.col("body")), 1, 200))
-    side = lambda df, s: occurrences(df, sign, ["doc_id"], "line_no").select("doc_id", "key", "nth", F.col("line_no").alias(f"{s}_line"), F.col("body").alias(f"{s}_body"))
-    joined = side(a, "a").join(side(b, "b"), ["doc_id", "key", "nth"], "full")
-    kind = F.when(F.col("a_line").isNull(), "added").when(F.col("b_line").isNull(), "deleted").when(X.stripped(F.col("a_body")) == X.stripped(F.col("b_body")), "equal").otherwise("modified")
-    return joined.select("doc_id", "a_line", "b_line", kind.alias("diff_type"))
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        keyed = df.select("doc_id", "line_no", "parent", "body", sign.alias("key"))
+        nth = F.row_number().over(Window.partitionBy("doc_id", "parent", "key").orderBy("line_no"))
+        named = with_paths(keyed, F.concat_ws("#", "key", nth))
+        return named.select("doc_id", "path", F.col("up").alias(f"{s}_up"), F.col("line_no").alias(f"{s}_line"), F.col("body").alias(f"{s}_body"))
+
+    joined = side(a, "a").join(side(b, "b"), ["doc_id", "path"], "full").withColumn("up", F.coalesce("a_up", "b_up"))
+    both = F.col("a_line").isNotNull() & F.col("b_line").isNotNull()
+    same = F.when(X.stripped(F.col("a_body")) == X.stripped(F.col("b_body")), "equal").otherwise("modified")
+    met = joined.where(both).select("doc_id", "a_line", "b_line", same.alias("diff_type"))
+    parents = joined.where(both).select("doc_id", F.col("path").alias("up")).distinct()
+    lone = joined.where(~both)
+    under = lone.where("up = ''").unionByName(lone.join(parents, ["doc_id", "up"], "left_semi"))
+    place = lambda s: under.where(F.col(f"{s}_line").isNotNull()).select("doc_id", "up", f"{s}_line", F.row_number().over(Window.partitionBy("doc_id", "up").orderBy(f"{s}_line")).alias("place"))
+    rest = place("a").join(place("b"), ["doc_id", "up", "place"], "full")
+    kind = F.when(F.col("a_line").isNull(), "added").when(F.col("b_line").isNull(), "deleted").otherwise("modified")
+    return met.unionByName(rest.select("doc_id", "a_line", "b_line", kind.alias("diff_type")))
 
 
 def pair_by_position(a: DataFrame, b: DataFrame) -> DataFrame:
-    """I-th section with i-th section; equal or containing titles pair, others
-    are missing on both sides, tails on one."""
-    side = lambda df, s: df.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")).alias("pos"), X.title_key(F.col("title")).alias(f"{s}_key"))
+    """The i-th child of a section with the i-th child of the section it is paired
+    with; equal or containing titles pair, others put both subtrees into the remainder,
+    tails are missing on one side. Below a section that is not paired nothing is shown."""
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        place = F.lpad(F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("line_no")).cast("string"), 6, "0")
+        named = with_paths(df.select("doc_id", "line_no", "parent", "title", place.alias("place")), F.col("place"))
+        return named.select("doc_id", "path", F.col("line_no").alias(f"{s}_line"), X.title_key(F.col("title")).alias(f"{s}_key"))
+
     x, y = F.col("a_key"), F.col("b_key")
     kind = F.when(x.isNull(), "missing_in_a").when(y.isNull(), "missing_in_b").when((x == y) | ((x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))), "paired").otherwise("both_missing")
-    return side(a, "a").join(side(b, "b"), ["doc_id", "pos"], "full").select("doc_id", "pos", kind.alias("kind"))
+    joined = side(a, "a").join(side(b, "b"), ["doc_id", "path"], "full").select("doc_id", "path", "a_line", "b_line", kind.alias("kind"))
+    size = 7  # of a place and the mark after it
+    steps = F.sequence(F.lit(size - 1), F.length("path") - size, F.lit(size))
+    above = joined.where(F.length("path") > size).select("doc_id", "path", F.explode(F.transform(steps, lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("up"))
+    open_ = joined.where("kind = 'paired'").select("doc_id", F.col("path").alias("up"))
+    shut = above.join(open_, ["doc_id", "up"], "left_anti").select("doc_id", "path").distinct()
+    return joined.join(shut, ["doc_id", "path"], "left_anti")
 
 
 def match_units(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -122,8 +185,20 @@ def pair_rows(a: DataFrame, b: DataFrame, shared: list[str], row_id: str) -> Dat
     return joined.select("a_row", "b_row", kind.alias("kind"))
 
 
+def row_cells(a: DataFrame, b: DataFrame, signature: list[str], row_id: str, columns: list[str]) -> DataFrame:
+    """Rows aligned by their signature columns, each used once in order; cells of a
+    pair are same or changed, by position, those of other rows deleted or added."""
+    joined = pair_rows(a, b, signature, row_id)
+    left = a.select(F.col(row_id).alias("a_row"), *[F.col(c).cast("string").alias(f"a_{c}") for c in columns])
+    right = b.select(F.col(row_id).alias("b_row"), *[F.col(c).cast("string").alias(f"b_{c}") for c in columns])
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("place"), F.col(f"a_{c}").alias("a"), F.col(f"b_{c}").alias("b")) for k, c in enumerate(columns)])).alias("x")
+    out = joined.join(left, "a_row", "left").join(right, "b_row", "left").select("a_row", "b_row", cells)
+    kind = F.when(F.col("a_row").isNull(), "added").when(F.col("b_row").isNull(), "deleted").when(cell_equal(F.col("x.a"), F.col("x.b")), "same").otherwise("changed")
+    return out.select("a_row", "b_row", "x.place", kind.alias("kind"))
+
+
 def cell_diffs(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Differing cells of rows with the same key: only on one side, a
+    """Differing cells of rows with the same key: only on one side, a
     value that differs, or other text."""
     left = a.select(key, *[F.col(c).cast("string").alias(f"a_{c}") for c in columns])
     right = b.select(key, *[F.col(c).cast("string").alias(f"b_{c}") for c in columns])

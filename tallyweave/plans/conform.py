@@ -63,6 +63,38 @@ def f8(spark, d):
     return C.drop_copied(table(spark, d, "found"), 4).select("doc_id", "pos", "headers")
 
 
+@query("f8_other_cleared", """SELECT doc_id, pos, CASE WHEN regexp_matches(trim(name), '[0-9]+\\.?\\s*其他$') THEN '' ELSE headers END AS headers, CASE WHEN regexp_matches(trim(name), '[0-9]+\\.?\\s*其他$') THEN '' ELSE description END AS description FROM {found_other}""")
+def f8_other(spark, d):
+    return C.clear_other(table(spark, d, "found_other")).select("doc_id", "pos", "headers", "description")
+
+
+_SUB_E = _EOF.replace("{found}", "{found_subs}").replace("{expected}", "{expected_subs}")
+_SUB = f"""(WITH e AS (SELECT * FROM {_SUB_E}), s AS (SELECT e.doc_id, e.pos FROM e JOIN {{found_subs}} f ON f.doc_id = e.doc_id AND f.pos = e.pos WHERE e.sub IS NULL AND f.sub IS NULL),
+    x AS (SELECT e.* FROM e JOIN s USING (doc_id, pos) WHERE e.sub IS NOT NULL), y AS (SELECT f.* FROM {{found_subs}} f JOIN s USING (doc_id, pos) WHERE f.sub IS NOT NULL)
+    SELECT doc_id, kind, CASE WHEN kind = 'sub_missing' THEN 'high' ELSE 'medium' END AS severity, item FROM (SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, CAST(coalesce(x.pos, y.pos) AS VARCHAR) || '.' || CAST(coalesce(x.sub, y.sub) AS VARCHAR) AS item,
+    CASE WHEN y.name IS NULL THEN 'sub_missing' WHEN x.name IS NULL THEN 'sub_extra' WHEN {_fold('x.name')} <> {_fold('y.name')} THEN 'sub_name' END AS kind FROM x FULL JOIN y ON x.doc_id = y.doc_id AND x.pos = y.pos AND x.sub = y.sub) WHERE kind IS NOT NULL)"""
+
+
+def _sub_heads(t: str) -> str:
+    return f"(SELECT DISTINCT doc_id, pos, sub, {_fold('h')} AS header FROM (SELECT doc_id, pos, sub, unnest(string_split(headers, ',')) AS h FROM {t} WHERE sub IS NOT NULL) WHERE {_fold('h')} <> '')"
+
+
+_SUB_HEAD = f"""(WITH e AS (SELECT * FROM {_SUB_E} WHERE sub IS NOT NULL), f AS (SELECT f.* FROM {{found_subs}} f JOIN e ON e.doc_id = f.doc_id AND e.pos = f.pos AND e.sub = f.sub), g AS (SELECT e.* FROM e JOIN f ON e.doc_id = f.doc_id AND e.pos = f.pos AND e.sub = f.sub),
+    want AS {_sub_heads('g')}, got AS {_sub_heads('f')}
+    SELECT doc_id, 'sub_header_missing' AS kind, 'high' AS severity, CAST(pos AS VARCHAR) || '.' || CAST(sub AS VARCHAR) || ':' || header AS item FROM want ANTI JOIN got USING (doc_id, pos, sub, header)
+    UNION ALL SELECT doc_id, 'sub_header_extra', 'low', CAST(pos AS VARCHAR) || '.' || CAST(sub AS VARCHAR) || ':' || header FROM got ANTI JOIN want USING (doc_id, pos, sub, header))"""
+
+
+@query("j12_subsections", f"SELECT * FROM {_SUB}")
+def j12(spark, d):
+    return C.compare_subsections(table(spark, d, "expected_subs"), table(spark, d, "found_subs"))
+
+
+@query("j11_subsection_headers", f"SELECT * FROM {_SUB_HEAD}")
+def j11_subs(spark, d):
+    return C.compare_headers(table(spark, d, "expected_subs"), table(spark, d, "found_subs"), ["pos", "sub"])
+
+
 _ALL = f"(SELECT * FROM {_SEC} UNION ALL SELECT * FROM {_HEAD} UNION ALL SELECT * FROM {_DESC})"
 
 
@@ -122,6 +154,12 @@ def a13(spark, d):
     return C.grouped(table(spark, d, "exceptions"), table(spark, d, "nation").select(F.col("n_nationkey").alias("type_id")))
 
 
+@query("a13_grouped_rows", """SELECT CAST(t.n AS INTEGER) AS type_id, e.batch_id, e.sheet, e.code, e.rec_id, CAST(place AS INTEGER) AS place FROM (SELECT n_nationkey AS n FROM nation) t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY type_id, batch_id ORDER BY sheet, code, rec_id) AS place
+    FROM (SELECT DISTINCT type_id, batch_id, sheet, value AS code, rec_id FROM {exceptions})) e ON e.type_id = t.n""")
+def a13_rows(spark, d):
+    return C.grouped_rows(table(spark, d, "exceptions").withColumnRenamed("value", "code"), table(spark, d, "nation").select(F.col("n_nationkey").alias("type_id")))
+
+
 @query("a14_company_report", """SELECT batch_id, company, count(*) AS entry_count, string_agg(sheet || ':' || CAST(rec_id AS VARCHAR) || ':' || CAST(type_id AS VARCHAR), ',' ORDER BY sheet, rec_id, type_id) AS entries FROM (SELECT DISTINCT batch_id, company, type_id, rec_id, sheet FROM {exceptions}) GROUP BY ALL""")
 def a14(spark, d):
     return C.company_report(table(spark, d, "exceptions"))

@@ -68,6 +68,14 @@ SQL: dict[str, str | tuple[str, str]] = {
         CASE WHEN d.doc_id % 4 = 0 THEN ' note' WHEN d.doc_id % 9 = 0 THEN '' ELSE e.description END AS description
         FROM documents d JOIN {expected} e ON d.source = e.source WHERE e.pos < 6 - d.doc_id % 3
         UNION ALL SELECT doc_id, source, 'T', 6, 'z', '' FROM documents WHERE doc_id % 6 = 0""",
+    "found_other": """SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 AND pos = 5 THEN '14. 其他' WHEN doc_id % 3 = 1 AND pos = 3 THEN '3.其他 ' WHEN doc_id % 4 = 1 AND pos = 2 THEN '其他' ELSE name END AS name, pos, headers, description FROM {found}""",
+    # Sections with up to three subsections each; sub is null for the section itself.
+    "expected_subs": """SELECT source, name, pos, cast(NULL AS bigint) AS sub, '' AS headers FROM {expected}
+        UNION ALL SELECT e.source, e.name || '.' || cast(n.n_nationkey AS string), e.pos, cast(n.n_nationkey AS bigint), CASE WHEN (e.pos + n.n_nationkey) % 2 = 0 THEN e.headers ELSE 'no,（sum）' END FROM {expected} e JOIN nation n ON n.n_nationkey < e.pos % 4""",
+    "found_subs": """SELECT doc_id, source, name, pos, cast(NULL AS bigint) AS sub, '' AS headers FROM {found}
+        UNION ALL SELECT d.doc_id, e.source, CASE WHEN (d.doc_id + e.sub) % 6 = 1 THEN e.name || 'x' ELSE replace(e.name, '.', ' . ') END, e.pos, e.sub, CASE WHEN (d.doc_id + e.pos) % 5 = 2 THEN 'no,more' ELSE replace(replace(e.headers, '（', '('), '）', ')') END
+        FROM documents d JOIN {expected_subs} e ON d.source = e.source WHERE e.sub IS NOT NULL AND e.sub < 3 - d.doc_id % 2
+        UNION ALL SELECT doc_id, source, 'more', 2, 7, 'q' FROM documents WHERE doc_id % 9 = 4""",
 }
 
 

@@ -125,8 +125,15 @@ def w22(spark, d):
 
 
 _PAGED = "(SELECT *, CAST(line_no - line_no % 8 AS BIGINT) // 8 + 1 AS page FROM {doc_lines})"
-_MARGINS = f"""(SELECT doc_id, key, count(*) AS n, any_value(pages) AS pages FROM (SELECT doc_id, {_KEY.replace('{x}', 'first')} AS key, count(*) OVER (PARTITION BY doc_id) AS pages FROM
-    (SELECT doc_id, page, min_by(CASE WHEN line_no % 24 = 0 THEN 'x' ELSE 'Head' END, line_no) AS first FROM {_PAGED} WHERE page <= 5 GROUP BY ALL)) WHERE key <> '' GROUP BY ALL HAVING count(*) >= greatest(2.0, 0.6 * any_value(pages)))"""
+_MT = f"""(SELECT doc_id, line_no, page, CASE WHEN line_no % 24 = 0 THEN 'Other title' WHEN line_no % 8 = 0 THEN 'Head ' || CAST(page AS VARCHAR) || ' | part' WHEN line_no % 8 = 7 AND doc_id % 3 > 0 THEN '第 ' || CAST(page AS VARCHAR) || ' 页 / 9' ELSE text END AS text FROM {_PAGED})"""
+_MKEY, _MTEMPLATE = "regexp_replace({x}, '[|｜0-9\\s]', '', 'g')", "regexp_replace(regexp_replace({x}, '[0-9]+', '#', 'g'), '\\s+', '', 'g')"
+_MSIM = """CASE WHEN k.key = '' OR o.key = '' THEN 0.0 WHEN k.key = o.key THEN 1.0 WHEN contains(k.key, o.key) OR contains(o.key, k.key) THEN 0.92
+    ELSE len(list_intersect(list_distinct(string_split(k.key, '')), list_distinct(string_split(o.key, '')))) / greatest(len(list_distinct(list_concat(string_split(k.key, ''), string_split(o.key, '')))), 1) END"""
+_MARGINS = f"""(WITH e AS (SELECT doc_id, page, min_by(text, line_no) AS first, max_by(text, line_no) AS last FROM {_MT} WHERE page <= 5 GROUP BY ALL), t AS (SELECT doc_id, count(*) AS pages FROM e GROUP BY doc_id),
+    k AS (SELECT doc_id, page, {_MKEY.replace('{x}', 'first')} AS key FROM e), h AS (SELECT k.doc_id, k.page, k.key, count(CASE WHEN {_MSIM} >= 0.9 THEN 1 END) AS n FROM k JOIN k o ON o.doc_id = k.doc_id WHERE k.key <> '' GROUP BY ALL),
+    f AS (SELECT doc_id, key, count(*) AS n, min(page) AS page FROM (SELECT doc_id, page, {_MTEMPLATE.replace('{x}', 'last')} AS key FROM e WHERE length(trim(last)) <= 40 AND regexp_matches(last, '[0-9]')) GROUP BY doc_id, key)
+    SELECT doc_id, 'header' AS kind, key, n FROM (SELECT h.*, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, page) AS r FROM h JOIN t USING (doc_id) WHERE n >= greatest(2, floor(0.6 * pages))) WHERE r = 1
+    UNION ALL SELECT doc_id, 'footer', key, n FROM (SELECT f.*, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, page) AS r FROM f) JOIN t USING (doc_id) WHERE r = 1 AND n >= greatest(2, floor(0.5 * pages)))"""
 
 
 def _paged(spark, d):
@@ -134,16 +141,23 @@ def _paged(spark, d):
     return l.withColumn("page", F.expr("(line_no - line_no % 8) div 8 + 1"))
 
 
-@query("a21_margins", f"SELECT doc_id, key, n FROM {_MARGINS}")
+def _margin_lines(spark, d):
+    n, page = F.col("line_no"), F.col("page").cast("string")
+    last = F.concat(F.lit("第 "), page, F.lit(" 页 / 9"))
+    text = F.when(n % 24 == 0, "Other title").when(n % 8 == 0, F.concat(F.lit("Head "), page, F.lit(" | part"))).when((n % 8 == 7) & (F.col("doc_id") % 3 > 0), last).otherwise(F.col("text"))
+    return _paged(spark, d).withColumn("text", text)
+
+
+@query("a21_margins", f"SELECT doc_id, kind, key, n FROM {_MARGINS}")
 def a21(spark, d):
-    return O.repeated_margins(_paged(spark, d).withColumn("text", F.when(F.col("line_no") % 24 == 0, "x").otherwise("Head")))
+    return O.repeated_margins(_margin_lines(spark, d))
 
 
-@query("a22_without_margins", f"""SELECT doc_id, line_no FROM {{doc_lines}} l WHERE NOT EXISTS (SELECT 1 FROM {_MARGINS} m WHERE m.doc_id = l.doc_id AND m.key = {_KEY.replace('{x}', "CASE WHEN line_no % 8 = 0 THEN 'Head' ELSE text END")}) AND NOT regexp_matches(trim(CASE WHEN line_no % 8 = 0 THEN 'Head' ELSE text END), '^[-—\\s]*[0-9]+[-—\\s]*$')""")
+@query("a22_without_margins", f"""SELECT doc_id, line_no FROM {_MT} l WHERE NOT EXISTS (SELECT 1 FROM {_MARGINS} m WHERE m.kind = 'header' AND m.doc_id = l.doc_id AND m.key = {_MKEY.replace('{x}', 'l.text')})
+    AND NOT EXISTS (SELECT 1 FROM {_MARGINS} m WHERE m.kind = 'footer' AND m.doc_id = l.doc_id AND m.key = {_MTEMPLATE.replace('{x}', 'l.text')}) AND NOT regexp_matches(trim(l.text), '^[-—\\s]*[0-9]+[-—\\s]*$')""")
 def a22(spark, d):
-    p = _paged(spark, d)
-    margins = O.repeated_margins(p.withColumn("text", F.when(F.col("line_no") % 24 == 0, "x").otherwise("Head")))
-    return O.drop_margins(p.withColumn("text", F.when(F.col("line_no") % 8 == 0, "Head").otherwise(F.col("text"))), margins).select("doc_id", "line_no")
+    p = _margin_lines(spark, d)
+    return O.drop_margins(p, O.repeated_margins(p)).select("doc_id", "line_no")
 
 
 @query("c7_normalized", "SELECT doc_id, line_no, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM {doc_lines}")

@@ -129,6 +129,14 @@ def a19(spark, d):
     return S.merge_partials(c, "conv_id", "turn", ["role"], ["late"], ["text"], ["roles"]).withColumn("roles", F.array_sort("roles"))
 
 
+@query("d5_distinct_seals", """SELECT c_custkey, code, colour, name FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN coalesce(code, '') <> '' THEN code ELSE 'all:' || coalesce(code, 'null') || '|' || name END, colour ORDER BY c_custkey) AS k
+    FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 10 = 1 THEN '' ELSE CAST(c_nationkey AS VARCHAR) END AS code, c_mktsegment AS colour, substr(c_name, -1) AS name FROM customer)) WHERE k = 1""")
+def d5(spark, d):
+    code = F.when(F.col("c_custkey") % 4 == 0, None).when(F.col("c_custkey") % 10 == 1, "").otherwise(F.col("c_nationkey").cast("string"))
+    seals = table(spark, d, "customer").select("c_custkey", code.alias("code"), F.col("c_mktsegment").alias("colour"), F.substring("c_name", -1, 1).alias("name"))
+    return S.distinct_seals(seals, "code", "colour", ["code", "colour", "name"], "c_custkey")
+
+
 @query("d1_keep_first", "SELECT min(event_id) AS event_id, event_type FROM events WHERE event_id % 5 <> 0 GROUP BY event_type UNION ALL SELECT min(event_id), NULL FROM events WHERE event_id % 5 = 0 HAVING count(*) > 0")
 def d1(spark, d):
     e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("event_type"))

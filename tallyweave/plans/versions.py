@@ -73,7 +73,7 @@ def j16(spark, d):
     return V.match_pages(V.page_text(a, 10), V.page_text(b, 20), 2)
 
 
-_SEC_B = f"(SELECT doc_id, line_no, level, title, CASE WHEN line_no % 5 = 0 THEN body || 'x' WHEN line_no % 7 = 0 THEN 'y' || body ELSE body END AS body FROM {_SECTIONS} WHERE line_no % 11 <> 0)"
+_SEC_B = f"(SELECT doc_id, line_no, parent, level, title, CASE WHEN line_no % 5 = 0 THEN body || 'x' WHEN line_no % 7 = 0 THEN 'y' || body ELSE body END AS body FROM {_SECTIONS} WHERE line_no % 11 <> 0)"
 
 
 def _secs(spark, d):
@@ -83,22 +83,76 @@ def _secs(spark, d):
     return a, a.where(n % 11 != 0).withColumn("body", body)
 
 
-def _sign(t: str) -> str:
-    return _occ(t, "CAST(level AS VARCHAR) || '|' || " + _STRIP.replace("{x}", "title") + " || '|' || substr(" + _STRIP.replace("{x}", "body") + ", 1, 200)")
+def _paths(t: str, key: str, own: str) -> str:
+    """Sections of t with key, self, up and path."""
+    keyed = f"(SELECT *, {own} AS self FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, parent, key ORDER BY line_no) AS nth FROM (SELECT *, {key} AS key FROM {t})))"
+    joins = " ".join(f"LEFT JOIN {keyed} g{k} ON g{k}.doc_id = s.doc_id AND g{k}.line_no = {'s' if k == 1 else f'g{k - 1}'}.parent" for k in (1, 2, 3))
+    return f"(SELECT s.*, concat_ws('/', g3.self, g2.self, g1.self) AS up, concat_ws('/', g3.self, g2.self, g1.self, s.self) AS path FROM {keyed} s {joins})"
 
 
-@query("j17_align_sections", f"""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.line_no AS a_line, b.line_no AS b_line, CASE WHEN a.line_no IS NULL THEN 'added' WHEN b.line_no IS NULL THEN 'deleted' WHEN {_STRIP.replace('{x}', 'a.body')} = {_STRIP.replace('{x}', 'b.body')} THEN 'equal' ELSE 'modified' END AS diff_type
-    FROM {_sign(_SECTIONS)} a FULL JOIN {_sign(_SEC_B)} b ON a.doc_id = b.doc_id AND a.key = b.key AND a.nth = b.nth""")
+_SIGN = "CAST(level AS VARCHAR) || '|' || " + _STRIP.replace("{x}", "title") + " || '|' || substr(" + _STRIP.replace("{x}", "body") + ", 1, 200)"
+_SELF = "key || '#' || CAST(nth AS VARCHAR)"
+
+
+def _left_over(s: str) -> str:
+    return f"(SELECT doc_id, up, {s}_line, row_number() OVER (PARTITION BY doc_id, up ORDER BY {s}_line) AS place FROM under WHERE {s}_line IS NOT NULL)"
+
+
+@query("j17_align_sections", f"""WITH j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.path, b.path) AS path, coalesce(a.up, b.up) AS up, a.line_no AS a_line, b.line_no AS b_line, a.body AS a_body, b.body AS b_body
+    FROM {_paths(_SECTIONS, _SIGN, _SELF)} a FULL JOIN {_paths(_SEC_B, _SIGN, _SELF)} b ON a.doc_id = b.doc_id AND a.path = b.path),
+    under AS (SELECT * FROM j WHERE (a_line IS NULL OR b_line IS NULL) AND (up = '' OR EXISTS (SELECT 1 FROM j p WHERE p.a_line IS NOT NULL AND p.b_line IS NOT NULL AND p.doc_id = j.doc_id AND p.path = j.up)))
+    SELECT doc_id, a_line, b_line, CASE WHEN {_STRIP.replace('{x}', 'a_body')} = {_STRIP.replace('{x}', 'b_body')} THEN 'equal' ELSE 'modified' END AS diff_type FROM j WHERE a_line IS NOT NULL AND b_line IS NOT NULL
+    UNION ALL SELECT coalesce(a.doc_id, b.doc_id), a_line, b_line, CASE WHEN a_line IS NULL THEN 'added' WHEN b_line IS NULL THEN 'deleted' ELSE 'modified' END FROM {_left_over('a')} a FULL JOIN {_left_over('b')} b ON a.doc_id = b.doc_id AND a.up = b.up AND a.place = b.place""")
 def j17(spark, d):
     return V.align_sections(*_secs(spark, d))
 
 
-@query("j23_pair_by_position", f"""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CAST(coalesce(a.pos, b.pos) AS INTEGER) AS pos, CASE WHEN a.k IS NULL THEN 'missing_in_a' WHEN b.k IS NULL THEN 'missing_in_b' WHEN a.k = b.k OR (a.k <> '' AND b.k <> '' AND (contains(a.k, b.k) OR contains(b.k, a.k))) THEN 'paired' ELSE 'both_missing' END AS kind
-    FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos, {_KEY.replace('{x}', 'title')} AS k FROM {_SECTIONS}) a FULL JOIN (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos, {_KEY.replace('{x}', 'title')} AS k FROM {_SEC_B}) b ON a.doc_id = b.doc_id AND a.pos = b.pos""")
+def _places(t: str) -> str:
+    return f"(SELECT *, {_KEY.replace('{x}', 'title')} AS k FROM {_paths(t, chr(39) + chr(39), 'lpad(CAST(nth AS VARCHAR), 6, ' + chr(39) + '0' + chr(39) + ')')})"
+
+
+@query("j23_pair_by_position", f"""WITH j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.path, b.path) AS path, a.line_no AS a_line, b.line_no AS b_line, CASE WHEN a.k IS NULL THEN 'missing_in_a' WHEN b.k IS NULL THEN 'missing_in_b' WHEN a.k = b.k OR (a.k <> '' AND b.k <> '' AND (contains(a.k, b.k) OR contains(b.k, a.k))) THEN 'paired' ELSE 'both_missing' END AS kind
+    FROM {_places(_SECTIONS)} a FULL JOIN {_places(_SEC_B)} b ON a.doc_id = b.doc_id AND a.path = b.path)
+    SELECT * FROM j WHERE NOT EXISTS (SELECT 1 FROM j p WHERE p.doc_id = j.doc_id AND p.kind <> 'paired' AND starts_with(j.path, p.path || '/'))""")
 def j23(spark, d):
     return V.pair_by_position(*_secs(spark, d))
 
 
+# Blocks of pages: each fifth line is a row of a table whose numbers are written in two ways.
+def _blocks(t: str, b: bool) -> str:
+    number = "CASE WHEN (doc_id + line_no) % 6 = 2 THEN '7' ELSE CAST(line_no + 1000 AS VARCHAR) || '.0' END" if b else "'1,' || substr(CAST(line_no + 1000 AS VARCHAR), 2, 3)"
+    text = "text || ' '" if b else "text"
+    return f"(SELECT doc_id, line_no // 5 AS page, line_no, line_no % 5 = 2 AS is_table, CASE WHEN line_no % 5 = 2 THEN 'sum|' || {number} ELSE {text} END AS text FROM {t} WHERE line_no < 1000{' AND line_no % 37 <> 4' if b else ''})"
+
+
+@query("j32_page_verdicts", f"""WITH a AS {_blocks('{raw_lines}', False)}, b AS {_blocks('{raw_lines}', True)},
+    p AS (SELECT doc_id, page, count(*) AS n, list(is_table ORDER BY line_no) AS kinds, list_sort(string_split(string_agg({_STRIP.replace('{x}', 'text')}, '' ORDER BY line_no), '')) AS chars, list_sort(list({_STRIP.replace('{x}', 'text')})) AS lines FROM a GROUP BY ALL),
+    q AS (SELECT doc_id, page, count(*) AS n, list(is_table ORDER BY line_no) AS kinds, list_sort(string_split(string_agg({_STRIP.replace('{x}', 'text')}, '' ORDER BY line_no), '')) AS chars, list_sort(list({_STRIP.replace('{x}', 'text')})) AS lines FROM b GROUP BY ALL),
+    c AS (SELECT x.doc_id, x.page, bool_and(CASE WHEN x.is_table THEN y.text <> 'sum|7' ELSE {_STRIP.replace('{x}', 'x.text')} = {_STRIP.replace('{x}', 'y.text')} END) AS same FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS k FROM a) x
+        JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS k FROM b) y ON x.doc_id = y.doc_id AND x.page = y.page AND x.k = y.k GROUP BY ALL)
+    SELECT coalesce(p.doc_id, q.doc_id) AS doc_id, coalesce(p.page, q.page) AS page, CASE WHEN p.n IS NULL THEN 'added' WHEN q.n IS NULL THEN 'deleted' WHEN p.chars = q.chars THEN 'equal' WHEN CASE WHEN p.kinds = q.kinds THEN c.same ELSE p.lines = q.lines END THEN 'equal' ELSE 'modified' END AS diff_type
+    FROM p FULL JOIN q ON p.doc_id = q.doc_id AND p.page = q.page LEFT JOIN c ON c.doc_id = p.doc_id AND c.page = p.page""")
+def j32(spark, d):
+    lines, n = table(spark, d, "raw_lines").where("line_no < 1000"), F.col("line_no")
+    row = n % 5 == 2
+
+    def blocks(number, text):
+        return F.when(row, F.concat(F.lit("sum|"), number)).otherwise(text)
+
+    whole = (n + 1000).cast("string")
+    a = lines.select("doc_id", F.expr("line_no div 5").alias("page"), "line_no", row.alias("is_table"), blocks(F.concat(F.lit("1,"), F.substring(whole, 2, 3)), F.col("text")).alias("text"))
+    other = F.when((F.col("doc_id") + n) % 6 == 2, "7").otherwise(F.concat(whole, F.lit(".0")))
+    b = lines.where(n % 37 != 4).select("doc_id", F.expr("line_no div 5").alias("page"), "line_no", row.alias("is_table"), blocks(other, F.concat("text", F.lit(" "))).alias("text"))
+    return V.page_verdicts(a, b)
+
+
+@query("j19_row_cells", """WITH p AS (SELECT a.p_partkey AS a_row, b.p_partkey AS b_row, a.p_retailprice AS ap, b.p_retailprice AS bp, a.p_type AS a_type, b.p_type AS b_type FROM (SELECT *, row_number() OVER (PARTITION BY p_name, p_brand, p_size ORDER BY p_partkey) AS nth FROM part) a
+    FULL JOIN (SELECT *, row_number() OVER (PARTITION BY p_name, p_brand, p_size ORDER BY p_partkey) AS nth FROM {part_b}) b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.nth = b.nth)
+    SELECT a_row, b_row, CAST(place AS INTEGER) AS place, CASE WHEN a_row IS NULL THEN 'added' WHEN b_row IS NULL THEN 'deleted' WHEN CASE place WHEN 0 THEN ap = bp ELSE a_type = b_type END THEN 'same' ELSE 'changed' END AS kind FROM p, (SELECT unnest([0, 1]) AS place)""")
+def j19(spark, d):
+    return V.row_cells(table(spark, d, "part"), table(spark, d, "part_b"), ["p_name", "p_brand", "p_size"], "p_partkey", ["p_retailprice", "p_type"])
+
+
 def _units(t: str, s: str) -> str:
     return f"(SELECT doc_id, line_no, CASE WHEN length(key) > 3 THEN key ELSE '{s}:' || key END AS key, nth FROM {_occ(t, _KEY.replace('{x}', 'text'))})"
 
@@ -149,6 +203,17 @@ def c50(spark, d):
     return table(spark, d, "doc_lines").select("doc_id", "line_no", F.round(X.similarity(X.title_key(F.col("text")), F.lit("inthe")), 6).alias("score"))
 
 
+_SHARE = "len(list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, '')))) / greatest(len(list_distinct(list_concat(string_split(a, ''), string_split(b, '')))), 1)"
+
+
+@query("c50_other_similarities", f"""SELECT doc_id, line_no, round(CAST(CASE WHEN a = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.92 ELSE {_SHARE} END AS DOUBLE), 6) AS margin,
+    round(CAST(CASE WHEN a = b THEN 1.0 WHEN a = '' THEN 0.0 WHEN contains(a, b) OR contains(b, a) THEN 0.85 + 0.15 * least(length(a), 5) / greatest(length(a), 5) ELSE 0.75 * ({_SHARE}) END AS DOUBLE), 6) AS contents
+    FROM (SELECT doc_id, line_no, {_KEY.replace('{x}', 'text')} AS a, 'inthe' AS b FROM {{doc_lines}})""")
+def c50_others(spark, d):
+    key, other = X.title_key(F.col("text")), F.lit("inthe")
+    return table(spark, d, "doc_lines").select("doc_id", "line_no", F.round(X.margin_similarity(key, other), 6).alias("margin"), F.round(X.contents_similarity(key, other), 6).alias("contents"))
+
+
 @query("j25_anchor_windows", f"""SELECT doc_id, line_no, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no) AS k FROM (SELECT doc_id, line_no, round(CAST({_sim('a', 'b')} AS DOUBLE), 6) AS score FROM
     (SELECT doc_id, line_no, {_KEY.replace('{x}', 't')} AS a, '2pay100元' AS b FROM (SELECT doc_id, line_no, string_agg(text, '') OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS t FROM {{doc_lines}}))) WHERE score >= 0.5) WHERE k = 1""")
 def j25(spark, d):

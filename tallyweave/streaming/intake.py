@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,26 +15,34 @@ from tallyweave.sources import files
 
 
 def page_intake(spark: SparkSession, source: str, schema: T.StructType, payload: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Records of new payload files under `source` appended to `out`; payloads
-    that do not parse go to `out`_bad."""
+    """Records of new payload files under `source` added to `out`; payloads that do
+    not parse go to `out`_bad. Each batch has a folder of its own, so that a batch that
+    runs again replaces its rows."""
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # both writes read it
         good, bad = files.records(batch, payload)
-        good.write.mode("append").parquet(out)
-        bad.write.mode("append").parquet(f"{out}_bad")
+        good.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{out}_bad/batch={number}")
+        batch.unpersist()
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def sync_intake(spark: SparkSession, source: str, schema: T.StructType, key: str, fields: list[str], load: Callable[[], DataFrame], store: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Each poll's rows update the target that `load` gives, and `store` keeps
-    the result; rows the poll lacks become inactive."""
+def sync_intake(spark: SparkSession, source: str, schema: T.StructType, key: str, fields: list[str], load: Callable[[], DataFrame], store: Callable[[DataFrame], None], poll: str, version: str | None = None) -> None:
+    """One poll. All new rows under `source`, however many batches they take, are
+    gathered in the folder `poll`, and when none is left they update the target that
+    `load` gives; rows that the whole poll lacks become inactive, and `store` keeps the
+    result. Of a key's rows the latest `version` counts, then the greatest fields. A
+    poll that was cut short goes on where it stopped if it is run again."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        latest = batch.dropDuplicates([key])
-        updated = sync.apply_changes(load(), latest, key, fields)
-        store(sync.disable_missing(updated, latest, key))
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{poll}/rows/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{poll}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(schema).parquet(f"{poll}/rows")
+    latest = rows.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct(*([version] if version else []), *fields)).alias("r")).select(key, "r.*")
+    updated = sync.apply_changes(load(), latest, key, fields)
+    store(sync.disable_missing(updated, latest, key))
