@@ -21,6 +21,8 @@ AMOUNT = rf"(?s)^(.*?){NUMBER}\s*{UNIT}"
 COMPANY = rf"([^,，。、；]+?)\s*(增加|减少|增|减)(?:了|\s*{MODIFIER})?\s*{NUMBER}\s*{UNIT}"
 DETAIL_START = "^[（(\\s]*(?:主要是|主要为|主要由|主要原因是)[：:、，,.。；;\\s]*"
 DETAILS = "(主要是|主要为|主要由|主要原因是).*$"
+OFF_COMPANY = rf"([^,，。、；]+?)\s*(?:增加|减少)(?:了|\s*{MODIFIER})\s*[0-9]"
+MARKERS, MARKER = "(主要是|主要为|主要由|主要原因是)", "主要是"
 TAG_SUFFIX, TAG_MODIFIER, TAG_VALUE, TAG_OTHER, TAG_MISSING = "增加/减少后含后缀", "增加/减少后含修饰词", "本期为", "非标准主句", "缺少增加/减少"
 
 
@@ -130,3 +132,42 @@ def format_exceptions(text: Column) -> Column:
             make(text.rlike("主要是|主要为|主要由|主要原因是") & (F.size(details(text)) == 0), 14, F.lit("主要是")),
         )
     )
+
+
+def _unit_group(unit: Column) -> Column:
+    return F.when(unit.contains("美元"), "usd").when(unit.rlike("[元万亿]"), "rmb").otherwise("")
+
+
+def parse_exceptions(text: Column) -> Column:
+    """C31, the rules of the parse stage: array of (type_id, field, value), equal ones
+    once. Of the main sentence: English brackets after a bracketed index, English
+    quotes, a lone or no quotation mark, a full stop before the end. Of the detail
+    part: another marker than the usual one, an end without a full stop (with the last
+    amount), companies whose change has a suffix or modifier, and units of another
+    currency than the main sentence's."""
+    text = F.coalesce(text, F.lit(""))
+    main, marker = F.regexp_replace(text, rf"(?s){MARKERS}.*$", ""), F.regexp_extract(text, MARKERS, 1)
+    detail = F.trim(F.regexp_extract(text, rf"(?s){MARKERS}[：:、，,.。；;\s]*(.*)$", 2))
+    end = F.regexp_extract(detail, r"(?s)(\S)\s*$", 1)
+    amounts = F.regexp_extract_all(detail, F.lit(rf"{NUMBER}\s*{UNIT}"), 0)
+    tail = F.when(F.size(amounts) > 0, F.regexp_replace(F.element_at(amounts, -1), r"\s+", "")).otherwise(F.coalesce(_none(end), F.lit("。")))
+    opened, closed = main.contains("“"), main.contains("”")
+    outside = F.regexp_replace(F.regexp_replace(main, "“[^”]*”", ""), '"[^"]*"', "")
+    own = _unit_group(F.coalesce(main_change(text)["unit"], F.lit("")))
+    units = F.array_sort(F.array_distinct(F.filter(F.transform(details(text), lambda d: d["unit"]), lambda u: (own != "") & (_unit_group(u) != "") & (_unit_group(u) != own))))
+    shape = "struct<type_id:int,field:string,value:string>"
+    entry = lambda kind, field, value: F.struct(F.lit(kind).alias("type_id"), F.lit(field).alias("field"), value.alias("value")).cast(shape)
+    one = lambda when, *parts: F.when(when, entry(*parts))
+    token = F.coalesce(_none(F.regexp_extract(main, "[A-Za-z0-9]{2,}", 0)), F.lit(PERIOD))
+    fixed = F.array(
+        one(main.rlike(r"^\s*[（(]\s*[0-9]+\s*[）)]") & main.rlike("[()]"), 16, "main_sentence", F.lit("(")),
+        one(main.contains('"'), 16, "main_sentence", F.lit('"')),
+        one(opened != closed, 12, "main_sentence", F.when(opened, "“").otherwise("”")),
+        one(~opened & ~closed, 12, "main_sentence", token),
+        one(outside.rlike(r"(?s)。\s*\S"), 16, "main_sentence", F.lit("。")),
+        one((marker != "") & (marker != MARKER), 12, "company_marker", marker),
+        one((detail != "") & (end != "。"), 12, "company_detail_tail", tail),
+        one((detail != "") & (end != "。") & end.rlike(r"^\p{P}$"), 16, "company_detail", end),
+    )
+    companies = F.transform(F.regexp_extract_all(detail, F.lit(OFF_COMPANY), 1), lambda c: entry(14, "company_detail", F.trim(c)))
+    return F.array_distinct(F.concat(F.array_compact(fixed), companies, F.transform(units, lambda u: entry(12, "profit_loss_unit", u))))

@@ -78,6 +78,28 @@ def c31(spark, d):
     return _sentences(spark, d).select("o_orderkey", F.explode(N.format_exceptions(F.col("s"))).alias("e")).select("o_orderkey", "e.*")
 
 
+_MARKERS = "(主要是|主要为|主要由|主要原因是)"
+_AMOUNT = "[0-9][0-9,]*(?:\\.[0-9]+)?\\s*(?:亿美元|万美元|美元|亿元|亿|万元|万|元)"
+_PARSED = f"""(SELECT *, CASE WHEN regexp_matches(detail, '\\S') THEN regexp_extract(detail, '(\\S)\\s*$', 1) ELSE '' END AS tail, regexp_extract_all(detail, '{_AMOUNT}') AS amounts, regexp_replace(regexp_replace(main, '“[^”]*”', '', 'g'), '"[^"]*"', '', 'g') AS outside
+    FROM (SELECT rec_id, text, regexp_replace(text, '{_MARKERS}.*$', '') AS main, regexp_extract(text, '{_MARKERS}', 1) AS marker, trim(regexp_extract(text, '{_MARKERS}[：:、，,.。；;\\s]*(.*)$', 2)) AS detail FROM {{sentences}}))"""
+
+
+@query("c31_parse_exceptions", f"""WITH p AS {_PARSED}, main AS (SELECT rec_id, regexp_extract(text, '本期(?:增加|减少)[0-9]+(亿美元|万元)', 1) AS unit FROM p), company AS (SELECT rec_id, unnest(regexp_extract_all(detail, '([^,，。、；]+?)(?:增加|减少)(?:了|约)[0-9]', 1)) AS name FROM p),
+    used AS (SELECT rec_id, unnest(regexp_extract_all(detail, '(?:增加|减少)(?:了|约)?[0-9.]+\\s*(亿美元|万美元|美元|亿元|亿|万元|万|元)', 1)) AS unit FROM p)
+    SELECT rec_id, CAST(16 AS INTEGER) AS type_id, 'main_sentence' AS field, '(' AS value FROM p WHERE regexp_matches(main, '^\\s*[（(]\\s*[0-9]+\\s*[）)]') AND regexp_matches(main, '[()]')
+    UNION ALL SELECT rec_id, 16, 'main_sentence', '"' FROM p WHERE contains(main, '"')
+    UNION ALL SELECT rec_id, 12, 'main_sentence', CASE WHEN contains(main, '“') THEN '“' ELSE '”' END FROM p WHERE contains(main, '“') <> contains(main, '”')
+    UNION ALL SELECT rec_id, 12, 'main_sentence', coalesce(nullif(regexp_extract(main, '[A-Za-z0-9]{{2,}}'), ''), '本期') FROM p WHERE NOT contains(main, '“') AND NOT contains(main, '”')
+    UNION ALL SELECT rec_id, 16, 'main_sentence', '。' FROM p WHERE regexp_matches(outside, '。\\s*\\S')
+    UNION ALL SELECT rec_id, 12, 'company_marker', marker FROM p WHERE marker NOT IN ('', '主要是')
+    UNION ALL SELECT rec_id, 12, 'company_detail_tail', CASE WHEN len(amounts) > 0 THEN regexp_replace(amounts[-1], '\\s+', '', 'g') ELSE coalesce(nullif(tail, ''), '。') END FROM p WHERE detail <> '' AND tail <> '。'
+    UNION ALL SELECT rec_id, 16, 'company_detail', tail FROM p WHERE detail <> '' AND tail <> '。' AND regexp_matches(tail, '^\\p{{P}}$')
+    UNION ALL SELECT DISTINCT rec_id, 14, 'company_detail', trim(name) FROM company
+    UNION ALL SELECT DISTINCT u.rec_id, 12, 'profit_loss_unit', u.unit FROM used u JOIN main m ON m.rec_id = u.rec_id WHERE contains(u.unit, '美元') <> contains(m.unit, '美元')""")
+def c31_parse(spark, d):
+    return table(spark, d, "sentences").select("rec_id", F.explode(N.parse_exceptions(F.col("text"))).alias("e")).select("rec_id", "e.*")
+
+
 @query("w2_index_lines", """SELECT doc_id, line_no, CASE WHEN line_no % 6 = 1 AND nxt IS NOT NULL THEN CAST(line_no AS VARCHAR) || '. ' || nxt ELSE text END AS text FROM (SELECT doc_id, line_no, CASE WHEN line_no % 6 = 1 THEN CAST(line_no AS VARCHAR) || '.' ELSE 'x ' || text END AS text, lead('x ' || text) OVER (PARTITION BY doc_id ORDER BY line_no) AS nxt FROM {raw_lines}) WHERE line_no % 6 <> 2""")
 def w2(spark, d):
     lines = table(spark, d, "raw_lines").select("doc_id", "line_no", F.when(F.col("line_no") % 6 == 1, F.concat(F.col("line_no").cast("string"), F.lit("."))).otherwise(F.concat(F.lit("x "), "text")).alias("text"))
