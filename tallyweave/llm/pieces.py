@@ -34,7 +34,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Stretches and neighbours that a task remembers before it starts afresh, and the
 #: longest stretch it remembers.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 LONGEST = 48
 
 # Fixed values of the model file format.
@@ -175,26 +175,30 @@ class Encoder:
                 limit, even, b = scores[b], True, right[0]
 
     def _by_neighbours(self, text: str) -> list[int] | None:
-        """The path of a BPE model through known characters. A position has one
-        valid last piece at most, so the first one found is the best."""
+        """The path of a BPE model through known characters. Each piece that ends at a
+        position relaxes the position's best sum of scores, if it may follow the last
+        piece of the best path to where it begins."""
+        total: list[float | None] = [0.0] + [None] * len(text)
         last, size = [-1] * (len(text) + 1), [0] * (len(text) + 1)
-        pairs, count = self.pairs, len(self.scores)
+        pairs, scores, count = self.pairs, self.scores, len(self.scores)
         for at, (i, length) in self.automaton.iter(text):
             end = at + 1
-            if last[end] >= 0:
+            start = end - length
+            so_far = total[start]
+            if so_far is None:
                 continue
-            if end > length:
-                before = last[end - length]
-                if before < 0:
-                    continue
-                good = pairs.get(before * count + i)
+            if start:
+                key = last[start] * count + i
+                good = pairs.get(key)
                 if good is None:
                     if len(pairs) > REMEMBERED:
                         pairs.clear()
-                    good = pairs[before * count + i] = self.neighbours(before, i)
+                    good = pairs[key] = self.neighbours(last[start], i)
                 if not good:
                     continue
-            last[end], size[end] = i, length
+            score = so_far + scores[i]
+            if total[end] is None or score > total[end]:
+                total[end], last[end], size[end] = score, i, length
         back, end = [], len(text)
         while end:
             if last[end] < 0:
@@ -232,16 +236,21 @@ class Encoder:
         """Ids of the best path through a stretch in which ' ' stands as BLANK."""
         if not self.model.bpe:
             return self._by_scores(text)
+        if self.chars.issuperset(text):
+            return self._known(text)
         out: list[int] = []
         for known, part in groupby(text, self.chars.__contains__):
             part = "".join(part)
             if known:
-                path = self._by_neighbours(part)
-                out += [self.ids[p] for p in merge(part, self.ids, self.scores)[0]] if path is None else path
+                out += self._known(part)
             else:
                 out += [i for char in part for i in self.as_bytes(char)]
         return out
 
+    def _known(self, text: str) -> list[int]:
+        path = self._by_neighbours(text)
+        return [self.ids[p] for p in merge(text, self.ids, self.scores)[0]] if path is None else path
+
     def as_bytes(self, char: str) -> list[int]:
         """Byte pieces of a character that no piece covers."""
         return [self.model.byte_ids.get(b, self.model.unknown) for b in char.encode()] if self.model.byte_ids else [self.model.unknown]

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -46,6 +47,20 @@ def test_equals_the_library_and_comes_back():
             assert ids.tolist() == library.encode(text)
 
 
+@pytest.mark.skipif(not HERE, reason="needs the public model file")
+def test_random_stretches_have_a_path_and_equal_the_library():
+    """The pass over known characters always arrives, so that plain merging is never needed."""
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=P.MODEL_PATH)
+    encoder, rng = P.Encoder(P.Model.read(P.MODEL_PATH)), random.Random(3)
+    pool = [p for p in encoder.ids if 1 < len(p) < 9]
+    few = sorted(encoder.chars - {P.BLANK})
+    for _ in range(3000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(1, 9))) if rng.random() < 0.7 else "".join(rng.choice(few[: rng.choice([30, 200])]) for _ in range(rng.randint(1, 40)))
+        assert encoder._by_neighbours(text) is not None
+        text = text.replace(P.BLANK, " ")
+        assert encoder.encode(text).tolist() == library.encode(text), text
+
+
 @pytest.mark.skipif(not HERE, reason="needs the public model file")
 def test_columns(spark):
     model = P.Model.read(P.MODEL_PATH)
