@@ -24,7 +24,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,9 @@ ROW_BITS, ROUNDS = 17, 2
 ROWS = 1 << ROW_BITS
 #: Tokens of a gradient step, its size, and tokens that are scored at a time.
 STEP_TOKENS, STEP, BLOCK = 32_768, 0.15, 32_768
+#: Tokens of a training task, about: each task sends the rows it touched, so that what
+#: a round sends follows the tokens and not the number of partitions.
+TASK_TOKENS = 4_000_000
 #: Tokens of numbered documents that are taken up at a time, about.
 SLICE_TOKENS = 1_000_000
 #: Words that a task remembers or counts before it starts afresh.
@@ -134,14 +137,27 @@ class Lexicon:
     def __len__(self) -> int:
         return self.n_own + ENDINGS
 
-    def place(self, word: bytes, mixed: int, at: int) -> int:
-        """Where the word stands among those of its hash, the first of which is at
-        `at`; -1 if it is none of them."""
-        while at < len(self.hashes) and self.hashes[at] == mixed:
-            if self.words[self.ends[at] : self.ends[at + 1]] == word:
-                return at
-            at += 1
-        return -1
+    def places(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        """Where each word stands in the head, or -1."""
+        n = len(self.hashes)
+        out, todo = np.full(len(words), -1, np.int64), np.arange(len(words))
+        at = np.searchsorted(self.hashes, hashes)
+        while len(todo):  # once, but for words of one hash
+            same = at < n
+            same[same] = self.hashes[at[same]] == hashes[todo[same]]
+            todo, at = todo[same], at[same]
+            equal = np.array([self.words[a:b] == words[k] for k, a, b in zip(todo.tolist(), self.ends[at].tolist(), self.ends[at + 1].tolist())], bool)
+            out[todo[equal]] = at[equal]
+            todo, at = todo[~equal], at[~equal] + 1
+        return out
+
+
+class Numbering(dict):
+    """Numbers keys in the order in which they first come."""
+
+    def __missing__(self, key: bytes) -> int:
+        made = self[key] = len(self)
+        return made
 
 
 class Reader:
@@ -153,41 +169,30 @@ class Reader:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Numbering()
         self.words: list[bytes] = []
         self.count, self.number = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Places in words, count and number of all tokens, and tokens of each text."""
+        """Places of all tokens in words, count and number, and tokens of each text."""
         if len(self.words) > REMEMBERED:
             self.clear()
         listed = [tokens(t) for t in texts]
         sizes = np.array([len(x) for x in listed], np.int64)
-        flat = [w for x in listed for w in x]
-        ids = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(ids < 0).tolist()
-        if missing:
-            known, new = self.known, []
-            for k in missing:
-                w = flat[k]
-                i = known.get(w)
-                if i is None:
-                    i = known[w] = len(self.words) + len(new)
-                    new.append(w)
-                ids[k] = i
-            self._learn(new)
+        ids = np.fromiter(map(self.known.__getitem__, chain.from_iterable(listed)), np.int64, int(sizes.sum()))
+        if len(self.known) > len(self.words):
+            self._learn(list(islice(self.known, len(self.words), None)))
         return ids, sizes
 
     def _learn(self, new: list[bytes]) -> None:
-        lex, mix = self.lexicon, xxhash.xxh64_intdigest
-        mixed = [mix(w, SEED) for w in new]
-        h = np.array(mixed, np.uint64)
-        at = np.array([lex.place(*x) for x in zip(new, mixed, np.searchsorted(lex.hashes, h).tolist())], np.int64)
+        lex = self.lexicon
+        h = np.fromiter(map(xxhash.xxh64_intdigest, new, repeat(SEED)), np.uint64, len(new))
+        at = lex.places(new, h)
         count, item = np.full(len(new), -1, np.int64), np.full(len(new), -1, np.int64)
         there = at >= 0
         count[there], item[there] = lex.counts[at[there]], lex.item[at[there]]
-        for k in np.flatnonzero(item < 0).tolist():
-            item[k] = lex.n_own + zlib.crc32(new[k][-ENDING:]) % ENDINGS
+        rest = np.flatnonzero(item < 0)
+        item[rest] = lex.n_own + np.array([zlib.crc32(new[k][-ENDING:]) for k in rest.tolist()], np.int64) % ENDINGS
         h[count < LEAST_CONTEXT] = 0
         number = (item.astype(np.uint32) << np.uint32(_HASH_BITS)) | (h & np.uint64((1 << _HASH_BITS) - 1)).astype(np.uint32)
         self.words += new
@@ -443,6 +448,7 @@ def fit_lexicon(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Lexicon
 def fit_model(numbered: DataFrame, counts: DataFrame, lexicon: Lexicon, turn: str = "__turn") -> Model:
     """The model, trained on these documents as number() made them; `turn` holds the
     round that reads each. Without rows it says what the counts say."""
+    numbered = numbered.coalesce(1 + lexicon.total // TASK_TOKENS)
     least_item = int(lexicon.counts[lexicon.item >= 0].min()) if lexicon.n_own else 1 << 62
     ending = F.pmod(F.crc32(F.substring("word", -ENDING, ENDING)), F.lit(ENDINGS)).alias("e")
     endings = np.zeros((ENDINGS, 2))
