@@ -93,12 +93,17 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out_bad")).count() == 1
 
     target = spark.createDataFrame([(1, "x", True), (2, "y", True)], "k int, name string, active boolean")
-    source = spark.createDataFrame([(1, "z")], "k int, name string")
-    source.write.parquet(str(tmp_path / "src"))
+    source = spark.createDataFrame([(1, "z", 2), (1, "old", 1)], "k int, name string, v int")
+    for k in (1, 2):  # two files, each lacking what the other has
+        source.where(F.col("v") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
     kept = []
-    query = intake.sync_intake(spark, str(tmp_path / "src"), source.schema, "k", ["name"], lambda: target, lambda df: kept.append(df.collect()), str(tmp_path / "cp2"))
-    query.awaitTermination()
-    assert sorted((r.k, r.name, r.active) for r in kept[0]) == [(1, "z", True), (2, "y", False)]
+
+    def poll():
+        intake.sync_intake(spark, str(tmp_path / "src"), source.schema, "k", ["name"], lambda: target, lambda df: kept.append(df.collect()), str(tmp_path / "poll"), "v")
+
+    poll()
+    poll()  # again: nothing new, the same result
+    assert [sorted((r.k, r.name, r.active) for r in x) for x in kept] == [[(1, "z", True), (2, "y", False)]] * 2
 
 
 def test_configured_template(spark):
