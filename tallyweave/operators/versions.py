@@ -96,7 +96,7 @@ ANCESTORS = 3
 def with_paths(sections: DataFrame, own: Column) -> DataFrame:
     """Sections with self (their own name), up (their ancestors' names) and path (both),
     names joined by '/'. A parent that is not there ends the path."""
-    work = sections.withColumn("self", own)
+    work = sections.withColumn("self", own).persist()  # read once for itself and once for each ancestor
     out, above = work, "parent"
     for k in range(1, ANCESTORS + 1):
         names = work.select("doc_id", F.col("line_no").alias(above), F.col("self").alias(f"__s{k}"), F.col("parent").alias(f"__p{k}"))
