@@ -10,6 +10,38 @@ from pyspark.sql import functions as F
 # Patterns of a letter's number, in order of trust.
 _REST = "\\s*[:：]?\\s*([A-Za-z0-9\\u4e00-\\u9fff\\-_/，,（）() ]+)"
 NUMBER_PATTERNS = [p + _REST for p in ("函证编号", "询证函编号", "\\b编号", "\\bNO\\.?", "索引号", "项目编号")]
+# Slips of a reader's spelling, as patterns and as plain texts.
+SLIPS = [
+    ("有限责任公司会计师事务所", "有限责任会计师事务所"),
+    ("有限公司会计师事务所", "有限责任会计师事务所"),
+    ("公司会计师事务所", "会计师事务所"),
+    ("会计师事务所公司$", "会计师事务所"),
+    ("会计师事务所有限$", "会计师事务所"),
+    (r"(\d号)公司$", "$1"),
+    (r"(\d层)公司$", "$1"),
+    ("银行股份有限$", "银行股份有限公司"),
+    (r"(?U)(\w银行)有限公司$", "$1股份有限公司"),
+]
+SWAPS = [("普华水道", "普华永道"), ("安客", "安永"), ("天律", "天津"), ("大华水", "大华永")]
+# Where a letter's text tells its own fields, in order of trust.
+FIRM_PATTERNS = [lead + r"\s*(.{2,30}会计师事务所" + end + ")" for lead in ("聘请的?", "回函.*?寄.*?至") for end in (".{0,20}?分所", ".{0,10}?有限公司", "[（(][^）)]*[）)]")]
+FIRM_END = "(正在|对[本我]|进行|截至|应当)(?s:.*)$"
+_DIGITS = r"([A-Za-z]*[\d\s]{5,})"
+DEBIT_PATTERNS = [f"从本公司.*?{_DIGITS}.*?支取", f"扣费账号.*?{_DIGITS}", f"付款账号.*?{_DIGITS}", f"授权.*?从.*?{_DIGITS}.*?支取", f"从.*?账号.*?{_DIGITS}.*?(?:扣除|支付|扣取)", f"账号.*?{_DIGITS}.*?(?:支取|扣费)"]
+_BANK = r"([\u4e00-\u9fffA-Za-z0-9]+银行[\u4e00-\u9fff]{0,15}(?:分行|支行|营业部|总行)?)"
+BANK_PATTERNS = [rf"^\s*{_BANK}\s*[(（]\s*以下简称", rf"{_BANK}\s*[(（]\s*以下简称", rf"致\s*[:：]?\s*{_BANK}"]
+_DAY = r"\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日?"
+RANGE_PATTERNS = [rf"({_DAY})[^\d]*?至[^\d]*?({_DAY})[^\d]*?(?:期间|注销|账户)", rf"[自白目][^\d]*?({_DAY})[^\d]*?至[^\d]*?({_DAY})", rf"从[^\d]*?({_DAY})[^\d]*?至[^\d]*?({_DAY})"]
+SIGNED_PATTERNS = [rf"(?s)预留签章.*?({_DAY})", rf"(?s)电子授权.*?({_DAY})", rf"(?s)有限公司.*?({_DAY})", r"(20\d\d\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日?)"]
+STAMP = r"F\s*S\s*(\d{4})\s*[-–]\s*(\d{1,2})\s*[-–]\s*(\d{1,2})"
+BARCODE = r"条形码.{0,20}?([A-Za-z0-9\-]{6,})"
+REPLY_ENDS = ["公司经办人", "经办人", "预留签章", "采用电子授权", "以下由被询证银行", "被询证银行填列"]
+_NAME = r"([\u4e00-\u9fff·a-zA-Z\-_]{1,20})"
+REPLY_NAMES = [rf"回函\s*收件人\s*[:：]\s*{_NAME}", rf"回函\s*联系人\s*[:：]\s*{_NAME}", rf"回函.*?收件人\s*[:：]\s*{_NAME}"]
+LATER_NAMES = [rf"收件人\s*[:：]\s*{_NAME}", rf"联系人\s*[:：]\s*{_NAME}"]
+REPLY_ADDRESS = r"(?s)回函[地址]*\s*[:：](.*)$"
+PHONE = r"(?:手机号|电话|联系电话)\s*[:：]\s*(.*?)(?=\s*(?:邮政编码|邮编|电邮|电子邮箱|邮箱|传真|网址|回函|[\n\r]|$))"
+GLUED = r"(?s)(?:电话|联系电话|手机|手机号|电邮|电子邮箱|邮箱|邮编|邮政编码|传真|座机).*$"
 # Words of checked and unchecked boxes.
 NO_WORDS, YES_WORDS = ["×", "x", "no", "n", "false", "0", "否", "未", "无"], ["√", "✓", "v", "yes", "y", "true", "1", "是", "有"]
 
@@ -32,8 +64,12 @@ def clean_date(text: Column) -> Column:
 
 def repair_date(date: Column, text: Column) -> Column:
     """A date whose day the text does not have for that month takes a day that
-    it has: 01 becomes 02 or 07, 07 or 02 become 01, else the month's only day."""
-    days = F.array_distinct(F.regexp_extract_all(text, F.concat(F.substring(date, 1, 7), F.lit("-(\\d{2})")), F.lit(1)))
+    it has: 01 becomes 02 or 07, 07 or 02 become 01, else the month's only day. A
+    month that the text does not name, and a null text, change nothing."""
+    month = F.substring(date, 6, 2)
+    form = F.concat(F.substring(date, 1, 4), F.lit(r"\s*[年/\-.]\s*(?:"), month, F.lit("|"), F.regexp_replace(month, "^0", ""), F.lit(r")\s*[月/\-.]\s*([0-3]?\d)"))
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), form, F.lit(1)), lambda x: F.lpad(x, 2, "0"))
+    days = F.array_distinct(F.filter(found, lambda x: x != "00"))
     day = F.substring(date, 9, 2)
     swaps = F.when((day == "01") & F.array_contains(days, "02"), "02").when((day == "01") & F.array_contains(days, "07"), "07").when(day.isin("07", "02") & F.array_contains(days, "01"), "01").when(F.size(days) == 1, F.get(days, F.lit(0)))
     return F.when((date == "") | F.array_contains(days, day), date).otherwise(F.coalesce(F.concat(F.substring(date, 1, 8), swaps), date))
@@ -134,3 +170,61 @@ def seals(array: Column, default: str) -> Column:
             F.upper(F.regexp_replace(F.coalesce(s["code"], F.lit("")), r"[\s\-_/.]", "")).alias("code"), F.when(F.lower(s["colour"]).isin("red", "blue", "black"), F.lower(s["colour"])).otherwise(default).alias("colour")
         ),
     )
+
+
+LETTER_FIELDS = "confirmation_no recipient_bank accounting_firm reply_address contact_person phone postal_code debit_account cutoff_date start_date end_date seal_date signature_name".split()
+
+
+def _told(text: Column, patterns: list[str]) -> list[Column]:
+    return [F.trim(F.regexp_extract(text, p, 1)) for p in patterns]
+
+
+def letter_record(told: dict[str, Column], text: Column) -> list[Column]:
+    """The thirteen fields of a letter, cleaned in order. `told` has what a reader
+    gave for each field, `text` the letter; what the text itself tells in one of the
+    known forms goes first. Bank and signature count only if the text holds them. A
+    field that is not told, and a null, is empty; a null text tells nothing."""
+    text = F.coalesce(text, F.lit(""))
+    given = {f: F.trim(F.coalesce(told.get(f, F.lit("")), F.lit(""))) for f in LETTER_FIELDS}
+    for f in ("signature_name", "recipient_bank"):
+        given[f] = F.when(text == "", given[f]).otherwise(in_source(given[f], text, apply_rules(F.regexp_replace(given[f], r"\s+", ""), SLIPS, [])))
+    spelled = lambda c: apply_rules(c, [], SWAPS)
+    slips = lambda c: apply_rules(c, SLIPS, [])
+
+    firm = lambda c: F.regexp_replace(F.trim(F.regexp_replace(c, FIRM_END, "")), r"[，。、；\s]+$", "")
+    unbracketed = lambda c: F.regexp_replace(c, r"[\[\]【】]", "")
+    firms = [firm(x) for x in _told(unbracketed(text), FIRM_PATTERNS)] + [firm(unbracketed(given["accounting_firm"]))]
+
+    stops = [F.when(F.locate(w, text) > 1, F.locate(w, text)) for w in REPLY_ENDS]
+    zone = F.substr(text, F.lit(1), F.coalesce(F.least(*stops), F.length(text) + 1) - 1)
+    after = F.regexp_extract(zone, REPLY_ADDRESS, 1)
+    name = F.coalesce(_first(_told(zone, REPLY_NAMES) + _told(after, LATER_NAMES)), F.lit(""))
+    near = F.when(name != "", F.substr(zone, F.instr(zone, name), F.lit(150))).otherwise("")
+    phone = F.coalesce(_first(_told(near, [PHONE]) + _told(after, [PHONE])), given["phone"])
+    contact = F.regexp_replace(F.regexp_replace(F.coalesce(F.when(name != "", name), given["contact_person"]), GLUED, ""), r"^[_. ]+|[_. ]+$", "")
+
+    fixed = lambda day: repair_date(day, text)
+    end_of = lambda g, f: fixed(clean_date(F.coalesce(_first([F.regexp_extract(text, p, g) for p in RANGE_PATTERNS]), given[f])))
+    stamp = clean_date(F.concat_ws("-", *[F.regexp_extract(text, STAMP, g) for g in (1, 2, 3)]))
+    signed = F.filter(F.array(*[clean_date(x) for x in _told(text, SIGNED_PATTERNS)]), lambda x: (x != "") & (x != stamp))
+    sealed = clean_date(given["seal_date"])
+    sealed = F.when((stamp != "") & (sealed == stamp), F.coalesce(F.get(signed, F.lit(0)), sealed)).otherwise(sealed)
+
+    to = lambda c: F.regexp_replace(c, r"^致[:：]?\s*", "")
+    bank_given = F.regexp_replace(to(given["recipient_bank"]), r"(?s)[(（]\s*以下简称.*$", "")
+    made = {
+        "confirmation_no": letter_number(text, given["confirmation_no"], F.regexp_extract(text, BARCODE, 1)),
+        "recipient_bank": spelled(F.coalesce(_first([to(x) for x in _told(text, BANK_PATTERNS)]), bank_given)),
+        "accounting_firm": F.coalesce(slips(spelled(_first(firms))), F.lit("")),
+        "reply_address": slips(given["reply_address"]),
+        "contact_person": contact,
+        "phone": phones(phone),
+        "postal_code": postal_code(given["postal_code"]),
+        "debit_account": account(F.coalesce(_first(_told(text, DEBIT_PATTERNS)), given["debit_account"])),
+        "cutoff_date": fixed(clean_date(given["cutoff_date"])),
+        "start_date": end_of(1, "start_date"),
+        "end_date": end_of(2, "end_date"),
+        "seal_date": fixed(sealed),
+        "signature_name": seal_name(given["signature_name"]),
+    }
+    return [made[f].alias(f) for f in LETTER_FIELDS]

@@ -22,6 +22,10 @@ COMPANY = rf"([^,，。、；]+?)\s*(增加|减少|增|减)(?:了|\s*{MODIFIER})
 DETAIL_START = "^[（(\\s]*(?:主要是|主要为|主要由|主要原因是)[：:、，,.。；;\\s]*"
 DETAILS = "(主要是|主要为|主要由|主要原因是).*$"
 OFF_COMPANY = rf"([^,，。、；]+?)\s*(?:增加|减少)(?:了|\s*{MODIFIER})\s*[0-9]"
+LED_AMOUNT = rf"{MOVE}\s*{NUMBER}\s*{UNIT}"
+LOOSE_COMPANY = [rf"[^,，。、；]+?\s*(增加|减少|增|减)\s*{MODIFIER}\s*{NUMBER}\s*{UNIT}", rf"[^,，。、；]+?\s*(增加|减少|增|减)了\s*{NUMBER}\s*{UNIT}"]
+SMALL_REST = "等小额增加"
+TAG_MOVE = "非标准增减主句"
 MARKERS, MARKER = "(主要是|主要为|主要由|主要原因是)", "主要是"
 TAG_SUFFIX, TAG_MODIFIER, TAG_VALUE, TAG_OTHER, TAG_MISSING = "增加/减少后含后缀", "增加/减少后含修饰词", "本期为", "非标准主句", "缺少增加/减少"
 
@@ -106,6 +110,45 @@ def main_class(text: Column) -> Column:
     return F.when(text.rlike(PLAIN), "").when(text.rlike(SUFFIXED), TAG_SUFFIX).when(text.rlike(MODIFIED), TAG_MODIFIER).when(text.rlike(VALUE), TAG_VALUE).when(text.rlike(AMOUNT), TAG_OTHER).otherwise(TAG_MISSING)
 
 
+def main_form(text: Column) -> Column:
+    """The word that keeps a main sentence from the canonical form, "" if none
+    does: what stands between period or direction and the amount, a sign, or the word
+    after the unit; a tag where there is no amount or nothing before it. A null text
+    is empty."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    before = F.trim(F.regexp_extract(t, AMOUNT, 1))
+    after = F.trim(F.regexp_extract(t, rf"(?s)^.*?{NUMBER}\s*{UNIT}(.*)$", 3))
+    between = F.trim(F.regexp_extract(before, rf"(?s){PERIOD}(.*)$", 1))
+    rest = F.trim(F.regexp_replace(between, f"^{MOVE}", ""))
+    tail = F.regexp_extract(after, r"^[\s\p{P}]*([^\s\p{P}]*)", 1)
+    lead = F.coalesce(*[F.when(F.locate(w, before) > 1, F.trim(F.substring_index(before, w, 1))) for w in ("增加", "减少", "为", "：", ":", "=")], before)
+    no_amount = F.when(t.contains(PERIOD), PERIOD).when(t.rlike(MOVE), TAG_MOVE).otherwise(TAG_OTHER)
+    named = F.when(between == "", TAG_MISSING).when(between.rlike(f"^{MOVE}"), F.when(rest != "", rest).when(tail == SMALL_REST, "").otherwise(tail)).when(between.rlike("^[-+－−—–]"), F.substring(between, 1, 1)).otherwise(between)
+    return F.when(t == "", "").when(~t.rlike(AMOUNT), no_amount).when(~before.contains(PERIOD), lead).otherwise(named)
+
+
+def _reads(text: Column) -> Column:
+    m = main_change(text)
+    return F.coalesce(m["direction"].isin(-1, 1) & m["amount"].isNotNull() & (m["unit"] != ""), F.lit(False))
+
+
+def main_blocks(text: Column) -> Column:
+    """Whether a main sentence speaks of a change in no form that can be read."""
+    t = F.coalesce(text, F.lit(""))
+    return (F.trim(t) != "") & ~_reads(t) & (t.rlike(MOVE) | t.rlike(VALUE))
+
+
+def bare_amounts(text: Column) -> Column:
+    """Whether an amount stands without a direction of its own. Amounts that have
+    one are blanked first: the main sentence's, companies' and led ones."""
+    t = F.coalesce(text, F.lit(""))
+    own = F.regexp_extract(t, AMOUNT, 1).contains(PERIOD) & _reads(t)
+    t = F.when(own, F.regexp_replace(t, rf"(?s)^(.*?){NUMBER}\s*{UNIT}(.*)$", "$1#$4")).otherwise(t)
+    for form in [*LOOSE_COMPANY, LED_AMOUNT]:
+        t = F.regexp_replace(t, form, "#")
+    return t.rlike(rf"{NUMBER}\s*{UNIT}")
+
+
 def scope_hint(text: Column) -> Column:
     """本外币, then dollars' total or foreign currency, then yuan."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")

@@ -19,6 +19,8 @@ TOC = "^(目\\s*录|表\\s*目\\s*录|图\\s*目\\s*录)\\s*$"
 GLOSSARY = "^(附\\s*录|附\\s*件|术\\s*语|定\\s*义|缩\\s*略\\s*语|釋\\s*義)"
 SENTENCE = "[，。；：！？;:!?]"
 MONEY_DATE = "[0-9]+\\s*(元|万元|亿元|年|月|日)"
+# What a bold line may not have if it is to be a title: marks, a date, an opening bracket.
+BOLD_BARS = "[。！？；：,，;:!?]|[〇零一二三四五六七八九十百0-9]+[年月]|[0-9]+日$|^[（(〔［]"
 
 
 def let(value: Column, use) -> Column:
@@ -98,21 +100,25 @@ def gate(text: Column, prefix: str, most: int) -> Column:
     return ~text.contains("\t") & (bars < 3) & let(tail, heading_like)
 
 
-def line_class(text: Column, style: Column | None = None, outline: Column | None = None, is_table: Column | None = None) -> Column:
+def line_class(text: Column, style: Column | None = None, outline: Column | None = None, is_table: Column | None = None, bold: Column | None = None, after_blank: Column | None = None) -> Column:
     """C14: class of a line: table, blank, contents, glossary, style, outline level,
-    then the heading patterns in the order H1, H2, H4, H3 behind their gates."""
+    then the heading patterns in the order H1, H2, H4, H3 behind their gates. A line
+    that none takes is H1 if it is bold throughout, follows a blank line and is short,
+    without marks, date and opening bracket; null flags count as false."""
     none = F.lit(None).cast("string")
     style = none if style is None else style
     outline = F.lit(None).cast("int") if outline is None else outline
     table = F.lit(False) if is_table is None else is_table
     by_style = F.regexp_extract(style, r"(?i)^heading\s*([1-4])$", 1)
 
+    alone = F.coalesce((F.lit(False) if bold is None else bold) & (F.lit(False) if after_blank is None else after_blank), F.lit(False))
+
     def classify(t: Column) -> Column:
         return (
             F.when(table | (F.coalesce(style, F.lit("")) == "Table"), "Table").when(t == "", "BLANK").when(t.rlike(TOC), "TOCTitle").when(t.rlike(GLOSSARY), "GlossaryTitle")
             .when(F.coalesce(by_style, F.lit("")) != "", F.concat(F.lit("H"), by_style)).when(outline.between(0, 3), F.concat(F.lit("H"), (outline + 1).cast("string")))
-            .when(t.rlike(H1), "H1").when(t.rlike(H2), F.when(gate(t, H2, 40), "H2").otherwise("NORMAL"))
-            .when(t.rlike(H4), F.when(gate(t, "^[0-9]+[.．、]\\s*", 28), "H4").otherwise("NORMAL")).when(t.rlike(H3), F.when(gate(t, H3, 40), "H3").otherwise("NORMAL")).otherwise("NORMAL")
+            .when(t.rlike(H1), "H1").when(t.rlike(H2) & gate(t, H2, 40), "H2").when(~t.rlike(H2) & t.rlike(H4) & gate(t, "^[0-9]+[.．、]\\s*", 28), "H4")
+            .when(~t.rlike(H2) & ~t.rlike(H4) & t.rlike(H3) & gate(t, H3, 40), "H3").when(alone & (F.length(t) <= 40) & ~t.rlike(BOLD_BARS), "H1").otherwise("NORMAL")
         )
 
     return let(F.trim(normalized(text)), classify)

@@ -54,15 +54,18 @@ def array_members(rows: DataFrame, key: str, array: str, known: DataFrame, known
 
 
 def visible_items(users: DataFrame, items: DataFrame, grants: DataFrame, default_open: bool) -> DataFrame:
-    """(user, item) that a user sees: public items, granted ones, and all of
-    them for a user without any grant when the default is open. Items are few; each
-    user's list comes from one array of items."""
-    active = items.where("active")
-    listed = active.agg(F.collect_list(F.struct("item", "public")).alias("all"))
-    granted = grants.groupBy("user").agg(F.collect_set("item").alias("mine"))
-    row = users.join(granted, "user", "left").join(F.broadcast(listed))
-    sees = lambda x: x["public"] | F.array_contains(F.coalesce("mine", F.array().cast("array<int>")), x["item"]) | (F.lit(default_open) & F.col("mine").isNull())
-    return row.select("user", F.explode(F.filter("all", sees)).alias("x")).select("user", "x.item")
+    """(user, item) that a user sees, each once: public items, granted ones, and
+    all of them for a user without any grant when the default is open. Users and items
+    meet on the audience they belong to; Spark broadcasts the items if they are few.
+    Grants of unknown users or inactive items show nothing; null flags are false."""
+    people, active = users.select("user").distinct(), items.where("active")
+    held = grants.select("user", "item").distinct()
+    whole = F.lit("all") if default_open else F.lit("public")
+    audience = people.join(held.select("user", F.lit("public").alias("limited")).distinct(), "user", "left").select("user", F.coalesce("limited", whole).alias("audience"))
+    shown = F.when(F.coalesce("public", F.lit(False)), F.array(F.lit("all"), F.lit("public"))).otherwise(F.array(F.lit("all")))
+    seen = audience.join(active.select("item", F.explode(shown).alias("audience")), "audience").select("user", "item")
+    hidden = active.where(~F.coalesce("public", F.lit(False))).select("item")
+    return seen.unionByName(held.join(hidden, "item", "left_semi").join(people, "user", "left_semi").select("user", "item"))
 
 
 def override(extracted: DataFrame, corrections: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -222,6 +222,29 @@ def runs_in_lines(cells: DataFrame, lines: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.n", "b.first_line")
 
 
+def table_in_lines(cells: DataFrame, lines: DataFrame, head: int = 3, least: int = 2) -> DataFrame:
+    """Where a document's table stands as text: (doc_id, first_line, rows_met,
+    last_line). From a line that equals the table's first row, the first `head` rows
+    are held against the next lines, blanks aside, as far as they agree; at least
+    `least` must (one, if the table has one). Most rows win, then the earliest start.
+    The only line from there on that equals the last row ends it, else last_line is
+    null. A start meets `head` rows at most, so repeated lines are never paired with
+    repeated rows."""
+    by = Window.partitionBy("doc_id")
+    full = cells.select("doc_id", "row_no", X.title_key(F.col("text")).alias("key")).where("key <> ''")
+    rows = full.withColumn("k", F.row_number().over(by.orderBy("row_no"))).withColumn("n", F.count("*").over(by))
+    texts = lines.select("doc_id", "line_no", X.title_key(F.col("text")).alias("key")).where("key <> ''").withColumn("pos", F.row_number().over(by.orderBy("line_no")))
+    heads = rows.where(F.col("k") <= head).select("doc_id", "k", "n", F.col("key").alias("row"))
+    starts = texts.join(heads.where("k = 1").select("doc_id", F.col("row").alias("key")), ["doc_id", "key"]).select("doc_id", F.col("pos").alias("start"), F.col("line_no").alias("first_line"))
+    held = starts.join(heads, "doc_id").withColumn("pos", F.col("start") + F.col("k") - 1).join(texts.select("doc_id", "pos", "key"), ["doc_id", "pos"], "left")
+    off = F.min(F.when(~F.col("row").eqNullSafe(F.col("key")), F.col("k")))
+    met = held.groupBy("doc_id", "start", "first_line", "n").agg(F.coalesce(off - 1, F.count("*")).alias("rows_met")).where(F.col("rows_met") >= F.least(F.lit(least), "n"))
+    best = met.groupBy("doc_id").agg(F.max_by(F.struct("start", "first_line", "rows_met"), F.struct("rows_met", -F.col("start"))).alias("b")).select("doc_id", "b.*")
+    ends = texts.join(rows.where("k = n").select("doc_id", "key"), ["doc_id", "key"]).select("doc_id", "pos", "line_no")
+    tail = best.join(ends, "doc_id").where("pos >= start").groupBy("doc_id").agg(F.count("*").alias("c"), F.max("line_no").alias("last_line")).where("c = 1")
+    return best.join(tail, "doc_id", "left").select("doc_id", "first_line", "rows_met", "last_line")
+
+
 def anchor_windows(lines: DataFrame, anchor: str, width: int, least: float) -> DataFrame:
     """The first best window of lines whose text is like the anchor."""
     over = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(0, width - 1)

@@ -82,6 +82,28 @@ SQL: dict[str, str | tuple[str, str]] = {
         UNION ALL SELECT d.doc_id, e.source, CASE WHEN (d.doc_id + e.sub) % 6 = 1 THEN e.name || 'x' ELSE replace(e.name, '.', ' . ') END, e.pos, e.sub, CASE WHEN (d.doc_id + e.pos) % 5 = 2 THEN 'no,more' ELSE replace(replace(e.headers, '（', '('), '）', ')') END
         FROM documents d JOIN {expected_subs} e ON d.source = e.source WHERE e.sub IS NOT NULL AND e.sub < 3 - d.doc_id % 2
         UNION ALL SELECT doc_id, source, 'more', 2, 7, 'q' FROM documents WHERE doc_id % 9 = 4""",
+    # Main sentences: period, direction, amount, unit and tail vary apart.
+    "main_sentences": """SELECT o_orderkey AS rec_id, CASE o_orderkey % 9 WHEN 8 THEN ' 无金额' || CASE WHEN o_custkey % 2 = 0 THEN '增加' ELSE '' END WHEN 7 THEN '本期无' || o_orderstatus ELSE
+        CASE o_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN '本年' WHEN 2 THEN '甲' ELSE '本期' END || CASE o_orderkey % 8 WHEN 0 THEN '增加' WHEN 1 THEN '减少了' WHEN 2 THEN '增加 约' WHEN 3 THEN '为' WHEN 4 THEN '－' WHEN 5 THEN '有所减少' WHEN 6 THEN '' ELSE '增减' END
+        || cast(o_custkey AS string) || CASE o_orderkey % 3 WHEN 0 THEN '.25亿元' WHEN 1 THEN ' 万美元' ELSE '元' END
+        || CASE o_custkey % 7 WHEN 0 THEN '，等小额增加' WHEN 1 THEN ' 左右。' WHEN 2 THEN '，乙公司增约' || cast(o_orderkey % 97 AS string) || '.5万元' WHEN 3 THEN '，另有3元' WHEN 4 THEN '。丙减少了2亿' ELSE '' END END AS text FROM orders""",
+    # Ledger sheets: a title, three header rows with gaps, ambiguous and split words, then rows.
+    "grid": """SELECT s.file, s.sheet, cast(r.n_nationkey AS int) AS row_no, cast(c.n_nationkey AS int) AS col_no, CASE r.n_nationkey WHEN 1 THEN CASE WHEN c.n_nationkey = 1 THEN '人民币 上期' ELSE '' END
+        WHEN 3 THEN CASE WHEN c.n_nationkey < 3 THEN ' ' WHEN c.n_nationkey = 6 AND s.sheet = 'R' THEN '上期及本期' WHEN c.n_nationkey < 5 THEN '本期 金额' ELSE '上期' END
+        WHEN 5 THEN CASE WHEN c.n_nationkey < 3 THEN '' WHEN c.n_nationkey % 2 = 1 THEN '人民币' WHEN s.file = 'f1' THEN '美元合计/人民币' WHEN s.sheet = 'A' THEN '本外币' ELSE '美元 合计' END
+        ELSE CASE c.n_nationkey WHEN 1 THEN CASE WHEN s.file = 'f0' THEN '指标 编号' ELSE '指标代码' END WHEN 2 THEN CASE WHEN s.file = 'f3' THEN '名称' ELSE '指标名称' END WHEN 3 THEN '期末余额' WHEN 4 THEN CASE WHEN s.sheet = 'N' THEN '发生额（本外币）' ELSE '发生额' END WHEN 5 THEN '余额、发生额' ELSE '发生额' END END AS value
+        FROM (SELECT DISTINCT file, sheet FROM {cells}) s CROSS JOIN nation r CROSS JOIN nation c WHERE r.n_nationkey IN (1, 3, 5, 6) AND c.n_nationkey BETWEEN 1 AND 6 AND NOT (s.file = 'f4' AND r.n_nationkey = 6)
+        UNION ALL SELECT file, sheet, row_no, col_no, value FROM {cells}
+        UNION ALL SELECT DISTINCT file, sheet, row_no, cast(1 AS int), CASE WHEN row_no % 7 = 0 THEN '' ELSE cast(row_no AS string) || '.0' END FROM {cells}
+        UNION ALL SELECT DISTINCT file, sheet, row_no, cast(2 AS int), CASE WHEN row_no % 9 = 0 THEN '1. ' ELSE '1. N' || cast(row_no AS string) END FROM {cells}""",
+    # Letters: a text that tells some of its fields, and what a reader gave for each.
+    "letters": """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '函证编号：HZ-' || cast(c_custkey AS string) ELSE '条形码：BC' || cast(c_custkey + 100000 AS string) END || '；' || CASE WHEN c_custkey % 4 = 1 THEN '致：城' || cast(c_nationkey AS string) || '银行天律分行' ELSE '' END
+        || '，本公司聘请的' || CASE WHEN c_custkey % 2 = 0 THEN '甲' || cast(c_nationkey AS string) || '有限公司会计师事务所（特殊普通合伙）正在审计' ELSE '审计师' END || '。自2024年1月' || cast(c_nationkey % 9 + 10 AS string) || '日起至2024年3月5日期间。'
+        || '回函地址：路1号 ' || CASE WHEN c_custkey % 5 = 2 THEN '收件人：' || CASE WHEN c_nationkey % 2 = 0 THEN '李四' ELSE '王五' END || ' 电话：021-' || cast(c_custkey AS string) || '（项目组） 邮编：200030' ELSE '' END
+        || ' 扣费账号：AB62' || cast(c_custkey + 1000000 AS string) || '。预留签章 2024年4月0' || cast(c_nationkey % 7 + 2 AS string) || '日 FS 2024-04-01。' AS text,
+        'NO. A' || cast(c_custkey AS string) AS confirmation_no, '致：城' || cast(c_nationkey AS string) || '银行' AS recipient_bank, '[乙]会计师事务所公司，' AS accounting_firm, '路' || cast(c_nationkey AS string) || '号公司' AS reply_address, '赵六电话' AS contact_person,
+        '+86 (21) ' || cast(c_custkey AS string) || '/x' AS phone, 'P 200030 x' AS postal_code, '2024年4月1日' AS cutoff_date, '2023-01-01' AS start_date, '2024.13.01' AS end_date, CASE WHEN c_custkey % 2 = 0 THEN '2024-04-01' ELSE '20240407' END AS seal_date,
+        CASE WHEN c_custkey % 4 = 1 THEN '城' || cast(c_nationkey AS string) || '银行天律分行' ELSE c_name END AS signature_name FROM customer""",
 }
 
 

@@ -62,6 +62,29 @@ def c28(spark, d):
     return _sentences(spark, d).select("o_orderkey", N.main_class(F.col("s")).alias("tag"))
 
 
+_NUM, _UNITS = r"[0-9][0-9,]*(?:\.[0-9]+)?", "(?:亿美元|万美元|美元|亿元|亿|万元|万|元)"
+_MOD = "(?:约|共|合计|累计|达|为|至|计)"
+_HELD = f"""(SELECT *, trim(regexp_extract(b, '本期((?s:.*))$', 1)) AS between FROM (SELECT rec_id, text, trim(text) AS t, trim(regexp_extract(trim(text), '(?s)^(.*?){_NUM}\\s*{_UNITS}', 1)) AS b, regexp_extract(trim(text), '(?s)^.*?{_NUM}\\s*{_UNITS}(.*)$', 1) AS a FROM {{main_sentences}}))"""
+_READS = f"""(regexp_matches(text, '本期\\s*(?:增加|减少)(?:了|\\s*{_MOD})?\\s*{_NUM}\\s*{_UNITS}') OR CASE WHEN contains(b, '本期') AND regexp_matches(between, '[减少小增加多]') THEN regexp_matches(between, '[减少小]') <> regexp_matches(between, '[增加多]')
+    ELSE regexp_matches(text, '本期\\s*(?:为|：|:|=)?\\s*[-+－−—–]?{_NUM}\\s*{_UNITS}') END)"""
+
+
+@query("c28_main_form", f"""SELECT rec_id, CASE WHEN t = '' THEN '' WHEN NOT regexp_matches(t, '{_NUM}\\s*{_UNITS}') THEN CASE WHEN contains(t, '本期') THEN '本期' WHEN regexp_matches(t, '增加|减少') THEN '非标准增减主句' ELSE '非标准主句' END
+    WHEN NOT contains(b, '本期') THEN CASE WHEN instr(b, '增加') > 1 THEN trim(split_part(b, '增加', 1)) WHEN instr(b, '减少') > 1 THEN trim(split_part(b, '减少', 1)) WHEN instr(b, '为') > 1 THEN trim(split_part(b, '为', 1)) ELSE b END
+    WHEN between = '' THEN '缺少增加/减少' WHEN starts_with(between, '增加') OR starts_with(between, '减少') THEN CASE WHEN trim(between[3:]) <> '' THEN trim(between[3:]) ELSE replace(regexp_extract(a, '^[\\s\\p{{P}}]*([^\\s\\p{{P}}]*)', 1), '等小额增加', '') END
+    WHEN between[1] IN ('+', '-', '－', '−', '—', '–') THEN between[1] ELSE between END AS form FROM {_HELD}""")
+def c28_form(spark, d):
+    return table(spark, d, "main_sentences").select("rec_id", N.main_form(F.col("text")).alias("form"))
+
+
+@query("c28_main_blocks", f"""SELECT rec_id, t <> '' AND NOT {_READS} AND (regexp_matches(text, '增加|减少') OR regexp_matches(text, '本期\\s*(?:为|：|:|=)?\\s*[-+－−—–]?{_NUM}\\s*{_UNITS}')) AS blocks,
+    regexp_matches(regexp_replace(regexp_replace(regexp_replace(CASE WHEN contains(b, '本期') AND {_READS} THEN regexp_replace(text, '(?s)^(.*?){_NUM}\\s*{_UNITS}', '\\1#') ELSE text END,
+    '[^,，。、；]+?\\s*(增加|减少|增|减)\\s*{_MOD}\\s*{_NUM}\\s*{_UNITS}', '#', 'g'), '[^,，。、；]+?\\s*(增加|减少|增|减)了\\s*{_NUM}\\s*{_UNITS}', '#', 'g'), '(增加|减少)\\s*{_NUM}\\s*{_UNITS}', '#', 'g'), '{_NUM}\\s*{_UNITS}') AS bare FROM {_HELD}""".replace("\\\\", "\\"))
+def c28_blocks(spark, d):
+    t = F.col("text")
+    return table(spark, d, "main_sentences").select("rec_id", N.main_blocks(t).alias("blocks"), N.bare_amounts(t).alias("bare"))
+
+
 @query("c29_scope_hint", f"SELECT o_orderkey, CASE {_K6} WHEN 1 THEN 'foreign' WHEN 2 THEN 'usd_total' WHEN 3 THEN 'rmb' ELSE '' END AS scope FROM orders")
 def c29(spark, d):
     return _sentences(spark, d).select("o_orderkey", N.scope_hint(F.col("s")).alias("scope"))
@@ -225,6 +248,15 @@ def c43(spark, d):
     return c.select("c_custkey", L.clean_date(F.col("date")).alias("day"), L.postal_code(F.col("postal")).alias("postal"), L.account(F.col("account")).alias("account"), L.seal_name(F.col("seal")).alias("seal"))
 
 
+@query("c43_letter_record", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'HZ-' || c_custkey ELSE 'A' || c_custkey END AS confirmation_no, CASE WHEN c_custkey % 4 = 1 THEN '城' || c_nationkey || '银行天津分行' ELSE '' END AS recipient_bank,
+    CASE WHEN c_custkey % 2 = 0 THEN '甲' || c_nationkey || '有限责任会计师事务所（特殊普通合伙）' ELSE '乙会计师事务所' END AS accounting_firm, '路' || c_nationkey || '号' AS reply_address, CASE WHEN c_custkey % 5 <> 2 THEN '赵六' WHEN c_nationkey % 2 = 0 THEN '李四' ELSE '王五' END AS contact_person,
+    CASE WHEN c_custkey % 5 = 2 THEN '021-' || c_custkey ELSE '+86 (21) ' || c_custkey END AS phone, '200030' AS postal_code, '62' || (c_custkey + 1000000) AS debit_account, '2024-04-01' AS cutoff_date, '2024-01-' || (c_nationkey % 9 + 10) AS start_date, '2024-03-05' AS end_date,
+    CASE WHEN c_custkey % 2 = 0 THEN '2024-04-0' || (c_nationkey % 7 + 2) WHEN c_nationkey % 7 = 5 THEN '2024-04-07' ELSE '2024-04-01' END AS seal_date, CASE WHEN c_custkey % 4 = 1 THEN '城' || c_nationkey || '银行天律分行' ELSE '' END AS signature_name FROM customer""")
+def c43_record(spark, d):
+    told = {f: F.col(f) for f in L.LETTER_FIELDS if f != "debit_account"}
+    return table(spark, d, "letters").select("c_custkey", *L.letter_record(told, F.col("text")))
+
+
 @query("w4_wrapped_rows", "SELECT o_orderkey, o_orderstatus || 'x' AS a, o_orderpriority || 'y' AS b, 'c' AS c FROM orders")
 def w4(spark, d):
     from tallyweave.operators import versions as V

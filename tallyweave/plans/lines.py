@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import text as X
@@ -47,6 +48,13 @@ def c14(spark, d):
     return table(spark, d, "doc_lines").select("doc_id", "line_no", X.line_class(F.col("text"), is_table=F.col("is_table")).alias("class"))
 
 
+@query("c14_bold_titles", f"""SELECT doc_id, line_no, CASE WHEN class = 'NORMAL' AND line_no % 3 <> 0 AND before AND length(t) <= 40 AND NOT regexp_matches(t, '[。！？；：,，;:!?]|[〇零一二三四五六七八九十百0-9]+[年月]|[0-9]+日$|^[（(〔［]') THEN 'H1' ELSE class END AS class
+    FROM (SELECT *, coalesce(lag(trim(text)) OVER (PARTITION BY doc_id ORDER BY line_no) = '', false) AS before FROM {_CLASS})""")
+def c14_bold(spark, d):
+    before = F.lag(F.trim("text")).over(Window.partitionBy("doc_id").orderBy("line_no")) == ""
+    return table(spark, d, "doc_lines").withColumn("before", before).select("doc_id", "line_no", X.line_class(F.col("text"), is_table=F.col("is_table"), bold=F.col("line_no") % 3 != 0, after_blank=F.col("before")).alias("class"))
+
+
 @query("c15_line_class_plain", f"SELECT doc_id, line_no, CASE WHEN regexp_matches({_T}, '{_H1}') THEN 'H1' WHEN regexp_matches({_T}, '{_H3}') THEN 'H3' WHEN regexp_matches({_T}, '^[0-9]+[.．、]([^0-9]|$)') THEN 'H4' WHEN regexp_matches({_T}, '{_H2}') THEN 'H2' ELSE 'NORMAL' END AS class FROM {{doc_lines}}")
 def c15(spark, d):
     return table(spark, d, "doc_lines").select("doc_id", "line_no", X.line_class_plain(F.col("text")).alias("class"))

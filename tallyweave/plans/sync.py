@@ -117,6 +117,23 @@ def s3(spark, d):
     return S.ledger_grid(heads.unionByName(cells), 4, {"h3": "m1", "h4": "m2", "h5": "m3", "h6": "m4"})
 
 
+def _told(words: dict[str, str], alone: bool) -> str:
+    """SQL for the word that v has: the only one, or the first that j has."""
+    if alone:
+        return f"CASE WHEN {' + '.join(f'CAST(contains(v, {w!r}) AS INT)' for w in words)} = 1 THEN CASE {' '.join(f'WHEN contains(v, {w!r}) THEN {k!r}' for w, k in words.items())} END END"
+    return f"CASE {' '.join(f'WHEN contains(j, {w!r}) THEN {k!r}' for w, k in words.items())} END"
+
+
+@query("s3_ledger_records", f"""WITH t AS (SELECT *, dense_rank() OVER (PARTITION BY file, sheet ORDER BY row_no) AS rank FROM (SELECT *, trim(regexp_replace(value, '\\s+', ' ', 'g')) AS v FROM {{grid}} WHERE row_no <= 12) WHERE v <> ''),
+    k AS (SELECT *, max(rank) OVER (PARTITION BY file, sheet) AS top, max(row_no) OVER (PARTITION BY file, sheet) AS last FROM t WHERE rank <= 4),
+    c AS (SELECT file, sheet, last, col_no, string_agg(replace(v, ' ', ''), '' ORDER BY rank) AS j, {', '.join(f'arg_max({_told(w, True)}, rank) AS {n}' for n, w in S.HEADER_WORDS.items())} FROM k WHERE top = 4 AND rank > 1 GROUP BY ALL),
+    f AS (SELECT file, sheet, field, max(last) AS last, max(col_no) AS col_no FROM (SELECT *, CASE WHEN contains(j, '指标编号') OR contains(j, '指标代码') THEN 'code' WHEN contains(j, '指标名称') THEN 'name' ELSE {" || '_' || ".join(f'coalesce({n}, {_told(w, False)})' for n, w in S.HEADER_WORDS.items())} END AS field FROM c) WHERE field IS NOT NULL GROUP BY ALL),
+    b AS (SELECT g.file, g.sheet, g.row_no, max(CASE WHEN field = 'code' THEN trim(value) END) AS code, max(CASE WHEN field = 'name' THEN trim(value) END) AS name, {', '.join(f"max(CASE WHEN field = '{m}' THEN TRY_CAST(value AS DOUBLE) END) AS {m}" for m in S.LEDGER_MEASURES)} FROM {{grid}} g JOIN f ON f.file = g.file AND f.sheet = g.sheet AND f.col_no = g.col_no WHERE g.row_no > f.last GROUP BY ALL)
+    SELECT * REPLACE (regexp_replace(code, '[.]0$', '') AS code) FROM b WHERE code <> '' AND contains(name, 'N')""")
+def s3_records(spark, d):
+    return S.ledger_records(table(spark, d, "grid"))
+
+
 @query("s4_merged_cells", "SELECT file, sheet, row_no, col_no, CASE WHEN row_no BETWEEN 12 AND 14 AND col_no BETWEEN 3 AND 4 AND (SELECT max(k.value) FROM {cells} k WHERE k.file = c.file AND k.sheet = c.sheet AND k.row_no = 12 AND k.col_no = 3) IS NOT NULL THEN (SELECT max(k.value) FROM {cells} k WHERE k.file = c.file AND k.sheet = c.sheet AND k.row_no = 12 AND k.col_no = 3) ELSE value END AS value FROM {cells} c")
 def s4(spark, d):
     cells = table(spark, d, "cells")

@@ -190,6 +190,20 @@ def j24(spark, d):
     return V.runs_in_lines(a.where(F.col("line_no").between(2, 9)).select("doc_id", F.col("line_no").alias("row_no"), "text"), b)
 
 
+_FULL_LINES = f"(SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos FROM (SELECT doc_id, line_no, {_KEY.replace('{x}', 'text')} AS key FROM {{t}}) WHERE key <> '')"
+
+
+@query("j24_table_in_lines", f"""WITH r AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM {_FULL_LINES.replace('{t}', '(SELECT * FROM {raw_lines} WHERE line_no >= doc_id % 4)')}), l AS {_FULL_LINES.replace('{t}', '{versions_b}')},
+    s AS (SELECT l.doc_id, l.pos AS start, l.line_no AS first_line, n FROM l JOIN r ON r.doc_id = l.doc_id AND r.key = l.key AND r.pos = 1), m AS (SELECT s.*, CASE WHEN r2.key IS NULL THEN 1 WHEN r3.key IS NULL THEN 2 ELSE 3 END AS rows_met FROM s
+    LEFT JOIN (SELECT r.doc_id, l.pos FROM r JOIN l ON l.doc_id = r.doc_id AND l.key = r.key WHERE r.pos = 2) x2 ON x2.doc_id = s.doc_id AND x2.pos = s.start + 1 LEFT JOIN r r2 ON x2.doc_id = r2.doc_id AND r2.pos = 2
+    LEFT JOIN (SELECT r.doc_id, l.pos FROM r JOIN l ON l.doc_id = r.doc_id AND l.key = r.key WHERE r.pos = 3) x3 ON x3.doc_id = s.doc_id AND x3.pos = s.start + 2 LEFT JOIN r r3 ON x3.doc_id = r3.doc_id AND r3.pos = 3),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rows_met DESC, start) AS k FROM m WHERE rows_met >= least(2, n)) WHERE k = 1)
+    SELECT b.doc_id, b.first_line, CAST(b.rows_met AS BIGINT) AS rows_met, (SELECT CASE WHEN count(*) = 1 THEN max(l.line_no) END FROM l JOIN r ON r.doc_id = l.doc_id AND r.key = l.key AND r.pos = r.n WHERE l.doc_id = b.doc_id AND l.pos >= b.start) AS last_line FROM b""")
+def j24_table(spark, d):
+    a, b = _ab(spark, d)
+    return V.table_in_lines(a.where(F.col("line_no") >= F.col("doc_id") % 4).select("doc_id", F.col("line_no").alias("row_no"), "text"), b)
+
+
 _SIM = """CASE WHEN {a} = {b} THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN contains({a}, {b}) OR contains({b}, {a}) THEN 0.85 + 0.15 * least(length({a}), length({b})) / greatest(length({a}), length({b}))
     ELSE len(list_intersect(list_distinct(string_split({a}, '')), list_distinct(string_split({b}, '')))) / greatest(len(list_distinct(list_concat(string_split({a}, ''), string_split({b}, '')))), 1) END"""
 

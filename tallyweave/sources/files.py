@@ -6,6 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyweave.functions.money import indicator_name, ledger_code, ledger_number
+
+# How many header rows a ledger has, among how many, and their words.
+HEADER_ROWS, HEADER_SCAN = 4, 12
+HEADER_WORDS = {
+    "period": {"本期": "cur", "上期": "pre"},
+    "scope": {"本外币": "foreign", "美元合计": "foreign_total", "人民币": "rmb"},
+    "measure": {"发生额": "occur", "余额": "balance"},
+}
+LEDGER_MEASURES = [f"{p}_{s}_{m}" for p in ("cur", "pre") for s in ("rmb", "foreign", "foreign_total") for m in ("balance", "occur")]
+
 
 def page_number(path: Column) -> Column:
     """The page that a file's name tells: page_N, else its first number less one."""
@@ -86,6 +97,44 @@ def ledger_grid(cells: DataFrame, headers: int, measures: dict[str, str]) -> Dat
     return body.groupBy("file", "sheet", "row_no").pivot("measure", sorted(set(measures.values()))).agg(F.first("value"))
 
 
+def _word_of(text: Column, words: dict[str, str], alone: bool) -> Column:
+    """The value whose word a header has: the only one if `alone`, else the first."""
+    hits = F.array_compact(F.array(*[F.when(text.contains(w), F.lit(v)) for w, v in words.items()]))
+    return F.when(F.size(hits) == 1, F.get(hits, F.lit(0))) if alone else F.get(hits, F.lit(0))
+
+
+def header_fields(cells: DataFrame, headers: int = HEADER_ROWS, scan: int = HEADER_SCAN) -> DataFrame:
+    """S3: (file, sheet, field, col_no, last_header) that the header rows of each sheet
+    name. Headers are the first `headers` rows with a value among the first `scan`, the
+    topmost of them is a title; a sheet with fewer has none. A column tells its period,
+    scope and measure by the lowest header with just one of the words, else by the
+    first word in all its headers together. Of columns of one field the last counts."""
+    value = F.trim(F.regexp_replace("value", r"\s+", " "))
+    top = cells.where((F.col("row_no") <= scan) & (value != "")).select("file", "sheet", "row_no", "col_no", value.alias("value"))
+    ranked = top.withColumn("rank", F.dense_rank().over(Window.partitionBy("file", "sheet").orderBy("row_no"))).where(F.col("rank") <= headers)
+    whole = F.max("rank").over(Window.partitionBy("file", "sheet")) == headers
+    last = F.max("row_no").over(Window.partitionBy("file", "sheet"))
+    kept = ranked.withColumn("whole", whole).withColumn("last_header", last).where("whole and rank > 1")
+    told = [F.max_by(_word_of(F.col("value"), words, True), F.when(_word_of(F.col("value"), words, True).isNotNull(), F.col("rank"))).alias(name) for name, words in HEADER_WORDS.items()]
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]), "").alias("joined")
+    columns = kept.groupBy("file", "sheet", "last_header", "col_no").agg(*told, joined).withColumn("joined", F.replace("joined", F.lit(" ")))
+    period, scope, measure = [F.coalesce(name, _word_of(F.col("joined"), words, False)) for name, words in HEADER_WORDS.items()]
+    field = F.when(F.col("joined").rlike("指标编号|指标代码"), "code").when(F.col("joined").contains("指标名称"), "name").otherwise(F.concat(period, F.lit("_"), scope, F.lit("_"), measure))
+    return columns.withColumn("field", field).where("field is not null").groupBy("file", "sheet", "field").agg(F.max("col_no").alias("col_no"), F.max("last_header").alias("last_header"))
+
+
+def ledger_records(cells: DataFrame) -> DataFrame:
+    """S3: a ledger's records, one for each row below the headers with code and name:
+    file, sheet, row_no, code, name and the twelve measures as numbers (null where the
+    sheet has no such column or the cell no number). Sheets without code or name
+    columns give none."""
+    fields = header_fields(cells)
+    body = cells.join(fields, ["file", "sheet", "col_no"]).where(F.col("row_no") > F.col("last_header"))
+    rows = body.groupBy("file", "sheet", "row_no").pivot("field", ["code", "name", *LEDGER_MEASURES]).agg(F.first("value"))
+    code, name = ledger_code(F.col("code")), F.trim("name")
+    return rows.where((code != "") & (indicator_name(name) != "")).select("file", "sheet", "row_no", code.alias("code"), name.alias("name"), *[ledger_number(F.col(m)).alias(m) for m in LEDGER_MEASURES])
+
+
 def flatten(df: DataFrame, prefix: str = "") -> list[Column]:
     """Columns of nested structs under dotted names."""
     out: list[Column] = []
