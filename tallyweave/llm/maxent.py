@@ -360,10 +360,10 @@ class Model:
 
     def logits(self, rows: np.ndarray, node: np.ndarray, bounded: bool) -> np.ndarray:
         """A column for each child, less the largest where that is needed."""
-        out = self.weights[rows[0]]
+        out = self.weights.take(rows[0], axis=0)
         for r in rows[1:]:
-            out += self.weights[r]
-        out += self.bias[node]
+            out += self.weights.take(r, axis=0)
+        out += self.bias.take(node, axis=0)
         if not bounded:
             out -= out.max(axis=1, keepdims=True)
         return out
@@ -384,6 +384,12 @@ class Model:
 
     def gradient(self, keys: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that these tokens touch, and the sums of their gradients."""
+        out = self.slopes(keys, item)
+        at = np.flatnonzero(out.any(axis=1))
+        return at, out[at]
+
+    def slopes(self, keys: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """The sums of the gradients of these tokens, for every row."""
         each, bounded, errors, touched = np.arange(len(item)), self.bounded(), [], []
         for level in range(LEVELS):
             node = self.node[level][item]
@@ -400,8 +406,7 @@ class Model:
             for level in range(LEVELS):
                 spread[of[level] : of[level + 1]] = errors[level][child]
             out[:, child] = np.bincount(flat, spread.ravel(), ROWS)
-        at = np.flatnonzero(out.any(axis=1))
-        return at, out[at]
+        return out
 
 
 def _train_round(numbered: DataFrame, model: Model) -> None:
@@ -414,16 +419,16 @@ def _train_round(numbered: DataFrame, model: Model) -> None:
         own = start.get()
         before = own.weights
         own.weights, square = before.copy(), np.full((ROWS, BRANCH), 1e-3, np.float32)
-        touched = np.zeros(ROWS, bool)
         for batch in batches:
             for numbers, sizes in _parts(batch.column(0)):
                 keys, item = own.keys(numbers, sizes), item_of(numbers)
                 for a in range(0, len(item), STEP_TOKENS):
-                    at, g = own.gradient(keys[:, a : a + STEP_TOKENS], item[a : a + STEP_TOKENS])
-                    touched[at] = True
-                    square[at] += g * g
-                    own.weights[at] += STEP * g / np.sqrt(square[at])
-        at = np.flatnonzero(touched)
+                    g = own.slopes(keys[:, a : a + STEP_TOKENS], item[a : a + STEP_TOKENS])
+                    square += g * g
+                    g *= STEP
+                    g /= np.sqrt(square)
+                    own.weights += g
+        at = np.flatnonzero((own.weights != before).any(axis=1))
         change = own.weights[at] - before[at]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(np.ascontiguousarray(change[:, k])) for k in range(BRANCH))], names=["row", *columns])
 
