@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.functions import letters, text
-from tallyweave.operators import statement, versions
+from tallyweave.functions import letters, narrative, text
+from tallyweave.operators import statement, sync, versions
 from tallyweave.sources import files
 
 
@@ -115,3 +115,55 @@ def test_configured_template(spark):
     out = made.project(rows, "bank").first()
     assert (out.template, out.amount, out.day) == ("x", "12.50", None)
     assert set(templates.TRANSACTIONS) == set(templates.SUMMARIES) and len(templates.TRANSACTIONS) == 11
+
+
+def test_letter_record_of_nothing_is_empty(spark):
+    row = spark.range(1).select(*letters.letter_record({}, F.lit(None).cast("string"))).first()
+    assert list(row.asDict()) == letters.LETTER_FIELDS and set(row) == {""}
+
+
+def test_letter_record_takes_the_text_first(spark):
+    told_text = "致：甲银行（以下简称）。本公司聘请的乙丙会计师事务所上海分所正在审计。从本公司 NRA81 2011号支取。回函收件人：张三 联系电话：(852) 9862/电邮：x。经办人 李四 FS 2024-04-01 预留签章 2024年4月2日"
+    told = {"seal_date": F.lit("2024年4月1日"), "signature_name": F.lit("丙公司"), "recipient_bank": F.lit("丁银行"), "accounting_firm": F.lit(None).cast("string"), "cutoff_date": F.lit("2024-04-07")}
+    r = spark.range(1).select(*letters.letter_record(told, F.lit(told_text))).first()
+    assert (r.recipient_bank, r.accounting_firm, r.debit_account, r.contact_person, r.phone) == ("甲银行", "乙丙会计师事务所上海分所", "812011", "张三", "(852) 9862")
+    assert (r.seal_date, r.cutoff_date, r.signature_name) == ("2024-04-02", "2024-04-01", "")
+
+
+def test_bold_titles(spark):
+    rows = [("总则", True, True, "H1"), ("总则", True, False, "NORMAL"), ("总则。", True, True, "NORMAL"), ("二〇二四年", True, True, "NORMAL"), ("（注）", True, True, "NORMAL"), ("长" * 41, True, True, "NORMAL"), ("总则", None, True, "NORMAL"), ("一、", True, True, "H1"), (None, True, True, "NORMAL"), (" ", True, True, "BLANK")]
+    df = spark.createDataFrame(rows, "t string, bold boolean, blank boolean, want string")
+    got = df.select("want", text.line_class(F.col("t"), bold=F.col("bold"), after_blank=F.col("blank")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_main_forms(spark):
+    rows = [("本期增加3亿元", "", False, False), ("本期增加约3亿元", "约", False, False), ("本期3元", "缺少增加/减少", False, False), ("本期-3元", "-", False, False), ("有增加", "非标准增减主句", True, False), ("无", "非标准主句", False, False), ("本年增加3元", "本年", True, False), ("本年为3元", "本年", False, True), ("本期减少3元左右", "左右", False, False), ("本期增加3元，另5元", "另5元", False, True), ("", "", False, False), (None, "", False, False)]
+    df = spark.createDataFrame(rows, "t string, form string, blocks boolean, bare boolean")
+    t = F.col("t")
+    got = [tuple(r) for r in df.select("t", narrative.main_form(t), narrative.main_blocks(t), narrative.bare_amounts(t)).collect()]
+    assert got == rows
+
+
+def test_ledger_records_need_all_headers(spark):
+    head = [(1, 1, "人民币"), (2, 1, "指标代码"), (2, 2, "指标名称"), (2, 3, "本期"), (4, 3, "人民币"), (5, 3, "上期余额"), (5, 4, " ")]
+    body = [(6, 1, "7.0"), (6, 2, "1. 货款"), (6, 3, "1,200.5"), (7, 1, ""), (7, 2, "x"), (8, 1, "9"), (8, 2, None), (9, 1, "8"), (9, 2, "y"), (9, 3, "n/a")]
+    cells = [("f", "s", *x) for x in head + body] + [("f", "short", *x) for x in head if x[0] < 5]
+    got = files.ledger_records(spark.createDataFrame(cells, "file string, sheet string, row_no int, col_no int, value string")).orderBy("row_no").collect()
+    assert [(r.sheet, r.code, r.name, r.pre_rmb_balance, r.cur_rmb_balance) for r in got] == [("s", "7", "1. 货款", 1200.5, None), ("s", "8", "y", None, None)]
+    assert files.ledger_records(spark.createDataFrame([], "file string, sheet string, row_no int, col_no int, value string")).count() == 0
+
+
+def test_table_in_lines(spark):
+    cells = [(1, k, t) for k, t in enumerate(["a", "b", "", "c", "end"])] + [(2, 0, "only")] + [(3, 0, "p"), (3, 1, "q")]
+    lines = [(1, k, t) for k, t in enumerate(["a", "b", "x", "a", " ", "b", "c", "end"])] + [(2, 5, "only")] + [(3, 1, "p"), (3, 2, "z")]
+    got = versions.table_in_lines(spark.createDataFrame(cells, "doc_id int, row_no int, text string"), spark.createDataFrame(lines, "doc_id int, line_no int, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 3, 7), (2, 5, 1, 5)]
+
+
+def test_visible_items(spark):
+    users, items = spark.createDataFrame([(1,), (2,), (2,)], "user int"), spark.createDataFrame([(7, True, True), (8, False, True), (9, None, True), (6, True, False)], "item int, public boolean, active boolean")
+    grants = spark.createDataFrame([(1, 8), (1, 8), (1, 6), (1, 7), (5, 9)], "user int, item int")
+    seen = lambda open_: sorted(map(tuple, sync.visible_items(users, items, grants, open_).collect()))
+    assert seen(True) == [(1, 7), (1, 8), (2, 7), (2, 8), (2, 9)]
+    assert seen(False) == [(1, 7), (1, 8), (2, 7)]
