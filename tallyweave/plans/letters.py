@@ -85,6 +85,36 @@ def c28_blocks(spark, d):
     return table(spark, d, "main_sentences").select("rec_id", N.main_blocks(t).alias("blocks"), N.bare_amounts(t).alias("bare"))
 
 
+_PATTERN = "本期\\s*(增加|减少){x}\\s*(" + _NUM + ")\\s*(" + _UNITS[3:-1] + ")"
+_FORMS = [_PATTERN.replace("{x}", x) for x in ("", "了", "\\s*" + _MOD)]
+_VALUED = "本期\\s*(?:为|：|:|=)?\\s*([-+－−—–]?" + _NUM + ")\\s*(" + _UNITS[3:-1] + ")"
+_FIRST = "(" + _NUM + ")\\s*(" + _UNITS[3:-1] + ")"
+
+
+def _by_form(stated: str, weak: str, valued: str) -> str:
+    """SQL that takes {p} of the first form that fits, then the weak words, then the value."""
+    forms = " ".join(f"WHEN regexp_matches(text, '{p}') THEN {stated.replace('{p}', p)}" for p in _FORMS)
+    return f"CASE {forms} WHEN contains(b, '本期') AND regexp_matches(between, '[减少小增加多]') THEN {weak} WHEN regexp_matches(text, '{_VALUED}') THEN {valued} END"
+
+
+_NUMBER = "CAST(replace(translate(regexp_extract(text, '{p}', {g}), '－−—–+', '----'), ',', '') AS DOUBLE)"
+
+
+@query("c25_changes", f"""SELECT rec_id, CAST({_by_form("CASE regexp_extract(text, '{p}', 1) WHEN '增加' THEN 1 ELSE -1 END", "CASE WHEN NOT regexp_matches(between, '[增加多]') THEN -1 WHEN NOT regexp_matches(between, '[减少小]') THEN 1 END", f"CASE WHEN {_NUMBER.replace('{p}', _VALUED).replace('{g}', '1')} < 0 THEN -1 ELSE 1 END")} AS INTEGER) AS direction,
+    {_by_form(_NUMBER.replace('{g}', '2'), _NUMBER.replace('{p}', _FIRST).replace('{g}', '1'), f"abs({_NUMBER.replace('{p}', _VALUED).replace('{g}', '1')})")} AS amount, {_by_form("regexp_extract(text, '{p}', 3)", f"regexp_extract(text, '{_FIRST}', 2)", f"regexp_extract(text, '{_VALUED}', 2)")} AS unit,
+    CAST(CASE WHEN regexp_matches(t, '{_FIRST}') THEN length(regexp_extract(regexp_extract(t, '{_FIRST}', 1), '[.]([0-9]+)$', 1)) ELSE 0 END AS INTEGER) AS places FROM {_HELD}""")
+def c25_changes(spark, d):
+    t = F.col("text")
+    return table(spark, d, "main_sentences").select("rec_id", N.main_change(t).alias("m"), N.places(t).alias("places")).select("rec_id", "m.direction", "m.amount", "m.unit", "places")
+
+
+@query("c24_indicators", """SELECT rec_id, TRY_CAST(nullif(regexp_extract(text, '^[（(]([0-9]+)[）)]', 1), '') AS INTEGER) AS para, nullif(regexp_extract(quoted, '^([A-Za-z0-9]+)', 1), '') AS code, CASE WHEN regexp_matches(quoted, '^[A-Za-z0-9]') THEN nullif(trim(regexp_extract(quoted, '^[A-Za-z0-9]+(.*)$', 1)), '') END AS name
+    FROM (SELECT rec_id, text, nullif(trim(regexp_extract(text, '[“"]([^”"]+)[”"]', 1)), '') AS quoted FROM {sentences})""")
+def c24_indicators(spark, d):
+    s = table(spark, d, "sentences").withColumn("p", N.code_and_name(N.quoted(F.col("text"))))
+    return s.select("rec_id", N.paragraph(F.col("text")).alias("para"), "p.code", "p.name")
+
+
 @query("c29_scope_hint", f"SELECT o_orderkey, CASE {_K6} WHEN 1 THEN 'foreign' WHEN 2 THEN 'usd_total' WHEN 3 THEN 'rmb' ELSE '' END AS scope FROM orders")
 def c29(spark, d):
     return _sentences(spark, d).select("o_orderkey", N.scope_hint(F.col("s")).alias("scope"))
