@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import decontaminate, language, licenses, maxent, pieces, pii, quality, simhash, toxicity, warc
+from tallyweave.llm import collocations, decontaminate, language, licenses, maxent, pieces, pii, quality, simhash, toxicity, warc
 from tallyweave.llm.common import held_out, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of each language, best first."""
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 OP8_SQL = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS k, doc_id,
@@ -136,6 +141,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_language": op10_language,
+    "op11_collocations": op11_collocations,
 }
 
 _SPACE, _OTHER = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
@@ -192,7 +198,38 @@ SELECT page_id, payload_bytes, sha1(payload) AS payload_digest,
 FROM q
 """
 
+OP11_SQL = r"""
+WITH piece AS (
+  SELECT lang, d, row_number() OVER () AS p, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY lang),
+f AS (
+  SELECT lang, k, g AS words, count(*)::BIGINT AS f
+  FROM (SELECT lang, k, w[i:i + k - 1] AS g
+        FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM piece, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k))
+  GROUP BY ALL HAVING count(*) >= 30),
+cand AS (SELECT lang, k AS size, words, f AS a FROM f WHERE k >= 2),
+cut AS (SELECT lang, size, words, a, unnest(generate_series(1, size - 1)) AS k FROM cand),
+scored AS (
+  SELECT lang, cut.words, a, arg_min({'l': x.f, 'r': y.f, 'score': (2000000::HUGEINT * a // (x.f + y.f))::BIGINT}, (2000000::HUGEINT * a // (x.f + y.f)) * 10 + cut.k) AS c
+  FROM cut JOIN f x USING (lang) JOIN f y USING (lang) WHERE x.words = cut.words[1:cut.k] AND y.words = cut.words[cut.k + 1:]
+  GROUP BY ALL),
+part AS (
+  SELECT lang, words[i:i + n - 1] AS words, max(a) AS longer
+  FROM (SELECT lang, words, a, n, unnest(generate_series(1, size - n + 1)) AS i FROM (SELECT *, unnest(generate_series(2, size - 1)) AS n FROM cand WHERE size > 2))
+  GROUP BY ALL),
+kept AS (
+  SELECT lang, array_to_string(words, ' ') AS phrase, a, c.l AS l, c.r AS r, c.score AS score
+  FROM scored LEFT JOIN part USING (lang, words) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN total USING (lang))
+WHERE rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_collocations": OP11_SQL,
     "op9_warc": OP9_SQL,
     "op3_quality": OP3_SQL,
     "op8_decontaminate": OP8_SQL,
