@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import collocations, decontaminate, language, licenses, maxent, pieces, pii, quality, simhash, toxicity, warc
+from tallyweave.llm import collocations, decontaminate, hardnegatives, language, licenses, maxent, pieces, pii, quality, simhash, toxicity, warc
 from tallyweave.llm.common import held_out, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    return hardnegatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 OP8_SQL = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS k, doc_id,
@@ -142,6 +147,7 @@ QUERIES: dict[str, Query] = {
     "op9_warc": op9_warc,
     "op10_language": op10_language,
     "op11_collocations": op11_collocations,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 _SPACE, _OTHER = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
@@ -228,7 +234,27 @@ SELECT * FROM (
 WHERE rank <= 2000
 """
 
+OP12_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+anchor AS (SELECT DISTINCT * FROM e WHERE vec_id % 50 = 0),
+pair AS (
+  SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score
+  FROM anchor a, e WHERE e.vec_id IS DISTINCT FROM a.vec_id),
+positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pair WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN pair USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_hard_negatives": OP12_SQL,
     "op11_collocations": OP11_SQL,
     "op9_warc": OP9_SQL,
     "op3_quality": OP3_SQL,
