@@ -23,15 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import Batches, as_bytes, column, materialize
+from tallyweave.llm.common import Batches, as_bytes, bit_filter, column, in_filter, materialize
 
 MOST_WORDS, LEAST, TOP = 4, 30, 2000
 #: Per cent of a phrase's occurrences in a longer candidate at which it is dropped.
 COVERED = 80
 #: Bytes of text that a task combines before it shuffles.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 6_000_000
 #: Bytes of text whose words and pairs one bucket of the first pass counts, about.
-BUCKET_BYTES, LEAST_BUCKETS = 32_000_000, 16
+BUCKET_BYTES, LEAST_BUCKETS = 16_000_000, 16
 #: The memory budget of a group: occurrences of its prefixes. Prefixes are dealt into
 #: so many bundles by their hash.
 GROUP_SUFFIXES, BUNDLES = 4_000_000, 4096
@@ -142,20 +142,6 @@ def _count(docs: DataFrame, buckets: int, least: int, seed: int) -> DataFrame:
     return materialize(docs.mapInArrow(pack, _PACKED).groupBy("kind", "lang", "bucket").applyInArrow(fold, _COUNTED))
 
 
-def _filter(counted: DataFrame) -> np.ndarray:
-    """The bits of frequent pairs, 64 in a number."""
-    bit = F.col("key").bitwiseAND(FILTER_BITS - 1)
-    words = counted.where(F.col("kind") == _PAIR).groupBy(F.shiftright(bit, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast((key & {FILTER_BITS - 1}) & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
-def _passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = key & np.uint64(FILTER_BITS - 1)
-    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
 def grouped(weights: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """The first group of each bundle, and over how many groups its second words
     spread it: neighbouring bundles share a group while they keep to the budget."""
@@ -176,7 +162,7 @@ def _suffixes(docs: DataFrame, counted: DataFrame, seed: int) -> DataFrame:
     told = frequent.groupBy(F.shiftrightunsigned("key", 52).alias("bundle")).agg(F.sum("n").alias("n")).toArrow()
     weights = np.zeros(BUNDLES, np.int64)
     weights[told.column("bundle").to_numpy()] = told.column("n").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast((_filter(counted), *grouped(weights, GROUP_SUFFIXES)))
+    shared = docs.sparkSession.sparkContext.broadcast((bit_filter(counted.where(F.col("kind") == _PAIR), "key", FILTER_BITS), *grouped(weights, GROUP_SUFFIXES)))
 
     def pack(batches: Batches) -> Batches:
         bits, first, parts = shared.value
@@ -188,7 +174,7 @@ def _suffixes(docs: DataFrame, counted: DataFrame, seed: int) -> DataFrame:
             # A pair is numbered where it stands inside a piece and may be frequent.
             pair = ids[:-1] * v + ids[1:]
             own, at = np.unique(np.where((ids[:-1] > 0) & (ids[1:] > 0), pair, 0), return_inverse=True)
-            good = (own > 0) & _passes(bits, _pair_key(key[own // v], key[own % v]))
+            good = (own > 0) & in_filter(bits, _pair_key(key[own // v], key[own % v]))
             stands = np.concatenate([good[at], np.zeros(MOST_WORDS, bool)])
             p = len(own)
             where = np.flatnonzero(stands)

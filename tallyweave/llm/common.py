@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,24 @@ def add_columns(
     return work.mapInArrow(run, schema)
 
 
+def bit_filter(keys: DataFrame, key: str, size: int) -> np.ndarray:
+    """A filter of `size` bits, a power of two, that the bigint keys set, 64 bits in a
+    number. Its size is fixed, whatever the number of keys; a filter that is too small
+    lets more through and never less."""
+    bit = F.col(key).bitwiseAND(size - 1)
+    word = F.bit_or(F.expr(f"shiftleft(1L, cast(`{key}` & 63 as int))"))
+    rows = keys.groupBy(F.shiftright(bit, 6).alias("at")).agg(word.alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def in_filter(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the bit of each unsigned key is set."""
+    at = key & np.uint64(64 * len(bits) - 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 class Shared:
     """A broadcast object of one of this package's classes. Its fields are plain
     data, so executors need not import the class to read them."""

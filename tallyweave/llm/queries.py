@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import collocations, decontaminate, hardnegatives, language, licenses, maxent, pieces, pii, quality, simhash, toxicity, warc
+from tallyweave.llm import collocations, decontaminate, hardnegatives, language, licenses, maxent, pieces, pii, quality, simhash, toxicity, triejoin, warc
 from tallyweave.llm.common import held_out, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardnegatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and component of every document."""
+    return triejoin.with_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP8_SQL = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS k, doc_id,
@@ -148,6 +153,7 @@ QUERIES: dict[str, Query] = {
     "op10_language": op10_language,
     "op11_collocations": op11_collocations,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_trie_join": op13_trie_join,
 }
 
 _SPACE, _OTHER = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
