@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the store
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_rows(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         duck.sql(f"create view {table} as select * from read_parquet('{DATA}/{table}.parquet')")
     frame = queries.QUERIES[name](spark, DATA)
     columns = sorted(frame.columns)
