@@ -6,16 +6,18 @@ maximal runs whose neighbouring words stand side by side in some benchmark item.
 Any other word cannot belong to a match, so nothing is lost; training text that shares
 no two neighbouring words with the benchmark enters no array. Every benchmark suffix
 is binary-searched in every shard by its first words; the range it gets names all
-places where the window stands, and consecutive windows on one diagonal give the
-longest verbatim match of an item in a document. Hits are settled inside the task
-that holds the document, so documents are not shuffled.
+places where the window stands. A window is named by its words: items that share it
+have it searched for once, and windows that follow each other in every item that has
+them are one chain, so that an item meets a document once for each chain. Chains on one
+diagonal give the longest verbatim match of an item in a document. Hits are settled
+inside the task that holds the document, so documents are not shuffled.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.llm.common import Shared, add_columns, as_bytes, materialize, plain_words, without
+from tallyweave.llm.common import Shared, add_columns, as_bytes, materialize, plain_words, with_columns_of, without
 
 WINDOW = 10
 #: Benchmark text, in bytes, that is sent to the tasks at once. A larger benchmark
@@ -31,8 +33,9 @@ WINDOW = 10
 BLOCK_BYTES = 32_000_000
 #: Bytes of training text in a suffix-array shard, about.
 SHARD_BYTES = 6_000_000
-#: Benchmark suffixes that are searched for at a time.
-SEARCHED = 200_000
+#: Benchmark suffixes that are searched for at a time, and chains at items' places that
+#: are put together at a time, whole documents each.
+SEARCHED, PLACED = 200_000, 500_000
 
 MATCH = T.StructType(
     [T.StructField("item_id", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("doc_word", T.LongType()), T.StructField("item_word", T.LongType())]
@@ -53,9 +56,27 @@ _ARROW = [
 ]
 
 
+def distinct(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First places of the distinct runs of `size` words that begin at these places, in
+    order, the number of each place's run, and how often each run stands. Runs are equal
+    where the first and the last 2^k words are, and those by doubling."""
+    rank, k = np.unique(words, return_inverse=True)[1].astype(np.int64), 1
+    while 2 * k <= size:
+        second = np.zeros(len(rank), np.int64)
+        second[:-k] = rank[k:] + 1
+        rank, k = np.unique(rank * (len(rank) + 2) + second, return_inverse=True)[1].astype(np.int64), 2 * k
+    key = rank[at] * (len(rank) + 2) + rank[at + size - k]
+    _, least, of, many = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(least)
+    turn = np.empty(len(order), np.int64)
+    turn[order] = np.arange(len(order))
+    return at[least[order]], turn[of], many[order]
+
+
 class Block:
     """Some benchmark items as word numbers, ready to be searched for; a dict of words
-    and plain arrays. A window is named by the place of its first word."""
+    and plain arrays. Distinct windows are numbered by their first places, so that the
+    windows of a chain have neighbouring numbers."""
 
     def __init__(self, rows: Iterator[tuple[str | None, str | None]], window: int = WINDOW) -> None:
         self.vocabulary: dict[bytes, int] = {}
@@ -80,16 +101,38 @@ class Block:
         if self.v * self.v <= 1 << 26:
             self.table = np.zeros(self.v * self.v, bool)
             self.table[self.links] = True
-        # First words of all windows, by size and then by their first two words.
+        self.id_rank = np.argsort(np.argsort([i or "" for i in self.items], kind="stable"), kind="stable")
+        # All windows by size: where they stand, and which of them are equal.
         room = np.repeat(sizes, sizes + 1) - (np.arange(len(self.words)) - np.repeat(self.starts, sizes + 1))
         whole, short = room >= window, np.zeros(len(self.words), bool)
         short[self.starts[sizes < window]] = True
-        self.by_size = {}
+        self.by_size, first, places, counts = {}, [], [], []
         for size in np.unique(np.append(sizes[sizes < window], [window] if whole.any() else [])).astype(int).tolist():
             at = np.flatnonzero(whole if size == window else short & (room == size))
-            key = pairs[at] if size > 1 else self.words[at].astype(np.int64)
+            least, of, many = distinct(self.words, at, size)
+            key = pairs[least] if size > 1 else self.words[least].astype(np.int64)
             order = np.argsort(key, kind="stable")
-            self.by_size[size] = (key[order], at[order].astype(np.int32))
+            self.by_size[size] = (key[order], order + sum(map(len, first)))
+            first.append(least)
+            places.append(at[np.argsort(of, kind="stable")])
+            counts.append(many)
+        none = np.zeros(0, np.int64)
+        self.first, self.places, self.counts = (np.concatenate([none, *x]) for x in (first, places, counts))
+        self.begin = np.cumsum(self.counts) - self.counts
+        self.chain = np.cumsum(self._opens())
+
+    def _opens(self) -> np.ndarray:
+        """Whether each window begins a chain: it does not follow the one before it in
+        the numbering at all places of both."""
+        if not len(self.first):
+            return np.zeros(0, np.int64)
+        number = np.full(len(self.words) + 1, -1, np.int64)
+        number[self.places] = np.repeat(np.arange(len(self.first)), self.counts)
+        follows = number[self.places + 1] == np.repeat(np.arange(len(self.first)), self.counts) + 1
+        always = np.logical_and.reduceat(follows, self.begin)
+        opens = np.ones(len(self.first), np.int64)
+        opens[1:] = ~(always[:-1] & (self.counts[1:] == self.counts[:-1]))
+        return opens
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """A number for two words side by side, -1 if one is none of the items'."""
@@ -163,7 +206,8 @@ def search(ids: np.ndarray, order: np.ndarray, wanted: np.ndarray) -> tuple[np.n
 
 
 def occurrences(block: Block, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, size, position) of all places where a window stands in these words."""
+    """(window, size, position) of all places where a distinct window stands in these
+    words; of each size one at most begins at a word."""
     at = block.stretches(ids)
     none = np.zeros(0, np.int64)
     if not len(at):
@@ -179,7 +223,7 @@ def occurrences(block: Block, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         some = windows[_ranges(low, high)[0]].astype(np.int64)
         for a in range(0, len(some), SEARCHED):
             wanted = some[a : a + SEARCHED]
-            low, high = search(words, order, block.words[wanted[:, None] + np.arange(size)])
+            low, high = search(words, order, block.words[block.first[wanted][:, None] + np.arange(size)])
             where, row = _ranges(low, high)
             found.append((wanted[row], np.full(len(row), size), at[order[where]]))
     return tuple(np.concatenate([x[k] for x in found]) for k in range(3))
@@ -196,40 +240,71 @@ def _spans(covered: np.ndarray) -> list[list[int]]:
     return np.column_stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)]).tolist()
 
 
-def settle(block: Block, texts: list[bytes]) -> list[tuple]:
-    """(n_words, hit spans, item ids, items, matches) of each text."""
+def settle(block: Block, texts: list[bytes]) -> Iterator[list[tuple]]:
+    """(n_words, hit spans, item ids, items, matches) of each text, in their order, some
+    texts at a time."""
     words = [plain_words(t) for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     starts = np.cumsum(sizes + 1) - (sizes + 1)
     ids = np.full(int((sizes + 1).sum()), -1, np.int64)
     for at, w in zip(starts.tolist(), words):
         ids[at : at + len(w)] = block.ids(w)
-    out: list[tuple] = [(int(n), [], [], 0, []) for n in sizes]
+    del words
     window, size, position = occurrences(block, ids)
-    if not len(window):
-        return out
     change = np.zeros(len(ids) + 1, np.int64)
     np.add.at(change, position, 1)
     np.add.at(change, position + size, -1)
     covered = np.cumsum(change) > 0
-    item, start = block.place(window)
+    # Neighbouring windows of one chain, one after the other, are one run.
+    order = np.lexsort((position, size))
+    window, size, position = window[order], size[order], position[order]
+    same = np.zeros(len(window), bool)
+    same[1:] = (position[1:] == position[:-1] + 1) & (window[1:] == window[:-1] + 1) & (size[1:] == size[:-1])
+    same[1:] &= block.chain[window[1:]] == block.chain[window[:-1]]
+    run = np.flatnonzero(~same)
+    long = np.diff(np.append(run, len(window))) - 1 + size[run]
+    window, position = window[run], position[run]
     doc = np.searchsorted(starts, position, "right") - 1
+    order = np.argsort(doc, kind="stable")
+    doc, window, position, long = doc[order], window[order], position[order], long[order]
+    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+    due = np.concatenate([[0], np.cumsum(block.counts[window])])[ends]  # chains at items' places before each text
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(due, due[at] + PLACED, "right")) - 1)
+        part = slice(ends[at], ends[upto])
+        matches = _longest(block, doc[part], window[part], position[part] - starts[doc[part]], long[part])
+        out: list[tuple] = [(int(n), [], [], 0, []) for n in sizes[at:upto]]
+        for d, of in matches:
+            named = list(dict.fromkeys(m["item_id"] for m in of if m["item_id"] is not None))
+            out[d - at] = (int(sizes[d]), _spans(covered[starts[d] : starts[d] + sizes[d]]), named, len(named), of)
+        yield out
+        at = upto
+
+
+def _longest(block: Block, doc: np.ndarray, window: np.ndarray, position: np.ndarray, long: np.ndarray) -> Iterator[tuple[int, list[dict]]]:
+    """Each document's longest match with each item, by item id."""
+    where, row = _ranges(block.begin[window], block.begin[window] + block.counts[window])
+    item, start = block.place(block.places[where])
+    doc, position, long = doc[row], position[row], long[row]
     order = np.lexsort((position, position - start, item, doc))
-    doc, item, start, position, size = (x[order] for x in (doc, item, start, position, size))
-    same = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (position[1:] == position[:-1] + 1) & (start[1:] == start[:-1] + 1)
-    run = np.flatnonzero(np.concatenate([[True], ~same]))
-    long = np.diff(np.append(run, len(doc))) - 1 + size[run]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for d, i, n, p, s in zip(doc[run].tolist(), item[run].tolist(), long.tolist(), position[run].tolist(), start[run].tolist()):
-        if n > best.get((d, i), (0,))[0]:
-            best[d, i] = (n, p - int(starts[d]), s)
-    matches: dict[int, list] = {}
-    for (d, i), (n, p, s) in sorted(best.items()):
-        matches.setdefault(d, []).append({"item_id": block.items[i], "n_words": n, "doc_word": p, "item_word": s})
-    for d, of in matches.items():
-        named = sorted({m["item_id"] for m in of if m["item_id"] is not None})
-        out[d] = (int(sizes[d]), _spans(covered[starts[d] : starts[d] + sizes[d]]), named, len(named), of)
-    return out
+    doc, item, start, position, long = (x[order] for x in (doc, item, start, position, long))
+    # What overlaps on a diagonal, or touches with all but one of a window's words, goes on.
+    diagonal, end = position - start, position + long
+    joins = np.zeros(len(doc), bool)
+    joins[1:] = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (diagonal[1:] == diagonal[:-1]) & (position[1:] == end[:-1] - block.window + 1)
+    first = np.flatnonzero(~joins)
+    total = end[np.append(first[1:], len(doc)) - 1] - position[first] if len(first) else end
+    doc, item, start, position = doc[first], item[first], start[first], position[first]
+    order = np.lexsort((start, position, -total, item, doc))
+    doc, item, start, position, total = (x[order] for x in (doc, item, start, position, total))
+    best = np.ones(len(doc), bool)
+    best[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+    doc, item, start, position, total = (x[best] for x in (doc, item, start, position, total))
+    order = np.lexsort((block.id_rank[item], doc))
+    rows = zip(*(x[order].tolist() for x in (doc, item, total, position, start)))
+    for d, of in groupby(rows, key=lambda r: r[0]):
+        yield d, [{"item_id": block.items[i], "n_words": n, "doc_word": p, "item_word": s} for _, i, n, p, s in of]
 
 
 def _merge(a: tuple, b: tuple) -> tuple:
@@ -276,10 +351,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         def run(batches: Iterator[list[pa.Array]], shared=shared) -> Iterator[list[pa.Array]]:
             block = shared.get()
             for texts, *before in batches:
-                made = settle(block, as_bytes(texts))
-                if before:
-                    made = [_merge(a, b) for a, b in zip(zip(*(x.to_pylist() for x in before)), made)]
-                yield [pa.array([m[i] for m in made], kind) for i, kind in enumerate(_ARROW)]
+                at = 0
+                for made in settle(block, as_bytes(texts)):
+                    if before:
+                        made = [_merge(a, b) for a, b in zip(zip(*(x.slice(at, len(made)).to_pylist() for x in before)), made)]
+                    at += len(made)
+                    yield [pa.array([m[i] for m in made], kind) for i, kind in enumerate(_ARROW)]
 
         out = add_columns(out, fields, ["text", *(names if k else [])], run, SHARD_BYTES)
     return out
@@ -293,4 +370,4 @@ def n_hit(spans: str = "hit_spans"):
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs less those that hold a benchmark window; columns as they were."""
     found = find_contamination(docs, benchmark, window, "__leak_")
-    return found.where(F.size("__leak_hit_spans") == 0).select(*docs.columns)
+    return with_columns_of(found.where(F.size("__leak_hit_spans") == 0), docs)
