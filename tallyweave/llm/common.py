@@ -49,6 +49,19 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of the column of this name; case decides where only it differs."""
+    same = [k for k, c in enumerate(df.columns) if c == name] or [k for k, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not same:
+        raise ValueError(f"no column {name!r} among {df.columns}")
+    return same[0]
+
+
+def with_columns_of(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of df that `like` has, in its order."""
+    return df.select(*[column(c) for c in like.columns])
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df less the columns of these names in any case: an operator's own columns
     replace columns of the same name that the input happened to have."""
@@ -76,11 +89,17 @@ def add_columns(
     slice_bytes: int = 4_000_000,
 ) -> DataFrame:
     """df with further columns that `function` works out, one list of arrays for
-    each list of input arrays. Existing columns of the new names are replaced.
-    The rows come in slices of about `slice_bytes` of input, whole rows each."""
-    kept = [c for c in df.columns if c.lower() not in {f.name.lower() for f in fields}]
-    work = df.select(*[column(c) for c in kept], *[column(c).alias(f"__in{i}") for i, c in enumerate(inputs)])
-    schema = T.StructType([*(df.schema[c] for c in kept), *fields])
+    each list of input arrays or several, for the next rows of it each. Existing columns
+    of the new names are replaced, whatever other columns are called. The rows come in
+    slices of about `slice_bytes` of input, whole rows each."""
+    # Inside, columns are named by their places, so that any names will do.
+    names = [f"__c{k}" for k in range(len(df.columns))]
+    gone = {f.name.lower() for f in fields}
+    kept = [k for k, c in enumerate(df.columns) if c.lower() not in gone]
+    work = df.toDF(*names).select(*[names[k] for k in kept], *[F.col(names[place_of(df, c)]).alias(f"__in{i}") for i, c in enumerate(inputs)])
+    made_names = [*(names[k] for k in kept), *(f"__new{i}" for i in range(len(fields)))]
+    kinds = [*(df.schema[k] for k in kept), *fields]
+    schema = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(made_names, kinds)])
 
     def run(batches: Batches) -> Batches:
         held: list[pa.RecordBatch] = []
@@ -94,10 +113,14 @@ def add_columns(
                     yield held[-1].columns[len(kept) :]
 
         for made in function(feed()):
-            batch = held.pop(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=[f.name for f in schema])
-
-    return work.mapInArrow(run, schema)
+            rows = len(made[0])
+            batch = held[0].slice(0, rows)
+            held[0] = held[0].slice(rows)
+            if not held[0].num_rows:
+                held.pop(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=made_names)
+
+    return work.mapInArrow(run, schema).toDF(*[df.columns[k] for k in kept], *[f.name for f in fields])
 
 
 def bit_filter(keys: DataFrame, key: str, size: int) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.llm.common import Shared, add_columns, as_bytes, hash_fraction, spaced_words
+from tallyweave.llm.common import Shared, add_columns, as_bytes, hash_fraction, spaced_words, with_columns_of
 from tallyweave.llm.simhash import fingerprint
 
 #: Labelled documents of each label that the field is fitted on, at most about.
@@ -284,4 +284,4 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "") -
 
 def remove_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
     """docs less those predicted toxic; columns as they were."""
-    return score(docs, chain, "text", "__tox_").where("__tox_toxic_predicted = 0").select(*docs.columns)
+    return with_columns_of(score(docs, chain, "text", "__tox_").where("__tox_toxic_predicted = 0"), docs)
