@@ -6,8 +6,12 @@ is used twice and a common line costs one row a copy and not one a pair.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyweave.functions import text as X
 
@@ -28,10 +32,79 @@ def line_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return joined.select("doc_id", op.alias("op"), "a_line", "b_line", F.coalesce("a_text", "b_text").alias("text"))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _chain(places: pd.Series) -> pd.Series:
+    """Of numbers in order the longest chain that only rises, as its places. Among
+    equally long ones each element takes the smallest number that it can follow."""
+
+    def of(numbers: list) -> list[int]:
+        tails, before = [], []  # of each length the element with the smallest number
+        heads: list = []
+        for k, x in enumerate(numbers):
+            n = bisect_left(heads, x)
+            before.append(tails[n - 1] if n else -1)
+            heads[n : n + 1], tails[n : n + 1] = [x], [k]
+        out, k = [], tails[-1] if tails else -1
+        while k >= 0:
+            out.append(k)
+            k = before[k]
+        return out[::-1]
+
+    return places.map(of)
+
+
+def _chained(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """Of pairs (group, a_line, b_line) in each group the longest chain in which both
+    lines only rise."""
+    packed = pairs.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("a_line", "b_line"))).alias("p"))
+    kept = packed.withColumn("k", _chain(F.col("p.b_line")))
+    return kept.select(*group, F.explode(F.transform("k", lambda k: F.get("p", k))).alias("x")).select(*group, "x.a_line", "x.b_line")
+
+
+def ordered_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """J18 in order: (doc_id, place, op, a_line, b_line, text) turns a's lines into b's.
+    Lines that stand once on either side are anchors, the longest chain of them that
+    both sides have in one order holds, and in the gaps between them lines are matched
+    by text and occurrence in the gap, again as far as the order allows. Of what is
+    between two matched lines, a's are deleted (-1) before b's are added (+1), so that a
+    line that moved is one of each. Blanks do not count, blank lines are left out. Any
+    numbering that rises with the lines will do."""
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        lines = df.select("doc_id", F.col("line_no").alias(f"{s}_line"), X.stripped(F.col("text")).alias("text")).where("text <> ''")
+        return lines.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "text")))
+
+    left, right = side(a, "a"), side(b, "b")
+    once = left.where("n = 1").drop("n").join(right.where("n = 1").drop("n"), ["doc_id", "text"])
+    anchors = _chained(once, ["doc_id"])
+
+    def gaps(lines: DataFrame, s: str) -> DataFrame:
+        marked = lines.join(anchors.select("doc_id", f"{s}_line", F.lit(1).alias("anchor")), ["doc_id", f"{s}_line"], "left")
+        upto = Window.partitionBy("doc_id").orderBy(f"{s}_line").rowsBetween(Window.unboundedPreceding, 0)
+        rest = marked.withColumn("gap", F.count("anchor").over(upto)).where("anchor is null")
+        nth = F.row_number().over(Window.partitionBy("doc_id", "gap", "text").orderBy(f"{s}_line"))
+        return rest.select("doc_id", "gap", f"{s}_line", "text", nth.alias("nth"))
+
+    met = gaps(left, "a").join(gaps(right, "b"), ["doc_id", "gap", "text", "nth"]).select("doc_id", "gap", "a_line", "b_line")
+    pairs = anchors.unionByName(_chained(met, ["doc_id", "gap"]).drop("gap"))
+
+    def slots(lines: DataFrame, s: str) -> DataFrame:
+        other = "b" if s == "a" else "a"
+        marked = lines.join(pairs, ["doc_id", f"{s}_line"], "left")
+        upto = Window.partitionBy("doc_id").orderBy(f"{s}_line").rowsBetween(Window.unboundedPreceding, 0)
+        return marked.withColumn("slot", F.count(f"{other}_line").over(upto)).select("doc_id", "slot", "a_line", "b_line", "text")
+
+    ops = slots(left, "a").withColumn("op", F.when(F.col("b_line").isNull(), -1).otherwise(0))
+    ops = ops.unionByName(slots(right, "b").where("a_line is null").withColumn("op", F.lit(1)))
+    turn = F.when(F.col("op") == 0, 0).when(F.col("op") == -1, 1).otherwise(2)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("slot", turn, F.coalesce("a_line", "b_line")))
+    return ops.select("doc_id", place.alias("place"), "op", "a_line", "b_line", "text")
+
+
 def offsets(ops: DataFrame) -> DataFrame:
-    """Where each op begins in either text: the lengths of earlier ops on that side."""
-    place = F.coalesce(F.col("a_line") * 2, F.col("b_line"))
-    over = Window.partitionBy("doc_id").orderBy(place, "op", F.coalesce("b_line", F.lit(-1))).rowsBetween(Window.unboundedPreceding, -1)
+    """Where each op of ordered_diff() begins in either text without blanks: the
+    lengths of earlier ops on that side."""
+    over = Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("text")
     total = lambda when: F.coalesce(F.sum(F.when(when, size)).over(over), F.lit(0)).cast("bigint")
     return ops.withColumn("offset_a", total(F.col("op") <= 0)).withColumn("offset_b", total(F.col("op") >= 0))

@@ -54,6 +54,10 @@ SQL: dict[str, str | tuple[str, str]] = {
         CASE WHEN o_orderkey % 37 = 0 THEN ' ' WHEN o_orderkey % 43 = 0 THEN 'n/a' ELSE '1,' || substr('000' || cast(o_custkey % 1000 AS string), -3, 3) || '.5' END AS money, cast(o_orderdate AS date) AS day,
         CASE WHEN o_orderkey % 53 = 0 THEN 'see http://bank' WHEN o_orderkey % 59 = 0 THEN 'none' ELSE o_orderpriority END AS memo FROM orders""",
     "customer_new": """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_name || ' Ltd' ELSE c_name END AS c_name, c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 7 <> 0""",
+    # A third version with a numbering of its own: lines moved down, changed, dropped, doubled.
+    "versions_c": """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, line_no) - 1 AS line_no, text FROM (
+        SELECT doc_id, line_no, CASE WHEN line_no % 6 = 2 THEN line_no * 4 + 14 ELSE line_no * 4 END AS pos, CASE WHEN line_no % 7 = 3 THEN text || ' changed' ELSE text END AS text FROM {doc_lines} WHERE line_no % 11 <> 5
+        UNION ALL SELECT doc_id, line_no, line_no * 4 + 1, text FROM {doc_lines} WHERE line_no % 13 = 4) x""",
     "part_b": """SELECT p_partkey, p_name, p_brand, CASE WHEN p_partkey % 6 = 0 THEN p_size + 1 ELSE p_size END AS p_size, CASE WHEN p_partkey % 10 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS p_retailprice, p_type FROM part WHERE p_partkey % 13 <> 0""",
     "predictions": """SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 1 - quality ELSE quality END AS quality, CASE WHEN doc_id % 15 = 0 THEN NULL ELSE toxic END AS toxic FROM labels WHERE doc_id % 12 <> 5
         UNION ALL SELECT doc_id + 1000000, quality, toxic FROM labels WHERE doc_id % 20 = 3""",

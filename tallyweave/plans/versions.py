@@ -35,10 +35,48 @@ def j18(spark, d):
     return V.line_diff(*_ab(spark, d))
 
 
-@query("w9_offsets", f"""SELECT *, CAST(coalesce(sum(CASE WHEN op <= 0 THEN length(text) END) OVER w, 0) AS BIGINT) AS offset_a, CAST(coalesce(sum(CASE WHEN op >= 0 THEN length(text) END) OVER w, 0) AS BIGINT) AS offset_b FROM {_DIFF}
-    WINDOW w AS (PARTITION BY doc_id ORDER BY coalesce(a_line * 2, b_line), op, coalesce(b_line, -1) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def _rising(name: str, source: str, by: str) -> str:
+    """Tables that end in `name`: of the pairs of each group the longest chain that rises
+    on both sides, element after element."""
+    best = "(list_sort(list_transform({at}, lambda j: {{'n': -ls[j], 'v': b[j], 'j': j}}))[1]).j"
+    return f"""{name}_p AS (SELECT {by}, list(a_line ORDER BY a_line) AS a, list(b_line ORDER BY a_line) AS b FROM {source} GROUP BY ALL),
+    {name}_r AS (SELECT {by}, a, b, 0 AS k, []::BIGINT[] AS ls, []::BIGINT[] AS pv FROM {name}_p UNION ALL SELECT {by}, a, b, k + 1, list_append(ls, coalesce(ls[best], 0) + 1), list_append(pv, coalesce(best, 0))
+        FROM (SELECT *, {best.format(at='list_filter(range(1, k + 1), lambda j: b[j] < b[k + 1])')} AS best FROM {name}_r WHERE k < len(b))),
+    {name}_e AS (SELECT {by}, a, b, pv, {best.format(at='range(1, len(b) + 1)')} AS j FROM {name}_r WHERE k = len(b) UNION ALL SELECT {by}, a, b, pv, pv[j] FROM {name}_e WHERE pv[j] > 0),
+    {name} AS (SELECT {by}, a[j] AS a_line, b[j] AS b_line FROM {name}_e)"""
+
+
+def _bare(t: str, s: str) -> str:
+    return f"(SELECT doc_id, line_no AS {s}_line, {_STRIP.replace('{x}', 'text')} AS text FROM {t} WHERE {_STRIP.replace('{x}', 'text')} <> '')"
+
+
+def _gap(s: str) -> str:
+    return f"""(SELECT *, row_number() OVER (PARTITION BY doc_id, gap, text ORDER BY {s}_line) AS nth FROM (SELECT l.*, (SELECT count(*) FROM anchor x WHERE x.doc_id = l.doc_id AND x.{s}_line < l.{s}_line) AS gap FROM {s} l
+        WHERE NOT EXISTS (SELECT 1 FROM anchor x WHERE x.doc_id = l.doc_id AND x.{s}_line = l.{s}_line)))"""
+
+
+_ORDERED = f"""WITH RECURSIVE a AS {_bare('{doc_lines}', 'a')}, b AS {_bare('{versions_c}', 'b')},
+    once AS (SELECT doc_id, min(a_line) AS a_line, min(b_line) AS b_line FROM (SELECT doc_id, text, a_line, NULL AS b_line FROM a UNION ALL SELECT doc_id, text, NULL, b_line FROM b) GROUP BY doc_id, text HAVING count(a_line) = 1 AND count(b_line) = 1),
+    {_rising('anchor', 'once', 'doc_id')}, met AS (SELECT x.doc_id, x.gap, a_line, b_line FROM {_gap('a')} x JOIN {_gap('b')} y ON x.doc_id = y.doc_id AND x.gap = y.gap AND x.text = y.text AND x.nth = y.nth),
+    {_rising('filled', 'met', 'doc_id, gap')}, pair AS (SELECT * FROM anchor UNION ALL SELECT doc_id, a_line, b_line FROM filled),
+    op AS (SELECT a.doc_id, CASE WHEN p.b_line IS NULL THEN -1 ELSE 0 END AS op, a.a_line, p.b_line, text, (SELECT count(*) FROM pair q WHERE q.doc_id = a.doc_id AND q.a_line <= a.a_line) AS slot FROM a LEFT JOIN pair p ON p.doc_id = a.doc_id AND p.a_line = a.a_line
+        UNION ALL SELECT b.doc_id, 1, NULL, b.b_line, text, (SELECT count(*) FROM pair q WHERE q.doc_id = b.doc_id AND q.b_line <= b.b_line) FROM b WHERE NOT EXISTS (SELECT 1 FROM pair q WHERE q.doc_id = b.doc_id AND q.b_line = b.b_line)),
+    told AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY slot, turn, coalesce(a_line, b_line)) AS INTEGER) AS place, op, a_line, b_line, text FROM (SELECT *, CASE op WHEN 0 THEN 0 WHEN -1 THEN 1 ELSE 2 END AS turn FROM op))"""
+
+
+def _ordered(spark, d):
+    return V.ordered_diff(table(spark, d, "doc_lines"), table(spark, d, "versions_c"))
+
+
+@query("j18_ordered_diff", f"{_ORDERED} SELECT * FROM told")
+def j18_ordered(spark, d):
+    return _ordered(spark, d)
+
+
+@query("w9_offsets", f"""{_ORDERED} SELECT t.*, CAST(coalesce((SELECT sum(length(e.text)) FROM told e WHERE e.doc_id = t.doc_id AND e.place < t.place AND e.a_line IS NOT NULL), 0) AS BIGINT) AS offset_a,
+    CAST(coalesce((SELECT sum(length(e.text)) FROM told e WHERE e.doc_id = t.doc_id AND e.place < t.place AND e.b_line IS NOT NULL), 0) AS BIGINT) AS offset_b FROM told t""")
 def w9(spark, d):
-    return V.offsets(V.line_diff(*_ab(spark, d)))
+    return V.offsets(_ordered(spark, d))
 
 
 def _pages(t: str, div: int) -> str:
