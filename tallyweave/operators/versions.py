@@ -147,7 +147,7 @@ def page_text(lines: DataFrame, size: int) -> DataFrame:
 
 
 def match_pages(a: DataFrame, b: DataFrame, band: int, least: float = 0.3) -> DataFrame:
-    """Pages of either side within the band that are each other's best match,
+    """J16, by single pages: pages of either side within the band that are each other's best match,
     by the share of common words of the shorter page; ties go to the nearer page.
     Candidates of a page are at most 2 * band + 1, found by an equi join on the
     page number shifted by each step of the band."""
@@ -162,6 +162,92 @@ def match_pages(a: DataFrame, b: DataFrame, band: int, least: float = 0.3) -> Da
     return ranked.where("x = 1 and y = 1").select("doc_id", "a_page", "b_page", "score")
 
 
+def _page_chain(na: Column, nb: Column, band: Column, cells: Column) -> Column:
+    """Steps (i, j) of the heaviest chain of matched pages that does not cross, pages
+    without a match alone. `cells` has the scores (null: no match) and whether texts are
+    equal, of pages i and i - band to i + band, row after row. Rows of best sums are
+    folded page by page, and then walked back."""
+    width, zero = 2 * band + 1, F.lit(0.0)
+    row_type, kinds = "struct<sums:array<double>,steps:array<array<int>>>", "struct<left:double,sums:array<double>,steps:array<int>>"
+
+    def next_row(acc: Column, i: Column) -> Column:
+        def before(j: Column) -> Column:
+            at = j - i + 1 + band
+            return F.when((i == 1) | (j < 1) | (j > nb) | (at < 0) | (at >= width), zero).otherwise(F.get(acc["sums"], at.cast("int")))
+
+        def cell(left: Column, w: Column) -> Column:
+            j = i - band + w
+            score = F.get(cells, ((i - 1) * width + w).cast("int"))["score"]
+            match, skip_a = F.coalesce(before(j - 1) + score, F.lit(-1.0)), before(j)
+            best = F.greatest(match, skip_a, left["left"])
+            step = F.when(best == match, 1).when(best == skip_a, 2).otherwise(3)
+            inside = (j >= 1) & (j <= nb)
+            return F.struct(
+                F.when(inside, best).otherwise(left["left"]).alias("left"), F.concat(left["sums"], F.array(F.when(inside, best).otherwise(zero))).alias("sums"), F.concat(left["steps"], F.array(F.when(inside, step).otherwise(0))).alias("steps")
+            ).cast(kinds)
+
+        empty = F.struct(zero.alias("left"), F.array().cast("array<double>").alias("sums"), F.array().cast("array<int>").alias("steps")).cast(kinds)
+        made = F.aggregate(F.sequence(F.lit(0), (width - 1).cast("int")), empty, cell)
+        return F.element_at(F.transform(F.array(made), lambda r: F.struct(r["sums"].alias("sums"), F.concat(acc["steps"], F.array(r["steps"])).alias("steps")).cast(row_type)), 1)
+
+    def walk(steps: Column) -> Column:
+        made = "struct<i:int,j:int,out:array<struct<i:int,j:int>>>"
+
+        def back(acc: Column, _: Column) -> Column:
+            i, j = acc["i"], acc["j"]
+            w = j - i + band
+            own = F.when((i > 0) & (j > 0), F.when((w >= 0) & (w < width), F.get(F.get(steps, i - 1), w.cast("int"))).otherwise(0)).when(i > 0, 2).when(j > 0, 3).otherwise(-1)
+            a, b = own.isin(1, 2), own.isin(0, 1, 3)
+            more = F.when(own >= 0, F.array(F.struct(F.when(a, i).alias("i"), F.when(b, j).alias("j")))).otherwise(F.array())
+            return F.struct((i - a.cast("int")).alias("i"), (j - b.cast("int")).alias("j"), F.concat(acc["out"], more.cast("array<struct<i:int,j:int>>")).alias("out")).cast(made)
+
+        first = F.struct(na.cast("int").alias("i"), nb.cast("int").alias("j"), F.array().cast("array<struct<i:int,j:int>>").alias("out")).cast(made)
+        return F.aggregate(F.sequence(F.lit(1), (na + nb).cast("int")), first, back)["out"]
+
+    none = F.struct(F.array().cast("array<double>").alias("sums"), F.array().cast("array<array<int>>").alias("steps")).cast(row_type)
+    rows = F.when(na > 0, F.aggregate(F.sequence(F.lit(1), na.cast("int")), none, next_row)).otherwise(none)
+    return F.element_at(F.transform(F.array(rows), lambda r: walk(r["steps"])), 1)
+
+
+def align_pages(a: DataFrame, b: DataFrame, least: float = 0.3) -> DataFrame:
+    """(doc_id, a_page, b_page, diff_type) of every page of either side. Documents
+    of equally many pages pair them in order. Else the pages that match are those of the
+    heaviest chain that does not cross: a pair scores 1 if its texts are equal but for
+    blanks, else the share of the shorter page's words that both have, and counts from
+    `least` on; page i meets pages up to max(5, difference of the counts + 3) away. Of
+    equal sums a match goes before leaving out a's page, that before leaving out b's.
+    Matched pages are equal or modified, others deleted or added. The work of a document
+    is its pages times that band."""
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
+        bare = X.stripped(F.col("text"))
+        return df.select("doc_id", F.col("page").alias(f"{s}_page"), place.alias(f"{s}"), bare.alias(f"{s}_bare"), F.array_distinct(F.split("text", r"\s+")).alias(f"{s}_words"))
+
+    left, right = side(a, "i"), side(b, "j")
+    pages = lambda df, s: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(f"{s}_page")).alias(f"{s}_pages"))
+    both = pages(left, "i").join(pages(right, "j"), "doc_id", "full")
+    size = lambda s: F.coalesce(F.size(f"{s}_pages"), F.lit(0))
+    sized = both.withColumns({"na": F.greatest(size("i"), F.lit(0)), "nb": F.greatest(size("j"), F.lit(0))}).withColumn("band", F.greatest(F.lit(5), F.abs(F.col("na") - F.col("nb")) + 3))
+
+    same = F.col("i_bare") == F.col("j_bare")
+    joined = left.join(right.withColumnRenamed("j", "i"), ["doc_id", "i"]).join(sized.where("na = nb").select("doc_id"), "doc_id")
+    level = joined.select("doc_id", F.col("i_page").alias("a_page"), F.col("j_page").alias("b_page"), F.when(same, "equal").otherwise("modified").alias("diff_type"))
+
+    uneven = sized.where("na <> nb")
+    near = left.join(uneven.select("doc_id", "band"), "doc_id").select("*", F.explode(F.sequence(F.col("i") - F.col("band"), F.col("i") + F.col("band"))).alias("j"))
+    met = near.join(right, ["doc_id", "j"], "left")
+    share = F.size(F.array_intersect("i_words", "j_words")) / F.greatest(F.least(F.size("i_words"), F.size("j_words")), F.lit(1))
+    score = F.when(same, 1.0).when((F.col("i_bare") == "") | (F.col("j_bare") == ""), 0.0).otherwise(share)
+    cells = met.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "j", F.when(score >= least, score).alias("score"), same.alias("same")))).alias("cells"))
+    chained = uneven.join(cells, "doc_id", "left").withColumn("cells", F.coalesce("cells", F.array().cast(cells.schema["cells"].dataType)))
+    steps = chained.withColumn("x", F.explode(_page_chain(F.col("na"), F.col("nb"), F.col("band"), F.col("cells"))))
+    equal = F.get("cells", ((F.col("x.i") - 1) * (2 * F.col("band") + 1) + F.col("x.j") - F.col("x.i") + F.col("band")).cast("int"))["same"]
+    kind = F.when(F.col("x.i").isNull(), "added").when(F.col("x.j").isNull(), "deleted").when(equal, "equal").otherwise("modified")
+    rest = steps.select("doc_id", F.get("i_pages", F.col("x.i") - 1).alias("a_page"), F.get("j_pages", F.col("x.j") - 1).alias("b_page"), kind.alias("diff_type"))
+    return level.unionByName(rest)
+
+
 #: Levels that a section's ancestors can have.
 ANCESTORS = 3
 

@@ -106,11 +106,34 @@ def a29(spark, d):
 @query("j16_match_pages", f"""WITH a AS (SELECT doc_id, page, list_distinct(regexp_split_to_array(text, '\\s+')) AS w FROM {_pages('{raw_lines}', 10)}), b AS (SELECT doc_id, page, list_distinct(regexp_split_to_array(text, '\\s+')) AS w FROM {_pages('{versions_b}', 20)}),
     p AS (SELECT a.doc_id, a.page AS a_page, b.page AS b_page, len(list_intersect(a.w, b.w)) / greatest(least(len(a.w), len(b.w)), 1) AS score FROM a JOIN b ON a.doc_id = b.doc_id AND abs(a.page - b.page) <= 2)
     SELECT doc_id, a_page, b_page, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, a_page ORDER BY score DESC, abs(a_page - b_page), a_page, b_page) AS x, row_number() OVER (PARTITION BY doc_id, b_page ORDER BY score DESC, abs(a_page - b_page), a_page, b_page) AS y FROM p WHERE score >= 0.3) WHERE x = 1 AND y = 1""")
-def j16(spark, d):
+def j16_single(spark, d):
     a, b = _ab(spark, d)
     return V.match_pages(V.page_text(a, 10), V.page_text(b, 20), 2)
 
 
+def _numbered_pages(t: str) -> str:
+    return f"(SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS p, {_STRIP.replace('{x}', 'text')} AS bare, list_distinct(regexp_split_to_array(text, '\\s+')) AS w FROM {_pages(t, 3)})"
+
+
+@query("j16_align_pages", f"""WITH RECURSIVE a AS {_numbered_pages('{doc_lines}')}, b AS {_numbered_pages('{versions_c}')},
+    n AS (SELECT doc_id, na, nb, greatest(5, abs(na - nb) + 3) AS band FROM (SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM (SELECT doc_id, count(*) AS na FROM a GROUP BY 1) x FULL JOIN (SELECT doc_id, count(*) AS nb FROM b GROUP BY 1) y ON x.doc_id = y.doc_id)),
+    cell AS (SELECT a.doc_id, a.p AS i, b.p AS j, CASE WHEN a.bare = b.bare THEN 1.0::DOUBLE WHEN a.bare = '' OR b.bare = '' THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) END AS s FROM a JOIN b ON a.doc_id = b.doc_id JOIN n ON n.doc_id = a.doc_id WHERE na <> nb AND abs(a.p - b.p) <= band),
+    score AS (SELECT n.doc_id, i, nb, band, list_transform(range(1, nb + 1), lambda k: m[k]) AS s FROM (SELECT doc_id, i, map(list(j), list(CASE WHEN s >= 0.3 THEN s END)) AS m FROM cell GROUP BY ALL) c JOIN n ON n.doc_id = c.doc_id),
+    dp AS (SELECT doc_id, 0 AS i, na, nb, band, list_transform(range(0, nb + 1), lambda k: 0.0::DOUBLE) AS v, []::INTEGER[][] AS steps FROM n WHERE na <> nb UNION ALL
+        SELECT doc_id, i, na, nb, band, list_concat([0.0::DOUBLE], u), list_append(steps, list_transform(range(1, nb + 1), lambda j: CASE WHEN abs(j - i) > band THEN 0 WHEN u[j] = v[j] + s[j] THEN 1 WHEN u[j] = v[j + 1] THEN 2 ELSE 3 END)) FROM (
+            SELECT *, list_transform(range(1, nb + 1), lambda j: CASE WHEN abs(j - i) <= band THEN list_max(m[greatest(1, i - band):j]) ELSE 0.0 END) AS u FROM (
+                SELECT dp.doc_id, dp.i + 1 AS i, na, dp.nb, dp.band, v, s, steps, list_transform(range(1, dp.nb + 1), lambda j: CASE WHEN abs(j - dp.i - 1) <= dp.band THEN greatest(coalesce(v[j] + s[j], 0.0), v[j + 1]) ELSE 0.0 END) AS m
+                FROM dp JOIN (SELECT n.doc_id, k.i, coalesce(s, list_transform(range(1, n.nb + 1), lambda q: NULL::DOUBLE)) AS s FROM n, LATERAL (SELECT unnest(range(1, na + 1)) AS i) k LEFT JOIN score ON score.doc_id = n.doc_id AND score.i = k.i) c ON c.doc_id = dp.doc_id AND c.i = dp.i + 1))),
+    walk AS (SELECT doc_id, na AS i, nb AS j, NULL::BIGINT AS x, NULL::BIGINT AS y, steps FROM dp WHERE i = na UNION ALL
+        SELECT doc_id, CASE WHEN c IN (1, 2) THEN i - 1 ELSE i END, CASE WHEN c IN (0, 1, 3) THEN j - 1 ELSE j END, CASE WHEN c IN (1, 2) THEN i END, CASE WHEN c IN (0, 1, 3) THEN j END, steps
+        FROM (SELECT *, CASE WHEN i > 0 AND j > 0 THEN steps[i][j] WHEN i > 0 THEN 2 ELSE 3 END AS c FROM walk WHERE i > 0 OR j > 0)),
+    pair AS (SELECT doc_id, x, y FROM walk WHERE x IS NOT NULL OR y IS NOT NULL UNION ALL SELECT doc_id, unnest(range(1, na + 1)), unnest(range(1, na + 1)) FROM n WHERE na = nb)
+    SELECT pair.doc_id, a.page AS a_page, b.page AS b_page, CASE WHEN a.page IS NULL THEN 'added' WHEN b.page IS NULL THEN 'deleted' WHEN a.bare = b.bare THEN 'equal' ELSE 'modified' END AS diff_type
+    FROM pair LEFT JOIN a ON a.doc_id = pair.doc_id AND a.p = pair.x LEFT JOIN b ON b.doc_id = pair.doc_id AND b.p = pair.y""")
+def j16(spark, d):
+    return V.align_pages(V.page_text(table(spark, d, "doc_lines"), 3), V.page_text(table(spark, d, "versions_c"), 3))
+
+
 _SEC_B = f"(SELECT doc_id, line_no, parent, level, title, CASE WHEN line_no % 5 = 0 THEN body || 'x' WHEN line_no % 7 = 0 THEN 'y' || body ELSE body END AS body FROM {_SECTIONS} WHERE line_no % 11 <> 0)"
 
 

@@ -89,3 +89,57 @@ def test_equal_numbering_and_a_moved_line(spark):
     docs = {1: (a, b), 2: (a, [(k, t) for k, (_, t) in enumerate(moved)])}
     ops = V.offsets(V.ordered_diff(lines_of(spark, docs, 0), lines_of(spark, docs, 1))).where("op <> 0").orderBy("doc_id", "place").collect()
     assert [(r.doc_id, r.op, r.text, r.offset_a, r.offset_b) for r in ops] == [(1, -1, "l5", 10, 10), (1, 1, "x5", 12, 10), (2, -1, "l2", 4, 4), (2, 1, "l2", 14, 12)]
+
+
+def plain_pages(a, b, least=0.3):
+    """The banded program over two lists of page texts, as (a, b) places."""
+    bare = lambda t: "".join(t.split())
+
+    def score(s, t):
+        if bare(s) == bare(t):
+            return 1.0
+        if not bare(s) or not bare(t):
+            return 0.0
+        s, t = set(s.split()), set(t.split())
+        return len(s & t) / min(len(s), len(t))
+
+    na, nb = len(a), len(b)
+    if na == nb:
+        return [(k, k) for k in range(na)]
+    band = max(5, abs(na - nb) + 3)
+    best, step = [[0.0] * (nb + 1) for _ in range(na + 1)], {}
+    for i in range(1, na + 1):
+        for j in range(max(1, i - band), min(nb, i + band) + 1):
+            s = score(a[i - 1], b[j - 1])
+            options = [best[i - 1][j - 1] + s if s >= least else -1.0, best[i - 1][j], best[i][j - 1]]
+            best[i][j] = max(options)
+            step[i, j] = options.index(max(options))
+    out, i, j = [], na, nb
+    while i or j:
+        s = step.get((i, j), 2) if i and j else 1 if i else 2
+        out.append((i - 1 if s != 2 else None, j - 1 if s != 1 else None))
+        i, j = i - (s != 2), j - (s != 1)
+    return out[::-1]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pages_equal_the_banded_program(spark, seed):
+    rng, docs = random.Random(seed), {}
+    word = lambda: rng.choice("abcdefghijkl")
+    for d in range(40):
+        a = [" ".join(word() for _ in range(rng.randint(0, 5))) for _ in range(rng.choice([0, 1, 4, 9, 14]))]
+        b = [t if rng.random() < 0.6 else " ".join(word() for _ in range(4)) for t in a if rng.random() < 0.8]
+        for _ in range(rng.choice([0, 1, 2, 9])):
+            b.insert(rng.randint(0, len(b)), word())
+        docs[d] = (a, b)
+    table = lambda s: spark.createDataFrame([(d, 10 * k + 3, t) for d, x in docs.items() for k, t in enumerate(x[s])], "doc_id bigint, page bigint, text string")
+    got = {}
+    for r in V.align_pages(table(0), table(1)).collect():
+        place = lambda p: None if p is None else (p - 3) // 10
+        got.setdefault(r.doc_id, set()).add((place(r.a_page), place(r.b_page)))
+        if r.a_page is not None and r.b_page is not None:
+            same = "".join(docs[r.doc_id][0][place(r.a_page)].split()) == "".join(docs[r.doc_id][1][place(r.b_page)].split())
+            assert r.diff_type == ("equal" if same else "modified")
+        else:
+            assert r.diff_type == ("added" if r.a_page is None else "deleted")
+    assert got == {d: set(plain_pages(a, b)) for d, (a, b) in docs.items() if a or b}
