@@ -404,23 +404,75 @@ def table_in_lines(cells: DataFrame, lines: DataFrame, head: int = 3, least: int
     return best.join(tail, "doc_id", "left").select("doc_id", "first_line", "rows_met", "last_line")
 
 
-def anchor_windows(lines: DataFrame, anchor: str, width: int, least: float) -> DataFrame:
-    """The first best window of lines whose text is like the anchor."""
-    over = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(0, width - 1)
-    text = F.array_join(F.collect_list("text").over(over), "")
-    scored = lines.withColumn("score", F.round(X.similarity(X.title_key(text), F.lit(anchor)), 6)).where(F.col("score") >= least)
-    best = F.max_by(F.struct("line_no", "score"), F.struct("score", -F.col("line_no")))
-    return scored.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.line_no", "b.score")
+def _characters(df: DataFrame, by: list[str], own: str, key: str, seen: DataFrame) -> DataFrame:
+    """(by, own, c, at, n): each distinct character of a key, its place among the key's
+    characters by rarity in `seen` (by, c, df), and their number."""
+    one = df.select(*by, own, F.explode(F.filter(F.array_distinct(F.split(key, "")), lambda x: x != "")).alias("c")).join(seen, [*by, "c"], "left")
+    over = Window.partitionBy(*by, own)
+    place = F.row_number().over(over.orderBy(F.coalesce("df", F.lit(0)), "c"))
+    return one.select(*by, F.col(own), "c", (place - 1).alias("at"), F.count("*").over(over).alias("n"))
+
+
+def alike_pairs(left: DataFrame, right: DataFrame, by: list[str], least: float) -> DataFrame:
+    """(by, l, r): all pairs of rows (by, l, key) and (by, r, key) whose keys share
+    `least` or more of their distinct characters, or of which one contains the other,
+    and few others. The first characters by rarity must meet: so many of both that a
+    pair that is alike enough cannot miss (their numbers are near, too), or the rarest of
+    one, where it is contained, and any of the other."""
+    seen = right.select(*by, "r", F.explode(F.filter(F.array_distinct(F.split("key", "")), lambda x: x != "")).alias("c")).groupBy(*by, "c").agg(F.count("*").alias("df"))
+    x = _characters(left, by, "l", "key", seen).withColumnsRenamed({"at": "la", "n": "ln"})
+    y = _characters(right, by, "r", "key", seen).withColumnsRenamed({"at": "ra", "n": "rn"})
+    first = lambda at, n: F.col(at) < F.col(n) - F.ceil(least * F.col(n) - 1e-9) + 1
+    near = (F.col("ln") >= least * F.col("rn") - 1e-9) & (F.col("rn") >= least * F.col("ln") - 1e-9)
+    common = x.where(first("la", "ln")).join(y.where(first("ra", "rn")), [*by, "c"]).where(near)
+    inside = x.where("la = 0").join(y, [*by, "c"]).where("ln <= rn")
+    around = x.join(y.where("ra = 0"), [*by, "c"]).where("rn <= ln")
+    return common.union(inside).union(around).select(*by, "l", "r").distinct()
+
+
+def anchor_windows(lines: DataFrame, anchors: DataFrame, least: float = 0.8) -> DataFrame:
+    """(doc_id, anchor, line_no, width, score): for each anchor (doc_id, anchor, k,
+    text) of k lines the window of k to k + 2 lines that is most like it, of equal ones
+    the earliest and then the narrowest, if it reaches `least`. Widths, punctuation and
+    blanks do not count; lines without other characters are left out and not counted as
+    lines of a window. Scores are compared to six digits. A document's anchors meet the
+    windows that share its rarest characters, not all."""
+    keyed = lines.select("doc_id", "line_no", X.comparison_key(F.col("text")).alias("key")).where("key <> ''")
+    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
+    keyed = keyed.withColumn("pos", pos)
+    wanted = anchors.select("doc_id", "anchor", "k", X.comparison_key(F.col("text")).alias("key")).where("key <> ''")
+    widths = wanted.select("doc_id", F.explode(F.sequence("k", F.col("k") + 2)).alias("width")).distinct()
+    reach = keyed.join(widths, "doc_id").select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("step"))
+    starts = reach.select("doc_id", "width", (F.col("pos") - F.col("step")).alias("start"), "step", "key", "line_no").where("start > 0")
+    packed = starts.groupBy("doc_id", "width", "start").agg(F.array_sort(F.collect_list(F.struct("step", "key", "line_no"))).alias("w")).where(F.size("w") == F.col("width"))
+    windows = packed.select("doc_id", F.struct("start", "width", F.get("w", F.lit(0))["line_no"].alias("line_no")).alias("r"), F.array_join(F.col("w.key"), "").alias("key"))
+    left = wanted.select("doc_id", F.struct("anchor", "k").alias("l"), "key")
+    pairs = alike_pairs(left, windows, ["doc_id"], least).where("r.width between l.k and l.k + 2")
+    told = pairs.join(left.withColumnRenamed("key", "a"), ["doc_id", "l"]).join(windows.withColumnRenamed("key", "b"), ["doc_id", "r"])
+    scored = told.withColumn("score", F.round(X.similarity(F.col("b"), F.col("a")), 6)).where(F.col("score") >= least)
+    best = F.max_by(F.struct("r.line_no", "r.width", "score"), F.struct("score", -F.col("r.start"), -F.col("r.width")))
+    return scored.groupBy("doc_id", "l.anchor").agg(best.alias("b")).select("doc_id", "anchor", "b.line_no", "b.width", "b.score")
+
+
+def short_lines(lines: DataFrame) -> DataFrame:
+    """Lines that may be titles: 64 characters at most besides blanks, and no sentence mark."""
+    return lines.where((F.length(X.stripped(F.col("text"))) <= 64) & ~F.col("text").rlike(X.SENTENCE) & (F.trim("text") != ""))
 
 
 def anchor_candidates(entries: DataFrame, lines: DataFrame, most: int = 8, least: float = 0.4) -> DataFrame:
-    """For each contents entry its best lines at or after a start line: short,
-    no sentence mark, similar enough, by score and then by line."""
-    short = lines.where((F.length("text") <= 64) & ~F.col("text").rlike(X.SENTENCE) & (F.trim("text") != ""))
-    joined = entries.join(short.select("doc_id", "line_no", "text"), "doc_id").where(F.col("line_no") >= F.col("from_line"))
-    scored = joined.withColumn("score", F.round(X.similarity(X.title_key(F.col("title")), X.title_key(F.col("text"))), 6)).where(F.col("score") >= least)
-    rank = F.row_number().over(Window.partitionBy("doc_id", "entry").orderBy(F.desc("score"), "line_no"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "entry", "line_no", "score", "rank")
+    """For each contents entry (doc_id, entry, from_line, title) its best lines at
+    or after a start line: short, no sentence mark, similar enough, by score and then by
+    line. Lines meet entries by their rarest characters (alike_pairs), not each with each."""
+    key = lambda df, own, text: df.select("doc_id", F.col(own).alias(own[0]), X.title_key(F.col(text)).alias("key"))
+    left = key(entries.withColumnRenamed("entry", "l_"), "l_", "title")
+    right = key(short_lines(lines).withColumnRenamed("line_no", "r_"), "r_", "text")
+    pairs = alike_pairs(left, right, ["doc_id"], least / 0.75)
+    told = pairs.join(left.withColumnRenamed("key", "a"), ["doc_id", "l"]).join(right.withColumnRenamed("key", "b"), ["doc_id", "r"])
+    scored = told.withColumn("score", F.round(X.contents_similarity(F.col("a"), F.col("b")), 6)).where(F.col("score") >= least)
+    known = scored.join(entries.select("doc_id", F.col("entry").alias("l"), "from_line"), ["doc_id", "l"]).where(F.col("r") >= F.col("from_line"))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "l").orderBy(F.desc("score"), "r"))
+    ranked = known.withColumn("rank", rank).where(F.col("rank") <= most)
+    return ranked.select("doc_id", F.col("l").alias("entry"), F.col("r").alias("line_no"), "score", "rank")
 
 
 def known_window(entries: DataFrame) -> DataFrame:

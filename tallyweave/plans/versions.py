@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import text as X
@@ -289,20 +290,39 @@ def c50_others(spark, d):
     return table(spark, d, "doc_lines").select("doc_id", "line_no", F.round(X.margin_similarity(key, other), 6).alias("margin"), F.round(X.contents_similarity(key, other), 6).alias("contents"))
 
 
-@query("j25_anchor_windows", f"""SELECT doc_id, line_no, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no) AS k FROM (SELECT doc_id, line_no, round(CAST({_sim('a', 'b')} AS DOUBLE), 6) AS score FROM
-    (SELECT doc_id, line_no, {_KEY.replace('{x}', 't')} AS a, '2pay100元' AS b FROM (SELECT doc_id, line_no, string_agg(text, '') OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS t FROM {{doc_lines}}))) WHERE score >= 0.5) WHERE k = 1""")
+_COMPARED = "regexp_replace(translate({x}, '，。：；、！（）', ',.:;,!()'), '\\s+', '', 'g')"
+_HUNDREDTHS = _SIM.replace("1.0", "1.0::DOUBLE").replace("0.85", "0.85::DOUBLE").replace("0.15", "0.15::DOUBLE")
+
+# Anchors of one or two lines out of the first version, some of them changed, to be found in the third.
+_ANCHORS = """(SELECT doc_id, line_no AS anchor, CASE WHEN line_no % 3 = 0 THEN 1 ELSE 2 END AS k, CASE WHEN line_no % 3 = 0 THEN text || CASE WHEN line_no % 2 = 0 THEN ' !' ELSE ' q' END ELSE text || ' ' || after END AS text
+    FROM (SELECT *, lead(text, 1, '') OVER (PARTITION BY doc_id ORDER BY line_no) AS after FROM {doc_lines}) WHERE line_no % 3 <> 1)"""
+
+
+@query("j25_anchor_windows", f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos FROM (SELECT doc_id, line_no, {_COMPARED.replace('{x}', 'text')} AS key FROM {{versions_c}}) WHERE key <> ''),
+    w AS (SELECT doc_id, line_no, pos, width, string_agg(key, '' ORDER BY p2) AS key, count(*) AS n FROM (SELECT s.doc_id, s.line_no, s.pos, width, l.key, l.pos AS p2 FROM l s, (SELECT unnest([1, 2, 3, 4]) AS width) x, l WHERE l.doc_id = s.doc_id AND l.pos BETWEEN s.pos AND s.pos + width - 1) GROUP BY ALL HAVING count(*) = width),
+    a AS (SELECT doc_id, anchor, k, {_COMPARED.replace('{x}', 'text')} AS key FROM {_ANCHORS})
+    SELECT doc_id, anchor, line_no, width, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, anchor ORDER BY score DESC, pos, width) AS turn FROM (SELECT a.doc_id, anchor, line_no, pos, width, round(CAST({_HUNDREDTHS.replace('{a}', 'a.key').replace('{b}', 'w.key')} AS DOUBLE), 6) AS score
+        FROM a JOIN w ON a.doc_id = w.doc_id AND w.width BETWEEN a.k AND a.k + 2 WHERE a.key <> '') WHERE score >= 0.8) WHERE turn = 1""")
 def j25(spark, d):
-    return V.anchor_windows(table(spark, d, "doc_lines"), "2pay100元", 2, 0.5)
+    lines, over = table(spark, d, "doc_lines"), Window.partitionBy("doc_id").orderBy("line_no")
+    one = F.concat("text", F.when(F.col("line_no") % 2 == 0, " !").otherwise(" q"))
+    single, after = F.col("line_no") % 3 == 0, F.coalesce(F.lead("text").over(over), F.lit(""))
+    text = F.when(single, one).otherwise(F.concat("text", F.lit(" "), after))
+    anchors = lines.select("doc_id", F.col("line_no").alias("anchor"), F.when(single, 1).otherwise(2).alias("k"), text.alias("text")).where("anchor % 3 <> 1")
+    return V.anchor_windows(table(spark, d, "versions_c"), anchors)
+
+
+_CONTENTS = "CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN contains({a}, {b}) OR contains({b}, {a}) THEN 0.85::DOUBLE + 0.15::DOUBLE * least(length({a}), length({b})) / greatest(length({a}), length({b})) ELSE 0.75::DOUBLE * (len(list_intersect(list_distinct(string_split({a}, '')), list_distinct(string_split({b}, '')))) / greatest(len(list_distinct(list_concat(string_split({a}, ''), string_split({b}, '')))), 1)) END"
+_SHORT = "length(" + _STRIP.replace("{x}", "text") + ") <= 64 AND NOT regexp_matches(text, '[，。；：！？;:!?]') AND trim(text) <> ''"
 
 
-@query("w15_anchor_candidates", f"""SELECT doc_id, entry, line_no, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entry ORDER BY score DESC, line_no) AS rank FROM (SELECT e.doc_id, e.entry, l.line_no, round(CAST({_sim('e.k', 'l.k')} AS DOUBLE), 6) AS score FROM
-    (SELECT doc_id, n_nationkey AS entry, CASE n_nationkey WHEN 0 THEN '第一节part' ELSE '一topic' END AS k, n_nationkey * 5 AS from_line FROM (SELECT DISTINCT doc_id FROM {{doc_lines}}), (SELECT n_nationkey FROM nation WHERE n_nationkey < 2)) e
-    JOIN (SELECT doc_id, line_no, {_KEY.replace('{x}', 'text')} AS k FROM {{doc_lines}} WHERE length(text) <= 64 AND NOT regexp_matches(text, '[，。；：！？;:!?]') AND trim(text) <> '') l ON l.doc_id = e.doc_id AND l.line_no >= e.from_line) WHERE score >= 0.4) WHERE rank <= 8""")
+@query("w15_anchor_candidates", f"""WITH e AS (SELECT doc_id, line_no AS entry, line_no // 2 AS from_line, {_KEY.replace('{x}', 'text')} AS k FROM {{doc_lines}} WHERE line_no % 2 = 0 AND {_SHORT}),
+    l AS (SELECT doc_id, line_no, {_KEY.replace('{x}', 'text')} AS k FROM {{versions_c}} WHERE {_SHORT})
+    SELECT doc_id, entry, line_no, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entry ORDER BY score DESC, line_no) AS rank FROM (SELECT e.doc_id, e.entry, l.line_no, round({_CONTENTS.replace('{a}', 'e.k').replace('{b}', 'l.k')}, 6) AS score
+        FROM e JOIN l ON l.doc_id = e.doc_id AND l.line_no >= e.from_line) WHERE score >= 0.4) WHERE rank <= 8""")
 def w15(spark, d):
-    lines = table(spark, d, "doc_lines")
-    asked = [F.struct(F.lit(k).alias("entry"), F.lit(5 * k).alias("from_line"), F.lit(t).alias("title")) for k, t in enumerate(("第一节part", "一topic"))]
-    entries = lines.select("doc_id").distinct().select("doc_id", F.explode(F.array(*asked)).alias("e")).select("doc_id", "e.*")
-    return V.anchor_candidates(entries, lines)
+    entries = V.short_lines(table(spark, d, "doc_lines").where("line_no % 2 = 0")).select("doc_id", F.col("line_no").alias("entry"), F.expr("line_no div 2").alias("from_line"), F.col("text").alias("title"))
+    return V.anchor_candidates(entries, table(spark, d, "versions_c"))
 
 
 @query("w16_known_window", """SELECT doc_id, line_no AS entry, last_value(known IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS from_line, first_value(known IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS to_line

@@ -143,3 +143,24 @@ def test_pages_equal_the_banded_program(spark, seed):
         else:
             assert r.diff_type == ("added" if r.a_page is None else "deleted")
     assert got == {d: set(plain_pages(a, b)) for d, (a, b) in docs.items() if a or b}
+
+
+def test_alike_pairs_miss_none_and_leave_most_out(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([1, 2, 5, 9, 14])))
+    left = [(d, k, word()) for d in range(3) for k in range(40)] + [(0, 40, "")]
+    right = [(d, k, t if rng.random() < 0.2 else t[1:] + rng.choice("xyz") if rng.random() < 0.3 else word()) for d, k, t in left for k in (k, k + 100)]
+    frame = lambda rows, own: spark.createDataFrame(rows, f"doc_id bigint, {own} bigint, key string")
+    found = {tuple(r) for r in V.alike_pairs(frame(left, "l"), frame(right, "r"), ["doc_id"], 0.8).collect()}
+    for d, l, a in left:
+        for e, r, b in right:
+            alike = a and b and (len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)) or a in b or b in a)
+            assert not (d == e and alike) or (d, l, r) in found
+    assert len(found) < 0.3 * sum(d == e for d, _, _ in left for e, _, _ in right)
+
+
+def test_anchor_windows_by_hand(spark):
+    lines = spark.createDataFrame([(1, n, t) for n, t in enumerate(["一 总 则", " ", "适用，范围", "定义", "附则", "适用范围定义x", "总则"])], "doc_id bigint, line_no bigint, text string")
+    anchors = spark.createDataFrame([(1, 1, 2, "适用,范围\n定义"), (1, 2, 1, "总则"), (1, 3, 1, "不在这里的一行"), (1, 4, 1, " "), (2, 1, 1, "总则")], "doc_id bigint, anchor bigint, k int, text string")
+    got = {(r.anchor, r.line_no, r.width, r.score) for r in V.anchor_windows(lines, anchors).collect()}
+    assert got == {(1, 2, 2, 1.0), (2, 6, 1, 1.0)}
