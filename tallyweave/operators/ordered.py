@@ -98,8 +98,31 @@ def regions(lines: DataFrame) -> DataFrame:
     return work.withColumn("region", F.when(F.col("__in"), "toc").when(F.col("__mark") == "g", "glossary").otherwise("main")).drop("__toc", "__in", "__mark")
 
 
+#: A line number behind all lines.
+_END = (1 << 62) - 1
+
+
+def with_subtrees(sections_: DataFrame) -> DataFrame:
+    """Sections with `until`, the line of the next section that is not below: a section
+    lies in another's subtree if its line is after that one's and before its `until`."""
+    later = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
+    ends = [F.min(F.when(F.col("level") <= k, F.col("line_no"))).over(later) for k in range(1, 5)]
+    until = F.coalesce(*[F.when(F.col("level") == k, e) for k, e in enumerate(ends, 1)], F.lit(_END))
+    return sections_.withColumn("until", until.cast("bigint"))
+
+
+def with_ancestors(sections_: DataFrame, own: str) -> DataFrame:
+    """What with_subtrees() gives, with up: the `own` column of the ancestors, outermost
+    first. They are carried down the document, section after section."""
+    work = sections_
+    for k in range(1, 4):
+        work = work.withColumn(f"__a{k}", F.last(F.when(F.col("level") == k, F.struct("until", F.col(own).alias("own"))), ignorenulls=True).over(_before()))
+    above = [F.when((F.col("level") > k) & (F.col(f"__a{k}.until") > F.col("line_no")), F.col(f"__a{k}.own")) for k in range(1, 4)]
+    return work.withColumn("up", F.array_compact(F.array(*above))).drop("__a1", "__a2", "__a3")
+
+
 def collapse_titles(sections_: DataFrame) -> DataFrame:
-    """Of neighbours with the same level and title key the one with the longest
+    """W14, over a whole document: of neighbours with the same level and title key the one with the longest
     text stays (ties: the first). A neighbour is compared with the one before it."""
     over = Window.partitionBy("doc_id").orderBy("line_no")
     key = X.title_key(F.col("title"))
@@ -110,6 +133,33 @@ def collapse_titles(sections_: DataFrame) -> DataFrame:
     return work.groupBy("doc_id", "__island").agg(best.alias("r")).select("r.*")
 
 
+def collapse_siblings(sections_: DataFrame) -> DataFrame:
+    """Of neighbouring siblings that have the anchor of the first of them (equal
+    level, no other number, one title within the other) the best stays: most children,
+    then the longest text, then the longest title, then the first. What lies below a
+    section that goes, goes with it. Siblings are folded in order with the first of the
+    open group as state, as the third of them may differ from it and not from the second."""
+    row = "struct<line_no:bigint,level:int,key:string,hint:string>"
+    children = sections_.where("parent is not null").groupBy("doc_id", F.col("parent").alias("line_no")).agg(F.count("*").alias("__children"))
+    work = sections_.join(children, ["doc_id", "line_no"], "left").withColumns({"__children": F.coalesce("__children", F.lit(0)), "__parent": F.coalesce("parent", F.lit(-1))})
+    told = F.struct(F.col("line_no").cast("bigint").alias("line_no"), F.col("level").cast("int").alias("level"), X.title_key(F.col("title")).alias("key"), X.number_hint(F.col("title")).alias("hint"))
+    packed = work.groupBy("doc_id", "__parent").agg(F.array_sort(F.collect_list(told)).alias("x"))
+
+    def step(acc: Column, x: Column) -> Column:
+        head = acc["head"]
+        alike = (head["level"] == x["level"]) & (head["key"] != "") & (x["key"] != "") & (F.contains(head["key"], x["key"]) | F.contains(x["key"], head["key"])) & ~F.coalesce(head["hint"] != x["hint"], F.lit(False))
+        return F.when(F.coalesce(alike, F.lit(False)), acc).otherwise(F.struct(x.alias("head"), F.concat(acc["starts"], F.array(x["line_no"])).alias("starts")).cast(kind))
+
+    kind = f"struct<head:{row},starts:array<bigint>>"
+    first = F.struct(F.lit(None).cast(row).alias("head"), F.array().cast("array<bigint>").alias("starts")).cast(kind)
+    starts = packed.select("doc_id", "__parent", F.explode(F.aggregate("x", first, step)["starts"]).alias("line_no")).withColumn("__start", F.lit(1))
+    siblings = Window.partitionBy("doc_id", "__parent").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    grouped = work.join(starts, ["doc_id", "__parent", "line_no"], "left").withColumn("__group", F.count("__start").over(siblings))
+    best = Window.partitionBy("doc_id", "__parent", "__group").orderBy(F.desc("__children"), F.desc(F.length("body")), F.desc(F.length("title")), "line_no")
+    gone = with_subtrees(grouped.withColumn("__gone", F.row_number().over(best) > 1)).withColumn("__under", F.max(F.when(F.col("__gone"), F.col("until"))).over(_before()))
+    return gone.where("not __gone and (__under is null or __under <= line_no)").select(*sections_.columns)
+
+
 def merge_split_headings(headed: DataFrame) -> DataFrame:
     """An H1 without a title of its own takes the next line as its
     title; an H1 equal to the running one is dropped."""
@@ -122,14 +172,19 @@ def merge_split_headings(headed: DataFrame) -> DataFrame:
 
 
 def number_labels(rows: DataFrame) -> DataFrame:
-    """A row of a lone number joined to the oldest waiting label: within each
-    stretch between mixed rows the k-th label meets the k-th number."""
+    """A row of a lone number joined to the oldest waiting label; a row with both
+    empties the waiting list, and a number that finds it empty stands alone. Of the
+    numbers so far those that stood alone are the most by which numbers ever outran
+    labels, so the k-th of the others meets the k-th label."""
     kind = F.when(F.trim("text").rlike("^[0-9.,]+$"), "n").when(F.col("text").rlike("[0-9]"), "m").otherwise("l")
-    work = rows.withColumn("__kind", kind).withColumn("__island", F.count_if(F.col("__kind") == "m").over(_upto()))
-    over = Window.partitionBy("doc_id", "__island", "__kind").orderBy("line_no")
-    work = work.where("__kind <> 'm'").withColumn("__k", F.row_number().over(over))
-    label = work.where("__kind = 'l'").select("doc_id", "__island", "__k", F.col("line_no").alias("label_line"))
-    number = work.where("__kind = 'n'").select("doc_id", "__island", "__k", F.col("line_no").alias("number_line"))
+    work = rows.withColumn("__kind", kind).withColumn("__island", F.count_if(F.col("__kind") == "m").over(_upto())).where("__kind <> 'm'")
+    over = Window.partitionBy("doc_id", "__island").orderBy("line_no")
+    upto = over.rowsBetween(Window.unboundedPreceding, 0)
+    work = work.withColumns({"__l": F.count_if(F.col("__kind") == "l").over(upto), "__n": F.count_if(F.col("__kind") == "n").over(upto)})
+    work = work.withColumn("__alone", F.greatest(F.lit(0), F.max(F.col("__n") - F.col("__l")).over(upto)))
+    work = work.withColumn("__met", F.col("__alone") == F.coalesce(F.lag("__alone").over(over), F.lit(0)))
+    label = work.where("__kind = 'l'").select("doc_id", "__island", F.col("__l").alias("__k"), F.col("line_no").alias("label_line"))
+    number = work.where("__kind = 'n' and __met").select("doc_id", "__island", (F.col("__n") - F.col("__alone")).alias("__k"), F.col("line_no").alias("number_line"))
     return label.join(number, ["doc_id", "__island", "__k"]).select("doc_id", "label_line", "number_line")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweave.functions import text as X
+from tallyweave.operators import ordered
 
 
 def occurrences(lines: DataFrame, key: Column, group: list[str], order: str) -> DataFrame:
@@ -248,67 +249,55 @@ def align_pages(a: DataFrame, b: DataFrame, least: float = 0.3) -> DataFrame:
     return level.unionByName(rest)
 
 
-#: Levels that a section's ancestors can have.
-ANCESTORS = 3
-
-
-def with_paths(sections: DataFrame, own: Column) -> DataFrame:
-    """Sections with self (their own name), up (their ancestors' names) and path (both),
-    names joined by '/'. A parent that is not there ends the path."""
-    work = sections.withColumn("self", own).persist()  # read once for itself and once for each ancestor
-    out, above = work, "parent"
-    for k in range(1, ANCESTORS + 1):
-        names = work.select("doc_id", F.col("line_no").alias(above), F.col("self").alias(f"__s{k}"), F.col("parent").alias(f"__p{k}"))
-        out, above = out.join(names, ["doc_id", above], "left"), f"__p{k}"
-    ancestors = [F.col(f"__s{k}") for k in range(ANCESTORS, 0, -1)]
-    return out.withColumns({"up": F.concat_ws("/", *ancestors), "path": F.concat_ws("/", *ancestors, "self")})
-
-
 def align_sections(a: DataFrame, b: DataFrame) -> DataFrame:
     """Sections of equal level, title and beginning meet under parents that meet,
     by occurrence; they are equal or modified by their text. What is left under such a
     pair meets by position (modified) or is deleted or added, its subtree included:
-    sections below it have no row of their own."""
-    sign = F.concat_ws("|", "level", X.stripped(F.col("title")), F.substring(X.stripped(F.col("body")), 1, 200))
+    sections below it have no row of their own. A section is known by 64-bit hashes of
+    its own sign and of its ancestors'."""
+    sign = F.xxhash64("level", X.stripped(F.col("title")), F.substring(X.stripped(F.col("body")), 1, 200))
 
     def side(df: DataFrame, s: str) -> DataFrame:
-        keyed = df.select("doc_id", "line_no", "parent", "body", sign.alias("key"))
+        keyed = ordered.with_subtrees(df).withColumn("key", sign)
         nth = F.row_number().over(Window.partitionBy("doc_id", "parent", "key").orderBy("line_no"))
-        named = with_paths(keyed, F.concat_ws("#", "key", nth))
-        return named.select("doc_id", "path", F.col("up").alias(f"{s}_up"), F.col("line_no").alias(f"{s}_line"), F.col("body").alias(f"{s}_body"))
+        named = ordered.with_ancestors(keyed.withColumn("self", F.xxhash64("key", nth)), "self")
+        path = F.xxhash64(F.concat("up", F.array("self")))
+        return named.select("doc_id", path.alias("path"), F.when(F.size("up") > 0, F.xxhash64("up")).alias(f"{s}_up"), F.col("line_no").alias(f"{s}_line"), F.xxhash64(X.stripped(F.col("body"))).alias(f"{s}_body"))
 
     joined = side(a, "a").join(side(b, "b"), ["doc_id", "path"], "full").withColumn("up", F.coalesce("a_up", "b_up"))
     both = F.col("a_line").isNotNull() & F.col("b_line").isNotNull()
-    same = F.when(X.stripped(F.col("a_body")) == X.stripped(F.col("b_body")), "equal").otherwise("modified")
-    met = joined.where(both).select("doc_id", "a_line", "b_line", same.alias("diff_type"))
-    parents = joined.where(both).select("doc_id", F.col("path").alias("up")).distinct()
-    lone = joined.where(~both)
-    under = lone.where("up = ''").unionByName(lone.join(parents, ["doc_id", "up"], "left_semi"))
-    place = lambda s: under.where(F.col(f"{s}_line").isNotNull()).select("doc_id", "up", f"{s}_line", F.row_number().over(Window.partitionBy("doc_id", "up").orderBy(f"{s}_line")).alias("place"))
-    rest = place("a").join(place("b"), ["doc_id", "up", "place"], "full")
+    # One shuffle by (doc_id, up) tells which lone sections are under a pair, and their places.
+    met = F.explode(F.array(F.struct(F.col("up").alias("at"), F.lit(False).alias("head")), F.struct(F.col("path").alias("at"), F.lit(True).alias("head")))).alias("x")
+    rows = joined.select("doc_id", "a_line", "b_line", both.alias("both"), (F.col("a_body") == F.col("b_body")).alias("same"), met).select("*", "x.at", "x.head")
+    rows = rows.where("both or not head").withColumn("open", F.max(F.col("head") & F.col("both")).over(Window.partitionBy("doc_id", "at"))).where("not head")
+    equal = rows.where("both").select("doc_id", "a_line", "b_line", F.when(F.col("same"), "equal").otherwise("modified").alias("diff_type"))
+    lone = rows.where("not both and (at is null or open)")
+    line = F.coalesce("a_line", "b_line")
+    side_no = F.col("a_line").isNull()
+    place = F.row_number().over(Window.partitionBy("doc_id", "at", side_no).orderBy(line))
+    rest = lone.withColumn("place", place).groupBy("doc_id", "at", "place").agg(F.max("a_line").alias("a_line"), F.max("b_line").alias("b_line"))
     kind = F.when(F.col("a_line").isNull(), "added").when(F.col("b_line").isNull(), "deleted").otherwise("modified")
-    return met.unionByName(rest.select("doc_id", "a_line", "b_line", kind.alias("diff_type")))
+    return equal.unionByName(rest.select("doc_id", "a_line", "b_line", kind.alias("diff_type")))
 
 
 def pair_by_position(a: DataFrame, b: DataFrame) -> DataFrame:
     """The i-th child of a section with the i-th child of the section it is paired
     with; equal or containing titles pair, others put both subtrees into the remainder,
-    tails are missing on one side. Below a section that is not paired nothing is shown."""
+    tails are missing on one side. Below a section that is not paired nothing is shown.
+    A path is the places from the outermost section on, six digits each."""
 
     def side(df: DataFrame, s: str) -> DataFrame:
         place = F.lpad(F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("line_no")).cast("string"), 6, "0")
-        named = with_paths(df.select("doc_id", "line_no", "parent", "title", place.alias("place")), F.col("place"))
-        return named.select("doc_id", "path", F.col("line_no").alias(f"{s}_line"), X.title_key(F.col("title")).alias(f"{s}_key"))
+        named = ordered.with_ancestors(ordered.with_subtrees(df).withColumn("place", place), "place")
+        return named.select("doc_id", F.array_join(F.concat("up", F.array("place")), "/").alias("path"), F.col("line_no").alias(f"{s}_line"), X.title_key(F.col("title")).alias(f"{s}_key"))
 
     x, y = F.col("a_key"), F.col("b_key")
     kind = F.when(x.isNull(), "missing_in_a").when(y.isNull(), "missing_in_b").when((x == y) | ((x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))), "paired").otherwise("both_missing")
     joined = side(a, "a").join(side(b, "b"), ["doc_id", "path"], "full").select("doc_id", "path", "a_line", "b_line", kind.alias("kind"))
-    size = 7  # of a place and the mark after it
-    steps = F.sequence(F.lit(size - 1), F.length("path") - size, F.lit(size))
-    above = joined.where(F.length("path") > size).select("doc_id", "path", F.explode(F.transform(steps, lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("up"))
-    open_ = joined.where("kind = 'paired'").select("doc_id", F.col("path").alias("up"))
-    shut = above.join(open_, ["doc_id", "up"], "left_anti").select("doc_id", "path").distinct()
-    return joined.join(shut, ["doc_id", "path"], "left_anti")
+    # In the order of paths a subtree is a range, which ends before its head's path and '0', the character after '/'.
+    before = Window.partitionBy("doc_id").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    shut = F.max(F.when(F.col("kind") != "paired", F.concat("path", F.lit("0")))).over(before)
+    return joined.withColumn("shut", shut).where("shut is null or shut <= concat(path, '0')").drop("shut")
 
 
 def match_units(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -494,6 +483,32 @@ def lines_to_pages(lines: DataFrame, pages: DataFrame) -> DataFrame:
     return both.withColumn("page", F.last("page", ignorenulls=True).over(over)).where("kind = 1").select("doc_id", "line_no", "page")
 
 
+def fill_pages(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """Lines dealt to pages by text volume, blanks aside. Each page takes lines
+    until they have as many characters as it has, and the next one begins at zero with
+    the line after; pages without text get none, and lines that are left when all pages
+    are full have page null. A document's lines are folded in order; what the fold keeps
+    is where pages begin."""
+    size = F.length(X.stripped(F.col("text"))).cast("bigint").alias("size")
+    packed = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").cast("bigint").alias("line_no"), size))).alias("l"))
+    wanted = pages.select("doc_id", F.col("page").cast("bigint").alias("page"), size).where("size > 0").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "size"))).alias("p"))
+    both = packed.join(wanted, "doc_id", "left").withColumn("p", F.coalesce("p", F.array().cast("array<struct<page:bigint,size:bigint>>")))
+    kind = "struct<turn:int,held:bigint,starts:array<struct<line_no:bigint,page:bigint>>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        full = acc["held"] >= F.coalesce(F.get(F.col("p"), acc["turn"])["size"], F.lit(1 << 62))
+        begins, turn = (acc["turn"] < 0) | full, acc["turn"] + 1
+        start = F.array(F.struct(x["line_no"].alias("line_no"), F.get(F.col("p"), turn)["page"].alias("page")))
+        opened = F.struct(turn.alias("turn"), x["size"].alias("held"), F.concat(acc["starts"], start).alias("starts")).cast(kind)
+        return F.when(begins, opened).otherwise(F.struct(acc["turn"].alias("turn"), (acc["held"] + x["size"]).alias("held"), acc["starts"].alias("starts")).cast(kind))
+
+    first = F.struct(F.lit(-1).alias("turn"), F.lit(0).cast("bigint").alias("held"), F.array().cast("array<struct<line_no:bigint,page:bigint>>").alias("starts")).cast(kind)
+    starts = both.select("doc_id", F.explode(F.aggregate("l", first, step)["starts"]).alias("s")).select("doc_id", "s.line_no", F.struct("s.page").alias("start"))
+    upto = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.select("doc_id", "line_no").join(starts, ["doc_id", "line_no"], "left")
+    return marked.withColumn("start", F.last("start", ignorenulls=True).over(upto)).select("doc_id", "line_no", "start.page")
+
+
 def merge_wrapped(tables: DataFrame, least: float = 0.8) -> DataFrame:
     """A row with one filled cell or fewer, or with less than `least` of the
     cells of the merged row above, continues it cell by cell. Rows are folded in

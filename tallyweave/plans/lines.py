@@ -111,14 +111,47 @@ def w20(spark, d):
     return O.merge_split_headings(_headed(spark, d)).select("doc_id", "line_no", "text")
 
 
-@query("w5_number_labels", """WITH k AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(trim(text), '^[0-9.,]+$') THEN 'n' WHEN regexp_matches(text, '[0-9]') THEN 'm' ELSE 'l' END AS kind FROM (SELECT doc_id, line_no, CASE WHEN line_no % 5 IN (1, 3) THEN CAST(line_no AS VARCHAR) ELSE text END AS text FROM {doc_lines})),
-    i AS (SELECT *, count(*) FILTER (WHERE kind = 'm') OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island, kind ORDER BY line_no) AS n FROM i WHERE kind <> 'm')
-    SELECT a.doc_id, a.line_no AS label_line, b.line_no AS number_line FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.island = b.island AND a.n = b.n WHERE a.kind = 'l' AND b.kind = 'n'""")
+def _first_in_first_out(rows: str) -> str:
+    """The labels that wait when each number comes, row after row."""
+    return f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n, CASE WHEN regexp_matches(trim(text), '^[0-9.,]+$') THEN 'n' WHEN regexp_matches(text, '[0-9]') THEN 'm' ELSE 'l' END AS kind FROM {rows}),
+    t AS (SELECT doc_id, 0 AS n, []::BIGINT[] AS waiting, NULL::BIGINT AS label_line, NULL::BIGINT AS number_line FROM r WHERE n = 1 UNION ALL
+        SELECT t.doc_id, r.n, CASE kind WHEN 'l' THEN list_append(waiting, r.line_no) WHEN 'm' THEN [] ELSE waiting[2:] END, CASE kind WHEN 'n' THEN waiting[1] END, r.line_no FROM t JOIN r ON r.doc_id = t.doc_id AND r.n = t.n + 1)
+    SELECT doc_id, label_line, number_line FROM t WHERE label_line IS NOT NULL"""
+
+
+@query("w5_number_labels", _first_in_first_out("(SELECT doc_id, line_no, CASE WHEN line_no % 5 IN (1, 3) THEN CAST(line_no AS VARCHAR) ELSE text END AS text FROM {doc_lines})"))
 def w5(spark, d):
     rows = table(spark, d, "doc_lines").select("doc_id", "line_no", F.when((F.col("line_no") % 5).isin(1, 3), F.col("line_no").cast("string")).otherwise(F.col("text")).alias("text"))
     return O.number_labels(rows)
 
 
+# Rows of lone numbers, labels and both; numbers outrun labels at some of them.
+_WAITING = "(SELECT doc_id, line_no, CASE (line_no * 7 + doc_id) % 6 WHEN 0 THEN '12' WHEN 1 THEN '3,' || CAST(line_no AS VARCHAR) WHEN 2 THEN 'no' || CAST(line_no AS VARCHAR) ELSE 'name' END AS text FROM {doc_lines} WHERE (line_no + doc_id) % 13 <> 4)"
+
+
+@query("w5_waiting_labels", _first_in_first_out(_WAITING))
+def w5_waiting(spark, d):
+    n = F.col("line_no")
+    turn, number = (n * 7 + F.col("doc_id")) % 6, n.cast("string")
+    text = F.when(turn == 0, "12").when(turn == 1, F.concat(F.lit("3,"), number)).when(turn == 2, F.concat(F.lit("no"), number)).otherwise("name")
+    return O.number_labels(table(spark, d, "doc_lines").where((n + F.col("doc_id")) % 13 != 4).select("doc_id", "line_no", text.alias("text")))
+
+
+_HINT = "CASE WHEN regexp_matches({x}, '^第[一二三四五六七八九十百]+[章节条]') THEN regexp_extract({x}, '^(第[一二三四五六七八九十百]+[章节条])', 1) WHEN regexp_matches({x}, '^[0-9]+([.][0-9]+)+') THEN regexp_extract({x}, '^([0-9]+([.][0-9]+)+)', 1) WHEN regexp_matches({x}, '^[0-9]+[.、]') THEN regexp_extract({x}, '^([0-9]+)[.、]', 1) WHEN regexp_matches({x}, '^[一二三四五六七八九十]+、') THEN regexp_extract({x}, '^([一二三四五六七八九十]+)、', 1) END"
+
+
+@query("w14_collapse_siblings", f"""WITH RECURSIVE s AS (SELECT *, coalesce(parent, -1) AS p, {_KEY.replace('{x}', 'title')} AS k, {_HINT.replace('{x}', 'title')} AS h FROM {_SECTIONS}),
+    o AS (SELECT s.*, row_number() OVER (PARTITION BY doc_id, p ORDER BY line_no) AS n, (SELECT count(*) FROM s c WHERE c.doc_id = s.doc_id AND c.parent = s.line_no) AS children FROM s),
+    f AS (SELECT doc_id, p, n, level AS hl, k AS hk, h AS hh, 1 AS g, line_no FROM o WHERE n = 1 UNION ALL
+        SELECT doc_id, p, n, CASE WHEN alike THEN hl ELSE level END, CASE WHEN alike THEN hk ELSE k END, CASE WHEN alike THEN hh ELSE h END, CASE WHEN alike THEN g ELSE g + 1 END, line_no
+        FROM (SELECT o.*, hl, hk, hh, g, hl = o.level AND hk <> '' AND o.k <> '' AND (contains(hk, o.k) OR contains(o.k, hk)) AND NOT coalesce(hh <> o.h, false) AS alike FROM f JOIN o ON o.doc_id = f.doc_id AND o.p = f.p AND o.n = f.n + 1)),
+    best AS (SELECT doc_id, line_no, parent, title, row_number() OVER (PARTITION BY doc_id, p, g ORDER BY children DESC, length(body) DESC, length(title) DESC, line_no) AS turn FROM o JOIN (SELECT doc_id, line_no, g FROM f) USING (doc_id, line_no)),
+    kept AS (SELECT doc_id, line_no, title FROM best WHERE turn = 1 AND parent IS NULL UNION ALL SELECT b.doc_id, b.line_no, b.title FROM kept JOIN best b ON b.doc_id = kept.doc_id AND b.parent = kept.line_no WHERE b.turn = 1)
+    SELECT * FROM kept""")
+def w14_siblings(spark, d):
+    return O.collapse_siblings(O.sections(_headed(spark, d))).select("doc_id", "line_no", "title")
+
+
 @query("w17_strips", """SELECT doc_id, line_no, table_line FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id, table_line ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM
     (SELECT *, max(CASE WHEN is_table THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS table_line FROM {doc_lines}) WHERE NOT is_table AND table_line IS NOT NULL) WHERE before <= 600""")
 def w17(spark, d):

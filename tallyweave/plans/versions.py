@@ -341,6 +341,17 @@ def w11(spark, d):
     return V.lines_to_pages(lines, pages)
 
 
+@query("w11_fill_pages", f"""WITH RECURSIVE l AS (SELECT doc_id, line_no, length({_STRIP.replace('{x}', 'text')}) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM {{doc_lines}}),
+    p AS (SELECT doc_id, list(page ORDER BY page) AS pages, list(size ORDER BY page) AS sizes FROM (SELECT doc_id, line_no // 4 AS page, sum(length({_STRIP.replace('{x}', 'text')})) AS size FROM {{versions_c}} GROUP BY ALL) WHERE size > 0 AND (doc_id + page) % 5 <> 3 GROUP BY 1),
+    t AS (SELECT l.doc_id, 0 AS n, 1 AS turn, 0::HUGEINT AS held, NULL::BIGINT AS line_no FROM l WHERE n = 1 UNION ALL
+        SELECT t.doc_id, l.n, CASE WHEN held >= sizes[turn] THEN turn + 1 ELSE turn END, CASE WHEN held >= sizes[turn] THEN 0 ELSE held END + l.size, l.line_no FROM t JOIN l ON l.doc_id = t.doc_id AND l.n = t.n + 1 LEFT JOIN p ON p.doc_id = t.doc_id)
+    SELECT t.doc_id, line_no, pages[turn] AS page FROM t LEFT JOIN p ON p.doc_id = t.doc_id WHERE n > 0""")
+def w11_fill(spark, d):
+    other = table(spark, d, "versions_c")
+    pages = other.groupBy("doc_id", F.expr("line_no div 4").alias("page")).agg(F.array_join(F.collect_list("text"), "").alias("text")).where("(doc_id + page) % 5 <> 3")
+    return V.fill_pages(table(spark, d, "doc_lines"), pages)
+
+
 @query("a23_same_characters", "SELECT doc_id, line_no, list_sort(string_split(text, '')) = list_sort(string_split(CASE WHEN line_no % 2 = 0 THEN reverse(text) ELSE text || 'x' END, '')) AS same FROM {raw_lines}")
 def a23(spark, d):
     other = F.when(F.col("line_no") % 2 == 0, F.reverse("text")).otherwise(F.concat("text", F.lit("x")))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweave.operators import ordered
 from tallyweave.operators import versions as V
 
 
@@ -164,3 +165,60 @@ def test_anchor_windows_by_hand(spark):
     anchors = spark.createDataFrame([(1, 1, 2, "适用,范围\n定义"), (1, 2, 1, "总则"), (1, 3, 1, "不在这里的一行"), (1, 4, 1, " "), (2, 1, 1, "总则")], "doc_id bigint, anchor bigint, k int, text string")
     got = {(r.anchor, r.line_no, r.width, r.score) for r in V.anchor_windows(lines, anchors).collect()}
     assert got == {(1, 2, 2, 1.0), (2, 6, 1, 1.0)}
+
+
+def test_waiting_labels_equal_a_queue(spark):
+    rng, rows, expected = random.Random(7), [], set()
+    for d in range(30):
+        waiting = []
+        for n in range(40):
+            text = rng.choice(["12", "3,4", "name", "label", "no 5"]) if d % 2 else rng.choice(["12", "7.5", "name"])
+            rows.append((d, n, text))
+            if text == "no 5":
+                waiting.clear()
+            elif text[0].isdigit():
+                if waiting:
+                    expected.add((d, waiting.pop(0), n))
+            else:
+                waiting.append(n)
+    frame = spark.createDataFrame(rows, "doc_id bigint, line_no bigint, text string")
+    assert {tuple(r) for r in ordered.number_labels(frame).collect()} == expected
+
+
+def test_pages_fill_as_a_loop_fills_them(spark):
+    rng, lines, pages, expected = random.Random(8), [], [], set()
+    for d in range(30):
+        own = [(n * 3, "x" * rng.randint(0, 9) + " ") for n in range(rng.randint(1, 30))]
+        page = [(p, "y " * rng.choice([0, 3, 8, 20])) for p in range(rng.randint(0, 8))]
+        lines += [(d, n, t) for n, t in own]
+        pages += [(d, p, t) for p, t in page]
+        at = 0
+        for p, t in page:
+            held = 0
+            while at < len(own) and held < t.count("y"):
+                expected.add((d, own[at][0], p))
+                held += own[at][1].count("x")
+                at += 1
+        expected |= {(d, n, None) for n, _ in own[at:]}
+    schema = "doc_id bigint, {} bigint, text string"
+    got = V.fill_pages(spark.createDataFrame(lines, schema.format("line_no")), spark.createDataFrame(pages, schema.format("page")))
+    assert {tuple(r) for r in got.collect()} == expected
+
+
+def tree(spark, rows):
+    return spark.createDataFrame([(1, n, p, k, t, b) for n, p, k, t, b in rows], "doc_id bigint, line_no bigint, parent bigint, level int, title string, body string")
+
+
+def test_third_title_is_held_against_the_first_of_its_group(spark):
+    rows = [(0, None, 1, "Scope", "longer body"), (1, None, 1, "Scope of work", "b"), (2, 1, 2, "Child", ""), (3, None, 1, "work", "x"), (4, 3, 2, "Kept", ""), (5, None, 1, "of work", "")]
+    kept = ordered.collapse_siblings(tree(spark, rows)).collect()
+    # "work" is within the second title and not within the first, so it opens a group, and "of work" joins that.
+    assert sorted(r.line_no for r in kept) == [1, 2, 3, 4]
+    merged = ordered.collapse_siblings(tree(spark, [(0, None, 1, "Scope", ""), (1, 0, 2, "Gone", ""), (2, 1, 3, "Gone too", ""), (3, None, 1, "Scope", ""), (4, 3, 2, "a", ""), (5, 3, 2, "b", "")]))
+    assert sorted(r.line_no for r in merged.collect()) == [3, 4, 5]
+
+
+def test_subtrees_and_ancestors(spark):
+    rows = [(0, None, 2, "a", ""), (3, None, 1, "b", ""), (4, 3, 3, "c", ""), (5, 3, 2, "d", ""), (7, 5, 4, "e", ""), (9, None, 1, "f", "")]
+    got = ordered.with_ancestors(ordered.with_subtrees(tree(spark, rows)), "title").orderBy("line_no").collect()
+    assert [(r.until if r.until < 99 else None, r.up) for r in got] == [(3, []), (9, []), (5, ["b"]), (9, ["b"]), (9, ["b", "d"]), (None, [])]
