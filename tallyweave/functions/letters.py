@@ -8,8 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns of a letter's number, in order of trust.
-_REST = "\\s*[:：]?\\s*([A-Za-z0-9\\u4e00-\\u9fff\\-_/，,（）() ]+)"
-NUMBER_PATTERNS = [p + _REST for p in ("函证编号", "询证函编号", "\\b编号", "\\bNO\\.?", "索引号", "项目编号")]
+NUMBER_PATTERNS = [
+    r"函证编号\s*[:：]?\s*([A-Za-z0-9\u4e00-\u9fff\-_/，,（）() ]+)",
+    r"询证函编号\s*[:：]?\s*([A-Za-z0-9\u4e00-\u9fff\-_/，,（）() ]+)",
+    r"\b编号\s*[:：]?\s*([A-Za-z0-9\u4e00-\u9fff\-_/，,（）() ]+)",
+    r"\bNO\.?\s*[:：]?\s*([A-Za-z0-9\u4e00-\u9fff\-_/，,（）() ]+)",
+    r"索引号\s*[:：]?\s*([A-Za-z0-9\u4e00-\u9fff\-_/，,（）() ]+)",
+    r"项目编号\s*[:：]?\s*([A-Za-z0-9\u4e00-\u9fff\-_/，,（）() ]+)",
+]
 # Slips of a reader's spelling, as patterns and as plain texts.
 SLIPS = [
     ("有限责任公司会计师事务所", "有限责任会计师事务所"),
@@ -24,21 +30,51 @@ SLIPS = [
 ]
 SWAPS = [("普华水道", "普华永道"), ("安客", "安永"), ("天律", "天津"), ("大华水", "大华永")]
 # Where a letter's text tells its own fields, in order of trust.
-FIRM_PATTERNS = [lead + r"\s*(.{2,30}会计师事务所" + end + ")" for lead in ("聘请的?", "回函.*?寄.*?至") for end in (".{0,20}?分所", ".{0,10}?有限公司", "[（(][^）)]*[）)]")]
+FIRM_PATTERNS = [
+    r"聘请的?\s*(.{2,30}会计师事务所.{0,20}?分所)",
+    r"聘请的?\s*(.{2,30}会计师事务所.{0,10}?有限公司)",
+    r"聘请的?\s*(.{2,30}会计师事务所[（(][^）)]*[）)])",
+    r"回函.*?寄.*?至\s*(.{2,30}会计师事务所.{0,20}?分所)",
+    r"回函.*?寄.*?至\s*(.{2,30}会计师事务所.{0,10}?有限公司)",
+    r"回函.*?寄.*?至\s*(.{2,30}会计师事务所[（(][^）)]*[）)])",
+]
 FIRM_END = "(正在|对[本我]|进行|截至|应当)(?s:.*)$"
-_DIGITS = r"([A-Za-z]*[\d\s]{5,})"
-DEBIT_PATTERNS = [f"从本公司.*?{_DIGITS}.*?支取", f"扣费账号.*?{_DIGITS}", f"付款账号.*?{_DIGITS}", f"授权.*?从.*?{_DIGITS}.*?支取", f"从.*?账号.*?{_DIGITS}.*?(?:扣除|支付|扣取)", f"账号.*?{_DIGITS}.*?(?:支取|扣费)"]
-_BANK = r"([\u4e00-\u9fffA-Za-z0-9]+银行[\u4e00-\u9fff]{0,15}(?:分行|支行|营业部|总行)?)"
-BANK_PATTERNS = [rf"^\s*{_BANK}\s*[(（]\s*以下简称", rf"{_BANK}\s*[(（]\s*以下简称", rf"致\s*[:：]?\s*{_BANK}"]
-_DAY = r"\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日?"
-RANGE_PATTERNS = [rf"({_DAY})[^\d]*?至[^\d]*?({_DAY})[^\d]*?(?:期间|注销|账户)", rf"[自白目][^\d]*?({_DAY})[^\d]*?至[^\d]*?({_DAY})", rf"从[^\d]*?({_DAY})[^\d]*?至[^\d]*?({_DAY})"]
-SIGNED_PATTERNS = [rf"(?s)预留签章.*?({_DAY})", rf"(?s)电子授权.*?({_DAY})", rf"(?s)有限公司.*?({_DAY})", r"(20\d\d\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日?)"]
+DEBIT_PATTERNS = [
+    r"从本公司.*?([A-Za-z]*[\d\s]{5,}).*?支取",
+    r"扣费账号.*?([A-Za-z]*[\d\s]{5,})",
+    r"付款账号.*?([A-Za-z]*[\d\s]{5,})",
+    r"授权.*?从.*?([A-Za-z]*[\d\s]{5,}).*?支取",
+    r"从.*?账号.*?([A-Za-z]*[\d\s]{5,}).*?(?:扣除|支付|扣取)",
+    r"账号.*?([A-Za-z]*[\d\s]{5,}).*?(?:支取|扣费)",
+]
+BANK_PATTERNS = [
+    r"^\s*([\u4e00-\u9fffA-Za-z0-9]+银行[\u4e00-\u9fff]{0,15}(?:分行|支行|营业部|总行)?)\s*[(（]\s*以下简称",
+    r"([\u4e00-\u9fffA-Za-z0-9]+银行[\u4e00-\u9fff]{0,15}(?:分行|支行|营业部|总行)?)\s*[(（]\s*以下简称",
+    r"致\s*[:：]?\s*([\u4e00-\u9fffA-Za-z0-9]+银行[\u4e00-\u9fff]{0,15}(?:分行|支行|营业部|总行)?)",
+]
+RANGE_PATTERNS = [
+    r"(\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日?)[^\d]*?至[^\d]*?(\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日?)[^\d]*?(?:期间|注销|账户)",
+    r"[自白目][^\d]*?(\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日?)[^\d]*?至[^\d]*?(\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日?)",
+    r"从[^\d]*?(\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日?)[^\d]*?至[^\d]*?(\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日?)",
+]
+SIGNED_PATTERNS = [
+    r"(?s)预留签章.*?(\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日?)",
+    r"(?s)电子授权.*?(\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日?)",
+    r"(?s)有限公司.*?(\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日?)",
+    r"(20\d\d\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日?)",
+]
 STAMP = r"F\s*S\s*(\d{4})\s*[-–]\s*(\d{1,2})\s*[-–]\s*(\d{1,2})"
 BARCODE = r"条形码.{0,20}?([A-Za-z0-9\-]{6,})"
 REPLY_ENDS = ["公司经办人", "经办人", "预留签章", "采用电子授权", "以下由被询证银行", "被询证银行填列"]
-_NAME = r"([\u4e00-\u9fff·a-zA-Z\-_]{1,20})"
-REPLY_NAMES = [rf"回函\s*收件人\s*[:：]\s*{_NAME}", rf"回函\s*联系人\s*[:：]\s*{_NAME}", rf"回函.*?收件人\s*[:：]\s*{_NAME}"]
-LATER_NAMES = [rf"收件人\s*[:：]\s*{_NAME}", rf"联系人\s*[:：]\s*{_NAME}"]
+REPLY_NAMES = [
+    r"回函\s*收件人\s*[:：]\s*([\u4e00-\u9fff·a-zA-Z\-_]{1,20})",
+    r"回函\s*联系人\s*[:：]\s*([\u4e00-\u9fff·a-zA-Z\-_]{1,20})",
+    r"回函.*?收件人\s*[:：]\s*([\u4e00-\u9fff·a-zA-Z\-_]{1,20})",
+]
+LATER_NAMES = [
+    r"收件人\s*[:：]\s*([\u4e00-\u9fff·a-zA-Z\-_]{1,20})",
+    r"联系人\s*[:：]\s*([\u4e00-\u9fff·a-zA-Z\-_]{1,20})",
+]
 REPLY_ADDRESS = r"(?s)回函[地址]*\s*[:：](.*)$"
 PHONE = r"(?:手机号|电话|联系电话)\s*[:：]\s*(.*?)(?=\s*(?:邮政编码|邮编|电邮|电子邮箱|邮箱|传真|网址|回函|[\n\r]|$))"
 GLUED = r"(?s)(?:电话|联系电话|手机|手机号|电邮|电子邮箱|邮箱|邮编|邮政编码|传真|座机).*$"

@@ -27,6 +27,17 @@ LOOSE_COMPANY = [rf"[^,，。、；]+?\s*(增加|减少|增|减)\s*{MODIFIER}\s*
 SMALL_REST = "等小额增加"
 TAG_MOVE = "非标准增减主句"
 MARKERS, MARKER = "(主要是|主要为|主要由|主要原因是)", "主要是"
+QUOTED = "[“\"]([^”\"]+)[”\"]"
+CODE_AND_NAME = r"^([A-Za-z0-9]+)[\s\-_:：、，,.]*(.*)$"
+NAME_LEAD = "^[：:、，,.。 ]+"
+SHEET = r"([A-Z]\d{4})\s*表单[:：]?"
+PARAGRAPH = r"^[（(]\s*(\d+)\s*[）)]"
+ENGLISH_INDEX = r"^\s*[（(]\s*[0-9]+\s*[）)]"
+EARLY_STOP = r"(?s)。\s*\S"
+CODE = "[A-Za-z0-9]{2,}"
+STRAY_MARKS = r"[\p{P}&&[^“”（），。：、()%-]]"
+IN_NUMBERS = r"(?<=\d)[.,:/-](?=\d)"
+SEGMENT_ENDS = "(?<=[，。；;\"“”,])|(?<=[.])(?![0-9])|(?<=[^0-9][.])"
 TAG_SUFFIX, TAG_MODIFIER, TAG_VALUE, TAG_OTHER, TAG_MISSING = "增加/减少后含后缀", "增加/减少后含修饰词", "本期为", "非标准主句", "缺少增加/减少"
 
 
@@ -40,25 +51,24 @@ def _number(text: Column) -> Column:
 
 def quoted(text: Column) -> Column:
     """The first quoted text."""
-    return _none(F.trim(F.regexp_extract(text, "[“\"]([^”\"]+)[”\"]", 1)))
+    return _none(F.trim(F.regexp_extract(text, QUOTED, 1)))
 
 
 def code_and_name(text: Column) -> Column:
     """Struct of the indicator's code and name, split where the code ends."""
-    pattern = r"^([A-Za-z0-9]+)[\s\-_:：、，,.]*(.*)$"
     t = F.trim(text)
-    name = F.regexp_replace(F.trim(F.regexp_extract(t, pattern, 2)), "^[：:、，,.。 ]+", "")
-    return F.struct(_none(F.regexp_extract(t, pattern, 1)).alias("code"), _none(name).alias("name"))
+    name = F.regexp_replace(F.trim(F.regexp_extract(t, CODE_AND_NAME, 2)), NAME_LEAD, "")
+    return F.struct(_none(F.regexp_extract(t, CODE_AND_NAME, 1)).alias("code"), _none(name).alias("name"))
 
 
 def sheet(text: Column) -> Column:
     """A sheet's code before 表单."""
-    return _none(F.regexp_extract(text, r"([A-Z]\d{4})\s*表单[:：]?", 1))
+    return _none(F.regexp_extract(text, SHEET, 1))
 
 
 def paragraph(text: Column) -> Column:
     """The bracketed index that a paragraph begins with."""
-    return F.regexp_extract(F.trim(text), r"^[（(]\s*(\d+)\s*[）)]", 1).try_cast("int")
+    return F.regexp_extract(F.trim(text), PARAGRAPH, 1).try_cast("int")
 
 
 def _change(direction: Column, amount: Column, unit: Column) -> Column:
@@ -94,7 +104,7 @@ def details(text: Column) -> Column:
     """Companies of the part after 主要是, each with direction, amount
     and unit, equal ones once. The part is cut at marks that are not inside numbers."""
     part = F.regexp_replace(F.regexp_extract(text, DETAILS, 0), "(?<=[0-9]),(?=[0-9])", "")
-    segments = F.split(part, "(?<=[，。；;\"“”,])|(?<=[.])(?![0-9])|(?<=[^0-9][.])")
+    segments = F.split(part, SEGMENT_ENDS)
     bare = F.transform(segments, lambda s: F.regexp_replace(F.trim(s), DETAIL_START, ""))
     item = lambda s: F.struct(
         F.trim(F.regexp_extract(s, COMPANY, 1)).alias("company"),
@@ -157,8 +167,8 @@ def scope_hint(text: Column) -> Column:
 
 def stray_marks(text: Column) -> Column:
     """Punctuation outside the allowed set, but for separators within numbers."""
-    bare = F.regexp_replace(text, r"(?<=\d)[.,:/-](?=\d)", "")
-    return F.regexp_extract_all(bare, F.lit(r"[\p{P}&&[^“”（），。：、()%-]]"), 0)
+    bare = F.regexp_replace(text, IN_NUMBERS, "")
+    return F.regexp_extract_all(bare, F.lit(STRAY_MARKS), 0)
 
 
 def format_exceptions(text: Column) -> Column:
@@ -172,7 +182,7 @@ def format_exceptions(text: Column) -> Column:
             make(main_class(text) != "", 12, main_class(text)),
             make(F.size(marks) > 0, 16, F.array_join(marks, "")),
             make((unit != "") & scope_conflict(scope_hint(text), unit), 12, unit),
-            make(text.rlike("主要是|主要为|主要由|主要原因是") & (F.size(details(text)) == 0), 14, F.lit("主要是")),
+            make(text.rlike(MARKERS) & (F.size(details(text)) == 0), 14, F.lit("主要是")),
         )
     )
 
@@ -201,13 +211,13 @@ def parse_exceptions(text: Column) -> Column:
     shape = "struct<type_id:int,field:string,value:string>"
     entry = lambda kind, field, value: F.struct(F.lit(kind).alias("type_id"), F.lit(field).alias("field"), value.alias("value")).cast(shape)
     one = lambda when, *parts: F.when(when, entry(*parts))
-    token = F.coalesce(_none(F.regexp_extract(main, "[A-Za-z0-9]{2,}", 0)), F.lit(PERIOD))
+    token = F.coalesce(_none(F.regexp_extract(main, CODE, 0)), F.lit(PERIOD))
     fixed = F.array(
-        one(main.rlike(r"^\s*[（(]\s*[0-9]+\s*[）)]") & main.rlike("[()]"), 16, "main_sentence", F.lit("(")),
+        one(main.rlike(ENGLISH_INDEX) & main.rlike("[()]"), 16, "main_sentence", F.lit("(")),
         one(main.contains('"'), 16, "main_sentence", F.lit('"')),
         one(opened != closed, 12, "main_sentence", F.when(opened, "“").otherwise("”")),
         one(~opened & ~closed, 12, "main_sentence", token),
-        one(outside.rlike(r"(?s)。\s*\S"), 16, "main_sentence", F.lit("。")),
+        one(outside.rlike(EARLY_STOP), 16, "main_sentence", F.lit("。")),
         one((marker != "") & (marker != MARKER), 12, "company_marker", marker),
         one((detail != "") & (end != "。"), 12, "company_detail_tail", tail),
         one((detail != "") & (end != "。") & end.rlike(r"^\p{P}$"), 16, "company_detail", end),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Chinese digits, and folding of full-width characters.
@@ -53,6 +53,22 @@ def comparison_key(text: Column, traditional: str = "", simplified: str = "") ->
     return stripped(F.translate(F.translate(fold_width(F.coalesce(text, F.lit(""))), "，。：；、！", ",.:;,!"), traditional, simplified))
 
 
+#: Pairs of characters that a folding table may have; they become one literal of the plan.
+FOLDED_PAIRS = 100_000
+
+
+def folding(pairs: DataFrame) -> tuple[str, str]:
+    """The two texts that comparison_key() takes, from a table of characters (from,
+    to). Rows with more or less than one character on either side are left out; of a
+    character's rows that of the smallest `to` holds. A table of more than FOLDED_PAIRS
+    characters is refused."""
+    one = pairs.where("length(`from`) = 1 and length(`to`) = 1").groupBy("from").agg(F.min("to").alias("to"))
+    rows = one.orderBy("from").limit(FOLDED_PAIRS + 1).collect()
+    if len(rows) > FOLDED_PAIRS:
+        raise ValueError(f"more than {FOLDED_PAIRS} characters to fold")
+    return "".join(r["from"] for r in rows), "".join(r["to"] for r in rows)
+
+
 def section_name(text: Column) -> Column:
     """No number prefix, brackets or blanks; dates become a placeholder."""
     bare = F.regexp_replace(text, r"^\s*(?:[0-9]+|[一二三四五六七八九十]+)[.、．]\s*", "")

@@ -333,6 +333,38 @@ def pair_rows(a: DataFrame, b: DataFrame, shared: list[str], row_id: str) -> Dat
     return joined.select("a_row", "b_row", kind.alias("kind"))
 
 
+def pair_tables(a: DataFrame, b: DataFrame) -> DataFrame:
+    """J20 for tables whose columns are not known: (table_id, a_row, b_row, kind) of rows
+    (table_id, row_id, cells), cells a map of header to text, of many pairs of tables in
+    one plan. The columns that both tables of a pair have are found by intersecting their
+    headers; rows pair where all shared cells agree once folded (numbers as numbers),
+    each used once in order. Rows with no text at all are left out; tables that share no
+    header pair no rows, and what is left is on one side only."""
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        full = df.where(F.exists(F.map_values("cells"), lambda c: F.coalesce(F.trim(c), F.lit("")) != ""))
+        return full.select("table_id", F.col("row_id").alias(f"{s}_row"), "cells")
+
+    left, right = side(a, "a"), side(b, "b")
+    names = lambda df, s: df.select("table_id", F.explode(F.map_keys("cells")).alias("h")).groupBy("table_id").agg(F.array_sort(F.collect_set("h")).alias(s))
+    shared = names(left, "x").join(names(right, "y"), "table_id").select("table_id", F.array_intersect("x", "y").alias("shared"))
+
+    def folded(c: Column) -> Column:
+        number = F.regexp_replace(c, ",", "").try_cast("double")
+        return F.coalesce(F.format_number(number, 2), X.comparison_key(c))
+
+    def keyed(df: DataFrame, s: str) -> DataFrame:
+        joined = df.join(shared, "table_id", "left")
+        own = F.array_join(F.transform("shared", lambda h: folded(F.coalesce(F.element_at("cells", h), F.lit("")))), "|")
+        key = F.when(F.size("shared") > 0, own).otherwise(F.concat(F.lit(f"{s}:"), F.col(f"{s}_row").cast("string")))
+        work = joined.select("table_id", f"{s}_row", F.coalesce(key, F.concat(F.lit(f"{s}:"), F.col(f"{s}_row").cast("string"))).alias("key"))
+        return work.withColumn("nth", F.row_number().over(Window.partitionBy("table_id", "key").orderBy(f"{s}_row")))
+
+    joined = keyed(left, "a").join(keyed(right, "b"), ["table_id", "key", "nth"], "full")
+    kind = F.when(F.col("a_row").isNull(), "only_in_b").when(F.col("b_row").isNull(), "only_in_a").otherwise("paired")
+    return joined.select("table_id", "a_row", "b_row", kind.alias("kind"))
+
+
 def row_cells(a: DataFrame, b: DataFrame, signature: list[str], row_id: str, columns: list[str]) -> DataFrame:
     """Rows aligned by their signature columns, each used once in order; cells of a
     pair are same or changed, by position, those of other rows deleted or added."""

@@ -221,6 +221,21 @@ def c10(spark, d):
     return table(spark, d, "doc_lines").select("doc_id", "line_no", X.section_name(F.concat("text", F.lit(" 2024年1月2日"))).alias("name"))
 
 
+def _wide(n: str, duck: bool) -> str:
+    """The character number n behind the first of the unified ideographs."""
+    return f"chr(CAST(19968 + {n} AS INTEGER))" if duck else f"decode(unhex(lpad(hex(cast(19968 + {n} as bigint)), 4, '0')), 'UTF-16BE')"
+
+
+@query("c9_folding_table", f"""WITH f AS (SELECT {_wide('k', True)} AS a, {_wide('(k * 7) % 3000', True)} AS b FROM (SELECT DISTINCT o_orderkey % 5000 AS k FROM orders) WHERE k >= 3000),
+    t AS (SELECT doc_id, line_no, unnest([{', '.join(_wide(f'(line_no * 311 + doc_id * {m}) % 6000', True) for m in (17, 23, 401))}]) AS c, unnest([1, 2, 3]) AS n FROM {{doc_lines}})
+    SELECT doc_id, line_no, string_agg(coalesce(b, c), '' ORDER BY n) AS key FROM t LEFT JOIN f ON f.a = t.c GROUP BY ALL""")
+def c9_table(spark, d):
+    k = table(spark, d, "orders").select((F.col("o_orderkey") % 5000).alias("k")).distinct().where("k >= 3000")
+    pairs = k.select(F.expr(_wide("k", False)).alias("from"), F.expr(_wide("(k * 7) % 3000", False)).alias("to"))
+    text = F.concat(F.lit(" "), *[F.expr(_wide(f"(line_no * 311 + doc_id * {m}) % 6000", False)) for m in (17, 23, 401)])
+    return table(spark, d, "doc_lines").select("doc_id", "line_no", X.comparison_key(text, *X.folding(pairs)).alias("key"))
+
+
 @query("c12_titles", f"""SELECT doc_id, line_no, {_KEY.replace('{x}', 'text')} AS key, CASE WHEN regexp_matches(text, '^第[一二三四五六七八九十百]+[章节条]') THEN regexp_extract(text, '^(第[一二三四五六七八九十百]+[章节条])', 1) WHEN regexp_matches(text, '^[0-9]+([.][0-9]+)+') THEN regexp_extract(text, '^([0-9]+([.][0-9]+)+)', 1)
     WHEN regexp_matches(text, '^[0-9]+[.、]') THEN regexp_extract(text, '^([0-9]+)[.、]', 1) WHEN regexp_matches(text, '^[一二三四五六七八九十]+、') THEN regexp_extract(text, '^([一二三四五六七八九十]+)、', 1) END AS number FROM {{doc_lines}}""")
 def c12(spark, d):

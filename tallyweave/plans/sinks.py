@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.plans import templates
 from tallyweave.plans.fixtures import table
 from tallyweave.plans.registry import query
 from tallyweave.sources import files as S
@@ -81,7 +82,7 @@ def t2(spark, d):
     pages = table(spark, d, "events").select("event_id", cut.alias("payload"))
     pages.write.parquet(f"{path}/in")
     intake.page_intake(spark, f"{path}/in", pages.schema, "payload", f"{path}/out", f"{path}/cp").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("event_id", F.element_at("record", "k").alias("k"))
+    return intake.committed(spark, f"{path}/out").select("event_id", F.element_at("record", "k").alias("k"))
 
 
 @query("t1_sync_intake", "SELECT c.c_custkey, coalesce(n.c_name, c.c_name) AS c_name, n.c_custkey IS NOT NULL AS active FROM customer c LEFT JOIN {customer_new} n ON n.c_custkey = c.c_custkey")
@@ -92,3 +93,24 @@ def t1(spark, d):
     target = table(spark, d, "customer").select("c_custkey", "c_name", F.lit(True).alias("active"))
     intake.sync_intake(spark, f"{path}/in", new.schema, "c_custkey", ["c_name"], lambda: target, lambda df: df.write.mode("overwrite").parquet(f"{path}/out"), f"{path}/poll")
     return spark.read.parquet(f"{path}/out").select("c_custkey", "c_name", "active")
+
+
+# One configured template for each region: its labels and types are in JSON files alone.
+@query("u2_configured_templates", """SELECT o_orderkey AS row_id, r_name AS template, CAST(o_orderkey AS VARCHAR) AS serial_no, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d 00:00:00') END AS transaction_date,
+    CAST(round(o_orderkey * 1.25, 2) AS DECIMAL(18, 2)) AS income, CASE WHEN o_orderkey % 2 = 0 THEN 'B' || CAST(o_custkey AS VARCHAR) END AS counterparty FROM orders JOIN region ON r_regionkey = o_custkey % 5""")
+def u2(spark, d):
+    path, label = scratch(spark), lambda name: F.concat(F.lit(name), F.col("r_regionkey").cast("string"))
+    entry = lambda name, field, kind: F.create_map(label(name), F.create_map(F.lit("field"), F.lit(field), F.lit("type"), F.lit(kind)))
+    schema = F.array(entry("号", "serial_no", "string"), entry("日", "transaction_date", "datetime"), entry("入", "income", "amount"), entry("方", "counterparty", "string"))
+    config = F.struct(F.col("r_name").alias("template_id"), F.struct(F.array(F.concat(F.lit("bank of "), F.lower("r_name"))).alias("keywords")).alias("detection"), schema.alias("transaction_schema"))
+    table(spark, d, "region").select(F.to_json(config).alias("value"), "r_name").repartition("r_name").write.partitionBy("r_name").text(path)
+    configs = templates.read_configs(spark, path)
+    n = F.col("o_custkey") % 5
+    named = lambda name: F.concat(F.lit(name), n.cast("string"))
+    day = F.when(F.col("o_orderkey") % 11 == 0, "n/a").when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyyMMdd")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy/M/d")).otherwise(F.date_format("o_orderdate", "yyyy年M月d日"))
+    values = F.map_from_arrays(F.array(named("号"), named("日"), named("入"), named("方")), F.array(F.col("o_orderkey").cast("string"), day, F.format_number(F.col("o_orderkey") * 1.25, 2), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("B"), F.col("o_custkey").cast("string"))).otherwise(" ")))
+    regions = table(spark, d, "region").select((F.col("r_regionkey")).alias("n"), F.concat(F.lit("Statement of BANK OF "), "r_name", F.lit(" (copy)")).alias("head"))
+    rows = table(spark, d, "orders").withColumn("n", n).join(F.broadcast(regions), "n")
+    told = rows.select(F.col("o_orderkey").alias("row_id"), templates.recognised(F.col("head"), configs).alias("bank"), values.alias("values"))
+    made = templates.configured(configs, configs[0]["template_id"]).project(told, "bank")
+    return made.select("row_id", "template", "serial_no", "transaction_date", F.col("income").cast("decimal(18,2)").alias("income"), "counterparty")

@@ -238,6 +238,27 @@ def j20(spark, d):
     return V.pair_rows(table(spark, d, "part"), table(spark, d, "part_b"), ["p_name", "p_brand", "p_size"], "p_partkey")
 
 
+# A pair of tables for each brand. Of three in a row one has its sizes on both sides, one on
+# neither, one a header that the other side calls by another name; rows of some are blank.
+@query("j20_pair_tables", """WITH a AS (SELECT p_brand AS t, p_partkey AS r, p_name, CAST(p_size AS VARCHAR) AS size, hash_no FROM (SELECT *, CAST(right(p_brand, 1) AS INTEGER) % 3 AS hash_no FROM part)),
+    b AS (SELECT p_brand AS t, p_partkey AS r, p_name, CAST(p_size AS VARCHAR) AS size, CAST(right(p_brand, 1) AS INTEGER) % 3 AS hash_no FROM {part_b}),
+    x AS (SELECT t, r, p_name || CASE WHEN hash_no = 0 THEN '|' || size ELSE '' END AS key, row_number() OVER (PARTITION BY t, p_name || CASE WHEN hash_no = 0 THEN '|' || size ELSE '' END ORDER BY r) AS nth FROM a WHERE r % 50 <> 7),
+    y AS (SELECT t, r, p_name || CASE WHEN hash_no = 0 THEN '|' || size ELSE '' END AS key, row_number() OVER (PARTITION BY t, p_name || CASE WHEN hash_no = 0 THEN '|' || size ELSE '' END ORDER BY r) AS nth FROM b)
+    SELECT coalesce(x.t, y.t) AS table_id, x.r AS a_row, y.r AS b_row, CASE WHEN x.r IS NULL THEN 'only_in_b' WHEN y.r IS NULL THEN 'only_in_a' ELSE 'paired' END AS kind FROM x FULL JOIN y ON x.t = y.t AND x.key = y.key AND x.nth = y.nth""")
+def j20_tables(spark, d):
+    turn = F.substring("p_brand", -1, 1).cast("int") % 3
+
+    def cells(size_header, size):
+        base = [F.lit("name"), F.col("p_name")]
+        return F.when(turn == 0, F.create_map(*base, F.lit("size"), size)).when(turn == 1, F.create_map(*base)).otherwise(F.create_map(*base, F.lit(size_header), size))
+
+    a, b = table(spark, d, "part"), table(spark, d, "part_b")
+    blank = F.transform_values(cells("size", F.col("p_size").cast("string")), lambda k, v: F.lit(" "))
+    left = a.select(F.col("p_brand").alias("table_id"), F.col("p_partkey").alias("row_id"), F.when(F.col("p_partkey") % 50 == 7, blank).otherwise(cells("size", F.concat(F.col("p_size").cast("string"), F.lit(".0")))).alias("cells"))
+    right = b.select(F.col("p_brand").alias("table_id"), F.col("p_partkey").alias("row_id"), cells("measure", F.format_number(F.col("p_size"), 0)).alias("cells"))
+    return V.pair_tables(left, right)
+
+
 @query("j21_cell_diffs", """SELECT a.p_partkey, x AS "column", CASE x WHEN 'p_size' THEN CAST(a.p_size AS VARCHAR) ELSE CAST(a.p_retailprice AS VARCHAR) END AS a, CASE x WHEN 'p_size' THEN CAST(b.p_size AS VARCHAR) ELSE CAST(b.p_retailprice AS VARCHAR) END AS b, 'value' AS kind
     FROM part a JOIN {part_b} b ON a.p_partkey = b.p_partkey, (SELECT unnest(['p_size', 'p_retailprice']) AS x) WHERE (x = 'p_size' AND a.p_size <> b.p_size) OR (x = 'p_retailprice' AND a.p_retailprice <> b.p_retailprice)""")
 def j21(spark, d):

@@ -1,11 +1,15 @@
 """Small cases of rules that the stored tables do not meet."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions import letters, narrative, text
 from tallyweave.operators import statement, sync, versions
+from tallyweave.plans import templates
 from tallyweave.sources import files
+from tallyweave.streaming import intake
 
 
 def one(spark, column, **values):
@@ -167,3 +171,52 @@ def test_visible_items(spark):
     seen = lambda open_: sorted(map(tuple, sync.visible_items(users, items, grants, open_).collect()))
     assert seen(True) == [(1, 7), (1, 8), (2, 7), (2, 8), (2, 9)]
     assert seen(False) == [(1, 7), (1, 8), (2, 7)]
+
+
+def test_configured_template(spark, tmp_path):
+    config = {"template_id": "x1", "detection": {"keywords": ["First.Bank", "FB"]}, "summary_schema": {"账号": {"field": "account_number", "pattern": "账\\s*号[：:]\\s*(\\d+)"}, "户名": {"field": "account_name", "pattern": "户\\s*名[：:]\\s*(.+?)$"}}, "transaction_schema": [{"日期": {"field": "day", "type": "datetime"}}, {"金额": {"field": "amount", "type": "amount"}}, {"摘要": {"field": "note", "type": "string"}}]}
+    (tmp_path / "b.json").write_text(json.dumps(config))
+    (tmp_path / "a.json").write_text(json.dumps({**config, "template_id": "x0", "detection": {"keywords": ["Zeroth"]}}))
+    configs = templates.read_configs(spark, str(tmp_path))
+    assert [c["template_id"] for c in configs] == ["x0", "x1"]
+    rows = spark.createDataFrame([("from FIRST.BANK", {"日期": "2024年3月5日", "金额": "1,234.5", "摘要": "x"}), ("FirstxBank", {"日期": "20240230", "金额": " ", "摘要": " "}), ("zeroth fb", {"日期": "2024-03-05 7:08"})], "head string, values map<string,string>")
+    told = templates.configured(configs, "x1").project(rows.select("head", templates.recognised(F.col("head"), configs).alias("bank"), "values"), "bank")
+    assert [(r.bank, r.template, r.day, r.amount, r.note) for r in told.collect()] == [("x1", "x1", "2024-03-05 00:00:00", "1234.50", "x"), (None, "x1", None, None, None), ("x0", "x0", None, None, None)]
+    text = spark.range(1).select(F.lit("第一行\n户 名：某公司\n账号: 123\n").alias("t"))
+    assert text.select(*[c.alias(n) for n, c in templates.summary_of(F.col("t"), config).items()]).first().asDict() == {"account_number": "123", "account_name": "某公司"}
+
+
+def test_folding_table(spark):
+    pairs = spark.createDataFrame([("節", "节"), ("國", "国"), ("國", "囯"), ("ab", "c"), ("x", "")], "from string, to string")
+    assert text.folding(pairs) == ("國節", "囯节") or text.folding(pairs) == ("國節", "国节")
+    assert one(spark, text.comparison_key(F.col("t"), *text.folding(pairs)), t="第一 節，x") == "第一节,x"
+
+
+def test_tables_of_unknown_columns(spark):
+    a = [(1, 1, {"Name": "A", "Qty": "1,000"}), (1, 2, {"Name": "a", "Qty": "1000"}), (1, 3, {"Name": " ", "Qty": None}), (2, 1, {"X": "1"}), (3, 1, {"X": "1"})]
+    b = [(1, 9, {"Name": "A", "Qty": "1000.00", "Other": "z"}), (1, 8, {"Name": "A", "Qty": "2"}), (2, 1, {"Y": "1"})]
+    frame = lambda rows: spark.createDataFrame(rows, "table_id int, row_id int, cells map<string,string>")
+    got = {tuple(r) for r in versions.pair_tables(frame(a), frame(b)).collect()}
+    assert got == {(1, 1, 9, "paired"), (1, 2, None, "only_in_a"), (1, None, 8, "only_in_b"), (2, 1, None, "only_in_a"), (2, None, 1, "only_in_b"), (3, 1, None, "only_in_a")}
+
+
+def test_half_a_batch_is_not_read(spark, tmp_path, monkeypatch):
+    source, out, at = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    rows = spark.createDataFrame([(1, '{"k": "a"}'), (2, '{"k": "b"'), (3, '{"k": "c"}')], "event_id bigint, payload string")
+    rows.write.parquet(source)
+    whole, calls = intake.files.records, []
+
+    def stops(batch, payload):
+        good, bad = whole(batch, payload)
+        calls.append(1)
+        return (good, bad) if len(calls) > 1 else (good, bad.select(F.raise_error(F.lit("stopped between the writes")).alias("x")))
+
+    monkeypatch.setattr(intake.files, "records", stops)
+    with pytest.raises(Exception):
+        intake.page_intake(spark, source, rows.schema, "payload", out, at).awaitTermination()
+    assert spark.read.parquet(out).count() == 2 and not (tmp_path / "out_done").exists()
+    intake.page_intake(spark, source, rows.schema, "payload", out, at).awaitTermination()
+    assert sorted(r.event_id for r in intake.committed(spark, out).collect()) == [1, 3]
+    assert [r.event_id for r in intake.committed(spark, out, bad=True).collect()] == [2]
+    assert intake.page_intake(spark, source, rows.schema, "payload", out, at).awaitTermination() is None
+    assert intake.committed(spark, out).count() == 2
