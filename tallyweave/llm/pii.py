@@ -58,10 +58,11 @@ DIGITS = {"card": (14, 19), "phone": (10, 15)}
 
 #: Bins of each feature; their product bounds the table of counts.
 FEATURES = {"kind": 4, "wide": 2, "digits": 8, "marks": 4, "before": 4, "after": 4, "near": 2, "against": 2}
-#: Trees, learning rate, and the precision that a threshold must reach.
-TREES, RATE, PRECISE = 32, 0.5, 0.9
-#: A threshold that no candidate reaches.
-NEVER = 2.0
+#: Trees, learning rate, the precision that a threshold must reach, and wrong rows that
+#: are added to those it is measured on.
+TREES, RATE, PRECISE, DOUBT = 32, 0.5, 0.9, 0.5
+#: A threshold that no candidate reaches, and the fold of base spans.
+NEVER, BASE_FOLD = 2.0, 2
 
 CANDIDATE = "array<struct<start:bigint,end:bigint,base:boolean,right:boolean,kind:int,wide:int,digits:int,marks:int,before:int,after:int,near:int,against:int>>"
 _PLACED = "array<struct<start:bigint,end:bigint,found:string>>"
@@ -181,11 +182,13 @@ def with_candidates(docs: DataFrame, text: str = "text", name: str = "__cand") -
 
 def count_features(found: DataFrame, name: str = "__cand") -> list[tuple]:
     """(fold, features, rows, positive) for every combination of features among the
-    candidates of with_candidates() that evidence tells of, those left out that
-    overlap a base span of another candidate."""
+    candidates of with_candidates() that evidence tells of, those left out that overlap a
+    base span of another candidate. Folds 0 and 1 have what select() can refuse; base
+    spans, which it never judges, are fold BASE_FOLD."""
     alone = lambda c: F.filter(c, lambda x: x["right"].isNotNull() & (x["base"] | ~F.exists(c, lambda y: y["base"] & _overlap(x, y))))
     one = found.where(F.size(name) > 0).select("__fold", F.explode(_let(F.col(name), alone)).alias("x"))
-    rows = one.groupBy("__fold", *[F.col(f"x.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.count_if("x.right").alias("positive"))
+    fold = F.when(F.col("x.base"), BASE_FOLD).otherwise(F.col("__fold")).alias("fold")
+    rows = one.groupBy(fold, *[F.col(f"x.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.count_if("x.right").alias("positive"))
     return [tuple(r) for r in rows.collect()]
 
 
@@ -224,13 +227,14 @@ def _predict(node, x: np.ndarray) -> np.ndarray:
 
 
 def fit(counts: list[tuple]) -> Trees:
-    """Trees from the counts of fold 0, thresholds from those of fold 1: for each kind
-    the lowest score from which on PRECISE of the rows are right, and NEVER where no
-    score reaches that. Rows of equal score go together."""
+    """Trees from the counts of fold 0 and of base spans, thresholds from those of fold 1,
+    which can all be refused (of fold 0, where that is empty): for each kind the lowest score from which on PRECISE of the rows are right, DOUBT wrong ones added,
+    so that a few rows prove nothing; and NEVER where no score reaches that. Rows of equal
+    score go together."""
     made = Trees()
     table = np.array(counts, np.float64).reshape(-1, len(FEATURES) + 3)
     fold, x, n, y = table[:, 0], table[:, 1:-2], table[:, -2], table[:, -1]
-    own = fold == 0 if (fold == 0).any() else np.ones(len(fold), bool)
+    own = fold != 1 if (fold != 1).any() else np.ones(len(fold), bool)
     if not n[own].sum():
         return made
     rate = np.clip(y[own].sum() / n[own].sum(), 1e-4, 1 - 1e-4)
@@ -252,13 +256,13 @@ def fit(counts: list[tuple]) -> Trees:
             break
         made.trees.append(tree)
         score += _predict(tree, x[own])
-    other = fold == 1 if (fold == 1).any() else own
+    other = fold == 1 if (fold == 1).any() else fold == 0
     total = made.start + sum((_predict(t, x[other]) for t in made.trees), np.zeros(other.sum()))
     for k, kind in enumerate(KINDS):
         of = x[other][:, 0] == k
         levels, of_level = np.unique(-total[of].round(9), return_inverse=True)
         many, good = np.bincount(of_level, n[other][of]), np.bincount(of_level, y[other][of])
-        enough = np.flatnonzero(np.cumsum(good) >= PRECISE * np.cumsum(many))
+        enough = np.flatnonzero(np.cumsum(good) >= PRECISE * (np.cumsum(many) + DOUBT))
         if len(enough):
             made.least[kind] = float(1 / (1 + np.exp(levels[enough[-1]]))) - 1e-9
     return made
@@ -326,7 +330,8 @@ def listed(spans: str) -> Column:
 def redact(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     """docs whose text has [EMAIL], [IP], [CARD] or [PHONE] in the place of each
     span; of overlapping spans the first names the whole stretch. A null text stays
-    null; other columns stay as they were, repeated rows as well."""
+    null; other columns stay as they were, repeated rows as well, and an
+    empty table is given back empty."""
     names = [f"__c{k}" for k in range(len(docs.columns))]
     own = names[[c.lower() for c in docs.columns].index(text.lower())]
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))

@@ -131,3 +131,19 @@ def test_digest(spark):
     one = spark.createDataFrame([(1, "a@b.cc")], "doc_id bigint, text string")
     got = pii.with_spans(pii.with_candidates(one), pii.Trees()).select(F.sha2(pii.listed("base_spans"), 256).alias("h")).first().h
     assert got == hashlib.sha256(b"email:0:6").hexdigest()
+
+
+def test_base_spans_do_not_lend_their_precision(spark):
+    # Base cards abound; what a wide pattern finds beside them is wrong nine times in ten.
+    texts = [f"paid by card 4111 1111 1111 1111 on day {k}" for k in range(300)] + [f"card {4000 + k} 1234 5678 {1000 + 7 * k}" for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = pii.with_candidates(docs)
+    counts = pii.count_features(found)
+    judged = [c for c in counts if c[0] != pii.BASE_FOLD and c[1] == pii.KINDS.index("card")]
+    assert sum(c[-2] for c in judged) >= 200 and sum(c[-1] for c in judged) < 0.5 * sum(c[-2] for c in judged)
+    model = pii.fit(counts)
+    assert model.least["card"] == pii.NEVER and set(model.least.values()) == {pii.NEVER}
+    spans = pii.with_spans(found, model).collect()
+    assert all(r.pii_spans == r.base_spans for r in spans) and sum(len(r.base_spans) for r in spans) >= 300
+    # With base spans alone nothing is judged, so no threshold is reached.
+    assert set(pii.fit([c for c in counts if c[0] == pii.BASE_FOLD]).least.values()) == {pii.NEVER}
