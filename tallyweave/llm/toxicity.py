@@ -18,15 +18,18 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweave.llm.common import Shared, add_columns, as_bytes, hash_fraction, spaced_words, with_columns_of
 from tallyweave.llm.simhash import fingerprint
 
-#: Labelled documents of each label that the field is fitted on, at most about.
-SAMPLE = 1000
+#: Labelled documents of each label that the field is fitted on, at most about, and the
+#: bytes of their texts at most.
+SAMPLE, SAMPLE_BYTES = 1000, 32_000_000
+#: Tokens of a block of a long chain.
+BLOCK = 1024
 #: Toxic documents that a toxic word needs, as a share of the toxic sample and at
 #: least; and the share of its documents that are toxic. Fingerprints with so many
 #: bits different at most are copies.
@@ -90,34 +93,58 @@ class Chain:
         return out + prior + later
 
 
-def marginals(local: np.ndarray, starts: np.ndarray, sizes: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward and backward odds and the marginal of the toxic state at each token.
-    Chains run side by side, longest first, one position at a time."""
-    a = np.exp(move)
-    odds = np.exp(np.clip(local, -30, 30))
+def _scan(steps: tuple[np.ndarray, ...], starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """y[t] = (m[t] y[t - 1] + n[t]) / (p[t] y[t - 1] + q[t]) along each chain. Chains run
+    side by side, one position at a time. A long one is cut into blocks: the steps of a
+    block make up one 2 x 2 matrix, the matrices tell with what value each block begins,
+    and then all blocks run side by side as well."""
+    many = -(-sizes // BLOCK)
+    chain = np.repeat(np.arange(len(sizes)), many)
+    number = np.arange(len(chain)) - np.repeat(np.cumsum(many) - many, many)
+    starts, sizes = starts[chain] + number * BLOCK, np.minimum(BLOCK, sizes[chain] - number * BLOCK)
+    enter = np.ones(len(starts))
+    followed = np.flatnonzero(number < many[chain] - 1)
+    if len(followed):
+        whole = [np.ones(len(followed)), np.zeros(len(followed)), np.zeros(len(followed)), np.ones(len(followed))]
+        for t in range(BLOCK):
+            m, n, p, q = (x[starts[followed] + t] for x in steps)
+            a, b, c, d = whole
+            whole = [m * a + n * c, m * b + n * d, p * a + q * c, p * b + q * d]
+            scale = sum(whole)
+            whole = [x / scale for x in whole]
+        order = np.argsort(number[followed], kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(number[followed][order])) + 1):
+            (a, b, c, d), before = (x[at] for x in whole), enter[followed[at]]
+            enter[followed[at] + 1] = (a * before + b) / (c * before + d)
     order = np.argsort(-sizes, kind="stable")
-    starts, sizes = starts[order], sizes[order]
+    starts, sizes, y = starts[order], sizes[order], enter[order]
     longest = int(sizes[0]) if len(sizes) else 0
     alive = np.searchsorted(-sizes, -np.arange(longest), "left")  # chains longer than t
-    forward, backward = np.ones(len(local)), np.ones(len(local))
-    r = np.ones(0)
+    out = np.ones(len(steps[0]))
     for t in range(longest):
         at = starts[: alive[t]] + t
-        if t:
-            r = r[: alive[t]]
-            r = odds[at] * (a[0, 1] + r * a[1, 1]) / (a[0, 0] + r * a[1, 0])
-        else:
-            r = odds[at]
-        forward[at] = r
-    s = np.ones(0)
-    for t in range(longest - 2, -1, -1):
-        n = int(alive[t + 1])
-        at = starts[:n] + t
-        full = np.ones(n)
-        full[: len(s)] = s
-        x = full * odds[at + 1]
-        s = (a[1, 0] + x * a[1, 1]) / (a[0, 0] + x * a[0, 1])
-        backward[at] = s
+        m, n, p, q = (x[at] for x in steps)
+        y = y[: alive[t]]
+        y = (m * y + n) / (p * y + q)
+        out[at] = y
+    return out
+
+
+def marginals(local: np.ndarray, starts: np.ndarray, sizes: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward odds and the marginal of the toxic state at each token."""
+    a, n = np.exp(move), len(local)
+    odds = np.exp(np.clip(local, -30, 30))
+    full = lambda value: np.full(n, value)
+    ahead = [odds * a[1, 1], odds * a[0, 1], full(a[1, 0]), full(a[0, 0])]
+    some = sizes > 0
+    for x, value in zip(ahead, (0, odds[starts[some]], 0, 1)):
+        x[starts[some]] = value  # the first token has none before it
+    forward = _scan(ahead, starts[some], sizes[some])
+    after = np.append(odds[1:], 1)
+    back = [after * a[1, 1], full(a[1, 0]), after * a[0, 1], full(a[0, 0])]
+    for x, value in zip(back, (0, 1, 0, 1)):
+        x[(starts + sizes - 1)[some]] = value  # the last none after it
+    backward = _scan([x[::-1] for x in back], (n - starts - sizes)[some], sizes[some])[::-1]
     both = forward * backward
     return forward, backward, both / (1 + both)
 
@@ -227,7 +254,8 @@ def _calibrate(chain: Chain, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text: str = "text") -> Chain:
     """A field fitted on a sample of labelled documents, a bounded number of each
-    label, drawn by a hash of the id. `training` tells by id which labels may be
+    label and of their bytes, drawn by a hash of the id: documents in the order of the
+    hash, as long as SAMPLE_BYTES last, none of more than a sixteenth of them. `training` tells by id which labels may be
     used. Null labels are left out; an id with both labels counts as toxic; a null
     text counts as empty. Without labels of both kinds every score stays low."""
     known = labels.where(training & F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -235,9 +263,17 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     share = {y: min(1.0, SAMPLE / n) for y, n in counts.items()}
     pick = F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
     drawn = known.where(hash_fraction(F.col(id_col)) < pick)
-    rows = docs.select(id_col, text).join(F.broadcast(drawn), id_col).select(F.coalesce(F.col(text), F.lit("")).alias("text"), "toxic").toArrow()
+    mark = F.xxhash64(F.lit("sample"), F.col(text))
+    sized = docs.select(id_col, mark.alias("mark"), F.coalesce(F.octet_length(text), F.lit(0)).alias("size")).join(F.broadcast(drawn), id_col)
+    sized = sized.withColumn("size", F.when(F.col("size") <= SAMPLE_BYTES // 16, F.col("size")))
+    upto = Window.partitionBy("toxic").orderBy(hash_fraction(F.col(id_col)), "mark").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = sized.withColumn("upto", F.sum("size").over(upto)).select(id_col, "mark", "toxic", F.coalesce(F.col("size").isNotNull() & (F.col("upto") <= SAMPLE_BYTES), F.lit(False)).alias("fits")).toArrow().to_pandas()
+    fits = wanted[wanted.fits].drop_duplicates()
+    chosen = docs.sparkSession.createDataFrame(fits[[id_col, "mark", "toxic"]], sized.select(id_col, "mark", "toxic").schema)
+    rows = docs.select(id_col, text).withColumn("mark", mark).join(F.broadcast(chosen), [id_col, "mark"]).select(F.coalesce(F.col(text), F.lit("")).alias("text"), "toxic").toArrow()
     texts, toxic = as_bytes(rows.column("text").combine_chunks()), rows.column("toxic").to_pylist()
-    return train(texts, toxic, [1 / share[y] for y in toxic])
+    left_out = {y: len(of) / max(1, int(of.fits.sum())) for y, of in wanted.groupby("toxic")}
+    return train(texts, toxic, [left_out[y] / share[y] for y in toxic])
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal", T.DoubleType())]))
@@ -248,7 +284,8 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "") -
     """docs with toxic_score (0 to 1), toxic_predicted (1 if the score is 0.5 or
     more, else 0) and toxic_spans: code point offsets, end exclusive, of tokens
     whose marginal is 0.5 or more, in order. Null and empty texts get the score of
-    a text without toxic tokens; repeated rows give repeated results."""
+    a text without toxic tokens; repeated rows give repeated results; an empty table
+    gives no rows. A text of any length is scored whole."""
     shared = Shared(docs.sparkSession, chain)
 
     def run(batches: Iterator[list[pa.Array]]) -> Iterator[list[pa.Array]]:

@@ -171,3 +171,29 @@ def test_equal_hashes_are_told_apart_by_the_word(monkeypatch):
     reader = maxent.Reader(lexicon)
     ids, _ = reader.read([b"y z x"])
     assert reader.count[ids].tolist() == [2, -1, 3, -1]
+
+
+def test_long_chains_in_blocks_give_the_same_marginals(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = np.array([0, 1, 5000, 7, 2048, 0, 1025, 3])
+    starts = np.cumsum(sizes) - sizes
+    local, move = rng.normal(-1, 4, sizes.sum()), np.array([[0.4, -2.0], [-0.3, 1.5]])
+    cut = toxicity.marginals(local, starts, sizes, move)
+    monkeypatch.setattr(toxicity, "BLOCK", 10**6)
+    for a, b in zip(cut, toxicity.marginals(local, starts, sizes, move)):
+        assert np.allclose(a, b, rtol=1e-9, atol=0)
+
+
+def test_long_texts_are_scored_whole_and_cost_the_driver_little(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 100_000)
+    rng = random.Random(2)
+    plain = lambda n: " ".join(f"word{rng.randint(0, 300)}" for _ in range(n))
+    docs = [(k, f"{plain(25)} {'grumblefoo' if k % 2 else 'fine'} {plain(25)}") for k in range(200)]
+    filler = plain(200_000)
+    docs += [(201, filler), (203, f"{filler} grumblefoo {filler}")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 2)) for k, _ in docs], "doc_id bigint, toxic int")
+    chain = toxicity.fit(frame, labels, F.lit(True))
+    got = {r.doc_id: r for r in toxicity.score(frame, chain).collect()}
+    assert got[203].toxic_score > got[201].toxic_score
+    assert [s.start for s in got[203].toxic_spans] == [len(filler) + 1] and got[201].toxic_spans == []
