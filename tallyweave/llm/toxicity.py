@@ -27,7 +27,7 @@ from tallyweave.llm.simhash import fingerprint
 
 #: Labelled documents of each label that the field is fitted on, at most about, and the
 #: bytes of their texts at most.
-SAMPLE, SAMPLE_BYTES = 1000, 32_000_000
+SAMPLE, SAMPLE_BYTES = 1000, 16_000_000
 #: Tokens of a block of a long chain.
 BLOCK = 1024
 #: Toxic documents that a toxic word needs, as a share of the toxic sample and at
@@ -93,58 +93,51 @@ class Chain:
         return out + prior + later
 
 
-def _scan(steps: tuple[np.ndarray, ...], starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """y[t] = (m[t] y[t - 1] + n[t]) / (p[t] y[t - 1] + q[t]) along each chain. Chains run
-    side by side, one position at a time. A long one is cut into blocks: the steps of a
-    block make up one 2 x 2 matrix, the matrices tell with what value each block begins,
-    and then all blocks run side by side as well."""
+def _scan(odds: np.ndarray, a: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """y[t] = odds[t] (a01 + a11 y[t - 1]) / (a00 + a10 y[t - 1]) along each chain, odds[t]
+    at its first token. Chains run side by side, one position at a time. A long one is
+    cut into blocks: the steps of a block make up one 2 x 2 matrix, the matrices tell
+    with what value each block begins, and then all blocks run side by side as well."""
     many = -(-sizes // BLOCK)
     chain = np.repeat(np.arange(len(sizes)), many)
     number = np.arange(len(chain)) - np.repeat(np.cumsum(many) - many, many)
     starts, sizes = starts[chain] + number * BLOCK, np.minimum(BLOCK, sizes[chain] - number * BLOCK)
-    enter = np.ones(len(starts))
+    enter = np.full(len(starts), np.nan)  # no value before a chain
     followed = np.flatnonzero(number < many[chain] - 1)
     if len(followed):
-        whole = [np.ones(len(followed)), np.zeros(len(followed)), np.zeros(len(followed)), np.ones(len(followed))]
+        w, x, y, z = np.ones(len(followed)), np.zeros(len(followed)), np.zeros(len(followed)), np.ones(len(followed))
         for t in range(BLOCK):
-            m, n, p, q = (x[starts[followed] + t] for x in steps)
-            a, b, c, d = whole
-            whole = [m * a + n * c, m * b + n * d, p * a + q * c, p * b + q * d]
-            scale = sum(whole)
-            whole = [x / scale for x in whole]
+            o = odds[starts[followed] + t]
+            w, x, y, z = o * (a[1, 1] * w + a[0, 1] * y), o * (a[1, 1] * x + a[0, 1] * z), a[1, 0] * w + a[0, 0] * y, a[1, 0] * x + a[0, 0] * z
+            if not t:  # whatever comes in, a chain's first value is its odds
+                first = number[followed] == 0
+                w, x, y, z = np.where(first, 0, w), np.where(first, o, x), np.where(first, 0, y), np.where(first, 1, z)
+            scale = w + x + y + z
+            w, x, y, z = w / scale, x / scale, y / scale, z / scale
         order = np.argsort(number[followed], kind="stable")
         for at in np.split(order, np.flatnonzero(np.diff(number[followed][order])) + 1):
-            (a, b, c, d), before = (x[at] for x in whole), enter[followed[at]]
-            enter[followed[at] + 1] = (a * before + b) / (c * before + d)
+            before = np.nan_to_num(enter[followed[at]], nan=1.0)
+            enter[followed[at] + 1] = (w[at] * before + x[at]) / (y[at] * before + z[at])
     order = np.argsort(-sizes, kind="stable")
-    starts, sizes, y = starts[order], sizes[order], enter[order]
+    starts, sizes, r = starts[order], sizes[order], enter[order]
     longest = int(sizes[0]) if len(sizes) else 0
     alive = np.searchsorted(-sizes, -np.arange(longest), "left")  # chains longer than t
-    out = np.ones(len(steps[0]))
+    out = np.ones(len(odds))
     for t in range(longest):
         at = starts[: alive[t]] + t
-        m, n, p, q = (x[at] for x in steps)
-        y = y[: alive[t]]
-        y = (m * y + n) / (p * y + q)
-        out[at] = y
+        r = r[: alive[t]]
+        r = odds[at] * ((a[0, 1] + r * a[1, 1]) / (a[0, 0] + r * a[1, 0]) if t else np.nan_to_num((a[0, 1] + r * a[1, 1]) / (a[0, 0] + r * a[1, 0]), nan=1.0))
+        out[at] = r
     return out
 
 
 def marginals(local: np.ndarray, starts: np.ndarray, sizes: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward and backward odds and the marginal of the toxic state at each token."""
-    a, n = np.exp(move), len(local)
+    """Forward and backward odds and the marginal of the toxic state at each token. The
+    backward odds times the token's own follow the forward rule from the other end."""
+    a, some = np.exp(move), sizes > 0
     odds = np.exp(np.clip(local, -30, 30))
-    full = lambda value: np.full(n, value)
-    ahead = [odds * a[1, 1], odds * a[0, 1], full(a[1, 0]), full(a[0, 0])]
-    some = sizes > 0
-    for x, value in zip(ahead, (0, odds[starts[some]], 0, 1)):
-        x[starts[some]] = value  # the first token has none before it
-    forward = _scan(ahead, starts[some], sizes[some])
-    after = np.append(odds[1:], 1)
-    back = [after * a[1, 1], full(a[1, 0]), after * a[0, 1], full(a[0, 0])]
-    for x, value in zip(back, (0, 1, 0, 1)):
-        x[(starts + sizes - 1)[some]] = value  # the last none after it
-    backward = _scan([x[::-1] for x in back], (n - starts - sizes)[some], sizes[some])[::-1]
+    forward = _scan(odds, a, starts[some], sizes[some])
+    backward = _scan(odds[::-1], a.T, (len(odds) - starts - sizes)[some], sizes[some])[::-1] / odds
     both = forward * backward
     return forward, backward, both / (1 + both)
 
@@ -267,12 +260,12 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     sized = docs.select(id_col, mark.alias("mark"), F.coalesce(F.octet_length(text), F.lit(0)).alias("size")).join(F.broadcast(drawn), id_col)
     sized = sized.withColumn("size", F.when(F.col("size") <= SAMPLE_BYTES // 16, F.col("size")))
     upto = Window.partitionBy("toxic").orderBy(hash_fraction(F.col(id_col)), "mark").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = sized.withColumn("upto", F.sum("size").over(upto)).select(id_col, "mark", "toxic", F.coalesce(F.col("size").isNotNull() & (F.col("upto") <= SAMPLE_BYTES), F.lit(False)).alias("fits")).toArrow().to_pandas()
-    fits = wanted[wanted.fits].drop_duplicates()
-    chosen = docs.sparkSession.createDataFrame(fits[[id_col, "mark", "toxic"]], sized.select(id_col, "mark", "toxic").schema)
+    fits = F.coalesce(F.col("size").isNotNull() & (F.sum("size").over(upto) <= SAMPLE_BYTES), F.lit(False))
+    wanted = [tuple(r) for r in sized.select(id_col, "mark", "toxic", fits.alias("fits")).collect()]
+    chosen = docs.sparkSession.createDataFrame(sorted({r[:3] for r in wanted if r[3]}), sized.select(id_col, "mark", "toxic").schema)
     rows = docs.select(id_col, text).withColumn("mark", mark).join(F.broadcast(chosen), [id_col, "mark"]).select(F.coalesce(F.col(text), F.lit("")).alias("text"), "toxic").toArrow()
     texts, toxic = as_bytes(rows.column("text").combine_chunks()), rows.column("toxic").to_pylist()
-    left_out = {y: len(of) / max(1, int(of.fits.sum())) for y, of in wanted.groupby("toxic")}
+    left_out = {y: sum(r[2] == y for r in wanted) / max(1, sum(r[2] == y and r[3] for r in wanted)) for y in share}
     return train(texts, toxic, [left_out[y] / share[y] for y in toxic])
 
 
@@ -316,7 +309,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "") -
             yield [pa.array(made), pa.array((made >= 0.5).astype(np.int32)), pa.array(spans, _ARROW_SPANS)]
 
     fields = [T.StructField(prefix + "toxic_score", T.DoubleType()), T.StructField(prefix + "toxic_predicted", T.IntegerType()), T.StructField(prefix + "toxic_spans", SPANS)]
-    return add_columns(docs, fields, [text], run, 8_000_000)
+    return add_columns(docs, fields, [text], run, 4_000_000)
 
 
 def remove_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
