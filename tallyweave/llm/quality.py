@@ -5,15 +5,15 @@ for each language and source a quantile sketch of every measure is kept, and a
 document fails where a measure lies beyond a fence that its group's quantiles give.
 A sketch is a table of counts in logarithmic buckets (as in DDSketch): each quantile
 is right within RELATIVE, and sketches merge by adding counts, so those of a language
-and of all documents come from the same counts. A group's quantiles are drawn towards
-its language's, and those towards all documents', as if PRIOR documents of the larger
-group stood in the smaller one: this counts for much in a small group and for little
-in a large one. The main path has DataFrame functions only.
+and of all documents come from the same counts. Into a group's sketch PRIOR documents of
+its language's are merged, and into that one as many of all documents': this counts for
+much in a small group and for little in a large one. The main path has DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +34,8 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: thousandths of a character). A fence lies `times` the distance of the low and the
 #: high quantile beyond the high one, and for two-sided measures as far below the low
 #: one. `least` is the distance where both quantiles are equal or nearly so. Rates that
-#: are zero for most documents are fenced from their upper quantiles.
+#: are zero for most documents are fenced from their upper quantiles; those of symbols
+#: from a lower one, as the poor documents themselves make up the last of it.
 MEASURES = {
     "symbol_rate": {"low": 0.5, "high": 0.75, "times": 6, "least": 20, "both": False},
     "repeat_rate": {"low": 0.9, "high": 0.99, "times": 3, "least": 50, "both": False},
@@ -122,42 +123,51 @@ def sketch(measured: DataFrame, groups: list[str]) -> DataFrame:
     return measured.select(*groups, pairs.alias("p")).groupBy(*groups, "p.measure", "p.bucket").agg(F.count("*").alias("n"))
 
 
-def quantiles(sketched: DataFrame, groups: list[str], shares: dict[str, float]) -> DataFrame:
-    """(groups, measure, documents, one column for each share): the value at which
-    the running count first reaches the share of the sketch's documents."""
-    over = Window.partitionBy(*groups, "measure")
-    gamma = (1 + RELATIVE) / (1 - RELATIVE)
-    running = sketched.select("*", F.sum("n").over(over.orderBy("bucket")).alias("upto"), F.sum("n").over(over).alias("documents"))
-    value = F.when(F.col("bucket") <= 0, F.lit(0.0)).otherwise(F.pow(F.lit(gamma), F.col("bucket")) * (1 - RELATIVE) - 1)
-    return running.groupBy(*groups, "measure").agg(
-        F.max("documents").alias("documents"), *[F.min(F.when(F.col("upto") >= F.lit(q) * F.col("documents"), value)).alias(name) for name, q in shares.items()]
-    )
+def _merged(own: DataFrame) -> DataFrame:
+    """(lang, source, measure, bucket, upto, total): running counts of each group's
+    sketch into which PRIOR documents of its language's sketch are merged, and into that
+    as many of all documents'. Counts are merged and not quantiles, so one outlier of a
+    small group counts as one document and no more. Running counts are whole numbers; the
+    shares of larger groups come in at the end."""
+    by_lang = own.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
+    of_all = by_lang.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
+
+    def running(groups: DataFrame, sketched: DataFrame, by: list[str], mark: str) -> DataFrame:
+        """The groups at every bucket that any document has, with what lies up to it."""
+        keys = [*by, "measure", "bucket"]
+        some = sketched.select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("n").alias("__n"))
+        same = [groups[c].eqNullSafe(some[f"__{c}"]) for c in keys]
+        joined = groups.join(some, reduce(lambda x, y: x & y, same), "left").drop(*[f"__{c}" for c in keys])
+        over = Window.partitionBy(*by, "measure")
+        upto = F.coalesce(F.sum("__n").over(over.orderBy("bucket")), F.lit(0))
+        return joined.select("*", upto.alias(f"{mark}_upto"), F.coalesce(F.sum("__n").over(over), F.lit(0)).alias(f"{mark}_n")).drop("__n")
+
+    buckets = running(of_all.select("measure", "bucket"), of_all, [], "all")
+    langs = by_lang.select("lang", "measure").distinct().join(F.broadcast(buckets), "measure")
+    langs = running(langs, by_lang, ["lang"], "lang")
+    groups = own.select("lang", "source", "measure").distinct().withColumnsRenamed({"lang": "__l", "measure": "__m"})
+    groups = groups.join(langs, groups["__l"].eqNullSafe(langs["lang"]) & (groups["__m"] == langs["measure"])).drop("__l", "__m")
+    groups = running(groups, own, ["lang", "source"], "own")
+    larger = (F.col("lang_upto") + PRIOR * (F.col("all_upto") / F.col("all_n"))) / (F.col("lang_n") + PRIOR)
+    return groups.select("lang", "source", "measure", "bucket", (F.col("own_upto") + PRIOR * larger).alias("upto"), (F.col("own_n") + PRIOR).alias("total"))
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """(lang, source, least_m and most_m for each measure m): the range that each
-    measure may take in each group; least_m is null for one-sided measures."""
-    shares = {f"q{round(100 * v)}": v for v in sorted({m[k] for m in MEASURES.values() for k in ("low", "high")})}
+    """(lang, source, most_m for each measure m, least_m for two-sided ones, floor_m):
+    the range that each measure may take in each group, and whether `least` set it.
+    Quantiles are the values at which a group's merged sketch first reaches a share."""
     own = materialize(sketch(measured, ["lang", "source"]))
-    by_lang = own.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
-    of_all = by_lang.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
-
-    def of(sketched: DataFrame, groups: list[str], mark: str) -> DataFrame:
-        found = quantiles(sketched, groups, shares)
-        value = lambda side: F.coalesce(*[F.when(F.col("measure") == m, F.col(f"q{round(100 * v[side])}")) for m, v in MEASURES.items()])
-        return found.select(*[F.col(c).alias(mark + c) for c in (*groups, "measure", "documents")], value("low").alias(f"{mark}low"), value("high").alias(f"{mark}high"))
-
-    a, b, c = of(own, ["lang", "source"], "a_"), of(by_lang, ["lang"], "b_"), of(of_all, [], "c_")
-    joined = a.join(b, F.col("a_lang").eqNullSafe(F.col("b_lang")) & (F.col("a_measure") == F.col("b_measure"))).join(F.broadcast(c), F.col("a_measure") == F.col("c_measure"))
-    borrow = lambda n, mine, others: (F.col(n) * F.col(mine) + F.lit(PRIOR) * others) / (F.col(n) + F.lit(PRIOR))
-    drawn = {side: borrow("a_documents", f"a_{side}", borrow("b_documents", f"b_{side}", F.col(f"c_{side}"))) for side in ("low", "high")}
-    fenced = joined.select("a_lang", "a_source", "a_measure", *[v.alias(k) for k, v in drawn.items()])
-    named = lambda key: F.coalesce(*[F.when(F.col("a_measure") == m, F.lit(float(v[key]))) for m, v in MEASURES.items()])
-    far = F.greatest(named("times") * (F.col("high") - F.col("low")), named("least"))
-    fences = fenced.withColumns({"most": F.round(F.col("high") + far, 3), "fewest": F.round(F.col("low") - far, 3)})
-    pick = lambda col, m: F.max(F.when(F.col("a_measure") == m, F.col(col)))
+    gamma = (1 + RELATIVE) / (1 - RELATIVE)
+    value = F.when(F.col("bucket") <= 0, F.lit(0.0)).otherwise(F.pow(F.lit(gamma), F.col("bucket")) * (1 - RELATIVE) - 1)
+    of = lambda key: F.coalesce(*[F.when(F.col("measure") == m, F.lit(float(v[key]))) for m, v in MEASURES.items()])
+    first = lambda side: F.min(F.when(F.col("upto") >= of(side) * F.col("total"), value)).alias(side)
+    drawn = _merged(own).groupBy("lang", "source", "measure").agg(first("low"), first("high"))
+    spread, least = of("times") * (F.col("high") - F.col("low")), of("least")
+    far = F.greatest(spread, least)
+    fences = drawn.select("*", F.round(F.col("high") + far, 3).alias("most"), F.round(F.col("low") - far, 3).alias("fewest"), (spread < least).alias("floor"))
+    pick = lambda col, m: F.max(F.when(F.col("measure") == m, F.col(col)))
     sides = [pick("most", m).alias(f"most_{m}") for m in MEASURES] + [pick("fewest", m).alias(f"least_{m}") for m, v in MEASURES.items() if v["both"]]
-    return fences.groupBy(F.col("a_lang").alias("lang"), F.col("a_source").alias("source")).agg(*sides)
+    return fences.groupBy("lang", "source").agg(*sides, *[pick("floor", m).alias(f"floor_{m}") for m in MEASURES])
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -167,7 +177,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     A null language or source is a group like any other. Rows that fail a base rule
     take no part in the sketches. Ties lie within the fence; repeated rows count each
     time; an empty table gives no rows."""
-    sides = [f"{side}_{m}" for m in MEASURES for side in ("most", "least")]
+    sides = [f"{side}_{m}" for m in MEASURES for side in ("most", "least", "floor")]
     named = without(docs, ["base_failed", "kept", "__lang", "__source", *MEASURES, *sides])
     measured = materialize(counts(named, text).drop(text).withColumns(_measures()))
     fences = materialize(thresholds(measured.where(~base_failed())))
@@ -179,4 +189,4 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
         inside = inside & F.coalesce(F.col(m) <= F.col(f"most_{m}"), F.lit(True))
         if v["both"]:
             inside = inside & F.coalesce(F.col(m) >= F.col(f"least_{m}"), F.lit(True))
-    return joined.drop("__lang", "__source").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside)
+    return joined.drop("__lang", "__source", *[f"floor_{m}" for m in MEASURES]).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside)

@@ -160,18 +160,7 @@ _SPACE, _OTHER = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
 _GAMMA, _GROWTH = math.log((1 + quality.RELATIVE) / (1 - quality.RELATIVE)), (1 + quality.RELATIVE) / (1 - quality.RELATIVE)
 
 
-def _quantiles(name: str, groups: str, source: str) -> str:
-    by = f"PARTITION BY {groups}measure"
-    value = f"CASE WHEN bucket <= 0 THEN 0.0::DOUBLE ELSE pow({_GROWTH!r}::DOUBLE, bucket) * {1 - quality.RELATIVE!r}::DOUBLE - 1 END"
-    at = {side: " ".join(f"WHEN '{m}' THEN {v[side]}::DOUBLE" for m, v in quality.MEASURES.items()) for side in ("low", "high")}
-    first = ", ".join(f"min(CASE WHEN upto >= (CASE measure {cases} END) * documents THEN {value} END) AS {side}" for side, cases in at.items())
-    return f"""{name} AS (SELECT {groups}measure, max(documents) AS documents, {first}
-    FROM (SELECT *, sum(n) OVER ({by} ORDER BY bucket) AS upto, sum(n) OVER ({by}) AS documents FROM {source}) GROUP BY ALL)"""
-
-
-def _drawn(side: str) -> str:
-    larger = f"(b.documents * b.{side} + {quality.PRIOR} * c.{side}) / (b.documents + {quality.PRIOR})"
-    return f"(a.documents * a.{side} + {quality.PRIOR} * ({larger})) / (a.documents + {quality.PRIOR}) AS {side}"
+_VALUE = f"CASE WHEN bucket <= 0 THEN 0.0::DOUBLE ELSE pow({_GROWTH!r}::DOUBLE, bucket) * {1 - quality.RELATIVE!r}::DOUBLE - 1 END"
 
 
 def _of_measure(key: str) -> str:
@@ -191,9 +180,14 @@ x AS (SELECT k, lang, source, base_failed, unnest([{{'m': 'symbol_rate', 'v': n_
     {{'m': 'dup_line_rate', 'v': n_dup_lines * 10000 // greatest(n_words, 1)}}, {{'m': 'word_length', 'v': word_chars * 1000 // greatest(n_words, 1)}}]) AS u FROM j),
 s AS (SELECT lang, source, u.m AS measure, CAST(ceil(ln(u.v + 1.0::DOUBLE) / {_GAMMA!r}::DOUBLE) AS BIGINT) AS bucket, count(*) AS n FROM x WHERE NOT base_failed GROUP BY ALL),
 sl AS (SELECT lang, measure, bucket, sum(n) AS n FROM s GROUP BY ALL), sa AS (SELECT measure, bucket, sum(n) AS n FROM s GROUP BY ALL),
-{_quantiles("a", "lang, source, ", "s")}, {_quantiles("b", "lang, ", "sl")}, {_quantiles("c", "", "sa")},
-q AS (SELECT a.lang, a.source, a.measure, {_drawn("low")}, {_drawn("high")}
-    FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN c ON c.measure = a.measure),
+ra AS (SELECT measure, bucket, sum(n) OVER (PARTITION BY measure ORDER BY bucket) AS au, sum(n) OVER (PARTITION BY measure) AS an FROM sa),
+rl AS (SELECT g.lang, ra.*, coalesce(sum(n) OVER (PARTITION BY g.lang, ra.measure ORDER BY ra.bucket), 0) AS lu, sum(n) OVER (PARTITION BY g.lang, ra.measure) AS lc
+    FROM (SELECT DISTINCT lang, measure FROM sl) g JOIN ra ON ra.measure = g.measure LEFT JOIN sl ON sl.lang IS NOT DISTINCT FROM g.lang AND sl.measure = ra.measure AND sl.bucket = ra.bucket),
+rg AS (SELECT g.source, rl.*, coalesce(sum(n) OVER (PARTITION BY g.lang, g.source, rl.measure ORDER BY rl.bucket), 0) AS gu, sum(n) OVER (PARTITION BY g.lang, g.source, rl.measure) AS gc
+    FROM (SELECT DISTINCT lang, source, measure FROM s) g JOIN rl ON rl.lang IS NOT DISTINCT FROM g.lang AND rl.measure = g.measure
+    LEFT JOIN s ON s.lang IS NOT DISTINCT FROM g.lang AND s.source IS NOT DISTINCT FROM g.source AND s.measure = rl.measure AND s.bucket = rl.bucket),
+mix AS (SELECT lang, source, measure, bucket, gu + {quality.PRIOR} * ((lu + {quality.PRIOR} * (au / an)) / (lc + {quality.PRIOR})) AS upto, gc + {quality.PRIOR} AS total FROM rg),
+q AS (SELECT lang, source, measure, min(CASE WHEN upto >= {_of_measure("low")} * total THEN {_VALUE} END) AS low, min(CASE WHEN upto >= {_of_measure("high")} * total THEN {_VALUE} END) AS high FROM mix GROUP BY ALL),
 f AS (SELECT lang, source, measure, round(high + far, 3) AS most, CASE WHEN measure IN ({", ".join(f"'{m}'" for m, v in quality.MEASURES.items() if v["both"])}) THEN round(low - far, 3) END AS fewest
     FROM (SELECT *, greatest({_of_measure("times")} * (high - low), {_of_measure("least")}) AS far FROM q)),
 bad AS (SELECT DISTINCT k FROM x JOIN f ON f.lang IS NOT DISTINCT FROM x.lang AND f.source IS NOT DISTINCT FROM x.source AND f.measure = x.u.m WHERE x.u.v > f.most OR x.u.v < f.fewest)

@@ -134,3 +134,20 @@ def test_quality_labels(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string")
     assert quality.judge(docs).collect() == [] and licenses.scan(docs).collect() == []
+
+
+def test_one_outlier_moves_no_fence(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"plain{rng.randint(0, 999)}" for _ in range(120))
+    rows = [("en", "big", f"{text()} #" if k % 9 == 0 else text()) for k in range(400)] + [("en", "small", text()) for _ in range(2)]
+    table = lambda more: spark.createDataFrame([(k, *r) for k, r in enumerate(rows + more)], "doc_id bigint, lang string, source string, text string")
+    outlier = ("en", "small", f"{text()} " + " ".join(f"#${k}%" for k in range(200)))
+
+    def fences(docs):
+        measured = quality.counts(docs).withColumns(quality._measures())
+        return {r.source: r.most_symbol_rate for r in quality.thresholds(measured).collect()}
+
+    before, after = fences(table([])), fences(table([outlier]))
+    assert abs(after["small"] - before["small"]) <= 1 and after["big"] == before["big"]
+    kept = {r.doc_id: r.kept for r in quality.judge(table([outlier])).collect()}
+    assert not kept.pop(402) and all(kept.values())
