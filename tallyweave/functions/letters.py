@@ -78,6 +78,9 @@ LATER_NAMES = [
 REPLY_ADDRESS = r"(?s)回函[地址]*\s*[:：](.*)$"
 PHONE = r"(?:手机号|电话|联系电话)\s*[:：]\s*(.*?)(?=\s*(?:邮政编码|邮编|电邮|电子邮箱|邮箱|传真|网址|回函|[\n\r]|$))"
 GLUED = r"(?s)(?:电话|联系电话|手机|手机号|电邮|电子邮箱|邮箱|邮编|邮政编码|传真|座机).*$"
+# Readings of one name beside a firm's seal, where the text shows that firm.
+MISREAD_NAMES, READ_NAME = ["董静", "道静", "谨静"], "静"
+SEAL_OF_FIRM = r"(?i)普华|Pricewaterhouse|FOR\s*IDENTIFICATION|道|谨"
 # Words of checked and unchecked boxes.
 NO_WORDS, YES_WORDS = ["×", "x", "no", "n", "false", "0", "否", "未", "无"], ["√", "✓", "v", "yes", "y", "true", "1", "是", "有"]
 
@@ -237,7 +240,9 @@ def letter_record(told: dict[str, Column], text: Column) -> list[Column]:
     name = F.coalesce(_first(_told(zone, REPLY_NAMES) + _told(after, LATER_NAMES)), F.lit(""))
     near = F.when(name != "", F.substr(zone, F.instr(zone, name), F.lit(150))).otherwise("")
     phone = F.coalesce(_first(_told(near, [PHONE]) + _told(after, [PHONE])), given["phone"])
-    contact = F.regexp_replace(F.regexp_replace(F.coalesce(F.when(name != "", name), given["contact_person"]), GLUED, ""), r"^[_. ]+|[_. ]+$", "")
+    contact = F.trim(F.regexp_replace(F.coalesce(F.when(name != "", name), given["contact_person"]), GLUED, ""))
+    contact = F.when(contact.isin(MISREAD_NAMES) & text.rlike(SEAL_OF_FIRM), READ_NAME).otherwise(contact)
+    contact = F.regexp_replace(contact, r"^[_. ]+|[_. ]+$", "")
 
     fixed = lambda day: repair_date(day, text)
     end_of = lambda g, f: fixed(clean_date(F.coalesce(_first([F.regexp_extract(text, p, g) for p in RANGE_PATTERNS]), given[f])))

@@ -38,6 +38,7 @@ CODE = "[A-Za-z0-9]{2,}"
 STRAY_MARKS = r"[\p{P}&&[^“”（），。：、()%-]]"
 IN_NUMBERS = r"(?<=\d)[.,:/-](?=\d)"
 SEGMENT_ENDS = "(?<=[，。；;\"“”,])|(?<=[.])(?![0-9])|(?<=[^0-9][.])"
+THIS, LAST_MOVE = "(?s)^[^本]*(本.?)(.*)$", "(?s)^(.*)(?:增加|减少)(.*)$"
 TAG_SUFFIX, TAG_MODIFIER, TAG_VALUE, TAG_OTHER, TAG_MISSING = "增加/减少后含后缀", "增加/减少后含修饰词", "本期为", "非标准主句", "缺少增加/减少"
 
 
@@ -191,10 +192,39 @@ def _unit_group(unit: Column) -> Column:
     return F.when(unit.contains("美元"), "usd").when(unit.rlike("[元万亿]"), "rmb").otherwise("")
 
 
+def main_tokens(main: Column) -> Column:
+    """C31, what keeps a main sentence from the canonical form, word by word: what stands
+    in the place of 本期, what stands between it and the last direction, and between that
+    and the amount; without a direction the last character before the amount and what is
+    before it; without 本 as well the last character alone. What a closing quotation mark
+    ends is left out. Where nothing of this is there, the whole sentence. An array, empty
+    for the canonical form and for a blank sentence."""
+    main = F.coalesce(main, F.lit(""))
+    before = F.when(main.rlike(AMOUNT), F.regexp_extract(main, AMOUNT, 1)).otherwise(F.regexp_extract(F.regexp_replace(main, ENGLISH_INDEX + r"\s*", ""), "(?s)^([^0-9]*)", 1))
+    rest = F.regexp_extract(before, "(?s)([^”\"]*)$", 1)
+    named, tail = F.trim(F.regexp_extract(rest, THIS, 1)), F.regexp_extract(rest, THIS, 2)
+    this = rest.contains("本")
+    zone = F.when(this, tail).otherwise(rest)
+    moved, last = zone.rlike(MOVE), lambda c: F.substring(F.rtrim(c), -1, 1)
+    between = F.trim(tail)
+    tokens = [
+        F.when(this & (named != PERIOD), named),
+        F.when(this & moved, F.trim(F.regexp_extract(zone, LAST_MOVE, 1))),
+        F.when(moved, F.trim(F.regexp_extract(zone, LAST_MOVE, 2))),
+        F.when(this & ~moved, F.trim(F.regexp_extract(between, "(?s)^(.*).$", 1))),
+        F.when(this & ~moved, last(between)),
+        F.when(~this & ~moved, last(before)),
+    ]
+    found = F.filter(F.array(*tokens), lambda x: x.isNotNull() & (x != ""))
+    none = F.array().cast("array<string>")
+    return F.when((F.trim(main) == "") | main.rlike(PLAIN), none).when(F.size(found) > 0, found).otherwise(F.array(F.trim(main)))
+
+
 def parse_exceptions(text: Column) -> Column:
     """C31, the rules of the parse stage: array of (type_id, field, value), equal ones
     once. Of the main sentence: English brackets after a bracketed index, English
-    quotes, a lone or no quotation mark, a full stop before the end. Of the detail
+    quotes, a lone or no quotation mark, a full stop before the end, and each of its
+    main_tokens(). Of the detail
     part: another marker than the usual one, an end without a full stop (with the last
     amount), companies whose change has a suffix or modifier, and units of another
     currency than the main sentence's."""
@@ -223,4 +253,5 @@ def parse_exceptions(text: Column) -> Column:
         one((detail != "") & (end != "。") & end.rlike(r"^\p{P}$"), 16, "company_detail", end),
     )
     companies = F.transform(F.regexp_extract_all(detail, F.lit(OFF_COMPANY), 1), lambda c: entry(14, "company_detail", F.trim(c)))
-    return F.array_distinct(F.concat(F.array_compact(fixed), companies, F.transform(units, lambda u: entry(12, "profit_loss_unit", u))))
+    words = F.transform(main_tokens(main), lambda t: entry(12, "main_sentence", t))
+    return F.array_distinct(F.concat(F.array_compact(fixed), words, companies, F.transform(units, lambda u: entry(12, "profit_loss_unit", u))))

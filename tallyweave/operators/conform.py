@@ -166,6 +166,18 @@ def company_report(exceptions: DataFrame) -> DataFrame:
     return one.groupBy("batch_id", "company").agg(F.count("*").alias("entry_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "rec_id", "type_id"))), lambda x: F.concat_ws(":", x["sheet"], x["rec_id"], x["type_id"])), ",").alias("entries"))
 
 
+def company_report_rows(exceptions: DataFrame) -> DataFrame:
+    """A14 and D12 as rows, for companies of any number of entries: each entry of
+    (type, record, sheet, company) with its place by sheet, record and type, and how many
+    the company has."""
+    one = exceptions.select("batch_id", "company", "type_id", "rec_id", "sheet").distinct()
+    counts = one.groupBy("batch_id", "company").agg(F.count("*").alias("entry_count"))
+    place = F.row_number().over(Window.partitionBy("batch_id", "company").orderBy("sheet", "rec_id", "type_id"))
+    placed = one.withColumn("place", place)
+    own = placed.alias("p").join(counts.alias("c"), F.expr("p.batch_id <=> c.batch_id and p.company <=> c.company"))
+    return own.select("p.*", "c.entry_count")
+
+
 def distinct_joins(rows: DataFrame, key: str, number: str) -> DataFrame:
     """Distinct positive numbers of a key, sorted and joined."""
     return rows.groupBy(key).agg(F.array_join(F.array_sort(F.filter(F.collect_set(number), lambda x: x > 0)), " | ").alias("numbers"))

@@ -197,6 +197,22 @@ def strip_around_tables(lines: DataFrame, most: int = 3000) -> DataFrame:
     return work.withColumn("__before", F.coalesce(F.sum(F.length("text")).over(over), F.lit(0))).where(F.col("__before") <= most).drop("__before")
 
 
+def table_strips(lines: DataFrame, most: int = 3000) -> DataFrame:
+    """W17 on both sides: (doc_id, table_line, side, line_no): the text lines between a
+    table and the one before it (`before`) and the one after it (`after`), before the
+    first and after the last as well. A stretch is read from its beginning and ends with
+    the line at which it has more than `most` characters; blank lines do not count. Each
+    stretch is measured once and belongs to the tables on both sides."""
+    gap = F.count_if("is_table").over(_upto())
+    text = F.trim("text")
+    work = lines.select("doc_id", "line_no", "is_table", text.alias("text"), gap.alias("__gap"))
+    over = Window.partitionBy("doc_id", "__gap").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    strip = work.where("not is_table and text <> ''").withColumn("__before", F.coalesce(F.sum(F.length("text")).over(over), F.lit(0))).where(F.col("__before") <= most)
+    sides = F.explode(F.array(F.struct(F.lit("after").alias("side"), F.col("__gap").alias("table")), F.struct(F.lit("before").alias("side"), (F.col("__gap") + 1).alias("table")))).alias("s")
+    tables = work.where("is_table").select("doc_id", F.col("__gap").alias("table"), F.col("line_no").alias("table_line"))
+    return strip.select("doc_id", "line_no", sides).select("doc_id", "line_no", "s.*").join(tables, ["doc_id", "table"]).select("doc_id", "table_line", "side", "line_no")
+
+
 def slice_between(lines: DataFrame, start: Column, end: Column) -> DataFrame:
     """Lines from the start anchor to before the end anchor after it, with new
     line and table numbers; without a start from the first line, without an end to

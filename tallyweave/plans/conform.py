@@ -165,6 +165,11 @@ def a14(spark, d):
     return C.company_report(table(spark, d, "exceptions"))
 
 
+@query("a14_report_rows", """SELECT *, CAST(row_number() OVER (PARTITION BY batch_id, company ORDER BY sheet, rec_id, type_id) AS INTEGER) AS place, count(*) OVER (PARTITION BY batch_id, company) AS entry_count FROM (SELECT DISTINCT batch_id, company, type_id, rec_id, sheet FROM {exceptions})""")
+def a14_rows(spark, d):
+    return C.company_report_rows(table(spark, d, "exceptions"))
+
+
 @query("d12_company_merge", "SELECT type_id, rec_id, sheet, company, string_agg(DISTINCT value, '|' ORDER BY value) AS numbers FROM {exceptions} GROUP BY ALL")
 def d12(spark, d):
     return table(spark, d, "exceptions").groupBy("type_id", "rec_id", "sheet", "company").agg(F.array_join(F.array_sort(F.collect_set("value")), "|").alias("numbers"))

@@ -78,6 +78,10 @@ SQL: dict[str, str | tuple[str, str]] = {
         || CASE WHEN o_orderkey % 11 = 3 THEN '。' ELSE '' END || '本期' || CASE WHEN o_orderkey % 3 = 0 THEN '减少' ELSE '增加' END || cast(o_custkey AS string) || CASE WHEN o_orderkey % 7 = 0 THEN '亿美元' ELSE '万元' END
         || CASE o_custkey % 6 WHEN 0 THEN '。' WHEN 1 THEN '，主要为甲' WHEN 2 THEN '，主要原因是乙公司' ELSE '，主要是丙' END || CASE WHEN o_custkey % 6 = 0 THEN '' ELSE CASE o_orderkey % 6 WHEN 0 THEN '增加了' WHEN 1 THEN '减少约' ELSE '增加' END || cast(o_orderkey % 977 AS string)
         || CASE WHEN o_orderkey % 13 = 0 THEN '.5 美元' ELSE '亿元' END || CASE o_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN '；' ELSE '。' END END AS text FROM orders""",
+    # Main sentences in the canonical form and in others.
+    "token_sentences": """SELECT o_orderkey AS rec_id, CASE o_orderkey % 3 WHEN 0 THEN '“A' || cast(o_custkey AS string) || '”' WHEN 1 THEN '（3）"B"' ELSE '' END
+        || CASE o_custkey % 8 WHEN 0 THEN '本期增加' WHEN 1 THEN '本期约增加' WHEN 2 THEN '本月减少' WHEN 3 THEN '本期增加约 ' WHEN 4 THEN '本期余额为' WHEN 5 THEN '增加' WHEN 6 THEN '本年共减少又增加了' ELSE '余额' END
+        || CASE o_orderkey % 10 WHEN 3 THEN '' WHEN 4 THEN '9' ELSE cast(o_custkey AS string) || '万元' END AS text FROM orders""",
     "found_other": """SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 AND pos = 5 THEN '14. 其他' WHEN doc_id % 3 = 1 AND pos = 3 THEN '3.其他 ' WHEN doc_id % 4 = 1 AND pos = 2 THEN '其他' ELSE name END AS name, pos, headers, description FROM {found}""",
     # Sections with up to three subsections each; sub is null for the section itself.
     "expected_subs": """SELECT source, name, pos, cast(NULL AS bigint) AS sub, '' AS headers FROM {expected}

@@ -153,6 +153,18 @@ def c31_parse(spark, d):
     return table(spark, d, "sentences").select("rec_id", F.explode(N.parse_exceptions(F.col("text"))).alias("e")).select("rec_id", "e.*")
 
 
+@query("c31_main_tokens", f"""WITH m AS (SELECT rec_id, text, CASE WHEN regexp_matches(text, '{_AMOUNT}') THEN left(text, strpos(text, regexp_extract(text, '{_AMOUNT}')) - 1) ELSE regexp_extract(regexp_replace(text, '^（3）', ''), '^[^0-9]*') END AS before FROM {{token_sentences}} WHERE NOT regexp_matches(text, '本期(增加|减少)[0-9]+万元')),
+    r AS (SELECT *, substr(before, 1 + greatest(length(before) - strpos(reverse(before), '”') + 1, 0) * CAST(contains(before, '”') AS INTEGER) + greatest(length(before) - strpos(reverse(before), '"') + 1, 0) * CAST(contains(before, '"') AS INTEGER)) AS rest FROM m),
+    z AS (SELECT *, strpos(rest, '本') AS p, CASE WHEN strpos(rest, '本') > 0 THEN substr(rest, strpos(rest, '本') + 2) ELSE rest END AS zone FROM r),
+    d AS (SELECT *, greatest(CASE WHEN contains(zone, '增加') THEN length(zone) - strpos(reverse(zone), '加增') ELSE 0 END, CASE WHEN contains(zone, '减少') THEN length(zone) - strpos(reverse(zone), '少减') ELSE 0 END) AS mv FROM z),
+    t AS (SELECT rec_id, text, list_filter([CASE WHEN p > 0 AND substr(rest, p, 2) <> '本期' THEN substr(rest, p, 2) END, CASE WHEN p > 0 AND mv > 0 THEN trim(left(zone, mv - 1)) END, CASE WHEN mv > 0 THEN trim(substr(zone, mv + 2)) END,
+        CASE WHEN p > 0 AND mv = 0 THEN trim(left(trim(zone), length(trim(zone)) - 1)) END, CASE WHEN p > 0 AND mv = 0 THEN right(trim(zone), 1) END, CASE WHEN p = 0 AND mv = 0 THEN right(rtrim(before), 1) END], lambda x: x <> '') AS found FROM d)
+    SELECT rec_id, array_to_string(CASE WHEN len(found) > 0 THEN found ELSE [text] END, '/') AS tokens FROM t""")
+def c31_tokens(spark, d):
+    told = table(spark, d, "token_sentences").select("rec_id", N.main_tokens(F.col("text")).alias("t"))
+    return told.where(F.size("t") > 0).select("rec_id", F.array_join("t", "/").alias("tokens"))
+
+
 @query("w2_index_lines", """SELECT doc_id, line_no, CASE WHEN line_no % 6 = 1 AND nxt IS NOT NULL THEN CAST(line_no AS VARCHAR) || '. ' || nxt ELSE text END AS text FROM (SELECT doc_id, line_no, CASE WHEN line_no % 6 = 1 THEN CAST(line_no AS VARCHAR) || '.' ELSE 'x ' || text END AS text, lead('x ' || text) OVER (PARTITION BY doc_id ORDER BY line_no) AS nxt FROM {raw_lines}) WHERE line_no % 6 <> 2""")
 def w2(spark, d):
     lines = table(spark, d, "raw_lines").select("doc_id", "line_no", F.when(F.col("line_no") % 6 == 1, F.concat(F.col("line_no").cast("string"), F.lit("."))).otherwise(F.concat(F.lit("x "), "text")).alias("text"))

@@ -158,6 +158,29 @@ def w17(spark, d):
     return O.strip_around_tables(table(spark, d, "doc_lines"), 600).select("doc_id", "line_no", "table_line")
 
 
+@query("w17_table_strips", """WITH l AS (SELECT doc_id, line_no, is_table, trim(text) AS text, count(*) FILTER (WHERE is_table) OVER (PARTITION BY doc_id ORDER BY line_no) AS gap FROM {doc_lines}),
+    t AS (SELECT doc_id, line_no AS table_line, lag(line_no, 1, -1) OVER w AS low, lead(line_no, 1, 1000000000) OVER w AS high FROM l WHERE is_table WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+    s AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id, gap ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM l WHERE NOT is_table AND text <> '')
+    SELECT t.doc_id, table_line, CASE WHEN s.line_no < table_line THEN 'before' ELSE 'after' END AS side, s.line_no FROM t JOIN s ON s.doc_id = t.doc_id AND s.line_no > low AND s.line_no < high WHERE held <= 600""")
+def w17_strips(spark, d):
+    return O.table_strips(table(spark, d, "doc_lines"), 600)
+
+
+@query("w8_gated_headings", f"""SELECT doc_id, line_no, class, CASE class WHEN 'H3' THEN max(CASE WHEN class IN ('H1', 'H2') THEN 1 ELSE 0 END) OVER w ELSE max(CASE WHEN lv IS NOT NULL THEN 1 ELSE 0 END) OVER w END = 1 AS accepted
+    FROM (SELECT *, CASE WHEN class IN ('H1', 'H2') OR (class = 'H3' AND max(CASE WHEN class IN ('H1', 'H2') THEN 1 ELSE 0 END) OVER v = 1) THEN 1 END AS lv FROM {_CLASS} WINDOW v AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) QUALIFY class IN ('H3', 'H4')""")
+def w8(spark, d):
+    return _headed(spark, d).where("class in ('H3', 'H4')").select("doc_id", "line_no", "class", F.col("level").isNotNull().alias("accepted"))
+
+
+@query("w13_glossary", f"""SELECT doc_id, line_no FROM (SELECT doc_id, line_no, region FROM (SELECT doc_id, line_no, class, last_value(CASE WHEN class = 'GlossaryTitle' THEN 'g' WHEN class = 'H1' THEN 'h' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS region
+    FROM {_CLASS.replace('{doc_lines}', "(SELECT doc_id, line_no, is_table, CASE WHEN line_no % 10 = 6 THEN '附录 ' || CAST(line_no AS VARCHAR) WHEN line_no % 10 = 1 THEN 'text' ELSE text END AS text FROM {doc_lines})")}) WHERE region = 'g')""")
+def w13(spark, d):
+    n = F.col("line_no")
+    text = F.when(n % 10 == 6, F.concat(F.lit("附录 "), n.cast("string"))).when(n % 10 == 1, "text").otherwise(F.col("text"))
+    return O.regions(table(spark, d, "doc_lines").withColumn("text", text)).where("region = 'glossary'").select("doc_id", "line_no")
+
+
 @query("w22_slice", """SELECT doc_id, line_no, row_number() OVER w - 1 AS new_line, count(*) FILTER (WHERE is_table) OVER w AS table_no FROM (SELECT *, min(CASE WHEN line_no % 12 = 3 AND line_no > first THEN line_no END) OVER (PARTITION BY doc_id) AS stop FROM
     (SELECT *, coalesce(min(CASE WHEN line_no % 8 = 5 THEN line_no END) OVER (PARTITION BY doc_id), 0) AS first FROM {doc_lines})) WHERE line_no >= first AND (stop IS NULL OR line_no < stop) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)""")
 def w22(spark, d):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions import letters, narrative, text
-from tallyweave.operators import statement, sync, versions
+from tallyweave.operators import ordered, statement, sync, versions
 from tallyweave.plans import templates
 from tallyweave.sources import files
 from tallyweave.streaming import intake
@@ -220,3 +220,22 @@ def test_half_a_batch_is_not_read(spark, tmp_path, monkeypatch):
     assert [r.event_id for r in intake.committed(spark, out, bad=True).collect()] == [2]
     assert intake.page_intake(spark, source, rows.schema, "payload", out, at).awaitTermination() is None
     assert intake.committed(spark, out).count() == 2
+
+
+@pytest.mark.parametrize("sentence, tokens", [("本期增加3万元", []), ("“A”本月约增加了 3万元", ["本月", "约", "了"]), ("本期余额为3万元", ["余额", "为"]), ("增加约3万元", ["约"]), ("（2）余额", ["额"]), ("本期增加9", ["本期增加9"]), (" ", []), (None, [])])
+def test_words_that_are_off_about_a_main_sentence(spark, sentence, tokens):
+    frame = spark.createDataFrame([(sentence,)], "t string")
+    assert frame.select(narrative.main_tokens(F.col("t")).alias("x")).first().x == tokens
+
+
+@pytest.mark.parametrize("given, source, name", [("董静", "普华永道 FOR IDENTIFICATION", "静"), ("董静", "某事务所", "董静"), ("谨静 电话 1", "谨", "静"), ("谨静. 电话 1", "谨", "谨静"), ("李四", "普华", "李四")])
+def test_misread_contact(spark, given, source, name):
+    record = letters.letter_record({"contact_person": F.lit(given)}, F.lit(source))
+    assert spark.range(1).select(*[c.alias(n) for c, n in zip(record, letters.LETTER_FIELDS)]).first().contact_person == name
+
+
+def test_strips_on_both_sides_of_tables(spark):
+    kinds = [(0, "ab", False), (1, "cd", False), (2, "T", True), (3, " ", False), (4, "efg", False), (5, "h", False), (6, "T", True), (7, "T", True), (8, "i", False)]
+    frame = spark.createDataFrame([(1, n, t, k) for n, t, k in kinds], "doc_id bigint, line_no bigint, text string, is_table boolean")
+    got = {tuple(r)[1:] for r in ordered.table_strips(frame, 2).collect()}
+    assert got == {(2, "before", 0), (2, "before", 1), (2, "after", 4), (6, "before", 4), (7, "after", 8)}
