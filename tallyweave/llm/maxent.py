@@ -452,7 +452,10 @@ def fit_lexicon(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Lexicon
 
 def fit_model(numbered: DataFrame, counts: DataFrame, lexicon: Lexicon, turn: str = "__turn") -> Model:
     """The model, trained on these documents as number() made them; `turn` holds the
-    round that reads each. Without rows it says what the counts say."""
+    round that reads each. Without rows it says what the counts say. A round's weights
+    are the mean of its tasks', so scores depend a little on how rows are dealt to tasks;
+    a word of fewer than LEAST_CONTEXT training tokens has no weights of its own as
+    context, though its own count and score are its own."""
     numbered = numbered.coalesce(1 + lexicon.total // TASK_TOKENS)
     least_item = int(lexicon.counts[lexicon.item >= 0].min()) if lexicon.n_own else 1 << 62
     ending = F.pmod(F.crc32(F.substring("word", -ENDING, ENDING)), F.lit(ENDINGS)).alias("e")
