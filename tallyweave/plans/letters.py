@@ -267,7 +267,10 @@ def c44(spark, d):
     return table(spark, d, "customer").select("c_custkey", L.check_digit((F.col("c_custkey") * 37).cast("string")).alias("valid"))
 
 
-@query("c45_repair_digits")
+@query("c45_repair_digits", f"""WITH s AS (SELECT c_custkey, CAST(c_custkey * 37 + 7000 AS VARCHAR) AS s FROM customer),
+    t AS (SELECT c_custkey, 0 AS turn, 0 AS k, s AS x FROM s UNION ALL SELECT c_custkey, 1, k, left(s, k - 1) || '1' || substr(s, k) FROM (SELECT *, unnest(range(1, length(s) + 1)) AS k FROM s) WHERE substr(s, k, 1) = '7'
+        UNION ALL SELECT c_custkey, 2, k, left(s, k) || '1' || substr(s, k + 1) FROM (SELECT *, unnest(range(1, length(s) + 1)) AS k FROM s))
+    SELECT s.c_custkey, x AS repaired FROM s LEFT JOIN (SELECT c_custkey, x FROM t WHERE {_LUHN.replace('{x}', 'x')} QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY turn, k) = 1) g ON g.c_custkey = s.c_custkey""")
 def c45(spark, d):
     return table(spark, d, "customer").select("c_custkey", L.repair_digits((F.col("c_custkey") * 37 + 7000).cast("string")).alias("repaired"))
 
