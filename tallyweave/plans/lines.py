@@ -111,6 +111,20 @@ def w20(spark, d):
     return O.merge_split_headings(_headed(spark, d)).select("doc_id", "line_no", "text")
 
 
+@query("w21_running_titles", f"""SELECT doc_id, line_no FROM (SELECT *, last_value(CASE WHEN class = 'H1' THEN k END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS running FROM
+    (SELECT *, {_KEY.replace('{x}', 'text')} AS k FROM {_CLASS})) WHERE class = 'H1' AND running = k""")
+def w21(spark, d):
+    headed = _headed(spark, d)
+    return headed.where("class = 'H1'").join(O.merge_split_headings(headed), ["doc_id", "line_no"], "left_anti").select("doc_id", "line_no")
+
+
+@query("c52_section_text", f"SELECT doc_id, section AS line_no, string_agg(text, chr(10) ORDER BY line_no) AS body FROM {_HEADED} WHERE section IS NOT NULL AND level IS NULL GROUP BY ALL")
+def c52(spark, d):
+    headed = _headed(spark, d)
+    filled = headed.where("section is not null and level is null").select("doc_id", F.col("section").alias("line_no")).distinct()
+    return O.sections(headed).join(filled, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", "body")
+
+
 def _first_in_first_out(rows: str) -> str:
     """The labels that wait when each number comes, row after row."""
     return f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n, CASE WHEN regexp_matches(trim(text), '^[0-9.,]+$') THEN 'n' WHEN regexp_matches(text, '[0-9]') THEN 'm' ELSE 'l' END AS kind FROM {rows}),

@@ -9,7 +9,7 @@ from tallyweave.functions import text as X
 from tallyweave.operators import ordered, versions as V
 from tallyweave.plans.fixtures import table
 from tallyweave.plans.lines import _KEY, _SECTIONS
-from tallyweave.plans.registry import query
+from tallyweave.plans.registry import ORACLE_SQL, query
 
 _STRIP = "regexp_replace({x}, '\\s+', '', 'g')"
 
@@ -180,6 +180,11 @@ def j23(spark, d):
     return V.pair_by_position(*_secs(spark, d))
 
 
+@query("a24_pair_totals", f"SELECT kind, count(*) AS n FROM ({ORACLE_SQL['j23_pair_by_position']}) GROUP BY kind")
+def a24(spark, d):
+    return V.pair_by_position(*_secs(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 # Blocks of pages: each fifth line is a row of a table whose numbers are written in two ways.
 def _blocks(t: str, b: bool) -> str:
     number = "CASE WHEN (doc_id + line_no) % 6 = 2 THEN '7' ELSE CAST(line_no + 1000 AS VARCHAR) || '.0' END" if b else "'1,' || substr(CAST(line_no + 1000 AS VARCHAR), 2, 3)"
