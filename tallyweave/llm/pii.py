@@ -321,6 +321,12 @@ def with_spans(found: DataFrame, model: Trees, prefix: str = "", name: str = "__
     return out.withColumns({prefix + "base_spans": base.cast(_SPAN), prefix + "pii_spans": select(F.col(name), model)}).drop(name, "__fold")
 
 
+def count_of(spans: str, kind: int) -> Column:
+    """How many of the spans are of this kind. A second parameter of the function that
+    filters, also one with a default, would be the place in the array."""
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("bigint")
+
+
 def listed(spans: str) -> Column:
     """kind:start:end of each span, comma-joined."""
     name = lambda x: F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1)

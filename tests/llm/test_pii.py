@@ -147,3 +147,16 @@ def test_base_spans_do_not_lend_their_precision(spark):
     assert all(r.pii_spans == r.base_spans for r in spans) and sum(len(r.base_spans) for r in spans) >= 300
     # With base spans alone nothing is judged, so no threshold is reached.
     assert set(pii.fit([c for c in counts if c[0] == pii.BASE_FOLD]).least.values()) == {pii.NEVER}
+
+
+def test_query_counts_by_kind(spark, tmp_path):
+    from tallyweave.llm import queries
+
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op6_pii(spark, str(tmp_path)).collect()
+    assert len(rows) == len(TEXTS)
+    for r in rows:
+        told = plain(TEXTS[r.doc_id])
+        kinds = [x.split(":")[0] for x in told.split(",")]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [kinds.count(k) for k in PATTERNS], TEXTS[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
