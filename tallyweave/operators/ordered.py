@@ -111,6 +111,15 @@ def with_subtrees(sections_: DataFrame) -> DataFrame:
     return sections_.withColumn("until", until.cast("bigint"))
 
 
+def with_parents(sections_: DataFrame) -> DataFrame:
+    """Sections with `parent`, the last section before that is less deep: of what
+    headings() gives it is the same, and where a parent was dropped from the table, what
+    lay below it belongs to the next section above."""
+    above = [F.max(F.when(F.col("level") < k, F.col("line_no"))).over(_before()) for k in range(1, 5)]
+    parent = F.coalesce(*[F.when(F.col("level") == k, e) for k, e in enumerate(above, 1)])
+    return sections_.withColumn("parent", parent)
+
+
 def with_ancestors(sections_: DataFrame, own: str) -> DataFrame:
     """What with_subtrees() gives, with up: the `own` column of the ancestors, outermost
     first. They are carried down the document, section after section."""

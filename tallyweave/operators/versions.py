@@ -258,7 +258,7 @@ def align_sections(a: DataFrame, b: DataFrame) -> DataFrame:
     sign = F.xxhash64("level", X.stripped(F.col("title")), F.substring(X.stripped(F.col("body")), 1, 200))
 
     def side(df: DataFrame, s: str) -> DataFrame:
-        keyed = ordered.with_subtrees(df).withColumn("key", sign)
+        keyed = ordered.with_subtrees(ordered.with_parents(df)).withColumn("key", sign)
         nth = F.row_number().over(Window.partitionBy("doc_id", "parent", "key").orderBy("line_no"))
         named = ordered.with_ancestors(keyed.withColumn("self", F.xxhash64("key", nth)), "self")
         path = F.xxhash64(F.concat("up", F.array("self")))
@@ -288,7 +288,7 @@ def pair_by_position(a: DataFrame, b: DataFrame) -> DataFrame:
 
     def side(df: DataFrame, s: str) -> DataFrame:
         place = F.lpad(F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("line_no")).cast("string"), 6, "0")
-        named = ordered.with_ancestors(ordered.with_subtrees(df).withColumn("place", place), "place")
+        named = ordered.with_ancestors(ordered.with_subtrees(ordered.with_parents(df)).withColumn("place", place), "place")
         return named.select("doc_id", F.array_join(F.concat("up", F.array("place")), "/").alias("path"), F.col("line_no").alias(f"{s}_line"), X.title_key(F.col("title")).alias(f"{s}_key"))
 
     x, y = F.col("a_key"), F.col("b_key")

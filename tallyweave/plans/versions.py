@@ -135,7 +135,9 @@ def j16(spark, d):
     return V.align_pages(V.page_text(table(spark, d, "doc_lines"), 3), V.page_text(table(spark, d, "versions_c"), 3))
 
 
-_SEC_B = f"(SELECT doc_id, line_no, parent, level, title, CASE WHEN line_no % 5 = 0 THEN body || 'x' WHEN line_no % 7 = 0 THEN 'y' || body ELSE body END AS body FROM {_SECTIONS} WHERE line_no % 11 <> 0)"
+# Where a section's parent is left out, the last section before it that is less deep is its parent.
+_SEC_B = f"""(SELECT doc_id, line_no, CASE level WHEN 2 THEN max(CASE WHEN level < 2 THEN line_no END) OVER w WHEN 3 THEN max(CASE WHEN level < 3 THEN line_no END) OVER w WHEN 4 THEN max(CASE WHEN level < 4 THEN line_no END) OVER w END AS parent, level, title,
+    CASE WHEN line_no % 5 = 0 THEN body || 'x' WHEN line_no % 7 = 0 THEN 'y' || body ELSE body END AS body FROM {_SECTIONS} WHERE line_no % 11 <> 0 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
 def _secs(spark, d):

@@ -222,3 +222,22 @@ def test_subtrees_and_ancestors(spark):
     rows = [(0, None, 2, "a", ""), (3, None, 1, "b", ""), (4, 3, 3, "c", ""), (5, 3, 2, "d", ""), (7, 5, 4, "e", ""), (9, None, 1, "f", "")]
     got = ordered.with_ancestors(ordered.with_subtrees(tree(spark, rows)), "title").orderBy("line_no").collect()
     assert [(r.until if r.until < 99 else None, r.up) for r in got] == [(3, []), (9, []), (5, ["b"]), (9, ["b"]), (9, ["b", "d"]), (None, [])]
+
+
+def test_sections_whose_parent_was_dropped(spark):
+    whole = [(0, None, 1, "One", "a"), (3, 0, 2, "First", "b"), (6, 3, 3, "Deep", "c"), (9, 0, 2, "Second", "d"), (12, 9, 3, "Low", "e"), (15, None, 1, "Two", "f")]
+    a, b = tree(spark, whole), tree(spark, [r for r in whole if r[0] != 9])
+    # Without line 9, line 12 is the second below line 6's parent and no first one of its own.
+    got = {(r.a_line, r.b_line, r.kind) for r in V.pair_by_position(a, b).collect()}
+    assert got == {(0, 0, "paired"), (3, 3, "paired"), (6, 6, "paired"), (9, None, "missing_in_b"), (None, 12, "missing_in_a"), (15, 15, "paired")}
+    got = {(r.a_line, r.b_line, r.diff_type) for r in V.align_sections(a, b).collect()}
+    assert got == {(0, 0, "equal"), (3, 3, "equal"), (6, 6, "equal"), (15, 15, "equal"), (9, None, "deleted"), (None, 12, "added")}
+    # Without line 0, lines 3 and 9 stand beside line 15, each with a place of its own.
+    got = [(r.a_line, r.b_line) for r in V.pair_by_position(a, tree(spark, whole[1:])).collect()]
+    assert sorted(y for _, y in got if y is not None) == sorted({y for _, y in got if y is not None}) and {y for _, y in got} >= {3, 9, 15}
+
+
+def test_parents_of_whole_tables_stay(spark):
+    rows = [(0, None, 2, "a", ""), (3, None, 1, "b", ""), (4, 3, 3, "c", ""), (5, 3, 2, "d", ""), (7, 5, 4, "e", ""), (8, 5, 3, "g", ""), (9, None, 1, "f", "")]
+    got = ordered.with_parents(tree(spark, rows)).orderBy("line_no").collect()
+    assert [r.parent for r in got] == [r[1] for r in rows]
