@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyweave.functions.text import let
+
 # Patterns of a letter's number, in order of trust.
 NUMBER_PATTERNS = [
     r"函证编号\s*[:：]?\s*([A-Za-z0-9\u4e00-\u9fff\-_/，,（）() ]+)",
@@ -86,13 +88,18 @@ NO_WORDS, YES_WORDS = ["×", "x", "no", "n", "false", "0", "否", "未", "无"],
 
 
 def _first(found: list[Column]) -> Column:
-    return F.coalesce(*[F.when(x != "", x) for x in found])
+    """The first that is neither null nor empty, else null; none is worked out twice,
+    and none after it."""
+    return reduce(lambda rest, x: let(x, lambda v: F.when(v != "", v).otherwise(rest)), reversed(found), F.lit(None).cast("string"))
 
 
 def clean_date(text: Column) -> Column:
     """Yyyy-MM-dd of the first date in either form; "" for none and for a day
     that does not exist."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", ""), _bare_date)
+
+
+def _bare_date(bare: Column) -> Column:
     forms = [r"(\d{4})[年/\-.](\d{1,2})[月/\-.](\d{1,2})日?", r"(\d{4})(\d{2})(\d{2})"]
     out = F.lit("")
     for p in reversed(forms):
@@ -105,13 +112,19 @@ def repair_date(date: Column, text: Column) -> Column:
     """A date whose day the text does not have for that month takes a day that
     it has: 01 becomes 02 or 07, 07 or 02 become 01, else the month's only day. A
     month that the text does not name, and a null text, change nothing."""
-    month = F.substring(date, 6, 2)
+    return let(date, lambda told: _day_of_text(told, text))
+
+
+def _day_of_text(date: Column, text: Column) -> Column:
+    month, day = F.substring(date, 6, 2), F.substring(date, 9, 2)
     form = F.concat(F.substring(date, 1, 4), F.lit(r"\s*[年/\-.]\s*(?:"), month, F.lit("|"), F.regexp_replace(month, "^0", ""), F.lit(r")\s*[月/\-.]\s*([0-3]?\d)"))
     found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), form, F.lit(1)), lambda x: F.lpad(x, 2, "0"))
-    days = F.array_distinct(F.filter(found, lambda x: x != "00"))
-    day = F.substring(date, 9, 2)
-    swaps = F.when((day == "01") & F.array_contains(days, "02"), "02").when((day == "01") & F.array_contains(days, "07"), "07").when(day.isin("07", "02") & F.array_contains(days, "01"), "01").when(F.size(days) == 1, F.get(days, F.lit(0)))
-    return F.when((date == "") | F.array_contains(days, day), date).otherwise(F.coalesce(F.concat(F.substring(date, 1, 8), swaps), date))
+
+    def taken(days: Column) -> Column:
+        swaps = F.when((day == "01") & F.array_contains(days, "02"), "02").when((day == "01") & F.array_contains(days, "07"), "07").when(day.isin("07", "02") & F.array_contains(days, "01"), "01").when(F.size(days) == 1, F.get(days, F.lit(0)))
+        return F.when(F.array_contains(days, day), date).otherwise(F.coalesce(F.concat(F.substring(date, 1, 8), swaps), date))
+
+    return F.when(date == "", date).otherwise(let(F.array_distinct(F.filter(found, lambda x: x != "00")), taken))
 
 
 def date_range(text: Column) -> Column:
@@ -173,8 +186,13 @@ def seal_name(text: Column) -> Column:
 def in_source(value: Column, text: Column, fixed: Column) -> Column:
     """A value that its text holds, blanks aside; else the fixed one; else ""."""
     bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
-    there = lambda v: (bare(v) != "") & F.contains(bare(text), bare(v))
-    return F.when(there(value), value).when(there(fixed), fixed).otherwise("")
+
+    def held(source: Column) -> Column:
+        there = lambda v: (bare(v) != "") & F.contains(source, bare(v))
+        other = let(fixed, lambda v: F.when(there(v), v).otherwise(""))
+        return let(value, lambda v: F.when(there(v), v).otherwise(other))
+
+    return let(bare(text), held)
 
 
 def check_digit(digits: Column) -> Column:
@@ -236,20 +254,24 @@ def letter_record(told: dict[str, Column], text: Column) -> list[Column]:
 
     stops = [F.when(F.locate(w, text) > 1, F.locate(w, text)) for w in REPLY_ENDS]
     zone = F.substr(text, F.lit(1), F.coalesce(F.least(*stops), F.length(text) + 1) - 1)
-    after = F.regexp_extract(zone, REPLY_ADDRESS, 1)
-    name = F.coalesce(_first(_told(zone, REPLY_NAMES) + _told(after, LATER_NAMES)), F.lit(""))
-    near = F.when(name != "", F.substr(zone, F.instr(zone, name), F.lit(150))).otherwise("")
-    phone = F.coalesce(_first(_told(near, [PHONE]) + _told(after, [PHONE])), given["phone"])
-    contact = F.trim(F.regexp_replace(F.coalesce(F.when(name != "", name), given["contact_person"]), GLUED, ""))
-    contact = F.when(contact.isin(MISREAD_NAMES) & text.rlike(SEAL_OF_FIRM), READ_NAME).otherwise(contact)
+    after = lambda z: F.regexp_extract(z, REPLY_ADDRESS, 1)
+    name = lambda z: F.coalesce(_first(_told(z, REPLY_NAMES) + _told(after(z), LATER_NAMES)), F.lit(""))
+    near = lambda z: let(name(z), lambda n: F.when(n != "", F.substr(z, F.instr(z, n), F.lit(150))).otherwise(""))
+    phone = F.coalesce(let(zone, lambda z: _first(_told(near(z), [PHONE]) + _told(after(z), [PHONE]))), given["phone"])
+    contact = F.coalesce(_first([let(zone, name)]), given["contact_person"])
+    misread = lambda c: F.when(c.isin(MISREAD_NAMES) & text.rlike(SEAL_OF_FIRM), READ_NAME).otherwise(c)
+    contact = let(F.trim(F.regexp_replace(contact, GLUED, "")), misread)
     contact = F.regexp_replace(contact, r"^[_. ]+|[_. ]+$", "")
 
     fixed = lambda day: repair_date(day, text)
     end_of = lambda g, f: fixed(clean_date(F.coalesce(_first([F.regexp_extract(text, p, g) for p in RANGE_PATTERNS]), given[f])))
     stamp = clean_date(F.concat_ws("-", *[F.regexp_extract(text, STAMP, g) for g in (1, 2, 3)]))
-    signed = F.filter(F.array(*[clean_date(x) for x in _told(text, SIGNED_PATTERNS)]), lambda x: (x != "") & (x != stamp))
-    sealed = clean_date(given["seal_date"])
-    sealed = F.when((stamp != "") & (sealed == stamp), F.coalesce(F.get(signed, F.lit(0)), sealed)).otherwise(sealed)
+    signed = F.array(*[clean_date(x) for x in _told(text, SIGNED_PATTERNS)])
+    unlike = lambda mark: F.get(F.filter(signed, lambda x: (x != "") & (x != mark)), F.lit(0))
+    sealed = let(
+        F.struct(clean_date(given["seal_date"]).alias("day"), stamp.alias("mark")),
+        lambda s: F.when((s["mark"] != "") & (s["day"] == s["mark"]), F.coalesce(unlike(s["mark"]), s["day"])).otherwise(s["day"]),
+    )
 
     to = lambda c: F.regexp_replace(c, r"^致[:：]?\s*", "")
     bank_given = F.regexp_replace(to(given["recipient_bank"]), r"(?s)[(（]\s*以下简称.*$", "")

@@ -299,7 +299,7 @@ def c43(spark, d):
     CASE WHEN c_custkey % 2 = 0 THEN '2024-04-0' || (c_nationkey % 7 + 2) WHEN c_nationkey % 7 = 5 THEN '2024-04-07' ELSE '2024-04-01' END AS seal_date, CASE WHEN c_custkey % 4 = 1 THEN '城' || c_nationkey || '银行天律分行' ELSE '' END AS signature_name FROM customer""")
 def c43_record(spark, d):
     told = {f: F.col(f) for f in L.LETTER_FIELDS if f != "debit_account"}
-    return table(spark, d, "letters").select("c_custkey", *L.letter_record(told, F.col("text")))
+    return table(spark, d, "letters").repartition("c_custkey").select("c_custkey", *L.letter_record(told, F.col("text")))
 
 
 @query("w4_wrapped_rows", "SELECT o_orderkey, o_orderstatus || 'x' AS a, o_orderpriority || 'y' AS b, 'c' AS c FROM orders")

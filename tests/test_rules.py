@@ -239,3 +239,14 @@ def test_strips_on_both_sides_of_tables(spark):
     frame = spark.createDataFrame([(1, n, t, k) for n, t, k in kinds], "doc_id bigint, line_no bigint, text string, is_table boolean")
     got = {tuple(r)[1:] for r in ordered.table_strips(frame, 2).collect()}
     assert got == {(2, "before", 0), (2, "before", 1), (2, "after", 4), (6, "before", 4), (7, "after", 8)}
+
+
+def test_each_part_of_a_letter_is_worked_out_once(spark):
+    """A field's expression grows with its patterns and not with their product."""
+    told = {f: F.col(f) for f in letters.LETTER_FIELDS}
+    longest = max(str(c._jc.toString()).count("regexp_") for c in letters.letter_record(told, F.col("text")))
+    assert longest <= 60
+    assert str(narrative.main_tokens(F.col("text"))._jc.toString()).count("regexp_") <= 20
+    rows = [("本期又增加约 5万元",), ("“A”余额5元",), ("增加9元",), ("本年",), (" ",), (None,), ("本期增加5万元",), ("x9",)]
+    got = spark.createDataFrame(rows, "text string").select(narrative.main_tokens(F.col("text")).alias("t")).collect()
+    assert [r.t for r in got] == [["又", "约"], ["额"], ["增加9元"], ["本年"], [], [], [], ["x"]]
