@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyweave.functions.money import scope_conflict
+from tallyweave.functions.text import let
 
 # The words and forms of narrative sentences.
 PERIOD = "本期"
@@ -199,25 +200,30 @@ def main_tokens(main: Column) -> Column:
     before it; without 本 as well the last character alone. What a closing quotation mark
     ends is left out. Where nothing of this is there, the whole sentence. An array, empty
     for the canonical form and for a blank sentence."""
-    main = F.coalesce(main, F.lit(""))
+    return let(F.coalesce(main, F.lit("")), _tokens_of)
+
+
+def _tokens_of(main: Column) -> Column:
     before = F.when(main.rlike(AMOUNT), F.regexp_extract(main, AMOUNT, 1)).otherwise(F.regexp_extract(F.regexp_replace(main, ENGLISH_INDEX + r"\s*", ""), "(?s)^([^0-9]*)", 1))
-    rest = F.regexp_extract(before, "(?s)([^”\"]*)$", 1)
-    named, tail = F.trim(F.regexp_extract(rest, THIS, 1)), F.regexp_extract(rest, THIS, 2)
-    this = rest.contains("本")
-    zone = F.when(this, tail).otherwise(rest)
-    moved, last = zone.rlike(MOVE), lambda c: F.substring(F.rtrim(c), -1, 1)
-    between = F.trim(tail)
-    tokens = [
-        F.when(this & (named != PERIOD), named),
-        F.when(this & moved, F.trim(F.regexp_extract(zone, LAST_MOVE, 1))),
-        F.when(moved, F.trim(F.regexp_extract(zone, LAST_MOVE, 2))),
-        F.when(this & ~moved, F.trim(F.regexp_extract(between, "(?s)^(.*).$", 1))),
-        F.when(this & ~moved, last(between)),
-        F.when(~this & ~moved, last(before)),
-    ]
-    found = F.filter(F.array(*tokens), lambda x: x.isNotNull() & (x != ""))
+    last = lambda c: F.substring(F.rtrim(c), -1, 1)
+
+    def words(rest: Column, ending: Column) -> Column:
+        """Words of what stands before the amount; its last character is the ending."""
+        tail = F.regexp_extract(rest, THIS, 2)
+        between = F.trim(tail)
+        named, this = F.trim(F.regexp_extract(rest, THIS, 1)), rest.contains("本")
+        moved = lambda zone: [F.trim(F.regexp_extract(zone, LAST_MOVE, k)) for k in (1, 2)]
+        return F.when(
+            this,
+            F.when(tail.rlike(MOVE), F.array(F.when(named != PERIOD, named), *moved(tail))).otherwise(
+                F.array(F.when(named != PERIOD, named), F.trim(F.regexp_extract(between, "(?s)^(.*).$", 1)), last(between))
+            ),
+        ).otherwise(F.when(rest.rlike(MOVE), F.array(moved(rest)[1])).otherwise(F.array(ending)))
+
+    tokens = let(before, lambda b: let(F.regexp_extract(b, "(?s)([^”\"]*)$", 1), lambda rest: words(rest, last(b))))
     none = F.array().cast("array<string>")
-    return F.when((F.trim(main) == "") | main.rlike(PLAIN), none).when(F.size(found) > 0, found).otherwise(F.array(F.trim(main)))
+    found = let(F.filter(tokens, lambda x: x.isNotNull() & (x != "")), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.trim(main))))
+    return F.when((F.trim(main) == "") | main.rlike(PLAIN), none).otherwise(found)
 
 
 def parse_exceptions(text: Column) -> Column:
