@@ -7,7 +7,9 @@ is used twice and a common line costs one row a copy and not one a pair.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -425,30 +427,55 @@ def table_in_lines(cells: DataFrame, lines: DataFrame, head: int = 3, least: int
     return best.join(tail, "doc_id", "left").select("doc_id", "first_line", "rows_met", "last_line")
 
 
-def _characters(df: DataFrame, by: list[str], own: str, key: str, seen: DataFrame) -> DataFrame:
-    """(by, own, c, at, n): each distinct character of a key, its place among the key's
-    characters by rarity in `seen` (by, c, df), and their number."""
-    one = df.select(*by, own, F.explode(F.filter(F.array_distinct(F.split(key, "")), lambda x: x != "")).alias("c")).join(seen, [*by, "c"], "left")
-    over = Window.partitionBy(*by, own)
-    place = F.row_number().over(over.orderBy(F.coalesce("df", F.lit(0)), "c"))
-    return one.select(*by, F.col(own), "c", (place - 1).alias("at"), F.count("*").over(over).alias("n"))
+#: Rows of the left that meet all of the right at a time.
+MEETING = 256
+
+
+def _meeting(least: float) -> Callable[..., Column]:
+    """Of characters as bits and their numbers on both sides the pairs that may be alike,
+    i * 2^32 + j: a bit that one alone has stands for one character or more that the
+    other lacks."""
+
+    def of(lb: np.ndarray, ln: np.ndarray, rb: np.ndarray, rn: np.ndarray) -> np.ndarray:
+        out = []
+        for i, (bits, n) in enumerate(zip(lb, ln)):
+            own, other = np.bitwise_count(bits & ~rb).astype(np.int64), np.bitwise_count(rb & ~bits).astype(np.int64)
+            enough = (1 + least) * np.minimum(n - own, rn - other) >= least * (n + rn) - 1e-9
+            out.append((i << 32) | np.flatnonzero(enough | (own == 0) | (other == 0)))
+        return np.concatenate([np.zeros(0, np.int64), *out])
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def pairs(lb: pd.Series, ln: pd.Series, rb: pd.Series, rn: pd.Series) -> pd.Series:
+        bits = lambda x: np.asarray(x, np.int64).view(np.uint64)
+        return pd.Series([of(bits(a), np.asarray(b, np.int64), bits(c), np.asarray(d, np.int64)) for a, b, c, d in zip(lb, ln, rb, rn)])
+
+    return pairs
+
+
+def _alike(left: DataFrame, right: DataFrame, by: list[str], least: float) -> DataFrame:
+    """What alike_pairs() gives, with the keys as a and b. A group's keys are shuffled once
+    and its pairs are found where they lie, by a bit for each character's hash and the
+    number of characters."""
+
+    def side(df: DataFrame, own: str) -> DataFrame:
+        told = df.withColumn("c", F.filter(F.array_distinct(F.split("key", "")), lambda x: x != "")).where(F.size("c") > 0)
+        bit = lambda c: F.element_at(F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(64)]), (F.pmod(F.xxhash64(c), F.lit(64)) + 1).cast("int"))
+        bits = F.aggregate("c", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseOR(bit(c).cast("bigint")))
+        return told.select(*by, F.struct(F.col(own).alias("own"), "key", bits.alias("bits"), F.size("c").cast("bigint").alias("n")).alias("x"))
+
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("x.own"))
+    x = side(left, "l").withColumn("part", F.floor((place - 1) / MEETING)).groupBy(*by, "part").agg(F.collect_list("x").alias("x"))
+    y = side(right, "r").groupBy(*by).agg(F.collect_list("x").alias("y"))
+    met = x.join(y, by).withColumn("at", F.explode(_meeting(least)("x.bits", "x.n", "y.bits", "y.n")))
+    met = met.select(*by, F.get("x", F.shiftright("at", 32).cast("int")).alias("x"), F.get("y", F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("y"))
+    return met.select(*by, F.col("x.own").alias("l"), F.col("y.own").alias("r"), F.col("x.key").alias("a"), F.col("y.key").alias("b"))
 
 
 def alike_pairs(left: DataFrame, right: DataFrame, by: list[str], least: float) -> DataFrame:
     """(by, l, r): all pairs of rows (by, l, key) and (by, r, key) whose keys share
     `least` or more of their distinct characters, or of which one contains the other,
-    and few others. The first characters by rarity must meet: so many of both that a
-    pair that is alike enough cannot miss (their numbers are near, too), or the rarest of
-    one, where it is contained, and any of the other."""
-    seen = right.select(*by, "r", F.explode(F.filter(F.array_distinct(F.split("key", "")), lambda x: x != "")).alias("c")).groupBy(*by, "c").agg(F.count("*").alias("df"))
-    x = _characters(left, by, "l", "key", seen).withColumnsRenamed({"at": "la", "n": "ln"})
-    y = _characters(right, by, "r", "key", seen).withColumnsRenamed({"at": "ra", "n": "rn"})
-    first = lambda at, n: F.col(at) < F.col(n) - F.ceil(least * F.col(n) - 1e-9) + 1
-    near = (F.col("ln") >= least * F.col("rn") - 1e-9) & (F.col("rn") >= least * F.col("ln") - 1e-9)
-    common = x.where(first("la", "ln")).join(y.where(first("ra", "rn")), [*by, "c"]).where(near)
-    inside = x.where("la = 0").join(y, [*by, "c"]).where("ln <= rn")
-    around = x.join(y.where("ra = 0"), [*by, "c"]).where("rn <= ln")
-    return common.union(inside).union(around).select(*by, "l", "r").distinct()
+    and few others. Keys without characters meet nothing."""
+    return _alike(left, right, by, least).select(*by, "l", "r")
 
 
 def anchor_windows(lines: DataFrame, anchors: DataFrame, least: float = 0.8) -> DataFrame:
@@ -457,7 +484,7 @@ def anchor_windows(lines: DataFrame, anchors: DataFrame, least: float = 0.8) ->
     the earliest and then the narrowest, if it reaches `least`. Widths, punctuation and
     blanks do not count; lines without other characters are left out and not counted as
     lines of a window. Scores are compared to six digits. A document's anchors meet the
-    windows that share its rarest characters, not all."""
+    windows that have enough characters in common with them."""
     keyed = lines.select("doc_id", "line_no", X.comparison_key(F.col("text")).alias("key")).where("key <> ''")
     pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
     keyed = keyed.withColumn("pos", pos)
@@ -468,8 +495,7 @@ def anchor_windows(lines: DataFrame, anchors: DataFrame, least: float = 0.8) ->
     packed = starts.groupBy("doc_id", "width", "start").agg(F.array_sort(F.collect_list(F.struct("step", "key", "line_no"))).alias("w")).where(F.size("w") == F.col("width"))
     windows = packed.select("doc_id", F.struct("start", "width", F.get("w", F.lit(0))["line_no"].alias("line_no")).alias("r"), F.array_join(F.col("w.key"), "").alias("key"))
     left = wanted.select("doc_id", F.struct("anchor", "k").alias("l"), "key")
-    pairs = alike_pairs(left, windows, ["doc_id"], least).where("r.width between l.k and l.k + 2")
-    told = pairs.join(left.withColumnRenamed("key", "a"), ["doc_id", "l"]).join(windows.withColumnRenamed("key", "b"), ["doc_id", "r"])
+    told = _alike(left, windows, ["doc_id"], least).where("r.width between l.k and l.k + 2")
     scored = told.withColumn("score", F.round(X.similarity(F.col("b"), F.col("a")), 6)).where(F.col("score") >= least)
     best = F.max_by(F.struct("r.line_no", "r.width", "score"), F.struct("score", -F.col("r.start"), -F.col("r.width")))
     return scored.groupBy("doc_id", "l.anchor").agg(best.alias("b")).select("doc_id", "anchor", "b.line_no", "b.width", "b.score")
@@ -483,12 +509,11 @@ def short_lines(lines: DataFrame) -> DataFrame:
 def anchor_candidates(entries: DataFrame, lines: DataFrame, most: int = 8, least: float = 0.4) -> DataFrame:
     """For each contents entry (doc_id, entry, from_line, title) its best lines at
     or after a start line: short, no sentence mark, similar enough, by score and then by
-    line. Lines meet entries by their rarest characters (alike_pairs), not each with each."""
+    line. Lines meet entries that have enough characters in common with them."""
     key = lambda df, own, text: df.select("doc_id", F.col(own).alias(own[0]), X.title_key(F.col(text)).alias("key"))
     left = key(entries.withColumnRenamed("entry", "l_"), "l_", "title")
     right = key(short_lines(lines).withColumnRenamed("line_no", "r_"), "r_", "text")
-    pairs = alike_pairs(left, right, ["doc_id"], least / 0.75)
-    told = pairs.join(left.withColumnRenamed("key", "a"), ["doc_id", "l"]).join(right.withColumnRenamed("key", "b"), ["doc_id", "r"])
+    told = _alike(left, right, ["doc_id"], least / 0.75)
     scored = told.withColumn("score", F.round(X.contents_similarity(F.col("a"), F.col("b")), 6)).where(F.col("score") >= least)
     known = scored.join(entries.select("doc_id", F.col("entry").alias("l"), "from_line"), ["doc_id", "l"]).where(F.col("r") >= F.col("from_line"))
     rank = F.row_number().over(Window.partitionBy("doc_id", "l").orderBy(F.desc("score"), "r"))

@@ -241,3 +241,12 @@ def test_parents_of_whole_tables_stay(spark):
     rows = [(0, None, 2, "a", ""), (3, None, 1, "b", ""), (4, 3, 3, "c", ""), (5, 3, 2, "d", ""), (7, 5, 4, "e", ""), (8, 5, 3, "g", ""), (9, None, 1, "f", "")]
     got = ordered.with_parents(tree(spark, rows)).orderBy("line_no").collect()
     assert [r.parent for r in got] == [r[1] for r in rows]
+
+
+def test_alike_pairs_are_found_where_a_document_lies(spark, capsys):
+    frame = lambda own: spark.range(50).selectExpr("id % 5 as doc_id", f"id as {own}", "concat('abcé', chr(cast(97 + id % 26 as int))) as key").repartition(3)
+    pairs = V.alike_pairs(frame("l"), frame("r"), ["doc_id"], 0.8)
+    pairs.explain()
+    told = capsys.readouterr().out
+    # One exchange of each side, not one of each character or pair.
+    assert told.count("Exchange hashpartitioning") <= 2 and len(pairs.collect()) >= 50
