@@ -36,10 +36,10 @@ from tallyweave.llm.common import Batches, as_bytes, bit_filter, column, hash_fr
 from tallyweave.llm.simhash import components
 
 WIDTH = 3
-#: Share of the texts whose n-grams are counted for the order, and the counts from which
-#: on an n-gram is of the next class of frequent ones. This changes the work only. So many
-#: bytes of text are counted in one bucket, about.
-COUNTED, OFTEN, BUCKET_BYTES = 1 / 4, (2, 4, 16, 128), 64_000_000
+#: Share of the texts whose n-grams are counted for the order (all of them), and the counts
+#: from which on an n-gram is of the next class of frequent ones. This changes the work
+#: only. So many bytes of text are counted in one bucket, about.
+COUNTED, OFTEN, BUCKET_BYTES = 1.0, (2, 4, 16, 128), 16_000_000
 #: n-grams of a shard, of which each set ships a tenth first, and SET_COST more a set.
 SHARD_TOKENS, SET_COST = 3_000_000, 64
 SLICE_BYTES = 4_000_000
@@ -206,28 +206,54 @@ def _rows(sets: list[np.ndarray]) -> pa.Array:
 
 
 def _frequent(docs: DataFrame, width: int) -> list[np.ndarray]:
-    """A filter of the n-grams of each class of frequent ones, by a share of the texts."""
+    """A filter of the n-grams of each class of frequent ones, by the counts of all texts.
+    A bucket has the n-grams of a range of the filters' numbers, so it gives those numbers
+    and no n-gram leaves it."""
     drawn = docs.where(hash_fraction(F.col("text")) < COUNTED).select("text")
     size = drawn.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = np.uint64(max(12, math.ceil(size / BUCKET_BYTES)))
+    numbers, six = FILTER_BITS // 64, np.uint64(6)
+    buckets = np.uint64(min(numbers, max(12, math.ceil(size / BUCKET_BYTES))))
+
+    def place(own: np.ndarray) -> np.ndarray:
+        return (own & np.uint64(64 * numbers - 1)) >> six
 
     def pack(batches: Batches) -> Batches:
         for batch in _slices(batches):
             own, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *ngram_sets(as_bytes(batch.column(0)), width)]), return_counts=True)
-            bucket = own % buckets
-            at = [np.flatnonzero(bucket == b) for b in np.unique(bucket)]
-            out = [[int(bucket[i[0]]) for i in at], [own[i].tobytes() for i in at], [n[i].astype(np.uint16).tobytes() for i in at]]
+            bucket = place(own) * buckets // np.uint64(numbers)
+            order = np.argsort(bucket, kind="stable")
+            at = [i for i in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(i)]
+            n = np.minimum(n, OFTEN[-1]).astype(np.uint16)
+            out = [[int(bucket[i[0]]) for i in at], [own[i].tobytes() for i in at], [n[i].tobytes() for i in at]]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "tokens", "counts"])
 
     def fold(table: pa.Table) -> pa.Table:
         token = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint64)
-        own, at = np.unique(token, return_inverse=True)
-        n = np.bincount(at, weights=np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint16), minlength=len(own)).astype(np.int64)
-        return pa.table({"token": own[n >= OFTEN[0]].view(np.int64), "n": n[n >= OFTEN[0]]})
-
-    counted = drawn.mapInArrow(pack, "bucket bigint, tokens binary, counts binary").groupBy("bucket").applyInArrow(fold, "token bigint, n bigint")
+        n = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint16)
+        order = np.argsort(token)
+        token, n = token[order], n[order]
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        own, n = token[first], np.add.reduceat(n, first, dtype=np.int64)
+        out: list[list[np.ndarray]] = [[], [], []]
+        for k, least in enumerate(OFTEN):
+            some = own[n >= least]
+            if len(some):
+                some = some[np.argsort(place(some))]
+                at = place(some)
+                head = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (some & np.uint64(63)), head)
+                for held, x in zip(out, (np.full(len(head), k), at[head].astype(np.int64), bits.view(np.int64))):
+                    held.append(x)
+        return pa.table({c: np.concatenate([np.zeros(0, np.int64), *x]) for c, x in zip(("level", "at", "bits"), out)})
+
+    counted = drawn.mapInArrow(pack, "bucket bigint, tokens binary, counts binary").groupBy("bucket").applyInArrow(fold, "level bigint, at bigint, bits bigint")
     counted = rewritten(counted, "frequent")
-    return [bit_filter(counted.where(F.col("n") >= n), "token", FILTER_BITS) for n in OFTEN]
+    filters = []
+    for k in range(len(OFTEN)):
+        rows = counted.where(F.col("level") == k).select("at", "bits").toArrow()
+        filters.append(np.zeros(numbers, np.int64))
+        filters[k][rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return [x.view(np.uint64) for x in filters]
 
 
 def _prints(docs: DataFrame, told, width: int) -> DataFrame:

@@ -129,3 +129,15 @@ def test_long_text_and_empty_table(spark):
     docs = spark.createDataFrame([(2, long), (1, long + " end"), (3, "end")], "doc_id bigint, text string")
     assert sorted(tuple(r) for r in J.with_components(docs).collect()) == [(1, 701, 1), (2, 700, 1), (3, 1, 3)]
     assert J.with_components(docs.limit(0)).collect() == []
+
+
+def test_all_texts_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(J, "SLICE_BYTES", 200)
+    texts = [f"a{k} b{k} c{k}" + " x y z" * (k % 16 == 0) for k in range(64)]
+    docs = spark.createDataFrame([(t,) for t in texts * 2 + [None, "once only here"]], "text string").repartition(3)
+    filters = J._frequent(docs, 3)
+    held = lambda t: [J.in_filter(f, J.ngram_sets([t.encode()])[0]).all() for f in filters]
+    assert all(held(t)[0] for t in texts)  # each stands twice
+    assert held("x y z") == [True, True, False, False] and held("once only here") == [False] * 4
+    rare = [sum(map(int.bit_count, f.tolist())) for f in filters]
+    assert rare[1:] == [1, 0, 0] and J.FILTER_BITS == 64 * len(filters[0])
