@@ -44,6 +44,10 @@ ROUNDS, STEP, PENALTY, CHAIN = 30, 0.5, 0.3, 400
 #: Marginals below this do not count for a document.
 NEGLIGIBLE = 0.1
 
+#: Bytes of text that are scored side by side, and words that are kept with their numbers.
+#: A token takes some 20 numbers of 8 bytes meanwhile.
+SCORED_BYTES, KNOWN_WORDS = 1_000_000, 100_000
+
 _STRIP = b".,;:!?\"'()[]{}*$%&#<>|"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -207,8 +211,10 @@ def _ascend(chain: Chain, word: np.ndarray, stems: np.ndarray, y: np.ndarray, st
         error = yy - p
         a, odds = np.exp(chain.move), np.exp(np.clip(local, -30, 30))
         left, right = f[at - 1], odds[at] * b[at]
-        pair = np.array([[np.full(len(at), a[0, 0]), a[0, 1] * right], [a[1, 0] * left, a[1, 1] * left * right]])
-        expected = (pair / pair.sum(axis=(0, 1))).sum(axis=2)
+        pair = [a[0, 1] * right, a[1, 0] * left, a[1, 1] * left * right]
+        whole = a[0, 0] + pair[0] + pair[1] + pair[2]
+        expected = np.array([np.sum(x / whole) for x in (a[0, 0], *pair)]).reshape(2, 2)
+        del left, right, pair, whole, f, b, odds
         grads = [
             np.bincount(word, error, len(chain.word)),
             np.bincount(word[at - 1], error[at], len(chain.word)),
@@ -265,6 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     chosen = docs.sparkSession.createDataFrame(sorted({r[:3] for r in wanted if r[3]}), sized.select(id_col, "mark", "toxic").schema)
     rows = docs.select(id_col, text).withColumn("mark", mark).join(F.broadcast(chosen), [id_col, "mark"]).select(F.coalesce(F.col(text), F.lit("")).alias("text"), "toxic").toArrow()
     texts, toxic = as_bytes(rows.column("text").combine_chunks()), rows.column("toxic").to_pylist()
+    del rows
     left_out = {y: sum(r[2] == y for r in wanted) / max(1, sum(r[2] == y and r[3] for r in wanted)) for y in share}
     return train(texts, toxic, [left_out[y] / share[y] for y in toxic])
 
@@ -286,7 +293,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "") -
         known: dict[bytes, int] = {}
         table: list[tuple[int, int]] = []
         for (texts,) in batches:
-            if len(known) > 500_000:
+            if len(known) > KNOWN_WORDS:
                 known, table = {}, []
             given = as_bytes(texts)
             ids = [field.ids(spaced_words(t), known, table) for t in given]
@@ -309,7 +316,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "") -
             yield [pa.array(made), pa.array((made >= 0.5).astype(np.int32)), pa.array(spans, _ARROW_SPANS)]
 
     fields = [T.StructField(prefix + "toxic_score", T.DoubleType()), T.StructField(prefix + "toxic_predicted", T.IntegerType()), T.StructField(prefix + "toxic_spans", SPANS)]
-    return add_columns(docs, fields, [text], run, 4_000_000)
+    return add_columns(docs, fields, [text], run, SCORED_BYTES)
 
 
 def remove_toxic(docs: DataFrame, chain: Chain) -> DataFrame:

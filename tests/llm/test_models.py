@@ -197,3 +197,15 @@ def test_long_texts_are_scored_whole_and_cost_the_driver_little(spark, monkeypat
     got = {r.doc_id: r for r in toxicity.score(frame, chain).collect()}
     assert got[203].toxic_score > got[201].toxic_score
     assert [s.start for s in got[203].toxic_spans] == [len(filler) + 1] and got[201].toxic_spans == []
+
+
+def test_slices_and_forgotten_words_change_no_score(spark, monkeypatch):
+    """Scoring holds a bounded number of tokens and words at a time, whatever the table."""
+    texts = [f"w{k} w{k % 7} bad{k % 3} good, w{k * 5} " * (k % 4) for k in range(60)] + ["", None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").coalesce(1)
+    chain = toxicity.train([t.encode() for t in texts if t], [int("bad1" in t) for t in texts if t], [1.0] * sum(map(bool, texts)))
+    whole = toxicity.score(docs, chain).orderBy("doc_id").collect()
+    monkeypatch.setattr(toxicity, "SCORED_BYTES", 100)
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 5)
+    assert toxicity.score(docs, chain).orderBy("doc_id").collect() == whole
+    assert len({r.toxic_score for r in whole}) > 1
