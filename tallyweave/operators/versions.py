@@ -27,12 +27,19 @@ def occurrences(lines: DataFrame, key: Column, group: list[str], order: str) ->
 
 def line_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row of each line of either side: op 0 where both have it, -1 and +1
-    where only a or b has it. Blanks do not count."""
-    left = occurrences(a, X.stripped(F.col("text")), ["doc_id"], "line_no").select("doc_id", "key", "nth", F.col("line_no").alias("a_line"), F.col("text").alias("a_text"))
-    right = occurrences(b, X.stripped(F.col("text")), ["doc_id"], "line_no").select("doc_id", "key", "nth", F.col("line_no").alias("b_line"), F.col("text").alias("b_text"))
-    joined = left.join(right, ["doc_id", "key", "nth"], "full")
-    op = F.when(F.col("a_line").isNull(), 1).when(F.col("b_line").isNull(), -1).otherwise(0)
-    return joined.select("doc_id", op.alias("op"), "a_line", "b_line", F.coalesce("a_text", "b_text").alias("text"))
+    where only a or b has it. Blanks do not count. Both sides' lines are shuffled once,
+    by document and text; a line's twin is the row after it."""
+    side = lambda df, other: df.select("doc_id", F.lit(other).alias("other"), "line_no", "text")
+    key = X.stripped(F.col("text"))
+    rows = side(a, False).unionByName(side(b, True)).repartition(F.col("doc_id"), key).withColumn("key", key)
+    nth = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "key", "other").orderBy("line_no")))
+    over = Window.partitionBy("doc_id", "key").orderBy("nth", "other")
+    known = F.col("doc_id").isNotNull() & F.col("key").isNotNull()
+    twin = lambda at: F.coalesce(known & (at("nth").over(over) == F.col("nth")), F.lit(False))
+    told = nth.withColumns({"both": twin(F.lead), "met": twin(F.lag), "b_line": F.lead("line_no").over(over)}).where("not met")
+    op = F.when(F.col("other"), 1).when(F.col("both"), 0).otherwise(-1)
+    b_line = F.when(F.col("other"), F.col("line_no")).when(F.col("both"), F.col("b_line"))
+    return told.select("doc_id", op.alias("op"), F.when(~F.col("other"), F.col("line_no")).alias("a_line"), b_line.alias("b_line"), "text")
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweave.functions import text as X
 from tallyweave.operators import ordered
 from tallyweave.operators import versions as V
 
@@ -250,3 +251,35 @@ def test_alike_pairs_are_found_where_a_document_lies(spark, capsys):
     told = capsys.readouterr().out
     # One exchange of each side, not one of each character or pair.
     assert told.count("Exchange hashpartitioning") <= 2 and len(pairs.collect()) >= 50
+
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def _two_sides(spark):
+    lines = [(d, k, t) for d in range(4) for k, t in enumerate(["a b", "x", "a  b", "", ", .", f"q{d}", "x", "z Z", "x y"] * (d + 1))]
+    a = spark.createDataFrame(lines, "doc_id int, line_no bigint, text string")
+    return a, a.where("line_no % 5 <> 3").withColumn("text", F.when(F.col("line_no") % 7 == 2, F.concat("text", F.lit(" new"))).otherwise(F.col("text")))
+
+
+def test_line_diff_shuffles_each_line_once(spark):
+    a, b = _two_sides(spark)
+    got = V.line_diff(a, b)
+    assert _plan(got)[1].count("Exchange hashpartitioning") == 1
+    want = []
+    for d in range(4):
+        sides = []
+        for df in (a, b):
+            seen, own = {}, {}
+            for r in df.where(F.col("doc_id") == d).orderBy("line_no").collect():
+                key = "".join(r.text.split())
+                seen[key] = seen.get(key, 0) + 1
+                own[key, seen[key]] = r
+            sides.append(own)
+        for k in sides[0].keys() | sides[1].keys():
+            x, y = sides[0].get(k), sides[1].get(k)
+            want.append((d, 1 if x is None else -1 if y is None else 0, x and x.line_no, y and y.line_no, (x or y).text))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    none = spark.createDataFrame([(1, 0, None), (None, 1, "x")], "doc_id int, line_no bigint, text string")
+    assert sorted(r.op for r in V.line_diff(none, none).collect()) == [-1, -1, 1, 1]  # null equals nothing
