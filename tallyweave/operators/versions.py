@@ -159,14 +159,20 @@ def page_text(lines: DataFrame, size: int) -> DataFrame:
 def match_pages(a: DataFrame, b: DataFrame, band: int, least: float = 0.3) -> DataFrame:
     """J16, by single pages: pages of either side within the band that are each other's best match,
     by the share of common words of the shorter page; ties go to the nearer page.
-    Candidates of a page are at most 2 * band + 1, found by an equi join on the
-    page number shifted by each step of the band."""
+    Pages meet in blocks of pages; those at most a band from another block go there as
+    well, so that texts are shuffled little more than once; they become words after that,
+    and a pair's score is worked out once."""
     words = lambda c: F.array_distinct(F.split(F.col(c), r"\s+"))
-    left = a.select("doc_id", F.col("page").alias("a_page"), words("text").alias("a_words"), F.explode(F.sequence(F.col("page") - band, F.col("page") + band)).alias("b_page"))
-    right = b.select("doc_id", F.col("page").alias("b_page"), words("text").alias("b_words"))
+    block = lambda page: F.floor(page / (8 * band + 8))
+    at = F.col("page")
+    dealt = lambda df: df.repartition("doc_id", "block").withColumn("words", words("text"))
+    left = dealt(a.withColumn("block", block(at))).select("doc_id", "block", F.col("page").alias("a_page"), F.col("words").alias("a_words"))
+    spread = b.withColumn("block", F.explode(F.sequence(block(at - band), block(at + band))))
+    right = dealt(spread).select("doc_id", "block", F.col("page").alias("b_page"), F.col("words").alias("b_words"))
     score = F.size(F.array_intersect("a_words", "b_words")) / F.greatest(F.least(F.size("a_words"), F.size("b_words")), F.lit(1))
-    pairs = left.join(right, ["doc_id", "b_page"]).select("doc_id", "a_page", "b_page", score.alias("score")).where(F.col("score") >= least)
     near = F.abs(F.col("a_page") - F.col("b_page"))
+    met = left.join(right, ["doc_id", "block"]).where(near <= band)
+    pairs = met.select("doc_id", "a_page", "b_page", F.explode_outer(F.array(score)).alias("score")).where(F.col("score") >= least)
     rank = lambda side: F.row_number().over(Window.partitionBy("doc_id", side).orderBy(F.desc("score"), near, "a_page", "b_page"))
     ranked = pairs.withColumn("x", rank("a_page")).withColumn("y", rank("b_page"))
     return ranked.where("x = 1 and y = 1").select("doc_id", "a_page", "b_page", "score")

@@ -283,3 +283,17 @@ def test_line_diff_shuffles_each_line_once(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     none = spark.createDataFrame([(1, 0, None), (None, 1, "x")], "doc_id int, line_no bigint, text string")
     assert sorted(r.op for r in V.line_diff(none, none).collect()) == [-1, -1, 1, 1]  # null equals nothing
+
+
+def test_page_texts_are_shuffled_little_more_than_once(spark):
+    rows = [(d, p, f"w{(p + s) // 2} v{p % 5} u" + " x" * (p % 3)) for d in (1, 2) for p in range(0, 75) for s in (d - 1,)]
+    a = spark.createDataFrame(rows, "doc_id int, page bigint, text string")
+    b = a.withColumn("page", F.col("page") + 1).where("page % 9 <> 4")
+    got = V.match_pages(a, b, 2)
+    assert _plan(got)[1].count("Generate explode(sequence") == 1  # b's pages alone, near the border of a block
+    left, right = ({(r.doc_id, r.page): set(r.text.split()) for r in df.collect()} for df in (a, b))
+    pairs = [(d, p, q, len(x & y) / min(len(x), len(y))) for (d, p), x in left.items() for q in range(p - 2, p + 3) if (y := right.get((d, q)))]
+    pairs = [r for r in pairs if r[3] >= 0.3]
+    order = lambda r: (-r[3], abs(r[1] - r[2]), r[1], r[2])
+    best = lambda key: {min((r for r in pairs if key(r) == k), key=order) for k in {key(r) for r in pairs}}
+    assert sorted(map(tuple, got.collect())) == sorted(best(lambda r: r[:2]) & best(lambda r: (r[0], r[2]))) and len(pairs) > 300
