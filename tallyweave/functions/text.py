@@ -76,9 +76,18 @@ def section_name(text: Column) -> Column:
     return F.regexp_replace(dated, r"[（()）\[\]【】\s]", "")
 
 
+# Blanks, and marks that no title key has.
+BLANKS, TITLE_MARKS = " \t\n\x0b\f\r", ".,;:!?、，。；：！？（）()“”\"'-"
+
+
 def title_key(text: Column) -> Column:
     """Lower case without marks and blanks."""
-    return F.regexp_replace(F.lower(text), r"[\s.,;:!?、，。；：！？（）()“”\"'-]", "")
+    return F.translate(F.lower(text), BLANKS + TITLE_MARKS, "")
+
+
+def has_title_key(text: Column) -> Column:
+    """Whether anything is left in a text's title_key(), without working it out."""
+    return text.rlike(rf"[^\s{TITLE_MARKS}]")
 
 
 def number_hint(text: Column) -> Column:

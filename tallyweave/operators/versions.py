@@ -424,20 +424,28 @@ def table_in_lines(cells: DataFrame, lines: DataFrame, head: int = 3, least: int
     `least` must (one, if the table has one). Most rows win, then the earliest start.
     The only line from there on that equals the last row ends it, else last_line is
     null. A start meets `head` rows at most, so repeated lines are never paired with
-    repeated rows."""
+    repeated rows. Either side is shuffled once, by document."""
     by = Window.partitionBy("doc_id")
-    full = cells.select("doc_id", "row_no", X.title_key(F.col("text")).alias("key")).where("key <> ''")
-    rows = full.withColumn("k", F.row_number().over(by.orderBy("row_no"))).withColumn("n", F.count("*").over(by))
-    texts = lines.select("doc_id", "line_no", X.title_key(F.col("text")).alias("key")).where("key <> ''").withColumn("pos", F.row_number().over(by.orderBy("line_no")))
-    heads = rows.where(F.col("k") <= head).select("doc_id", "k", "n", F.col("key").alias("row"))
-    starts = texts.join(heads.where("k = 1").select("doc_id", F.col("row").alias("key")), ["doc_id", "key"]).select("doc_id", F.col("pos").alias("start"), F.col("line_no").alias("first_line"))
-    held = starts.join(heads, "doc_id").withColumn("pos", F.col("start") + F.col("k") - 1).join(texts.select("doc_id", "pos", "key"), ["doc_id", "pos"], "left")
-    off = F.min(F.when(~F.col("row").eqNullSafe(F.col("key")), F.col("k")))
-    met = held.groupBy("doc_id", "start", "first_line", "n").agg(F.coalesce(off - 1, F.count("*")).alias("rows_met")).where(F.col("rows_met") >= F.least(F.lit(least), "n"))
-    best = met.groupBy("doc_id").agg(F.max_by(F.struct("start", "first_line", "rows_met"), F.struct("rows_met", -F.col("start"))).alias("b")).select("doc_id", "b.*")
-    ends = texts.join(rows.where("k = n").select("doc_id", "key"), ["doc_id", "key"]).select("doc_id", "pos", "line_no")
-    tail = best.join(ends, "doc_id").where("pos >= start").groupBy("doc_id").agg(F.count("*").alias("c"), F.max("line_no").alias("last_line")).where("c = 1")
-    return best.join(tail, "doc_id", "left").select("doc_id", "first_line", "rows_met", "last_line")
+    full = X.has_title_key(F.col("text"))
+    rows = cells.where(full).select("doc_id", "row_no", X.title_key(F.col("text")).alias("key"))
+    placed = by.orderBy("row_no")
+    rows = rows.select("doc_id", "key", F.row_number().over(placed).alias("k"), F.lead("row_no").over(placed).isNull().alias("last"))
+    ends = rows.where((F.col("k") <= head) | F.col("last")).groupBy("doc_id")
+    first = F.sort_array(F.collect_list(F.when(F.col("k") <= head, F.struct("k", F.col("key").alias("row"))))).alias("heads")
+    heads = ends.agg(first, F.max("k").cast("bigint").alias("n"), F.collect_list(F.when(F.col("last"), F.col("key"))).alias("end"))
+    texts = lines.where(full).select("doc_id", "line_no", X.title_key(F.col("text")).alias("key"))
+    order = by.orderBy("line_no")
+    after = [F.lead("key", k).over(order).alias(f"key{k}") for k in range(1, head)]
+    held = texts.select("doc_id", "line_no", "key", F.row_number().over(order).alias("pos"), *after).join(heads, "doc_id")
+    met = F.lit(0)
+    for k in range(head - 1, -1, -1):
+        met = F.when(F.get("heads", F.lit(k))["row"] == F.col(f"key{k}" if k else "key"), met + 1).otherwise(0)
+    start = F.when((met >= 1) & (met >= F.least(F.lit(least), "n")), F.struct(met.cast("bigint").alias("rows_met"), (-F.col("pos")).alias("back"), F.col("line_no").alias("first_line")))
+    told = held.select("doc_id", "line_no", "pos", start.alias("start"), (F.col("key") == F.get("end", F.lit(0))).alias("ends")).where("start is not null or ends")
+    best = told.withColumn("b", F.max("start").over(by)).where("b is not null")
+    tail = F.when(F.col("ends") & (F.col("pos") >= -F.col("b.back")), F.col("line_no"))
+    found = best.groupBy("doc_id").agg(F.first("b").alias("b"), F.count(tail).alias("c"), F.max(tail).alias("end"))
+    return found.select("doc_id", "b.first_line", "b.rows_met", F.when(F.col("c") == 1, F.col("end")).alias("last_line"))
 
 
 #: Rows of the left that meet all of the right at a time.

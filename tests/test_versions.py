@@ -297,3 +297,13 @@ def test_page_texts_are_shuffled_little_more_than_once(spark):
     order = lambda r: (-r[3], abs(r[1] - r[2]), r[1], r[2])
     best = lambda key: {min((r for r in pairs if key(r) == k), key=order) for k in {key(r) for r in pairs}}
     assert sorted(map(tuple, got.collect())) == sorted(best(lambda r: r[:2]) & best(lambda r: (r[0], r[2]))) and len(pairs) > 300
+
+
+def test_a_table_is_sought_with_one_shuffle_a_side(spark):
+    a, b = _two_sides(spark)
+    found = V.table_in_lines(a.where("line_no > 0").withColumnRenamed("line_no", "row_no"), b)
+    assert _plan(found)[1].count("Exchange hashpartitioning") == 2
+    assert {r.doc_id: r.rows_met for r in V.table_in_lines(a.withColumnRenamed("line_no", "row_no"), a).collect()} == {d: 3 for d in range(4)}
+    one = spark.createDataFrame([(1, 0, "Only!"), (2, 0, " "), (3, 0, "p"), (3, 1, "q")], "doc_id int, line_no bigint, text string")
+    got = V.table_in_lines(one.withColumnRenamed("line_no", "row_no"), one.where("line_no = 0").unionByName(one.where("doc_id = 1").withColumn("line_no", F.lit(5).cast("bigint"))))
+    assert [tuple(r) for r in got.collect()] == [(1, 0, 1, None)]  # the last row stands twice; a table of two rows needs both
