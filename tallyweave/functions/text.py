@@ -207,5 +207,6 @@ def chinese_gate(text: Column) -> Column:
 
 
 def same_characters(a: Column, b: Column) -> Column:
-    """Equal counts of every character, in any order."""
-    return F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))
+    """Equal counts of every character, in any order. Only texts of one length are
+    taken apart."""
+    return F.when(F.length(a) != F.length(b), False).otherwise(F.sort_array(F.split(a, "")) == F.sort_array(F.split(b, "")))

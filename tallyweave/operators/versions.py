@@ -81,7 +81,7 @@ def ordered_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     numbering that rises with the lines will do."""
 
     def side(df: DataFrame, s: str) -> DataFrame:
-        lines = df.select("doc_id", F.col("line_no").alias(f"{s}_line"), X.stripped(F.col("text")).alias("text")).where("text <> ''")
+        lines = df.where(F.col("text").rlike(r"\S")).select("doc_id", F.col("line_no").alias(f"{s}_line"), X.stripped(F.col("text")).alias("text"))
         return lines.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "text")))
 
     left, right = side(a, "a"), side(b, "b")
@@ -126,7 +126,8 @@ def page_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     left = a.select("doc_id", "page", F.col("text").alias("a"))
     right = b.select("doc_id", "page", F.col("text").alias("b"))
     x, y = X.stripped(F.col("a")), X.stripped(F.col("b"))
-    kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "deleted").when((x == y) | X.same_characters(x, y), "equal").otherwise("modified")
+    same = X.let(F.struct(x.alias("x"), y.alias("y")), lambda p: (p["x"] == p["y"]) | X.same_characters(p["x"], p["y"]))
+    kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "deleted").when(same, "equal").otherwise("modified")
     return left.join(right, ["doc_id", "page"], "full").select("doc_id", "page", kind.alias("diff_type"))
 
 
@@ -152,7 +153,7 @@ def page_verdicts(a: DataFrame, b: DataFrame) -> DataFrame:
 def page_text(lines: DataFrame, size: int) -> DataFrame:
     """Pages of `size` lines each, as one text."""
     page = F.expr(f"line_no div {size}").alias("page")
-    packed = lines.groupBy("doc_id", page).agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"))
+    packed = lines.groupBy("doc_id", page).agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("l"))
     return packed.select("doc_id", "page", F.array_join(F.col("l.text"), "\n").alias("text"))
 
 

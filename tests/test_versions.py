@@ -307,3 +307,12 @@ def test_a_table_is_sought_with_one_shuffle_a_side(spark):
     one = spark.createDataFrame([(1, 0, "Only!"), (2, 0, " "), (3, 0, "p"), (3, 1, "q")], "doc_id int, line_no bigint, text string")
     got = V.table_in_lines(one.withColumnRenamed("line_no", "row_no"), one.where("line_no = 0").unionByName(one.where("doc_id = 1").withColumn("line_no", F.lit(5).cast("bigint"))))
     assert [tuple(r) for r in got.collect()] == [(1, 0, 1, None)]  # the last row stands twice; a table of two rows needs both
+
+
+def test_pages_are_taken_apart_only_where_lengths_agree(spark):
+    a, b = _two_sides(spark)
+    diff = V.page_diff(V.page_text(a, 3), V.page_text(b, 3))
+    assert "array_sort(" not in _plan(diff)[1]
+    rows = spark.createDataFrame([("ab", "ba"), ("ab", "abb"), ("aab", "abb"), ("", ""), (None, "a")], "a string, b string")
+    assert [r[0] for r in rows.select(X.same_characters(F.col("a"), F.col("b"))).collect()] == [True, False, False, True, None]
+    assert "length" in _plan(rows.select(X.same_characters(F.col("a"), F.col("b"))))[0]
