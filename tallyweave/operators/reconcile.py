@@ -103,8 +103,9 @@ def repeated(details: DataFrame) -> DataFrame:
 
 
 def unite(*streams: DataFrame) -> DataFrame:
-    """All exceptions, each once."""
-    return reduce(DataFrame.unionByName, streams).distinct()
+    """All exceptions, each once. They are dealt by record first: nearly all
+    differ, so that the tasks that make them would gather all of theirs in vain."""
+    return reduce(DataFrame.unionByName, streams).repartition("rec_id", "type_id").distinct()
 
 
 def batch_counts(linked: DataFrame) -> DataFrame:

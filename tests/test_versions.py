@@ -316,3 +316,13 @@ def test_pages_are_taken_apart_only_where_lengths_agree(spark):
     rows = spark.createDataFrame([("ab", "ba"), ("ab", "abb"), ("aab", "abb"), ("", ""), (None, "a")], "a string, b string")
     assert [r[0] for r in rows.select(X.same_characters(F.col("a"), F.col("b"))).collect()] == [True, False, False, True, None]
     assert "length" in _plan(rows.select(X.same_characters(F.col("a"), F.col("b"))))[0]
+
+
+def test_exceptions_are_dealt_before_they_are_made_distinct(spark):
+    from tallyweave.operators import reconcile as R
+
+    rows = spark.createDataFrame([(1, 2, "f", "v"), (1, 2, "f", "v"), (1, 3, "f", None), (1, 3, "f", None)], "rec_id bigint, type_id int, field string, value string")
+    got = R.unite(rows, rows.where("type_id = 2"))
+    lines = _plan(got)[1].split("\n")
+    assert max(k for k, x in enumerate(lines) if "HashAggregate" in x) < min(k for k, x in enumerate(lines) if "Exchange" in x)
+    assert sorted(map(tuple, got.collect())) == [(1, 2, "f", "v"), (1, 3, "f", None)]
