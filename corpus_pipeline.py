@@ -26,7 +26,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that pairs of five-word Jaccard similarity 0.8 or
-    more connect, that of the smallest id."""
+    more connect, that of the smallest id. SimHash proposes pairs, each is confirmed
+    exactly, and an exact filter finds the pairs that fingerprints leave apart."""
     return nearcopies.keep_one(docs)
 
 

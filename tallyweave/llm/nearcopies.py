@@ -1,7 +1,9 @@
-"""Near copies by exact Jaccard similarity of word shingles, without a lossy step.
+"""Near copies by SimHash and exact Jaccard similarity of word shingles, without a lossy step.
 
-Equal shingle sets are one point. Shingles have one global order, rare ones first,
-and two sets of similarity 4/5 or more share a shingle among the first fifth of each
+Equal shingle sets are one point, with a SimHash fingerprint. The vantage-point tree of
+simhash proposes pairs of close fingerprints, and each is compared exactly. Sets of
+similarity 4/5 often lie further apart than a tree can search, so what the fingerprints
+leave apart is completed: shingles have one global order, rare ones first, and two sets of similarity 4/5 or more share a shingle among the first fifth of each
 (prefix filter). This holds for any order, so counts of a sample may decide it: they
 change the work, not the result. Sets that share such a shingle are compared exactly.
 First each is compared with one pivot of each shingle, a few times, which joins dense
@@ -20,9 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweave.llm.common import add_columns, as_bytes, hash_fraction, materialize
-from tallyweave.llm.simhash import components, keepers, shingles
+from tallyweave.llm.simhash import components, fingerprint_of, keepers, least_neighbours, shingles
 
 SHINGLE_WORDS = 5
+#: Bits within which fingerprints propose a pair. Each further bit costs more visitors in
+#: the tree's shards (README); it changes the work, not the result.
+RADIUS = 3
 #: Share of the documents whose shingles are counted, and how many of the counted ones
 #: that stand there OFTEN times or more are put last, the most frequent of them.
 SAMPLED, OFTEN, MOST_FREQUENT = 1 / 16, 3, 200_000
@@ -71,19 +76,37 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _with_prefix(docs: DataFrame, width: int) -> DataFrame:
-    """docs with point (a hash of the shingle set), n (its size) and first (its prefix)."""
+    """docs with point (a hash of the shingle set), print (its fingerprint), n (its size)
+    and first (its prefix)."""
     told = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
 
     def run(batches: Iterator[list[pa.Array]]) -> Iterator[list[pa.Array]]:
         for (texts,) in batches:
             sets = [shingle_set(t, width) for t in as_bytes(texts)]
             points = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
-            yield [pa.array(points.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s, *told.value) for s in sets])]
-
-    fields = [T.StructField("point", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("first", T.ArrayType(T.LongType()))]
+            prints = np.array([fingerprint_of(s) for s in sets], np.uint64)
+            yield [pa.array(points.view(np.int64)), pa.array(prints.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s, *told.value) for s in sets])]
+
+    fields = [
+        T.StructField("point", T.LongType()),
+        T.StructField("print", T.LongType()),
+        T.StructField("n", T.IntegerType()),
+        T.StructField("first", T.ArrayType(T.LongType())),
+    ]
     return add_columns(docs, fields, ["text"], run)
 
 
+def proposed(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b) pairs of points whose fingerprints are equal or within the radius: each
+    point with the first of its fingerprint, and that with the first of a close one."""
+    heads = materialize(points.groupBy("print").agg(F.min("point").alias("head")))
+    same = points.join(heads, "print").where("point <> head").select(F.col("head").alias("a"), F.col("point").alias("b"))
+    close = least_neighbours(heads.select(F.col("print").alias("point")), heads.count(), radius)
+    a, b = (heads.select(F.col("print").alias(k), F.col("head").alias(f"head_{k}")) for k in "ab")
+    near = close.join(a, "a").join(b, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    return same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _may_match(a: str, b: str) -> Column:
     """Whether sizes and places of a shared shingle allow similarity 4/5, were it the
     first that both have. A pair that is similar enough passes at its first one."""
@@ -124,7 +147,7 @@ def _links(docs: DataFrame, points: DataFrame, id_col: str, width: int) -> DataF
         else:
             right, able = named.alias("y"), F.expr("x.token = y.token and x.label <> y.label and x.point < y.point")
         pairs = left.join(right, able & _may_match("x", "y")).select(F.least("x.point", "y.point").alias("a"), F.greatest("x.point", "y.point").alias("b"))
-        found = confirmed(pairs)
+        found = confirmed(pairs if turn else proposed(points).union(pairs))
         links = found if links is None else links.union(found)
         if turn < ROUNDS:
             label = components(links)
@@ -140,7 +163,7 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", width: int = SHINGL
     made = _with_prefix(docs.select(F.col(id_col), "text", F.xxhash64("text").alias("text_hash")), width)
     prints = materialize(made.drop("text"))
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_hash").alias("hash")))
-    points = materialize(prints.groupBy("point").agg(first.alias("first_row"), F.first("n").alias("n"), F.first("first").alias("first")))
+    points = materialize(prints.groupBy("point").agg(first.alias("first_row"), F.first("print").alias("print"), F.first("n").alias("n"), F.first("first").alias("first")))
     labels = components(_links(docs, points, id_col, width)).withColumnRenamed("node", "point")
     of = points.select("point", "first_row")
     least = labels.join(of, "point").groupBy("label").agg(F.min("first_row").alias("least"))

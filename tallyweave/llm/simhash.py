@@ -60,9 +60,9 @@ def shingles(text: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
     return np.array([mix(view[a:b], SEED) for a, b in zip(starts, ends)], np.uint64)
 
 
-def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
-    """Unsigned SimHash of a text's word shingles, repeats included."""
-    hashes, total = shingles(text, width), np.zeros(64, np.int64)
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Unsigned SimHash of these hashes: a bit is 1 if set in over half of them."""
+    total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -70,6 +70,11 @@ def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
+    """Unsigned SimHash of a text's word shingles, repeats included."""
+    return fingerprint_of(shingles(text, width))
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint", width: int = SHINGLE_WORDS) -> DataFrame:
     """docs with a bigint column of each text's fingerprint; a null text counts as
     empty and has fingerprint 0."""
@@ -266,6 +271,24 @@ def near_pairs(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     return shards(points, points.count(), radius).groupBy("shard").applyInArrow(run, "a bigint, b bigint, distance int")
 
 
+def least_neighbours(points: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """(a, b), a < b as unsigned numbers: pairs within the radius among the n distinct
+    bigint fingerprints in column `point`. A shard gives each of its points the smallest
+    one that is close to it, if that is smaller, so a dense group costs one row a point
+    and shard; the smallest of all close ones is always among them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        at, home = table.column("point").to_numpy().view(np.uint64), table.column("home").to_numpy()
+        names = np.sort(at)
+        least = names.copy()
+        for a, b in close_pairs(at[home], at[~home], radius):
+            np.minimum.at(least, np.searchsorted(names, np.maximum(a, b)), np.minimum(a, b))
+        own = least < names
+        return pa.table({"a": least[own].view(np.int64), "b": names[own].view(np.int64)})
+
+    return shards(points, n, radius).groupBy("shard").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _forest_links(points: DataFrame, n: int, radius: int) -> DataFrame:
     """(a, b) links that connect what pairs within the radius connect."""
 
