@@ -110,7 +110,9 @@ def u2(spark, d):
     day = F.when(F.col("o_orderkey") % 11 == 0, "n/a").when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyyMMdd")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy/M/d")).otherwise(F.date_format("o_orderdate", "yyyy年M月d日"))
     values = F.map_from_arrays(F.array(named("号"), named("日"), named("入"), named("方")), F.array(F.col("o_orderkey").cast("string"), day, F.format_number(F.col("o_orderkey") * 1.25, 2), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("B"), F.col("o_custkey").cast("string"))).otherwise(" ")))
     regions = table(spark, d, "region").select((F.col("r_regionkey")).alias("n"), F.concat(F.lit("Statement of BANK OF "), "r_name", F.lit(" (copy)")).alias("head"))
+    # A statement's head is told once, not once a row.
+    regions = regions.select("n", templates.recognised(F.col("head"), configs).alias("bank"))
     rows = table(spark, d, "orders").withColumn("n", n).join(F.broadcast(regions), "n")
-    told = rows.select(F.col("o_orderkey").alias("row_id"), templates.recognised(F.col("head"), configs).alias("bank"), values.alias("values"))
+    told = rows.select(F.col("o_orderkey").alias("row_id"), "bank", values.alias("values"))
     made = templates.configured(configs, configs[0]["template_id"]).project(told, "bank")
     return made.select("row_id", "template", "serial_no", "transaction_date", F.col("income").cast("decimal(18,2)").alias("income"), "counterparty")

@@ -4,6 +4,7 @@ its summary, with the label that stands for them in a statement."""
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -290,10 +291,24 @@ def registry(tables: dict[str, dict[str, str]]) -> Registry:
 DATE_FORMS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/M/d HH:mm:ss", "yyyy/M/d", "yyyy年M月d日", "yyyyMMddHHmmss", "yyyyMMdd"]
 
 
+_DIGITS, _BLANKS = "0123456789", " \t\n\x0b\f\r"
+
+
 def date_time(text: Column) -> Column:
-    """A date or time of one of the usual forms as yyyy-MM-dd HH:mm:ss, null else."""
+    """A date or time of one of the usual forms as yyyy-MM-dd HH:mm:ss, null else. Only the
+    forms that have the text's marks are tried, as each that fails costs an exception."""
     bare = F.regexp_replace(F.trim(text), r"\s+", " ")
-    return F.date_format(F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in DATE_FORMS]), "yyyy-MM-dd HH:mm:ss")
+    # A year may have a sign. Digits and blanks aside, a text that a form reads has the form's marks.
+    marks = F.translate(F.ltrim(text, F.lit(_BLANKS + "+-")), _DIGITS + _BLANKS, "")
+    forms: dict[str, list[str]] = {}
+    for f in DATE_FORMS:
+        forms.setdefault(re.sub(r"[A-Za-z ]", "", f), []).append(f)
+    read, made = lambda f: F.try_to_timestamp(bare, F.lit(f)), F.lit(None).cast("timestamp")
+    for own, same in forms.items():
+        # Of forms with the same marks, one is tried where the text is long enough.
+        tried = F.coalesce(*[F.when(F.length(text) >= len(f), read(f)) for f in same])
+        made = F.when(marks == own, tried).otherwise(made)
+    return F.date_format(made, "yyyy-MM-dd HH:mm:ss")
 
 
 def read_configs(spark: SparkSession, path: str) -> list[dict]:

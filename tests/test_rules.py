@@ -1,16 +1,19 @@
 """Small cases of rules that the stored tables do not meet."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions import letters, narrative, text
 from tallyweave.operators import ordered, statement, sync, versions
-from tallyweave.plans import templates
+from tallyweave.plans import catalog, templates
 from tallyweave.sources import files
 from tallyweave.streaming import intake
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def one(spark, column, **values):
     row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
@@ -111,7 +114,7 @@ def test_streams(spark, tmp_path):
 
 
 def test_configured_template(spark):
-    from tallyweave.plans import templates
+    from tallyweave.plans import catalog, templates
 
     made = statement.Registry("x")
     made.add("x", templates.from_config({"fields": {"金额": {"field": "amount", "type": "amount"}, "日期": {"field": "day", "type": "datetime"}}}))
@@ -250,3 +253,28 @@ def test_each_part_of_a_letter_is_worked_out_once(spark):
     rows = [("本期又增加约 5万元",), ("“A”余额5元",), ("增加9元",), ("本年",), (" ",), (None,), ("本期增加5万元",), ("x9",)]
     got = spark.createDataFrame(rows, "text string").select(narrative.main_tokens(F.col("text")).alias("t")).collect()
     assert [r.t for r in got] == [["又", "约"], ["额"], ["增加9元"], ["本年"], [], [], [], ["x"]]
+
+
+def every_form(text):
+    """What a date or time is if each form is tried on each text."""
+    bare = F.regexp_replace(F.trim(text), r"\s+", " ")
+    return F.date_format(F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in templates.DATE_FORMS]), "yyyy-MM-dd HH:mm:ss")
+
+
+def test_dates_are_what_trying_every_form_gives(spark):
+    days = ["2024-02-29", "2023-02-29", "2024/2/9", "2024/12/31", "2024年1月5日", "20240105", "20241399", "0001-01-01", "12024-01-01", "1202401-5"]
+    texts = [*days, *[f"{d} {t}" for d in days for t in ("10:00:00", "1:00:00", "10:00", "24:00", "10", "10:00:00.5", "100000")]]
+    texts += [s + t for s in ("+", "-", "+-", " ", "\t", " ", "x") for t in texts] + [t.replace(" ", "  \t") + "\n" for t in texts] + [t + " " for t in texts]
+    texts += ["+12024-01-01", "+120240105", "-20240105", "20240105101112", "+120240105101112", "2024010510111", "2024-1-05", "2024/+2/9", "2024/-2/9", "2024/2-9", "２０２４-01-01", "n/a", "", " ", "-", "/", "//", "年月日", "::", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = frame.select("t", templates.date_time(F.col("t")).alias("got"), every_form(F.col("t")).alias("wanted")).collect()
+    assert [r for r in rows if r.got != r.wanted] == []
+    assert {r.got for r in rows} >= {None, "2024-02-29 00:00:00", "2024-02-09 10:00:00", "2024-01-05 00:00:00", "2024-01-05 10:11:12", "+12024-01-01 00:00:00"}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the stored tables")
+def test_keywords_are_looked_for_in_heads_and_not_in_rows(spark):
+    made = catalog.QUERIES["u2_configured_templates"](spark, DATA)
+    steps = made._jdf.queryExecution().optimizedPlan().toString().split("Project [")
+    assert any("RLIKE" in step for step in steps)
+    assert not any("RLIKE" in step and "o_orderkey" in step for step in steps)
