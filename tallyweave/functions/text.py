@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 DIGITS = "零一二三四五六七八九"
 _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
+_MARKS, _PLAIN = "，。：；、！", ",.:;,!"
 
 # Patterns of headings, contents and glossary titles.
 H1 = "^第[一二三四五六七八九十百〇零]+[节節条]\\s*"
@@ -50,7 +52,21 @@ def folded(text: Column) -> Column:
 
 def comparison_key(text: Column, traditional: str = "", simplified: str = "") -> Column:
     """Width folded, characters of the given table folded, no blanks."""
-    return stripped(F.translate(F.translate(fold_width(F.coalesce(text, F.lit(""))), "，。：；、！", ",.:;,!"), traditional, simplified))
+    return stripped(F.translate(F.translate(fold_width(F.coalesce(text, F.lit(""))), _MARKS, _PLAIN), traditional, simplified))
+
+
+#: How many code points there are.
+POINTS = 0x110000
+
+
+def comparison_points() -> np.ndarray:
+    """For each code point the one that it has in a comparison_key(), or -1."""
+    out = np.arange(POINTS, dtype=np.int32)
+    for old, new in ((_FULL, _HALF), (_MARKS, _PLAIN)):
+        step = np.arange(POINTS, dtype=np.int32)
+        step[[ord(c) for c in old]] = [ord(c) for c in new]
+        out = step[out]
+    return np.where(np.isin(out, [ord(c) for c in BLANKS]), np.int32(-1), out)
 
 
 #: Pairs of characters that a folding table may have; they become one literal of the plan.

@@ -14,9 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyweave.functions import text as X
 from tallyweave.operators import ordered
+from tallyweave.operators.windows import best_windows
 
 
 def occurrences(lines: DataFrame, key: Column, group: list[str], order: str) -> DataFrame:
@@ -505,22 +507,15 @@ def anchor_windows(lines: DataFrame, anchors: DataFrame, least: float = 0.8) ->
     text) of k lines the window of k to k + 2 lines that is most like it, of equal ones
     the earliest and then the narrowest, if it reaches `least`. Widths, punctuation and
     blanks do not count; lines without other characters are left out and not counted as
-    lines of a window. Scores are compared to six digits. A document's anchors meet the
-    windows that have enough characters in common with them."""
-    keyed = lines.select("doc_id", "line_no", X.comparison_key(F.col("text")).alias("key")).where("key <> ''")
-    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
-    keyed = keyed.withColumn("pos", pos)
-    wanted = anchors.select("doc_id", "anchor", "k", X.comparison_key(F.col("text")).alias("key")).where("key <> ''")
-    widths = wanted.select("doc_id", F.explode(F.sequence("k", F.col("k") + 2)).alias("width")).distinct()
-    reach = keyed.join(widths, "doc_id").select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("step"))
-    starts = reach.select("doc_id", "width", (F.col("pos") - F.col("step")).alias("start"), "step", "key", "line_no").where("start > 0")
-    packed = starts.groupBy("doc_id", "width", "start").agg(F.array_sort(F.collect_list(F.struct("step", "key", "line_no"))).alias("w")).where(F.size("w") == F.col("width"))
-    windows = packed.select("doc_id", F.struct("start", "width", F.get("w", F.lit(0))["line_no"].alias("line_no")).alias("r"), F.array_join(F.col("w.key"), "").alias("key"))
-    left = wanted.select("doc_id", F.struct("anchor", "k").alias("l"), "key")
-    told = _alike(left, windows, ["doc_id"], least).where("r.width between l.k and l.k + 2")
-    scored = told.withColumn("score", F.round(X.similarity(F.col("b"), F.col("a")), 6)).where(F.col("score") >= least)
-    best = F.max_by(F.struct("r.line_no", "r.width", "score"), F.struct("score", -F.col("r.start"), -F.col("r.width")))
-    return scored.groupBy("doc_id", "l.anchor").agg(best.alias("b")).select("doc_id", "anchor", "b.line_no", "b.width", "b.score")
+    lines of a window. Scores are compared to six digits. Either side is shuffled once, by
+    document, and windows are told apart where their document lies."""
+    group = lambda df, name, *own: df.select("doc_id", F.struct(*own, F.coalesce("text", F.lit("")).alias("text")).alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias(name))
+    left, right = group(anchors.where("k is not null"), "a", "anchor", "k"), group(lines, "l", "line_no")
+    both = left.join(right.withColumn("l", F.sort_array("l")), "doc_id").select("doc_id", "a", "l")
+    doc_id, anchor, k, line_no = both.schema["doc_id"], anchors.schema["anchor"], anchors.schema["k"], lines.schema["line_no"]
+    schema = T.StructType([doc_id, anchor, line_no, T.StructField("width", k.dataType), T.StructField("score", T.DoubleType())])
+    kinds = to_arrow_schema(schema)
+    return both.mapInArrow(lambda batches: best_windows(batches, kinds, least), schema)
 
 
 def short_lines(lines: DataFrame) -> DataFrame:

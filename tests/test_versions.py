@@ -1,13 +1,18 @@
 """Comparison of versions against sequential programs on small cases."""
 
 import random
+import subprocess
+import sys
 
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tallyweave.functions import text as X
 from tallyweave.operators import ordered
 from tallyweave.operators import versions as V
+from tallyweave.operators import windows as W
 
 
 def rising(pairs):
@@ -326,3 +331,80 @@ def test_exceptions_are_dealt_before_they_are_made_distinct(spark):
     lines = _plan(got)[1].split("\n")
     assert max(k for k, x in enumerate(lines) if "HashAggregate" in x) < min(k for k, x in enumerate(lines) if "Exchange" in x)
     assert sorted(map(tuple, got.collect())) == [(1, 2, "f", "v"), (1, 3, "f", None)]
+
+
+def plain_windows(lines, anchors, least=0.8):
+    """For each anchor (number, k, text) of one document its window, by trying all."""
+    table = X.comparison_points()
+    bare = lambda t: "".join(chr(x) for x in (table[ord(c)] for c in t or "") if x >= 0)
+    keys, best = [(n, bare(t)) for n, t in lines if bare(t)], {}
+    for number, k, text in anchors:
+        a = bare(text)
+        for s in range(len(keys) if a else 0):
+            for width in range(max(k, 1), min(k + 2, len(keys) - s) + 1):
+                b = "".join(t for _, t in keys[s : s + width])
+                score = 0.85 + 0.15 * min(len(a), len(b)) / max(len(a), len(b)) if a in b or b in a else len(set(a) & set(b)) / len(set(a) | set(b))
+                score = int(score * 1_000_000 + 0.5) / 1_000_000
+                if score >= least:
+                    best[number] = min(best.get(number, (0,)), (-score, s, width))
+    return {number: (keys[s][0], width, -score) for number, (score, s, width) in best.items()}
+
+
+def made_anchors(seed, letters, size):
+    rng, docs = random.Random(seed), {}
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(0, size)))
+    for d in range(40):
+        lines = [(3 * n + d % 5, rng.choice([word(), word(), " ", "same", None])) for n in range(rng.choice([1, 3, 9, 30]))]
+        anchors = []
+        for n in range(rng.choice([1, 5, 20])):
+            k, s = rng.randint(1, 4), rng.randrange(len(lines))
+            text = " ".join(t or "" for _, t in lines[s : s + rng.randint(1, 3)])
+            anchors.append((n, k, rng.choice([text, text + "!", text[1:], text[::-1], word(), None, text + text])))
+        docs[d] = (lines, anchors + [(0, 1, "same")] * (d % 2))
+    return docs
+
+
+KINDS = [("ab", 3), ("abcdefgh 😀é", 14), ("".join(map(chr, range(0x4E00, 0x4E00 + 600))) + "，（", 20)]
+
+
+@pytest.mark.parametrize("letters, size", KINDS)
+@pytest.mark.parametrize("pairs, few", [(1 << 17, 4), (20, 0)])
+def test_anchors_meet_windows_as_by_trying_all(monkeypatch, letters, size, pairs, few):
+    monkeypatch.setattr(W, "PAIRS", pairs)
+    monkeypatch.setattr(W, "FEW", few)
+    monkeypatch.setattr(W, "SLICE", 1000 if few else 10**6)
+    docs = made_anchors(size, letters, size)
+    texts = lambda x: [{**r, "text": r["text"] or ""} for r in x]
+    rows = [{"doc_id": d, "a": texts({"anchor": n, "k": k, "text": t} for n, k, t in a), "l": texts({"line_no": n, "text": t} for n, t in l)} for d, (l, a) in docs.items()]
+    kinds = pa.schema({"doc_id": pa.int64(), "anchor": pa.int64(), "line_no": pa.int64(), "width": pa.int32(), "score": pa.float64()})
+    batch = pa.RecordBatch.from_pylist(rows)
+    told = [r for b in W.best_windows(iter([batch.slice(0, 0), batch.slice(0, 7), batch.slice(7)]), kinds, 0.8) for r in b.to_pylist()]
+    got = {(r["doc_id"], r["anchor"]): (r["line_no"], r["width"], r["score"]) for r in told}
+    assert len(got) == len(told) > 50 and got == {(d, n): x for d, (l, a) in docs.items() for n, x in plain_windows(l, a).items()}
+
+
+def test_anchors_and_lines_are_shuffled_once_and_windows_never(spark):
+    docs = made_anchors(14, *KINDS[1])
+    lines = spark.createDataFrame([(d, n, t) for d, (l, _) in docs.items() for n, t in l], "doc_id bigint, line_no bigint, text string").repartition(3)
+    anchors = spark.createDataFrame([(d, *r) for d, (_, a) in docs.items() for r in a] + [(None, 1, 1, "same"), (1, 99, None, "same"), (99, 1, 1, "same")], "doc_id bigint, anchor bigint, k int, text string")
+    found = V.anchor_windows(lines, anchors)
+    plan = _plan(found)[1]
+    assert plan.count("Exchange hashpartitioning") == 2 and "Generate" not in plan
+    got = {(r.doc_id, r.anchor): (r.line_no, r.width, r.score) for r in found.collect()}
+    # A mark of two code units is one character.
+    assert got == {(d, n): x for d, (l, a) in docs.items() for n, x in plain_windows(l, a).items()}
+
+
+def test_comparison_points_are_those_of_the_key(spark):
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x10000 or c % 97 == 0)]
+    rows = spark.createDataFrame([(c, chr(c)) for c in points], "c int, text string").select("c", X.comparison_key(F.col("text")).alias("key")).collect()
+    table = X.comparison_points()
+    assert all(r.key == ("" if table[r.c] < 0 else chr(table[r.c])) for r in rows)
+
+
+def test_anchors_need_no_package_on_the_executors(tmp_path):
+    kinds = pa.schema({"doc_id": pa.int64(), "anchor": pa.int64(), "line_no": pa.int64(), "width": pa.int32(), "score": pa.float64()})
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(lambda batches: W.best_windows(batches, kinds, 0.8)))
+    program = "import pickle, pyarrow as pa; f = pickle.load(open('f', 'rb')); print(*[r for b in f([pa.RecordBatch.from_pylist([{'doc_id': 1, 'a': [{'anchor': 1, 'k': 1, 'text': 'a b'}], 'l': [{'line_no': 5, 'text': 'ab'}]}])]) for r in b.to_pylist()]); import tallyweave"
+    ran = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, capture_output=True, text=True, timeout=60, env={})
+    assert "No module named 'tallyweave'" in ran.stderr and "'line_no': 5, 'width': 1, 'score': 1.0" in ran.stdout
